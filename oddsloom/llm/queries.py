@@ -7,17 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsloom.llm import chat, exactdup, mixing
+from oddsloom.llm import chat, exactdup, langid, mixing, quality, toxicity
+from oddsloom.llm.common import in_fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = in_fold("doc_id", 5, 0)
+    weights = quality.fit_quality(docs.where(~held_out), _table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = in_fold("doc_id", 4, 2)
+    model = langid.fit_filters(docs.where(~held_out))
+    return langid.predict_language(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, sizes = mixing.plan_mix(_table(spark, sf_dir, "documents"))
     return plan.copies(sizes).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -33,6 +48,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(extra)))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model)
+
+
 OP5_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -61,9 +82,12 @@ FROM w GROUP BY conv_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_language_id": op6_language_id,
         "op8_source_mixing": op8_source_mixing,
         "op9_chat_format": op9_chat_format,
+        "op10_toxicity": op10_toxicity,
     }
 
 

@@ -51,12 +51,12 @@ def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Ite
         yield batch.slice(a, b - a)
 
 
-def utf8(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of the texts, each followed by one space, and where each text begins (n + 1 offsets); null is empty."""
+def utf8(texts: pa.Array, lower: bool = False, pad: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of the texts, each followed by ``pad`` spaces, and where each text begins (n + 1 offsets); null is empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if lower:
         texts = pc.utf8_lower(texts)
-    texts = pc.binary_join_element_wise(texts, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
+    texts = pc.binary_join_element_wise(texts, pa.scalar("", pa.large_string()), pa.scalar(" " * pad, pa.large_string()))
     _, where, data = texts.buffers()
     at = np.frombuffer(where, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
