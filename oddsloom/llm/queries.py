@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsloom.llm import chat, exactdup, langid, mixing, quality, toxicity
+from oddsloom.llm import chat, exactdup, langid, mixing, neardup, packing, quality, secrets, toxicity
 from oddsloom.llm.common import in_fold
 
 
@@ -22,6 +22,21 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def pack_config() -> packing.PackConfig:
+    """The public byte-level vocabulary, in both of its forms."""
+    import public_tokenizers
+
+    return packing.PackConfig(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), pack_config())
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_classes(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +48,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_language(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, sizes = mixing.plan_mix(_table(spark, sf_dir, "documents"))
     return plan.copies(sizes).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -83,8 +102,11 @@ FROM w GROUP BY conv_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_best_fit_packing": op2_best_fit_packing,
+        "op4_near_dedup": op4_near_dedup,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_language_id": op6_language_id,
+        "op7_secret_scan": op7_secret_scan,
         "op8_source_mixing": op8_source_mixing,
         "op9_chat_format": op9_chat_format,
         "op10_toxicity": op10_toxicity,
