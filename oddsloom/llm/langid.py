@@ -148,23 +148,27 @@ def fit_filters(docs: DataFrame, config: LangIdConfig | None = None, text_col: s
     return BitmaskFilter(languages, masks, fill**config.hashes, config.gram, config.hashes)
 
 
+def _scores(texts: pa.Array, model: BitmaskFilter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language number, score, support) of whole texts; the number after the last language is ``und``."""
+    n = len(texts)
+    letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    grams, at = grams_of(texts, model.gram)
+    if not model.languages:
+        return np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+    hits = model.hits(grams, at)
+    best = hits.argmax(axis=1)
+    total = hits.sum(axis=1)
+    top = np.take_along_axis(hits, best[:, None], 1)[:, 0]
+    score = np.where(letters & (total > 0), top / np.where(total > 0, total, 1), 0.0)
+    support = np.where(letters, np.minimum(1.0, top / np.maximum(1, np.diff(at))), 0.0)
+    return np.where(letters, best, len(model.languages)), score, support
+
+
 def _predict(batches: Iterator[pa.RecordBatch], model: BitmaskFilter) -> Iterator[pa.RecordBatch]:
     names = pa.array([*model.languages, UNDETERMINED])
     for batch in batches:
         for part in T.pieces(batch, "text"):
-            texts = part.column("text")
-            letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            grams, at = grams_of(texts, model.gram)
-            if model.languages:
-                hits = model.hits(grams, at)
-                best = hits.argmax(axis=1)
-                total = hits.sum(axis=1)
-                top = np.take_along_axis(hits, best[:, None], 1)[:, 0]
-                score = np.where(letters & (total > 0), top / np.where(total > 0, total, 1), 0.0)
-                best = np.where(letters, best, len(model.languages))
-                support = np.where(letters & (np.diff(at) > 0), np.minimum(1.0, top / np.maximum(1, np.diff(at))), 0.0)
-            else:
-                best, score, support = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows), np.zeros(part.num_rows)
+            best, score, support = _scores(part.column("text"), model)
             rest = [part.column(i) for i in range(part.num_columns) if part.schema.names[i] != "text"]
             keep = [x for x in part.schema.names if x != "text"]
             yield pa.RecordBatch.from_arrays([*rest, names.take(pa.array(best)), pa.array(score), pa.array(support)], [*keep, "lang_pred", "score", "support"])
@@ -181,3 +185,15 @@ def predict_language(docs: DataFrame, model: BitmaskFilter, text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(lambda b: _predict(b, model), f"doc_id {kind}, lang_pred string, score double, support double")
+
+
+def keep_recognised(docs: DataFrame, model: BitmaskFilter, least_support: float, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns, whose language is not ``und`` and has ``least_support`` corrected hits by n-gram or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.pieces(batch, text_col):
+                best, _, support = _scores(part.column(text_col), model)
+                yield part.filter(pa.array((best < len(model.languages)) & (support >= least_support)))
+
+    return docs.mapInArrow(run, docs.schema)
