@@ -79,10 +79,10 @@ def series_forecast(chances: DataFrame, sequences: DataFrame, best_of: int) -> D
     ``sequences`` has match_id, p and played (the maps in order). Clipped map
     cells are taken as they are: side A's chance is the sum of its cells.
     """
-    played = sequences.select("match_id", F.monotonically_increasing_id().alias("s"), F.col("p").alias("w"), F.posexplode("played").alias("i", "map_name"))
-    side = chances.select("match_id", "map_name", scoring.side_a(F.col("p")).alias("a"))
-    rows = played.join(side, ["match_id", "map_name"]).groupBy("match_id", "s", "w").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "a"))), lambda x: x["a"]).alias("a"))
-    return veto.mixture(rows.select("match_id", "w", series.scorelines(F.col("a"), best_of).alias("v")), "match_id", "w", "v")
+    side = F.map_from_entries(F.collect_list(F.struct("map_name", scoring.side_a(F.col("p")).alias("a")))).alias("side")
+    rows = sequences.select("match_id", F.col("p").alias("w"), "played").join(chances.groupBy("match_id").agg(side), "match_id")
+    vector = series.scorelines(F.transform("played", lambda m: F.element_at("side", m)), best_of)
+    return veto.mixture(rows.select("match_id", "w", vector.alias("v")), "match_id", "w", "v")
 
 
 def baseline(rows: DataFrame, t: features.Tables) -> DataFrame:
