@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +36,24 @@ def durable(df: DataFrame) -> DataFrame:
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="oddsloom-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context, unless they find it where the driver does.
+
+    Python workers see PYTHONPATH and the folder that the driver was started in.
+    """
+    root = Path(__file__).resolve().parents[1]
+    seen = [Path(p).resolve() for p in (*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()) if p]
+    context = spark.sparkContext
+    if root in seen or context.applicationId in _shipped:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="oddsloom-ship-")) / "oddsloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted((root / "oddsloom").rglob("*.py")):
+            z.write(path, path.relative_to(root))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
