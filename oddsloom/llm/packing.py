@@ -8,6 +8,7 @@ joining on their rank within their length.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,10 +50,10 @@ class DocumentTokenizer:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self._full = Tokenizer.from_file(tokenizer)
-        self._specials = [t.content for t in self._full.get_added_tokens_decoder().values()]
+        self._file, self._full = tokenizer, None
+        with open(tokenizer, encoding="utf-8") as f:
+            self._specials = [t["content"] for t in json.load(f)["added_tokens"]]
         with open(ranks, "rb") as lines:
             merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self._ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
@@ -60,6 +61,10 @@ class DocumentTokenizer:
     def encode(self, text: str) -> np.ndarray:
         """The ids of one text."""
         if any(s in text for s in self._specials):
+            if self._full is None:
+                from tokenizers import Tokenizer
+
+                self._full = Tokenizer.from_file(self._file)
             return np.array(self._full.encode(text, add_special_tokens=False).ids, np.uint32)
         return self._ranks.encode_to_numpy(text, disallowed_special=())
 
