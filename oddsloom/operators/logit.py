@@ -138,6 +138,11 @@ def _part_binary(x: np.ndarray, y: np.ndarray, p: np.ndarray) -> tuple[float, np
 _PARTS = {"ordinal": _part_ordinal, "multinomial": _part_multinomial, "binary": _part_binary}
 
 
+def _added(parts: DataFrame) -> np.ndarray:
+    """The sum of one short vector for each task."""
+    return np.sum([r["sums"] for r in parts.collect()], axis=0)
+
+
 def fit(rows: DataFrame, features: list[str], label: str, kind: str, config: FitConfig = FitConfig()) -> LogitModel:
     """Fit on ``rows`` with whole-number labels from 0; null features or labels fail."""
     bad = F.lit(False)
@@ -173,11 +178,11 @@ def fit(rows: DataFrame, features: list[str], label: str, kind: str, config: Fit
                     xs = batch.column("x").flatten().to_numpy().reshape(-1, d)
                     loss, g = part(xs, batch.column("y").to_numpy(), p)
                     total += np.append(g, loss)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["sums"])
 
-        sums = design.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow().sort_by("i")["v"].to_numpy()
+        sums = _added(design.mapInArrow(run, "sums array<double>"))
         g = sums[:-1] / n
-        g[:penalised] += config.l2 * p[:penalised] / 1.0
+        g[:penalised] += config.l2 * p[:penalised]
         return sums[-1] / n + config.l2 / 2 * float(p[:penalised] @ p[:penalised]), g
 
     best, loss, iterations = descend(evaluate, start, config)
@@ -246,9 +251,9 @@ def fit_choice(candidates: DataFrame, features: list[str], step: list[str], chos
                     q = np.exp(s - s.max())
                     q /= q.sum()
                     total += np.append(xs.T @ q - xs[0], -np.log(max(q[0], CLIP)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d + 1)), pa.array(total)], ["i", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["sums"])
 
-        sums = design.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow().sort_by("i")["v"].to_numpy()
+        sums = _added(design.mapInArrow(run, "sums array<double>"))
         return sums[-1] / n + config.l2 / 2 * float(p @ p), sums[:-1] / n + config.l2 * p
 
     best, loss, iterations = descend(evaluate, np.zeros(d), config)
