@@ -10,7 +10,7 @@ from pyspark.sql import types as Ty
 from pyspark.sql import Window as W
 
 from oddsloom.functions import asof, names, scoring, series, shrink
-from oddsloom.operators import features, reports, seats, splits, veto
+from oddsloom.operators import diagnostics, features, reports, seats, splits, veto
 from oddsloom.plans import league
 from oddsloom.plans.league import BEFORE, SQL, table
 
@@ -562,3 +562,64 @@ def permutation_test(spark: SparkSession, d: str) -> DataFrame:
     """Sign flips of the difference between suppliers' balances and their mean."""
     s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") - 4500.0).alias("d"))
     return reports.permutation_test(s, "s_suppkey", "d", 500, 29)
+
+
+# --- strengths and choices ----------------------------------------------------------------------------------------------
+
+_K = [1.0, 5.0, 10.0, 50.0, 200.0]
+
+
+def _strength(w: str, g: str, team: str, where: str = "TRUE") -> str:
+    """SQL for the log losses of a grid of strengths over the seat ledger."""
+    reads = {n: _read("seat", keys, {"w": w, "g": g}, queries="seat", where=where) for n, keys in (("t", ["team_id"]), ("m", ["team_id", "map_name"]))}
+    return f"""{SQL}{_join_reads(reads)}, g AS (SELECT unnest({_K}) AS k, unnest(range({len(_K)})) AS i),
+x AS (SELECT {w.replace("won", "t.q.won").replace("atk_t.q.won", "t.q.atk_won")} AS y, {g.replace("atk_played", "t.q.atk_played")} AS n, m.w, m.g, {team} AS p FROM t JOIN m ON t.q = m.q),
+l AS (SELECT k, i, sum(-(y * ln((w + k * p) / (g + k)) + (n - y) * ln(1 - (w + k * p) / (g + k)))) / sum(n) AS s FROM x, g WHERE n > 0 GROUP BY k, i)
+SELECT CAST(k AS DOUBLE) AS grid_value, round(s, 8) AS score, i = arg_min(i, (s, i)) OVER () AS is_best FROM l"""
+
+
+@query(_strength("won", "1", "CASE WHEN t.g = 0 THEN 0.5 ELSE t.w / t.g END * 0.98 + 0.01"))
+def select_win_strength(spark: SparkSession, d: str) -> DataFrame:
+    """Strength for win rates; priors are drawn in by a hundredth so that no loss is without bound."""
+    ledger = league.tables(spark, d, False).seat_ledger()
+    rows = ledger.select("team_id", "map_name", "ts", "won")
+    read = asof.prior_state(rows, rows, ["team_id"], sums={"tw": "won", "tg": F.lit(1)})
+    read = asof.prior_state(read, rows, ["team_id", "map_name"], sums={"mw": "won", "mg": F.lit(1)})
+    prior = shrink.rate(F.col("tw"), F.col("tg"), 0.5) * 0.98 + 0.01
+    read = read.withColumn("p", prior)
+
+    def loss(k: Column) -> Column:
+        return diagnostics.binomial_loss(F.col("won"), F.lit(1), (F.col("mw") + k * F.col("p")) / (F.col("mg") + k))
+
+    return _rounded(reports.grid_argmin(read, _K, loss))
+
+
+@query(_strength("atk_won", "atk_played", "(t.w + 25.0) / (t.g + 50.0)"))
+def select_attack_strength(spark: SparkSession, d: str) -> DataFrame:
+    """Strength for attack rounds, weighted by rounds; the whole grid in one pass."""
+    ledger = league.tables(spark, d, False).seat_ledger().where("atk_played is not null")
+    return _rounded(diagnostics.select_strength(ledger, "atk_won", F.col("atk_played"), _K, 50.0))
+
+
+@query(f"""{SQL}, c AS (SELECT m.match_id, team1_id AS team_id, ts, unnest([{', '.join(f"'{m}'" for m in league.MAP_NAMES)}]) AS map_name FROM matches m),
+e AS (SELECT map_name, ts, unnest([team1_id, team2_id]) AS team_id FROM played WHERE winner IS NOT NULL),
+u AS (SELECT match_id, team_id, map_name, ts, 0 AS n FROM c UNION ALL SELECT NULL, team_id, map_name, ts, 1 FROM e)
+SELECT match_id, map_name, n_played FROM (SELECT match_id, map_name, CAST(coalesce(sum(n) OVER (PARTITION BY team_id, map_name ORDER BY ts {BEFORE}), 0) AS BIGINT) AS n_played FROM u) WHERE match_id IS NOT NULL""")
+def play_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How often the first team played each map before."""
+    m = league.matches(spark, d)
+    rows = m.select("match_id", F.col("team1_id").alias("team_id"), "ts", F.explode(F.array(*[F.lit(x) for x in league.MAP_NAMES])).alias("map_name"))
+    return diagnostics.play_counts(league.maps(spark, d), m, rows).select("match_id", "map_name", "n_played")
+
+
+@query(f"""{SQL}, c AS (SELECT match_id, map_name, ts, 1 AS side, team1_id AS team_id, team2_id AS opponent_id FROM (SELECT *, unnest([{', '.join(f"'{m}'" for m in league.MAP_NAMES)}]) AS map_name FROM matches)),
+o AS (SELECT team_id AS opponent_id, map_name, ts, won FROM seat){_join_reads({"a": _read("seat", ["team_id"], {"w": "won", "g": "1"}, queries="c"), "am": _read("seat", ["team_id", "map_name"], {"w": "won", "g": "1"}, queries="c"), "b": _read("o", ["opponent_id"], {"w": "won", "g": "1"}, queries="c"), "bm": _read("o", ["opponent_id", "map_name"], {"w": "won", "g": "1"}, queries="c")})},
+v AS (SELECT a.q.match_id AS match_id, a.q.map_name AS map_name, CASE WHEN a.g = 0 THEN 0.5 ELSE a.w / a.g END AS ra, CASE WHEN b.g = 0 THEN 0.5 ELSE b.w / b.g END AS rb, am.w AS aw, am.g AS ag, bm.w AS bw, bm.g AS bg
+  FROM a JOIN am ON a.q = am.q JOIN b ON a.q = b.q JOIN bm ON a.q = bm.q)
+SELECT match_id, map_name, round((aw + 10 * ra) / (ag + 10.0), 8) AS own_rate, round((bw + 10 * rb) / (bg + 10.0), 8) AS other_rate, round((aw + 10 * ra) / (ag + 10.0) - ra, 8) + CAST(0 AS DOUBLE) AS speciality FROM v""")
+def choice_features(spark: SparkSession, d: str) -> DataFrame:
+    """Rates by which a side bans or picks each map."""
+    m = league.matches(spark, d)
+    rows = m.select("match_id", "ts", F.col("team1_id").alias("team_id"), F.col("team2_id").alias("opponent_id"), F.explode(F.array(*[F.lit(x) for x in league.MAP_NAMES])).alias("map_name"))
+    out = diagnostics.choice_features(rows, league.tables(spark, d, False).seat_ledger())
+    return _rounded(out.select("match_id", "map_name", "own_rate", "other_rate", "speciality"))
