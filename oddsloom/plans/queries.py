@@ -623,3 +623,13 @@ def choice_features(spark: SparkSession, d: str) -> DataFrame:
     rows = m.select("match_id", "ts", F.col("team1_id").alias("team_id"), F.col("team2_id").alias("opponent_id"), F.explode(F.array(*[F.lit(x) for x in league.MAP_NAMES])).alias("map_name"))
     out = diagnostics.choice_features(rows, league.tables(spark, d, False).seat_ledger())
     return _rounded(out.select("match_id", "map_name", "own_rate", "other_rate", "speciality"))
+
+
+_PARTS = ("map_win_rate_diff", "ot_rate_diff", "map_round_margin_variance", "form_diffs", "h2h_win_rate_centered", "event_stage", "days_since_diff", "roster_decay_diff", "attack_side_win_rate_diff", "signed_margin_diff", "first_blood_diff")
+_TWELVE = [c for c in features.FEATURES if c != "elo_differential"]
+
+
+@query(f"SELECT match_id, map_index, {', '.join(_TWELVE)} FROM ({ORACLES[_PARTS[0]]}) p0 {' '.join(f'JOIN ({ORACLES[n]}) p{i} USING (match_id, map_index)' for i, n in enumerate(_PARTS) if i)}")
+def feature_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix without the rating, which SQL cannot fold in reasonable time."""
+    return _rounded(feature_matrix(spark, d).select(*features.ROW, *_TWELVE))
