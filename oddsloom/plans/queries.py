@@ -10,7 +10,7 @@ from pyspark.sql import types as Ty
 from pyspark.sql import Window as W
 
 from oddsloom.functions import asof, names, scoring, series, shrink
-from oddsloom.operators import diagnostics, features, reports, seats, splits, veto
+from oddsloom.operators import diagnostics, features, logit, presentation, reports, seats, splits, veto
 from oddsloom.plans import league
 from oddsloom.plans.league import BEFORE, SQL, table
 
@@ -633,3 +633,99 @@ _TWELVE = [c for c in features.FEATURES if c != "elo_differential"]
 def feature_columns(spark: SparkSession, d: str) -> DataFrame:
     """The matrix without the rating, which SQL cannot fold in reasonable time."""
     return _rounded(feature_matrix(spark, d).select(*features.ROW, *_TWELVE))
+
+
+# --- more over events, orders and items -------------------------------------------------------------------------------
+
+
+@query(f"""WITH e AS (SELECT event_id, event_id % 3 AS room, user_id, ts, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS bad FROM events),
+r AS (SELECT event_id, coalesce(sum(bad) OVER v, 0) AS vb, count(*) OVER v AS vn, coalesce(sum(bad) OVER u, 0) AS ub, count(*) OVER u AS un, coalesce(sum(bad) OVER l, 0) AS lb, count(*) OVER l AS ln FROM e
+  WINDOW v AS (PARTITION BY user_id, room ORDER BY ts {BEFORE}), u AS (PARTITION BY user_id ORDER BY ts {BEFORE}), l AS (ORDER BY ts {BEFORE}))
+SELECT event_id, round((vb + 20 * ((ub + 50 * CASE WHEN ln = 0 THEN 0.5 ELSE lb / ln END) / (un + 50.0))) / (vn + 20.0), 8) AS shrunk FROM r""")
+def three_level_shrink(spark: SparkSession, d: str) -> DataFrame:
+    """Error rates of a user's events by room, shrunk to the user's, itself shrunk to everyone's."""
+    e = table(spark, d, "events").select("event_id", "user_id", (F.col("event_id") % 3).alias("room"), "ts", (F.col("event_type") == "error").cast("int").alias("bad"))
+    read = asof.prior_state(e.drop("bad"), e, ["user_id"], sums={"ub": "bad", "un": F.lit(1)})
+    read = asof.prior_state(read, e, ["user_id", "room"], sums={"vb": "bad", "vn": F.lit(1)})
+    read = asof.prior_totals(read, e, [], sums={"lb": "bad", "ln": F.lit(1)})
+    own = shrink.beta_mean(F.col("ub"), F.col("un"), shrink.rate(F.col("lb"), F.col("ln"), 0.5), 50.0)
+    return _rounded(read.select("event_id", shrink.beta_mean(F.col("vb"), F.col("vn"), own, 20.0).alias("shrunk")))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, round(var_samp(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate {BEFORE}), 6) AS variance FROM lineitem""")
+def margin_variance_prior(spark: SparkSession, d: str) -> DataFrame:
+    """Sample variance of the supplier's quantities shipped before each item; null for one or none."""
+    i = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", F.col("l_quantity").cast("double").alias("x"))
+    read = asof.prior_state(i.drop("x"), i, ["l_suppkey"], ts="l_shipdate", sums={"n": F.lit(1), "s": "x", "ss": F.col("x") * F.col("x")})
+    return _rounded(read.select("l_orderkey", "l_linenumber", shrink.sample_variance(F.col("n"), F.col("s"), F.col("ss")).alias("variance")), 6)
+
+
+@query(f"""SELECT o_orderkey, round((coalesce(sum(CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END) OVER w, 0) + 10.0) / (count(*) OVER w + 20.0) - 0.5, 8) AS centered
+FROM orders WINDOW w AS (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate {BEFORE})""")
+def pair_h2h(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of large orders of an ordered pair of keys before each order, shrunk to one half and centred."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", (F.col("o_totalprice") > 150000).cast("int").alias("won"))
+    read = asof.prior_state(o.drop("won"), o, ["o_custkey", "o_orderpriority"], ts="o_orderdate", sums={"w": "won", "g": F.lit(1)})
+    return _rounded(read.select("o_orderkey", (shrink.beta_mean(F.col("w"), F.col("g"), F.lit(0.5), 20.0) - 0.5).alias("centered")))
+
+
+_SIDES = {m: ((i * 3 % 7) / 7.0, (i * 5 % 7) / 7.0) for i, m in enumerate(_POOL)}
+_SIDE_VALUES = ", ".join(f"('{m}', {a}, {b})" for m, (a, b) in _SIDES.items())
+_SCRIPT_VALUES = ", ".join(f"({i}, '{x}')" for i, x in enumerate(veto.SCRIPTS[3]))
+
+
+@query(f"""WITH RECURSIVE v(m, a, b) AS (VALUES {_SIDE_VALUES}), script(step, action) AS (VALUES {_SCRIPT_VALUES}),
+r(step, action, m, taken) AS (
+  SELECT -1, '', '', CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT step, action, m, list_append(taken, m) FROM (
+    SELECT s.step, s.action, v.m, r.taken, row_number() OVER (PARTITION BY r.step
+      ORDER BY CASE WHEN s.action = 'pick' THEN -1 ELSE 1 END * CASE WHEN s.step % 2 = 0 THEN a - b ELSE b - a END, v.m) AS k
+    FROM r JOIN script s ON s.step = r.step + 1 JOIN v ON NOT list_contains(r.taken, v.m)) WHERE k = 1)
+SELECT CAST(step AS INTEGER) AS step, CASE WHEN action = 'decider' THEN '' WHEN step % 2 = 0 THEN 'A' ELSE 'B' END AS side, action, m AS map_name FROM r WHERE step >= 0""")
+def greedy_select(spark: SparkSession, d: str) -> DataFrame:
+    """A greedy veto for a series of three: each side bans its worst map and picks its best."""
+    steps = veto.greedy_veto({m: a for m, (a, _) in _SIDES.items()}, {m: b for m, (_, b) in _SIDES.items()}, 3)
+    return spark.createDataFrame(steps, "step int, side string, action string, map_name string")
+
+
+@query("""WITH w AS (SELECT l_returnflag, l_quantity AS q, [l_discount, l_tax, 1 - l_discount - l_tax] AS v FROM lineitem)
+SELECT l_returnflag, round(sum(q * v[1]) / sum(q), 8) AS p0, round(sum(q * v[2]) / sum(q), 8) AS p1, round(sum(q * v[3]) / sum(q), 8) AS p2 FROM w GROUP BY l_returnflag""")
+def sampled_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted mixtures of probability vectors by key."""
+    v = F.array(F.col("l_discount").cast("double"), F.col("l_tax").cast("double"), (1 - F.col("l_discount") - F.col("l_tax")).cast("double"))
+    out = veto.mixture(table(spark, d, "lineitem").select("l_returnflag", "l_quantity", v.alias("v")), "l_returnflag", "l_quantity", "v")
+    return _rounded(out.select("l_returnflag", *[F.col("probabilities")[i].alias(f"p{i}") for i in range(3)]))
+
+
+@query("""WITH p AS (SELECT n_nationkey, (n_nationkey + 1) / 27.0 AS a, (n_nationkey * 7 % 25 + 1) / 27.0 AS b, (n_nationkey * 3 % 25 + 1) / 27.0 AS c FROM nation),
+s AS (SELECT n_nationkey, [a * b, a * (1 - b) * c + (1 - a) * b * c, a * (1 - b) * (1 - c) + (1 - a) * b * (1 - c), (1 - a) * (1 - b)] AS v FROM p)
+SELECT n_nationkey, round(v[1] + v[2], 8) AS p_series, ['2-0', '2-1', '1-2', '0-2'][list_position(v, list_max(v))] AS likeliest, round(list_max(v), 8) AS p_likeliest, round(v[2] + v[3], 8) AS p_distance FROM s""")
+def derived_quantities(spark: SparkSession, d: str) -> DataFrame:
+    """What follows from the scorelines of :func:`series_scorelines`."""
+    k = F.col("n_nationkey")
+    p = F.array((k + 1) / 27.0, (k * 7 % 25 + 1) / 27.0, (k * 3 % 25 + 1) / 27.0)
+    return _rounded(table(spark, d, "nation").select("n_nationkey", presentation.derived(series.scorelines(p, 3), 3).alias("x")).select("n_nationkey", "x.*"))
+
+
+def _graded(spark: SparkSession, d: str) -> DataFrame:
+    """Items with a grade of their price to be told from quantity, discount and tax."""
+    price = F.col("l_extendedprice")
+    return table(spark, d, "lineitem").select(
+        *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_tax")], F.when(price < 20000, 0).when(price < 45000, 1).otherwise(2).alias("grade")
+    )
+
+
+@query()
+def fit_ordinal(spark: SparkSession, d: str) -> DataFrame:
+    """(name, value): coefficients and cutpoints of an ordinal logit after at most twenty steps over all items."""
+    model = logit.fit(_graded(spark, d), ["l_quantity", "l_discount", "l_tax"], "grade", "ordinal", logit.FitConfig(max_iter=20))
+    rows = [*model.report(), *[(f"cut_{i}", float(c)) for i, c in enumerate(model.cuts)], ("loss", float(model.loss))]
+    return spark.createDataFrame(rows, "name string, value double")
+
+
+@query()
+def fit_temperature(spark: SparkSession, d: str) -> DataFrame:
+    """(temperature, loss, loss_at_one) of least log loss for a fixed ordinal predictor of price grades."""
+    rows = _graded(spark, d).select(((25.5 - F.col("l_quantity")) / 3.0).alias("eta"), F.lit(-2.0).alias("c0"), F.lit(2.0).alias("c1"), "grade")
+    return spark.createDataFrame([logit.fit_temperature(rows, "eta", ["c0", "c1"], "grade")], "temperature double, loss double, loss_at_one double")
