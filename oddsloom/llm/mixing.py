@@ -170,14 +170,16 @@ def shard_table(mix: Mix, sizes: DataFrame) -> DataFrame:
 
     The tree is held on the driver, as one number for each source and shard;
     with very many sources there are fewer shards, so that these are at most
-    ``TREE_CELLS``. A source has at most blocks x most rows here.
+    ``TREE_CELLS``. A source has at most blocks x most rows here. The block of
+    a source's last single document is drawn too, so every taken row has a shard.
     """
     config = mix.config
-    cut = mix.sources.select(F.col("source").alias("__source"), "__full", "__block")
+    cut = mix.sources.select(F.col("source").alias("__source"), "__full", "__block", F.when(F.col("__fix").isNotNull(), block_of(F.col("__fix"), config)).alias("__last"))
     blocks = sizes.select("source", block_of(F.col("doc_id"), config).alias("block")).distinct()
     drawn = _joined(blocks, cut, F.col("source").eqNullSafe(F.col("__source")), mix.n_sources)
-    drawn = drawn.select("source", "block", F.explode(F.sequence(F.lit(0), F.col("__full"))).alias("pass"), "__full", "__block")
-    drawn = drawn.where((F.col("pass") < F.col("__full")) | ((F.col("__full") < config.most) & (F.col("block") <= F.col("__block"))))
+    drawn = drawn.select("source", "block", F.explode(F.sequence(F.lit(0), F.col("__full"))).alias("pass"), "__full", "__block", "__last")
+    more = (F.col("block") <= F.col("__block")) | F.coalesce(F.col("block") == F.col("__last"), F.lit(False))
+    drawn = drawn.where((F.col("pass") < F.col("__full")) | ((F.col("__full") < config.most) & more))
     order = W.partitionBy("source").orderBy(F.xxhash64(F.lit(config.seed + 2), "pass", "block"), "pass", "block")
     drawn = durable(drawn.select("source", "block", "pass", (F.row_number().over(order) - 1).alias("__nth")))
     units = drawn.groupBy("source").count().orderBy(F.col("source").asc_nulls_last()).collect()
@@ -190,26 +192,47 @@ def shard_table(mix: Mix, sizes: DataFrame) -> DataFrame:
     )
 
 
+def deal(mix: Mix, sizes: DataFrame, rows: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """``rows`` as often as drawn, with ``mix_pass``, ``mix_shard`` (from the tree) and ``mix_order`` (a local random key)."""
+    shards = shard_table(mix, sizes).select(F.col("source").alias("__s"), F.col("block").alias("__blk"), F.col("pass").alias("__pass"), F.col("shard").alias("mix_shard"))
+    out = mix.copies(rows, id_col, source_col).where("copies > 0")
+    out = out.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    n = mix.n_sources * mix.config.blocks * mix.config.most
+    same = F.col(source_col).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__blk")) & (F.col("mix_pass") == F.col("__pass"))
+    out = out.join(F.broadcast(shards) if n <= 4 * BROADCAST_ROWS else shards, same)
+    return out.select(*rows.columns, "mix_pass", "mix_shard", F.xxhash64(F.lit(mix.config.seed + 3), id_col, "mix_pass").alias("mix_order"))
+
+
+def laid_out(mixed: DataFrame) -> DataFrame:
+    """``mixed`` shard by shard, each in its local order; a large shard spans several partitions, cut by ranges of that order."""
+    return mixed.repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order")
+
+
+def taken_words(mix: Mix, sizes: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for every row of ``sizes``: the words that the shards of the mix hold of it.
+
+    The mix is dealt, laid out and stored with ids in place of texts, and then
+    counted; rows that repeat an id within a source are counted once a pass.
+    """
+    mixed = durable(laid_out(deal(mix, sizes, sizes.select("doc_id", "source"))))
+    copies = mixed.groupBy(F.col("source").alias("__s"), F.col("doc_id").alias("__id"), "mix_pass").agg(F.lit(1).alias("__n"))
+    copies = copies.groupBy("__s", "__id").agg(F.count("__n").alias("__copies"))
+    out = sizes.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__s")), "left")
+    targets = mix.sources.select(F.col("source").alias("__source"), "source_size", "target")
+    out = _joined(out, targets, F.col("source").eqNullSafe(F.col("__source")), mix.n_sources)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("__copies", F.lit(0))).alias("taken"))
+
+
 def mix_sources(docs: DataFrame, config: MixConfig | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus: rows of ``docs``, repeated as drawn, with ``mix_shard`` and ``mix_order`` (a local random key).
 
     Columns of these two names are replaced.
 
-    To write it: ``out.repartition("mix_shard").sortWithinPartitions("mix_order")``.
+    To write it: ``laid_out(out)``.
     A null text has no words and stays where its block is taken; an empty table
     gives an empty mix. The same rows and seed give the same mix.
     """
     mix, sizes = plan_mix(docs, config, id_col, text_col, source_col)
-    shards = shard_table(mix, sizes).select(F.col("source").alias("__s"), F.col("block").alias("__blk"), F.col("pass").alias("__pass"), F.col("shard").alias("mix_shard"))
     kept = [c for c in docs.columns if c not in ("mix_shard", "mix_order")]
     rows = docs.select(F.struct(*kept).alias("__row"), F.col(id_col).alias("__id"), F.col(source_col).alias("__src"))
-    out = mix.copies(rows, "__id", "__src").where("copies > 0")
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    n = mix.n_sources * mix.config.blocks * mix.config.most
-    same = F.col("__src").eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__blk")) & (F.col("__copy") == F.col("__pass"))
-    out = out.join(F.broadcast(shards) if n <= 4 * BROADCAST_ROWS else shards, same, "left")
-    return out.select(
-        "__row.*",
-        F.coalesce(F.col("mix_shard"), F.pmod(F.col("__h"), F.lit(mix.config.shards)).cast("int")).alias("mix_shard"),
-        F.xxhash64(F.lit(mix.config.seed + 3), "__id", "__copy").alias("mix_order"),
-    )
+    return deal(mix, sizes, rows, "__id", "__src").select("__row.*", "mix_shard", "mix_order")

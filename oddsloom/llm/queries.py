@@ -59,7 +59,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, sizes = mixing.plan_mix(_table(spark, sf_dir, "documents"))
-    return plan.copies(sizes).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mixing.taken_words(plan, sizes)
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

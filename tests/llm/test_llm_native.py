@@ -134,3 +134,41 @@ def test_mix(spark):
     again = mixing.mix_sources(docs.repartition(7))
     assert again.select("doc_id", "mix_shard", "mix_order").exceptAll(mixed.select("doc_id", "mix_shard", "mix_order")).count() == 0
     assert mixing.mix_sources(docs.limit(0)).count() == 0
+
+
+def mix_rows():
+    rows = [(i, "w " * (1 + i * 7 % 50), "abc"[i % 3] if i % 11 else None) for i in range(1500)]
+    return [*rows, (8, "w w", "c"), (8, "w w w", "c"), (None, "w", "a"), (None, "w w", None), (5000, None, "b"), (5001, "w " * 999, "lone"), (5002, "w " * 4, "lone")]
+
+
+def test_source_mixing_takes_what_the_shards_of_the_tree_hold(spark, tmp_path, monkeypatch):
+    from oddsloom.llm.queries import op8_source_mixing
+
+    documents(spark, mix_rows()).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    plan, sizes = mixing.plan_mix(docs)
+    want = plan.copies(sizes).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    got = op8_source_mixing(spark, str(tmp_path))
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    dealt = mixing.deal(plan, sizes, sizes.select("doc_id", "source"))
+    assert dealt.count() == plan.copies(sizes).agg(F.sum("copies")).first()[0]
+    whole = mixing.shard_table
+
+    def without_a_shard(mix, sizes):
+        return whole(mix, sizes).where("shard != 3")
+
+    lost = dealt.where("mix_shard = 3").join(sizes.dropDuplicates(["doc_id", "source"]), ["doc_id", "source"]).agg(F.sum("size")).first()[0]
+    assert lost > 0
+    monkeypatch.setattr(mixing, "shard_table", without_a_shard)
+    assert op8_source_mixing(spark, str(tmp_path)).agg(F.sum("taken")).first()[0] < got.agg(F.sum("taken")).first()[0]
+
+
+def test_the_last_single_document_of_a_source_has_a_shard_of_the_tree(spark):
+    docs = documents(spark, [(i, "w " * (1000 if i % 2 else 3), "ab"[i % 2]) for i in range(60)])
+    plan, sizes = mixing.plan_mix(docs)
+    config = plan.config
+    drawn = {(r.source, r.block, r["pass"]) for r in mixing.shard_table(plan, sizes).collect()}
+    fixed = plan.sources.where("__fix is not null").select("source", "__full", mixing.block_of(F.col("__fix"), config).alias("block"), "__block").collect()
+    assert any(r.block > r["__block"] for r in fixed)
+    assert all((r.source, r.block, r["__full"]) in drawn for r in fixed)
