@@ -308,3 +308,35 @@ def test_pipeline_stages(spark, sf, tmp_path):
     assert counts[2] == len(set(near.values()))
     final = corpus_pipeline.STAGES[-1][1](spark, rows, sf)
     assert final.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def novel_texts(text):
+    base = secrets.base_spans(text)
+    return [text[a:b] for a, _, b in secrets.novel_spans(text, base, secrets.Novelty(secrets.NoveltyConfig()))]
+
+
+def test_all_lines_of_a_key_and_labels_that_follow_are_measured(spark):
+    import base64
+
+    rng = random.Random(12)
+    body = base64.b64encode(rng.randbytes(1230)).decode()
+    lines = [body[i : i + 64] for i in range(0, len(body), 64)]
+    assert len(lines) == 26
+    pem = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----\n"
+    headed = pem.replace("KEY-----\n", "KEY-----\nProc-Type: 4,ENCRYPTED\n\n", 1)
+    cut = headed[: headed.index("-----END")]
+    far = "plain words follow " * 40 + "\n\nand " + lines[3]
+    for text in (pem, headed, cut, pem.replace("\n", "\r\n"), pem.replace("\n", "\\n")):
+        assert sum(any(x in y for y in novel_texts(text + ("" if text is cut else far))) for x in lines) == 26
+    assert novel_texts(pem + far) == lines
+    block = "\n".join(lines)
+    assert novel_texts("the credentials, in base64:\n" + block) == lines
+    assert novel_texts(block + "\n# the private key") == lines
+    key = "Zq8vT3nLw0XrKp5YbHs2JdMf7QcGu4Ea"
+    assert novel_texts(f"{key}  # api key") == [key]
+    assert novel_texts(f"{key} is what you send, with every call that you make to it, as the bearer") == [key]
+    assert novel_texts(f"| name | api key | since |\n| a | {key} | 2020 |\n| b | {key[::-1]} | 2021 |") == [key, key[::-1]]
+    assert novel_texts(f"{key} " + "plain words follow " * 40 + "\n\nthe api key") == []
+    assert novel_texts("-----BEGIN PUBLIC NOTE-----\n\n" + block + "\n-----END PUBLIC NOTE-----") == []
+    masked = secrets.redact(spark.createDataFrame([(pem,)], "text string")).first().text
+    assert not any(x in masked for x in lines)
