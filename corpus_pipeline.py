@@ -33,8 +33,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them, none or twice included; rows are repeated."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    """Documents as often as the mix draws them, none or twice included; rows are repeated.
+
+    They come shard by shard, each shard in its local order, and are written so.
+    """
+    return mixing.laid_out(mixing.mix_sources(docs)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

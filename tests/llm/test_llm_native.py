@@ -172,3 +172,16 @@ def test_the_last_single_document_of_a_source_has_a_shard_of_the_tree(spark):
     fixed = plan.sources.where("__fix is not null").select("source", "__full", mixing.block_of(F.col("__fix"), config).alias("block"), "__block").collect()
     assert any(r.block > r["__block"] for r in fixed)
     assert all((r.source, r.block, r["__full"]) in drawn for r in fixed)
+
+
+def test_the_pipeline_writes_the_mix_shard_by_shard_in_local_order(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    docs = documents(spark, [(i, "w " * (1 + i * 7 % 50), "abc"[i % 3]) for i in range(1500)])
+    want = [r.doc_id for r in mixing.mix_sources(docs).orderBy("mix_shard", "mix_order").select("doc_id").collect()]
+    out = corpus_pipeline.mix(spark, docs, sf)
+    assert out.columns == docs.columns
+    assert [r.doc_id for r in out.collect()] == want
+    out.write.parquet(f"{tmp_path}/mix")
+    parts = sorted(tmp_path.glob("mix/part-*"))
+    assert [r.doc_id for p in parts for r in spark.read.parquet(str(p)).collect()] == want
