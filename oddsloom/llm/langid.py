@@ -25,13 +25,15 @@ UNDETERMINED = "und"
 @dataclass(frozen=True)
 class LangIdConfig:
     """``fit_rows`` bounds the training rows of each language; an n-gram enters the filter of a language
-    in which it is seen in ``min_texts`` texts at least and ``min_ratio`` times as often as in its best language."""
+    in which it is seen in ``min_texts`` texts at least, or in the part ``min_share`` of the language's texts
+    if that is fewer, and ``min_ratio`` times as often as in its best language."""
 
     gram: int = 5
     slots: int = 1 << 20
     hashes: int = 3
     fit_rows: int = 4000
     min_texts: int = 3
+    min_share: float = 0.1
     min_ratio: float = 0.2
     seed: int = 11
 
@@ -116,7 +118,7 @@ def _slice_bits(batches: Iterator[pa.RecordBatch], config: LangIdConfig, words:
 
 
 def fit_filters(docs: DataFrame, config: LangIdConfig | None = None, text_col: str = "text", lang_col: str = "lang", key: str = "doc_id") -> BitmaskFilter:
-    """Filters learned from ``docs``; rows with a null text or language are left out.
+    """Filters learned from ``docs``; rows with a null language, or a text that is null or has no letter, are left out.
 
     About ``fit_rows`` texts of each language are read at most, those of the
     smallest key hash. N-grams are counted and sliced into bits on the executors; the
@@ -125,20 +127,23 @@ def fit_filters(docs: DataFrame, config: LangIdConfig | None = None, text_col: s
     """
     config = config or LangIdConfig()
     rows = docs.select(F.col(key).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
-    counts = rows.groupBy("lang").count().orderBy("lang").collect()
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    counts = rows.groupBy("lang").agg(F.count_if(letters).alias("count")).orderBy("lang").collect()
     languages = [r["lang"] for r in counts]
     if not languages:
         return BitmaskFilter([], np.zeros((config.slots, 1), np.uint64), np.zeros(0), config.gram, config.hashes)
     # A key's hash below the share of its language: about fit_rows texts, without sorting or moving any text.
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, config.fit_rows / r["count"])))])
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, config.fit_rows / max(1, r["count"]))))])
     unit = F.pmod(F.xxhash64(F.lit(config.seed), "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where((unit < F.element_at(share, F.col("lang"))) & F.col("text").isNotNull()).select("text", "lang")
+    sample = rows.where((unit < F.element_at(share, F.col("lang"))) & letters).select("text", "lang")
     grams = sample.mapInArrow(lambda b: _count(b, config.gram, languages), "gram long, language int, texts long")
     grams = grams.groupBy("gram", "language").agg(F.sum("texts").alias("texts"))
     size = F.array(*[F.lit(float(max(1, min(r["count"], config.fit_rows)))) for r in counts])
-    rate = F.col("texts") / F.element_at(size, F.col("language") + 1)
+    size = F.element_at(size, F.col("language") + 1)
+    rate = F.col("texts") / size
+    least = F.least(F.lit(float(config.min_texts)), config.min_share * size)
     best = grams.groupBy("gram").agg(F.max(rate).alias("best"))
-    chosen = grams.join(best, "gram").where((F.col("texts") >= config.min_texts) & (rate >= config.min_ratio * F.col("best")))
+    chosen = grams.join(best, "gram").where((F.col("texts") >= least) & (rate >= config.min_ratio * F.col("best")))
     words = (len(languages) + 63) // 64
     bits = chosen.select("gram", "language").mapInArrow(lambda b: _slice_bits(b, config, words), "slot long, word int, bits long")
     table = bits.groupBy("slot", "word").agg(F.bit_or("bits").alias("bits")).toArrow()

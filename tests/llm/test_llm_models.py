@@ -340,3 +340,18 @@ def test_all_lines_of_a_key_and_labels_that_follow_are_measured(spark):
     assert novel_texts("-----BEGIN PUBLIC NOTE-----\n\n" + block + "\n-----END PUBLIC NOTE-----") == []
     masked = secrets.redact(spark.createDataFrame([(pem,)], "text string")).first().text
     assert not any(x in masked for x in lines)
+
+
+@pytest.mark.parametrize("labelled", [1, 2])
+def test_a_language_with_one_or_two_labelled_texts_is_predicted(spark, labelled):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(WORDS["en"], k=30)), "en") for i in range(300)]
+    rare = ["gaelach sgoil uisge beatha madainn", "feasgar oidhche mhath coimhead"][:labelled]
+    rows += [(1000 + i, t, "gd") for i, t in enumerate(rare)] + [(2000 + i, t, "gd") for i, t in enumerate([None, "", "!!! 12"] * 20)]
+    docs = docs_of(spark, rows)
+    model = langid.fit_filters(docs)
+    got = {r.doc_id: r for r in langid.predict_language(docs, model).collect()}
+    assert all(got[1000 + i].lang_pred == "gd" and got[1000 + i].support > 0.9 for i in range(labelled))
+    assert all(got[i].lang_pred == "en" for i in range(300))
+    kept = {r.doc_id for r in langid.keep_recognised(docs, model, 0.02).collect()}
+    assert kept == {*range(300), *range(1000, 1000 + labelled)}
