@@ -26,15 +26,28 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results: the one the cluster names in ``spark.checkpoint.dir``, or the context's own.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session without one (a test) gets a temporary folder.
+    A local session without either gets a temporary folder, which becomes the
+    context's. On a cluster that would be a disk of the driver alone, so there
+    it is an error.
     """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="oddsloom-checkpoint-"))
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: intermediate results need a folder that driver and executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="oddsloom-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by a reliable checkpoint in :func:`shared_folder`; runs at once."""
+    folder = shared_folder(df.sparkSession)
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
