@@ -1,19 +1,52 @@
 """Strictly-prior lookups: what was known before a row's time, never at it.
 
 Queries and events are put in one table, queries first at equal times, and one
-window per key set reads everything before a query. That is one shuffle and one
-sort for any number of totals and last values. Keys with few values (a league,
-a map) are first added up by time, so that no task holds all of their rows.
+window by key reads everything before a query: one shuffle of the rows for any
+number of totals and last values. A key that very many rows share, or no key at
+all, is parted into time buckets first: the window is by key and bucket, and
+what earlier buckets hold comes from their totals, one row for each key and
+bucket in a second window. So no task reads all rows of such a key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 from pyspark.sql import Window as W
 
+from oddsloom.session import durable
+
+#: A key of more rows than this is parted into buckets; results are the same either way.
+HOT_ROWS = 100_000
+#: Numbers share a bucket if they are equal but for so many lower values.
+NUMBERS = 4096
+
+
+def bucket_of(ts: Column, kind: Ty.DataType, size: str = "day") -> Column:
+    """A coarser time in the same order: ``size`` for times, the month for dates, a run of :data:`NUMBERS` for numbers."""
+    if isinstance(kind, (Ty.TimestampType, Ty.TimestampNTZType)):
+        return F.date_trunc(size, ts)
+    if isinstance(kind, Ty.DateType):
+        return F.trunc(ts, "month")
+    return F.floor(ts / NUMBERS)
+
+
+def hot_keys(rows: DataFrame, keys: Sequence[str], most: int = HOT_ROWS) -> DataFrame | None:
+    """The keys with more than ``most`` rows, stored, or None if there are none: for ``hot`` below. Counting is a job of its own.
+
+    There are at most as many as ``most`` goes into the number of rows.
+    """
+    found = durable(rows.groupBy(*keys).count().where(F.col("count") > most).select(*keys))
+    return None if found.isEmpty() else found
+
+
+def _column(x: str | Column) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
 
 def prior_state(
     queries: DataFrame,
@@ -23,6 +56,9 @@ def prior_state(
     sums: Mapping[str, str | Column] | None = None,
     lasts: Mapping[str, str | Column] | None = None,
     ties: Sequence[str] = (),
+    bucket: str = "day",
+    base: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """``queries`` with sums (0 without events) and last values (null without) of strictly earlier events of the same keys.
 
@@ -30,62 +66,85 @@ def prior_state(
     query rows stay, repeated ones too; null keys and times match nothing. The
     order of either input does not matter. Result names must not be in
     ``queries``.
+
+    ``hot`` has the first of the keys, or more of them, of those that very many
+    rows share (:func:`hot_keys`); without any key all rows are. Their events
+    are read twice, once for the totals of buckets, and so are the keys and
+    times of ``queries``: if ``queries`` is itself the result of a read, give
+    what that one read for as ``base``, so that plans do not grow with every read.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
-
-    def column(x: str | Column) -> Column:
-        return F.col(x) if isinstance(x, str) else x
-
-    kinds = events.select(*[column(c).alias(n) for n, c in (sums | lasts).items()], *ties).schema
-    q = queries.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col(ts).alias("__ts"),
-        F.lit(0).alias("__is_event"),
-        F.struct(*queries.columns).alias("__q"),
-        *[F.lit(None).cast(kinds[t].dataType).alias(f"__t{i}") for i, t in enumerate(ties)],
-        *[F.lit(None).cast(kinds[n].dataType).alias(f"__{n}") for n in (*sums, *lasts)],
-    )
-    known = F.lit(True)
-    for k in keys:
-        known = known & F.col(k).isNotNull()
-    e = events.where(known & F.col(ts).isNotNull()).select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col(ts).alias("__ts"),
+    values = {**sums, **lasts}
+    k = [f"__k{i}" for i in range(len(keys))]
+    t = [f"__t{i}" for i in range(len(ties))]
+    v = [f"__v_{n}" for n in values]
+    kinds = events.select(*[_column(c).alias(n) for n, c in values.items()], *ties).schema
+    parted = not keys or hot is not None
+
+    def keyed(df: DataFrame) -> DataFrame:
+        """``df`` with ``__bucket``: its time's if its key is hot, else null."""
+        own = bucket_of(F.col(ts), df.schema[ts].dataType, bucket)
+        if not parted:
+            return df
+        if not keys:
+            return df.withColumn("__bucket", own)
+        same = hot.select(*[F.col(c).alias(f"__h_{c}") for c in hot.columns], F.lit(True).alias("__hot"))
+        on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__h_{c}") for c in hot.columns])
+        return df.join(same, on, "left").withColumn("__bucket", F.when(F.col("__hot"), own)).select(*df.columns, "__bucket")
+
+    part = ["__bucket"] if parted else []
+    names = [*[F.col(c).alias(a) for c, a in zip(keys, k, strict=True)], F.col(ts).alias("__ts"), *part]
+    nothing = [F.lit(None).cast(kinds[c].dataType).alias(a) for c, a in zip((*ties, *values), (*t, *v), strict=True)]
+    q = keyed(queries).select(*names, F.lit(0).alias("__is_event"), F.struct(*queries.columns).alias("__q"), *nothing)
+    known = F.col(ts).isNotNull()
+    for c in keys:
+        known = known & F.col(c).isNotNull()
+    e = keyed(events.where(known)).select(
+        *names,
         F.lit(1).alias("__is_event"),
         F.lit(None).cast(q.schema["__q"].dataType).alias("__q"),
-        *[F.col(t).alias(f"__t{i}") for i, t in enumerate(ties)],
-        *[column(c).alias(f"__{n}") for n, c in (sums | lasts).items()],
+        *[F.col(c).alias(a) for c, a in zip(ties, t, strict=True)],
+        *[_column(c).alias(f"__v_{n}") for n, c in values.items()],
     )
-    order = ["__ts", "__is_event", *[f"__t{i}" for i in range(len(ties))]]
-    before = W.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    both = q.unionByName(e)
-    out = both.select(
-        "__is_event",
-        "__q",
-        *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(n) for n in sums],
-        *[F.last(f"__{n}", ignorenulls=True).over(before).alias(n) for n in lasts],
+    inside = W.partitionBy(*k, *part).orderBy("__ts", "__is_event", *t).rowsBetween(W.unboundedPreceding, -1)
+    here = q.unionByName(e).select(
+        "__is_event", "__q", *k, *part,
+        *[F.sum(f"__v_{n}").over(inside).alias(f"__v_{n}") for n in sums], *[F.last(f"__v_{n}", ignorenulls=True).over(inside).alias(f"__v_{n}") for n in lasts],
+    ).where("__is_event = 0")
+    if not parted:
+        return here.select("__q.*", *[F.coalesce(f"__v_{n}", F.lit(0)).alias(n) for n in sums], *[F.col(f"__v_{n}").alias(n) for n in lasts])
+
+    def latest(n: str) -> Column:
+        return F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.struct("__ts", *t)))
+
+    totals = e.where("__bucket is not null").groupBy(*k, "__bucket").agg(*[F.sum(f"__v_{n}").alias(f"__v_{n}") for n in sums], *[latest(n).alias(f"__v_{n}") for n in lasts])
+    # Buckets that hold queries alone are in the second window too, as rows of nothing.
+    asked = (q if base is None else keyed(base).select(*names)).where("__bucket is not null").select(*k, "__bucket").distinct()
+    asked = asked.select("*", F.lit(0).alias("__is_event"), *[F.lit(None).cast(totals.schema[a].dataType).alias(a) for a in v])
+    buckets = asked.unionByName(totals.withColumn("__is_event", F.lit(1)))
+    before = W.partitionBy(*k).orderBy("__bucket", "__is_event").rowsBetween(W.unboundedPreceding, -1)
+    earlier = buckets.select(
+        "__is_event", *[F.col(a).alias(f"_{a}") for a in (*k, "__bucket")],
+        *[F.sum(f"__v_{n}").over(before).alias(f"__old_{n}") for n in sums], *[F.last(f"__v_{n}", ignorenulls=True).over(before).alias(f"__old_{n}") for n in lasts],
+    ).where("__is_event = 0").drop("__is_event")
+    same = F.col("__bucket") == F.col("___bucket")
+    for a in k:
+        same = same & (F.col(a) == F.col(f"_{a}"))
+    out = here.join(earlier, same, "left")
+    return out.select(
+        "__q.*",
+        *[(F.coalesce(f"__v_{n}", F.lit(0)) + F.coalesce(f"__old_{n}", F.lit(0))).alias(n) for n in sums],
+        *[F.coalesce(f"__v_{n}", f"__old_{n}").alias(n) for n in lasts],
     )
-    return out.where("__is_event = 0").select("__q.*", *sums, *lasts)
-
 
-def prior_totals(queries: DataFrame, events: DataFrame, keys: Sequence[str], ts: str = "ts", sums: Mapping[str, str | Column] | None = None) -> DataFrame:
-    """As :func:`prior_state`, for sums under few keys, or none: one row for each key and time goes through the window.
 
-    Queries meet their totals by an equal join on key and time.
-    """
+def prior_totals(
+    queries: DataFrame, events: DataFrame, keys: Sequence[str], ts: str = "ts", sums: Mapping[str, str | Column] | None = None, base: DataFrame | None = None, hot: DataFrame | None = None
+) -> DataFrame:
+    """As :func:`prior_state`, for sums under few keys, or none: events are added up by key and time first."""
     sums = dict(sums or {})
-    keys = list(keys)
-    at = events.where(F.col(ts).isNotNull()).groupBy(*keys, F.col(ts).alias("__ts")).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    asked = queries.select(*keys, F.col(ts).alias("__ts")).distinct()
-    asked = asked.select(*keys, "__ts", *[F.lit(None).cast(at.schema[n].dataType).alias(n) for n in sums])
-    times = at.unionByName(asked).groupBy(*keys, "__ts").agg(*[F.sum(n).alias(n) for n in sums])
-    before = W.partitionBy(*keys).orderBy("__ts").rowsBetween(W.unboundedPreceding, -1)
-    known = times.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__ts", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums])
-    same = queries[ts] == known["__ts"]
-    for i, k in enumerate(keys):
-        same = same & queries[k].eqNullSafe(known[f"__k{i}"])
-    out = queries.join(known, same, "left")
-    return out.select(*[queries[c] for c in queries.columns], *[F.coalesce(known[n], F.lit(0)).alias(n) for n in sums])
+    at = events.where(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(*[F.sum(c).alias(f"__of_{n}") for n, c in sums.items()])
+    return prior_state(queries, at, keys, ts, sums={n: f"__of_{n}" for n in sums}, base=base, hot=hot)
 
 
 def matches_before(matches: DataFrame, team_id: str, cutoff: Column, ts: str = "ts") -> DataFrame:

@@ -34,7 +34,7 @@ def select_strength(ledger: DataFrame, wins: str, games: Column, grid: Sequence[
     events = rows.select("team_id", "map_name", "ts", F.col(wins).alias("w"), F.col("__n").alias("g"))
     asked = rows.select("team_id", "map_name", "ts", F.col(wins).alias("won_here"), F.col("__n").alias("here"))
     read = prior_state(asked, events, ["team_id"], sums={"team_w": "w", "team_g": "g"})
-    read = prior_state(read, events, ["team_id", "map_name"], sums={"map_w": "w", "map_g": "g"})
+    read = prior_state(read, events, ["team_id", "map_name"], sums={"map_w": "w", "map_g": "g"}, base=asked)
     team = shrink.rate(F.col("team_w"), F.col("team_g"), default) if team_k is None else shrink.beta_mean(F.col("team_w"), F.col("team_g"), F.lit(default), team_k)
     read = read.select("won_here", "here", "map_w", "map_g", team.alias("prior"))
     total = F.sum("here")
@@ -66,8 +66,8 @@ def choice_features(candidates: DataFrame, ledger: DataFrame, k: float = 10.0) -
     out = candidates
     for side, key in (("own", "team_id"), ("other", "opponent_id")):
         events = ledger.select(F.col("team_id").alias(key), "map_name", "ts", "won")
-        out = prior_state(out, events, [key], sums={f"__{side}_{n}": x for n, x in totals.items()})
-        out = prior_state(out, events, [key, "map_name"], sums={f"__{side}_m{n}": x for n, x in totals.items()})
+        out = prior_state(out, events, [key], sums={f"__{side}_{n}": x for n, x in totals.items()}, base=candidates)
+        out = prior_state(out, events, [key, "map_name"], sums={f"__{side}_m{n}": x for n, x in totals.items()}, base=candidates)
     overall = {s: shrink.rate(F.col(f"__{s}_w"), F.col(f"__{s}_g"), 0.5) for s in ("own", "other")}
     rate = {s: shrink.beta_mean(F.col(f"__{s}_mw"), F.col(f"__{s}_mg"), overall[s], k) for s in ("own", "other")}
     return out.select(*candidates.columns, rate["own"].alias("own_rate"), rate["other"].alias("other_rate"), (rate["own"] - overall["own"]).alias("speciality"))

@@ -10,16 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from oddsloom.functions import names, shrink
-from oddsloom.functions.asof import prior_state, prior_totals
+from oddsloom.functions.asof import hot_keys, prior_state, prior_totals
 from oddsloom.functions.guards import positive_int, within
 from oddsloom.operators.elo import elo_ledger
 from oddsloom.operators.seats import finished_maps, is_overtime, seats
+from oddsloom.session import durable
 
 FEATURES = (
     "map_win_rate_diff", "elo_differential", "ot_rate_diff", "map_round_margin_variance", "acs_form_diff", "rating_form_diff", "h2h_win_rate_centered",
@@ -61,9 +63,37 @@ class Tables:
     def finished(self) -> DataFrame:
         return finished_maps(self.matches, self.maps)
 
+    @cached_property
+    def _ledger(self) -> DataFrame:
+        return durable(seats(self.finished()))
+
     def seat_ledger(self) -> DataFrame:
-        """One row for each team and finished map; history in any order."""
-        return seats(self.finished())
+        """One row for each team and finished map; history in any order. It is made once and stored, as reads go over it twice."""
+        return self._ledger
+
+    @cached_property
+    def hot_teams(self) -> DataFrame | None:
+        """Teams of very many maps, if there are any; reads part their history by time."""
+        return hot_keys(self.seat_ledger(), ["team_id"])
+
+    @cached_property
+    def hot_maps(self) -> DataFrame | None:
+        """Map names of very many maps."""
+        return hot_keys(self.seat_ledger(), ["map_name"])
+
+    @cached_property
+    def _rosters(self) -> DataFrame:
+        return durable(_with_rosters(self))
+
+    @cached_property
+    def _ratings(self) -> dict[tuple[float, float], DataFrame]:
+        return {}
+
+    def rated(self, k: float, start: float) -> DataFrame:
+        """Ratings after every finished map, by league where matches have one; made once and stored."""
+        if (k, start) not in self._ratings:
+            self._ratings[k, start] = durable(elo_ledger(self.finished(), k, start, "league" if "league" in self.matches.columns else None))
+        return self._ratings[k, start]
 
 
 def sides(rows: DataFrame) -> DataFrame:
@@ -92,24 +122,26 @@ def map_win_rate_diff(rows: DataFrame, t: Tables, c: FeatureConfig = FeatureConf
     """Win rate on the map, shrunk to the team's overall rate (0.5 without games)."""
     ledger = t.seat_ledger()
     totals = {"wins": "won", "games": F.lit(1)}
-    read = prior_state(sides(rows), ledger, ["team_id"], sums={f"team_{n}": x for n, x in totals.items()})
-    read = prior_state(read, ledger, ["team_id", "map_name"], sums={f"map_{n}": x for n, x in totals.items()})
+    q = sides(rows)
+    read = prior_state(q, ledger, ["team_id"], sums={f"team_{n}": x for n, x in totals.items()}, hot=t.hot_teams)
+    read = prior_state(read, ledger, ["team_id", "map_name"], sums={f"map_{n}": x for n, x in totals.items()}, base=q, hot=t.hot_teams)
     prior = shrink.rate(F.col("team_wins"), F.col("team_games"), 0.5)
     return side_difference(read, {"map_win_rate_diff": shrink.beta_mean(F.col("map_wins"), F.col("map_games"), prior, c.win_k)})
 
 
 def elo_differential(rows: DataFrame, t: Tables, c: FeatureConfig = FeatureConfig()) -> DataFrame:
     """Rating of side 1 less that of side 2; teams without maps have the start rating."""
-    ledger = elo_ledger(t.finished(), c.elo_k, c.elo_start)
-    read = prior_state(sides(rows), ledger, ["team_id"], lasts={"rating": "rating"}, ties=TIES)
+    q = sides(rows)
+    read = prior_state(q, t.rated(c.elo_k, c.elo_start), ["team_id"], lasts={"rating": "rating"}, ties=TIES, hot=t.hot_teams)
     return side_difference(read, {"elo_differential": F.coalesce("rating", F.lit(c.elo_start))})
 
 
 def ot_rate_diff(rows: DataFrame, t: Tables, c: FeatureConfig = FeatureConfig()) -> DataFrame:
     """Overtime rate shrunk to the league's (0 without maps)."""
     league = t.finished().withColumn("ot", is_overtime(F.col("team1_score"), F.col("team2_score")).cast("int"))
-    read = prior_totals(sides(rows), league, [], sums={"league_ot": F.col("ot"), "league_n": F.lit(1)})
-    read = prior_state(read, t.seat_ledger(), ["team_id"], sums={"team_ot": "ot", "team_n": F.lit(1)})
+    q = sides(rows)
+    read = prior_totals(q, league, [], sums={"league_ot": F.col("ot"), "league_n": F.lit(1)})
+    read = prior_state(read, t.seat_ledger(), ["team_id"], sums={"team_ot": "ot", "team_n": F.lit(1)}, base=q, hot=t.hot_teams)
     prior = shrink.rate(F.col("league_ot"), F.col("league_n"), 0.0)
     return side_difference(read, {"ot_rate_diff": shrink.beta_mean(F.col("team_ot"), F.col("team_n"), prior, c.ot_k)})
 
@@ -118,7 +150,7 @@ def map_round_margin_variance(rows: DataFrame, t: Tables, c: FeatureConfig = Fea
     """Sample variance of absolute margins on the map, league-wide; 0 for one map or none."""
     margin = F.abs(F.col("team1_score") - F.col("team2_score")).cast("double")
     sums = {"n": F.lit(1), "s": margin, "ss": margin * margin}
-    read = prior_totals(rows.select(*ROW, "map_name", "ts"), t.finished(), ["map_name"], sums=sums)
+    read = prior_totals(rows.select(*ROW, "map_name", "ts"), t.finished(), ["map_name"], sums=sums, hot=t.hot_maps)
     value = F.coalesce(shrink.sample_variance(F.col("n"), F.col("s"), F.col("ss")), F.lit(0.0))
     return read.select(*ROW, value.alias("map_round_margin_variance"))
 
@@ -134,8 +166,12 @@ def recency_mean(values: Column, decay: float) -> Column:
 def roster_ledger(t: Tables) -> DataFrame:
     """One row for each team and finished map with player rows: means, players and first kills and deaths.
 
-    Player rows are joined by team name, as they carry no id.
+    Player rows are joined by team name, as they carry no id. Made once and stored.
     """
+    return t._rosters
+
+
+def _with_rosters(t: Tables) -> DataFrame:
     own = t.players.groupBy("match_id", "map_index", "team_name").agg(
         F.avg("acs").alias("acs"), F.avg("rating").alias("player_rating"), F.sort_array(F.collect_set("player_name")).alias("players"),
         F.sum("first_kills").alias("fk"), F.sum("first_deaths").alias("fd"),
@@ -147,11 +183,11 @@ def form_diffs(rows: DataFrame, t: Tables, c: FeatureConfig = FeatureConfig()) -
     """Recency-weighted means over the last maps with a value; either side missing gives 0."""
     positive_int(c.form_maps, "form_maps"), within(c.form_decay, 0, 1, "form_decay")
     ledger = roster_ledger(t)
-    read = sides(rows)
+    q = read = sides(rows)
     for stat, source in (("acs_form_diff", "acs"), ("rating_form_diff", "player_rating")):
         last = W.partitionBy("team_id").orderBy("ts", *TIES).rowsBetween(1 - c.form_maps, 0)
-        events = ledger.where(F.col(source).isNotNull()).select("team_id", "ts", *TIES, F.collect_list(source).over(last).alias("values"))
-        read = prior_state(read, events, ["team_id"], lasts={f"__{stat}": "values"}, ties=TIES)
+        events = durable(ledger.where(F.col(source).isNotNull()).select("team_id", "ts", *TIES, F.collect_list(source).over(last).alias("values")))
+        read = prior_state(read, events, ["team_id"], lasts={f"__{stat}": "values"}, ties=TIES, base=q, hot=t.hot_teams)
     return side_difference(
         read, {s: recency_mean(F.col(f"__{s}"), c.form_decay) for s in ("acs_form_diff", "rating_form_diff")}, {"acs_form_diff": 0.0, "rating_form_diff": 0.0}
     )
@@ -160,7 +196,7 @@ def form_diffs(rows: DataFrame, t: Tables, c: FeatureConfig = FeatureConfig()) -
 def h2h_win_rate_centered(rows: DataFrame, t: Tables, c: FeatureConfig = FeatureConfig()) -> DataFrame:
     """Win rate of side 1 against side 2, shrunk to one half, less one half."""
     q = rows.select(*ROW, "ts", F.col("team1_id").alias("team_id"), F.col("team2_id").alias("opponent_id"))
-    read = prior_state(q, t.seat_ledger(), ["team_id", "opponent_id"], sums={"wins": "won", "games": F.lit(1)})
+    read = prior_state(q, t.seat_ledger(), ["team_id", "opponent_id"], sums={"wins": "won", "games": F.lit(1)}, hot=t.hot_teams)
     return read.select(*ROW, (shrink.beta_mean(F.col("wins"), F.col("games"), F.lit(0.5), c.h2h_k) - 0.5).alias("h2h_win_rate_centered"))
 
 
@@ -173,7 +209,8 @@ def event_stage(rows: DataFrame, t: Tables, c: FeatureConfig = FeatureConfig())
 def days_since_diff(rows: DataFrame, t: Tables, c: FeatureConfig = FeatureConfig()) -> DataFrame:
     """Whole days since each side's last completed match, 0 without one."""
     done = t.matches.where("status = 'completed'").select("ts", "match_id", F.explode(F.array("team1_id", "team2_id")).alias("team_id"))
-    read = prior_state(sides(rows), done, ["team_id"], lasts={"last_ts": F.col("ts")}, ties=["match_id"])
+    q = sides(rows)
+    read = prior_state(q, done, ["team_id"], lasts={"last_ts": F.col("ts")}, ties=["match_id"], hot=t.hot_teams)
     days = F.coalesce(names.floor_days(F.col("ts"), F.col("last_ts")), F.lit(0)).cast("double")
     return side_difference(read, {"days_since_diff": days})
 
@@ -187,7 +224,8 @@ def roster_decay_diff(rows: DataFrame, t: Tables, c: FeatureConfig = FeatureConf
     """0.5^(days / half-life) since the last map if its roster was new, else 1."""
     by_time = W.partitionBy("team_id").orderBy("ts", *TIES)
     ledger = roster_ledger(t).where(F.size("players") > 0).select("team_id", "ts", *TIES, jaccard(F.col("players"), F.lag("players").over(by_time)).alias("same"))
-    read = prior_state(sides(rows), ledger, ["team_id"], lasts={"roster": F.struct("ts", "same")}, ties=TIES)
+    q = sides(rows)
+    read = prior_state(q, ledger, ["team_id"], lasts={"roster": F.struct("ts", "same")}, ties=TIES, hot=t.hot_teams)
     days = names.floor_days(F.col("ts"), F.col("roster.ts")).cast("double")
     decay = F.when(F.col("roster.same") < c.roster_threshold, F.pow(F.lit(0.5), days / c.roster_half_life)).otherwise(1.0)
     return side_difference(read, {"roster_decay_diff": decay})
@@ -197,9 +235,10 @@ def attack_side_win_rate_diff(rows: DataFrame, t: Tables, c: FeatureConfig = Fea
     """Attack rounds: league rate (0.5 without), shrunk team rate, shrunk rate on the map; maps without detail do not count."""
     ledger = t.seat_ledger().where("atk_played is not null")
     sums = {"won": F.col("atk_won"), "n": F.col("atk_played")}
-    read = prior_totals(sides(rows), ledger, [], sums={f"league_{n}": x for n, x in sums.items()})
-    read = prior_state(read, ledger, ["team_id"], sums={f"team_{n}": x for n, x in sums.items()})
-    read = prior_state(read, ledger, ["team_id", "map_name"], sums={f"map_{n}": x for n, x in sums.items()})
+    q = sides(rows)
+    read = prior_totals(q, ledger, [], sums={f"league_{n}": x for n, x in sums.items()})
+    read = prior_state(read, ledger, ["team_id"], sums={f"team_{n}": x for n, x in sums.items()}, base=q, hot=t.hot_teams)
+    read = prior_state(read, ledger, ["team_id", "map_name"], sums={f"map_{n}": x for n, x in sums.items()}, base=q, hot=t.hot_teams)
     league = shrink.rate(F.col("league_won"), F.col("league_n"), 0.5)
     team = shrink.beta_mean(F.col("team_won"), F.col("team_n"), league, c.side_team_k)
     return side_difference(read, {"attack_side_win_rate_diff": shrink.beta_mean(F.col("map_won"), F.col("map_n"), team, c.side_map_k)})
@@ -209,8 +248,9 @@ def signed_margin_diff(rows: DataFrame, t: Tables, c: FeatureConfig = FeatureCon
     """Mean round margin, shrunk to 0 by team and to the team by map; maps without detail do not count."""
     ledger = t.seat_ledger().where("signed_margin is not null")
     sums = {"s": F.col("signed_margin"), "n": F.lit(1)}
-    read = prior_state(sides(rows), ledger, ["team_id"], sums={f"team_{n}": x for n, x in sums.items()})
-    read = prior_state(read, ledger, ["team_id", "map_name"], sums={f"map_{n}": x for n, x in sums.items()})
+    q = sides(rows)
+    read = prior_state(q, ledger, ["team_id"], sums={f"team_{n}": x for n, x in sums.items()}, hot=t.hot_teams)
+    read = prior_state(read, ledger, ["team_id", "map_name"], sums={f"map_{n}": x for n, x in sums.items()}, base=q, hot=t.hot_teams)
     team = shrink.normal_mean(F.col("team_s"), F.col("team_n"), F.lit(0.0), c.margin_team_k)
     return side_difference(read, {"signed_margin_diff": shrink.normal_mean(F.col("map_s"), F.col("map_n"), team, c.margin_map_k)})
 
@@ -219,8 +259,9 @@ def first_blood_diff(rows: DataFrame, t: Tables, c: FeatureConfig = FeatureConfi
     """First kills of first kills and deaths, shrunk to 0.5 by team and to the team by map."""
     ledger = roster_ledger(t).where("fk is not null and fd is not null")
     sums = {"won": F.col("fk"), "n": F.col("fk") + F.col("fd")}
-    read = prior_state(sides(rows), ledger, ["team_id"], sums={f"team_{n}": x for n, x in sums.items()})
-    read = prior_state(read, ledger, ["team_id", "map_name"], sums={f"map_{n}": x for n, x in sums.items()})
+    q = sides(rows)
+    read = prior_state(q, ledger, ["team_id"], sums={f"team_{n}": x for n, x in sums.items()}, hot=t.hot_teams)
+    read = prior_state(read, ledger, ["team_id", "map_name"], sums={f"map_{n}": x for n, x in sums.items()}, base=q, hot=t.hot_teams)
     team = shrink.beta_mean(F.col("team_won"), F.col("team_n"), F.lit(0.5), c.blood_team_k)
     return side_difference(read, {"first_blood_diff": shrink.beta_mean(F.col("map_won"), F.col("map_n"), team, c.blood_map_k)})
 
@@ -240,7 +281,7 @@ def feature_matrix(rows: DataFrame, t: Tables, c: FeatureConfig = FeatureConfig(
     ledger = t.seat_ledger()
     form = W.partitionBy("team_id").orderBy("ts", *TIES)
     last = form.rowsBetween(1 - c.form_maps, 0)
-    rated = elo_ledger(t.finished(), c.elo_k, c.elo_start)
+    rated = t.rated(c.elo_k, c.elo_start)
     players = roster_ledger(t).select(
         "team_id", "map_name", "ts", *TIES, "fk", "fd",
         F.when(F.col("acs").isNotNull(), F.collect_list("acs").over(last)).alias("acs_values"),
@@ -254,16 +295,18 @@ def feature_matrix(rows: DataFrame, t: Tables, c: FeatureConfig = FeatureConfig(
         .unionByName(rated, allowMissingColumns=True)
         .unionByName(played, allowMissingColumns=True)
     )
+    events = durable(events)
     sums = {"wins": "won", "games": "one", "ots": "ot", "a_won": "atk_won", "a_n": "atk_played", "m_s": "signed_margin", "m_n": "detail_n", "b_won": "fk", "b_n": F.col("fk") + F.col("fd")}
     lasts = {x: x for x in ("rating", "acs_values", "rating_values", "roster", "last_ts")}
-    read = prior_state(sides(rows), events, ["team_id"], sums={f"team_{n}": x for n, x in sums.items()}, lasts=lasts, ties=TIES)
+    q = sides(rows)
+    read = prior_state(q, events, ["team_id"], sums={f"team_{n}": x for n, x in sums.items()}, lasts=lasts, ties=TIES, hot=t.hot_teams)
     by_map = events.where("map_name is not null")
-    read = prior_state(read, by_map, ["team_id", "map_name"], sums={f"map_{n}": x for n, x in sums.items() if n != "ots"})
+    read = prior_state(read, by_map, ["team_id", "map_name"], sums={f"map_{n}": x for n, x in sums.items() if n != "ots"}, base=q, hot=t.hot_teams)
     finished = t.finished()
     league = {"league_ot": is_overtime(F.col("team1_score"), F.col("team2_score")).cast("int"), "league_n": F.lit(1)}
     rounds = {"league_won": F.col("atk_won"), "league_rounds": F.col("atk_played")}
-    read = prior_totals(read, finished, [], sums=league)
-    read = prior_totals(read, ledger.where("atk_played is not null"), [], sums=rounds)
+    read = prior_totals(read, finished, [], sums=league, base=q)
+    read = prior_totals(read, ledger.where("atk_played is not null"), [], sums=rounds, base=q)
 
     def col(n: str) -> Column:
         return F.col(n)

@@ -2,14 +2,14 @@
 
 Each evaluation of a loss and its gradient is one Spark job that adds up
 partial sums by task, so a design of any length can be fitted; the driver holds
-the coefficients alone and does the line search. Designs are standardised by
+the coefficients and their curvature alone and does the line search. Designs are standardised by
 population deviations, coefficients are penalised, cutpoints and intercepts are not.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsloom.functions.guards import IntegrityError, positive_int
+from oddsloom.functions import draws
+from oddsloom.functions.guards import IntegrityError, positive_int, within
 from oddsloom.session import durable
 
 CLIP = 1e-12
@@ -26,12 +27,11 @@ ARMIJO, HALVINGS = 1e-4, 50
 
 @dataclass(frozen=True)
 class FitConfig:
-    """Penalty, most iterations and the two tolerances of the descent."""
+    """Penalty, most iterations, and the gradient's length at which a fit has converged."""
 
     l2: float = 1.0
     max_iter: int = 2000
     grad_tol: float = 1e-6
-    loss_tol: float = 1e-10
 
 
 @dataclass
@@ -47,6 +47,8 @@ class LogitModel:
     n: int
     loss: float
     iterations: int
+    converged: bool = True
+    l2: float = 1.0
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True, indent=2)
@@ -64,28 +66,70 @@ class LogitModel:
         return sorted(((f, float(c)) for f, c in pairs), key=lambda x: -abs(x[1]))
 
 
-def descend(loss_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, c: FitConfig) -> tuple[np.ndarray, float, int]:
-    """Full-batch descent with an Armijo line search from step 1; returns the best point."""
+Search = Generator[np.ndarray, tuple[float, np.ndarray], tuple[np.ndarray, float, int, bool]]
+
+
+def search(start: np.ndarray, c: FitConfig) -> Search:
+    """Asks for losses and gradients of points, and returns (best point, its loss, iterations, converged).
+
+    Quasi-Newton steps with an Armijo line search: an evaluation is a pass over
+    all rows, so curvature is gathered from the gradients (the inverse Hessian
+    as a small matrix), which takes far fewer of them than steps along the
+    gradient. A point has converged if its gradient is short, or nearly so where
+    no step lowers the loss any more, in double precision.
+    """
     x = start.astype(float)
-    f, g = loss_and_gradient(x)
+    f, g = yield x
+    inverse, fresh = np.eye(len(x)), True
     for i in range(positive_int(c.max_iter, "max_iter")):
-        norm2 = float(g @ g)
-        if np.sqrt(norm2) < c.grad_tol:
-            return x, f, i
+        if np.sqrt(float(g @ g)) < c.grad_tol:
+            return x, f, i, True
+        move = -inverse @ g
+        slope = float(g @ move)
+        if slope >= 0:
+            inverse, fresh = np.eye(len(x)), True
+            move, slope = -g, -float(g @ g)
         step = 1.0
         for _ in range(HALVINGS):
-            new = x - step * g
-            f_new, g_new = loss_and_gradient(new)
-            if f_new <= f - ARMIJO * step * norm2:
+            new = x + step * move
+            f_new, g_new = yield new
+            if f_new <= f + ARMIJO * step * slope:
                 break
             step /= 2
         else:
-            return x, f, i
-        done = f - f_new < c.loss_tol
+            if fresh:
+                return x, f, i, bool(np.sqrt(float(g @ g)) < np.sqrt(c.grad_tol))
+            inverse, fresh = np.eye(len(x)), True
+            continue
+        s, y = new - x, g_new - g
+        curvature = float(s @ y)
+        if curvature > 1e-12 * float(y @ y):
+            if fresh:
+                inverse = np.eye(len(x)) * (curvature / float(y @ y))
+            r = np.eye(len(x)) - np.outer(s, y) / curvature
+            inverse, fresh = r @ inverse @ r.T + np.outer(s, s) / curvature, False
         x, f, g = new, f_new, g_new
-        if done:
-            return x, f, i + 1
-    return x, f, c.max_iter
+    return x, f, c.max_iter, bool(np.sqrt(float(g @ g)) < c.grad_tol)
+
+
+def descend_together(evaluate: Callable[[dict[int, np.ndarray]], dict[int, tuple[float, np.ndarray]]], starts: dict[int, np.ndarray], c: FitConfig) -> dict[int, tuple[np.ndarray, float, int, bool]]:
+    """The results of a search from each start; all that still run are evaluated in the same pass."""
+    running = {k: search(x, c) for k, x in starts.items()}
+    asked, done = {k: next(s) for k, s in running.items()}, {}
+    while asked:
+        answers, now = evaluate(asked), {}
+        for k, answer in answers.items():
+            try:
+                now[k] = running[k].send(answer)
+            except StopIteration as end:
+                done[k] = end.value
+        asked = now
+    return done
+
+
+def descend(loss_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, c: FitConfig) -> tuple[np.ndarray, float, int, bool]:
+    """One search."""
+    return descend_together(lambda points: {k: loss_and_gradient(x) for k, x in points.items()}, {0: start}, c)[0]
 
 
 def standardizer(rows: DataFrame, features: list[str]) -> tuple[list[float], list[float]]:
@@ -98,7 +142,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * x))
 
 
-def _part_ordinal(x: np.ndarray, y: np.ndarray, p: np.ndarray) -> tuple[float, np.ndarray]:
+def _part_ordinal(x: np.ndarray, y: np.ndarray, p: np.ndarray, times: np.ndarray) -> tuple[float, np.ndarray]:
     d = x.shape[1]
     a = p[d:]
     soft = np.log1p(np.exp(-np.abs(a[1:]))) + np.maximum(a[1:], 0)
@@ -107,31 +151,32 @@ def _part_ordinal(x: np.ndarray, y: np.ndarray, p: np.ndarray) -> tuple[float, n
     edge = np.concatenate([np.zeros((len(x), 1)), c, np.ones((len(x), 1))], axis=1)
     cell = np.maximum(edge[np.arange(len(x)), y + 1] - edge[np.arange(len(x)), y], CLIP)
     slope = edge * (1 - edge)
-    up, down = slope[np.arange(len(x)), y + 1] / cell, slope[np.arange(len(x)), y] / cell
+    up, down = times * slope[np.arange(len(x)), y + 1] / cell, times * slope[np.arange(len(x)), y] / cell
     by_cut = np.zeros(len(cut) + 2)
     np.add.at(by_cut, y + 1, -up)
     np.add.at(by_cut, y, down)
     g_cut = by_cut[1:-1]
     tail = np.cumsum(g_cut[::-1])[::-1]
-    return -np.log(cell).sum(), np.concatenate([x.T @ (down - up), [tail[0]], tail[1:] * _sigmoid(a[1:])])
+    return -times @ np.log(cell), np.concatenate([x.T @ (down - up), [tail[0]], tail[1:] * _sigmoid(a[1:])])
 
 
-def _part_multinomial(x: np.ndarray, y: np.ndarray, p: np.ndarray) -> tuple[float, np.ndarray]:
+def _part_multinomial(x: np.ndarray, y: np.ndarray, p: np.ndarray, times: np.ndarray) -> tuple[float, np.ndarray]:
     k = len(p) // (x.shape[1] + 1)
     w, b = p[: k * x.shape[1]].reshape(k, -1), p[k * x.shape[1] :]
     eta = np.concatenate([np.zeros((len(x), 1)), x @ w.T + b], axis=1)
     eta -= eta.max(axis=1, keepdims=True)
     q = np.exp(eta)
     q /= q.sum(axis=1, keepdims=True)
-    loss = -np.log(np.maximum(q[np.arange(len(x)), y], CLIP)).sum()
+    loss = -times @ np.log(np.maximum(q[np.arange(len(x)), y], CLIP))
     q[np.arange(len(x)), y] -= 1
+    q *= times[:, None]
     return loss, np.concatenate([(q[:, 1:].T @ x).ravel(), q[:, 1:].sum(axis=0)])
 
 
-def _part_binary(x: np.ndarray, y: np.ndarray, p: np.ndarray) -> tuple[float, np.ndarray]:
+def _part_binary(x: np.ndarray, y: np.ndarray, p: np.ndarray, times: np.ndarray) -> tuple[float, np.ndarray]:
     z = x @ p[:-1] + p[-1]
-    loss = (np.maximum(z, 0) - z * y + np.log1p(np.exp(-np.abs(z)))).sum()
-    e = _sigmoid(z) - y
+    loss = times @ (np.maximum(z, 0) - z * y + np.log1p(np.exp(-np.abs(z))))
+    e = times * (_sigmoid(z) - y)
     return loss, np.append(x.T @ e, e.sum())
 
 
@@ -143,58 +188,150 @@ def _added(parts: DataFrame) -> np.ndarray:
     return np.sum([r["sums"] for r in parts.collect()], axis=0)
 
 
+def _pass_over(design: DataFrame, part: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], width: int, d: int) -> np.ndarray:
+    """The sum of ``part(x, y, key)`` over slices of a design (x, y, k): one vector leaves a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                piece = batch.slice(at, 4096)
+                total += part(piece.column("x").flatten().to_numpy().reshape(-1, d), piece.column("y").to_numpy(), piece.column("k").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["sums"])
+
+    return _added(design.mapInArrow(run, "sums array<double>"))
+
+
 def fit(rows: DataFrame, features: list[str], label: str, kind: str, config: FitConfig = FitConfig()) -> LogitModel:
-    """Fit on ``rows`` with whole-number labels from 0; null features or labels fail."""
+    """Fit on ``rows`` with whole-number labels from 0; null features or labels fail, as does a single class.
+
+    The check, the moments and each evaluation of the fit are passes over all rows.
+    """
+    return _fit_all(rows, features, label, kind, config, None)[0]
+
+
+def fit_replicates(rows: DataFrame, features: list[str], label: str, kind: str, replicates: int, seed: int, key: str = "match_id", config: FitConfig = FitConfig()) -> list[LogitModel]:
+    """One model for each bootstrap replicate, all fitted in the same passes.
+
+    A replicate draws each match a Poisson number of times, from key, replicate
+    and seed; all rows of a match count as often. That is a fit over the rows
+    repeated so often, with its own means and deviations.
+    """
+    return _fit_all(rows, features, label, kind, config, (positive_int(replicates, "replicates"), seed, key))
+
+
+def _fit_all(rows: DataFrame, features: list[str], label: str, kind: str, config: FitConfig, resample: tuple[int, int, str] | None) -> list[LogitModel]:
     bad = F.lit(False)
     for c in (*features, label):
         bad = bad | F.col(c).isNull()
     if not rows.where(bad).isEmpty():
         raise IntegrityError("the design has nulls")
     mean, std = standardizer(rows, features)
+    n_replicates, seed, key = resample or (1, 0, "")
+    number = draws.key_number(F.col(key), rows.schema[key].dataType.simpleString()) if resample else F.lit(0).cast("bigint")
     x = F.array(*[((F.col(f) - m) / s).cast("double") for f, m, s in zip(features, mean, std, strict=True)])
-    design = durable(rows.select(x.alias("x"), F.col(label).cast("int").alias("y")))
-    counts = {r["y"]: r["count"] for r in design.groupBy("y").count().collect()}
-    n, classes = sum(counts.values()), max(counts) + 1
-    if len(counts) < 2:
-        raise IntegrityError("the labels hold fewer than two classes")
+    design = durable(rows.select(x.alias("x"), F.col(label).cast("int").alias("y"), number.alias("k")))
+    classes = (design.agg(F.max("y")).first()[0] or 0) + 1
     d = len(features)
+
+    def times_of(k: np.ndarray) -> np.ndarray:
+        return draws.poisson_times(draws.units(k, n_replicates, seed)).astype(float) if resample else np.ones((len(k), 1))
+
+    def moments(xs: np.ndarray, y: np.ndarray, k: np.ndarray) -> np.ndarray:
+        t = times_of(k)
+        return np.concatenate([t.T @ np.eye(classes)[y], t.T @ xs, t.T @ xs**2], axis=1).reshape(-1)
+
+    sums = _pass_over(design, moments, n_replicates * (classes + 2 * d), d).reshape(n_replicates, -1)
+    counts, first, second = np.split(sums, [classes, classes + d], axis=1)
+    if ((counts > 0).sum(axis=1) < 2).any():
+        raise IntegrityError("the labels hold fewer than two classes")
+    n = counts.sum(axis=1)
+    # Moments of the standardised design: 0 and 1 but for resampling and for features that never vary.
+    shift = first / n[:, None] if resample else np.zeros((1, d))
+    scale = np.sqrt(np.maximum(second / n[:, None] - shift**2, 0)) if resample else np.ones((1, d))
+    scale[scale < 1e-12] = 1.0
+    starts = {r: _start(kind, counts[r], n[r], d) for r in range(n_replicates)}
+    penalised = len(starts[0]) - (classes - 1) if kind != "binary" else d
+    part, size = _PARTS[kind], len(starts[0])
+
+    def evaluate(points: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray]]:
+        def add(xs: np.ndarray, y: np.ndarray, k: np.ndarray) -> np.ndarray:
+            t, out = times_of(k), []
+            for r, p in points.items():
+                loss, g = part((xs - shift[r]) / scale[r], y, p, t[:, r])
+                out.append(np.append(g, loss))
+            return np.concatenate(out)
+
+        sums = _pass_over(design, add, len(points) * (size + 1), d).reshape(len(points), -1)
+        answers = {}
+        for (r, p), total in zip(points.items(), sums, strict=True):
+            g = total[:-1] / n[r]
+            g[:penalised] += config.l2 * p[:penalised]
+            answers[r] = total[-1] / n[r] + config.l2 / 2 * float(p[:penalised] @ p[:penalised]), g
+        return answers
+
+    found = descend_together(evaluate, starts, config)
+    models = []
+    for r in range(n_replicates):
+        best, loss, iterations, converged = found[r]
+        if kind == "ordinal":
+            a = best[d:]
+            coef, cuts = best[:d].tolist(), (a[0] + np.concatenate([[0.0], np.cumsum(np.logaddexp(0, a[1:]))])).tolist()
+        elif kind == "multinomial":
+            coef, cuts = best[:penalised].reshape(classes - 1, d).tolist(), best[penalised:].tolist()
+        else:
+            coef, cuts = best[:d].tolist(), [float(best[d])]
+        own_mean = [m + s * v for m, s, v in zip(mean, std, shift[r].tolist(), strict=True)]
+        own_std = [s * v for s, v in zip(std, scale[r].tolist(), strict=True)]
+        models.append(LogitModel(kind, features, own_mean, own_std, coef, cuts, int(n[r]), float(loss), iterations, converged, config.l2))
+    return models
+
+
+def _start(kind: str, counts: np.ndarray, n: float, d: int) -> np.ndarray:
+    """Coefficients of 0, and the cutpoints or intercepts that give the classes' shares."""
+    classes = len(counts)
     if kind == "ordinal":
-        share = np.clip(np.cumsum([counts.get(k, 0) for k in range(classes)])[:-1] / n, 1e-6, 1 - 1e-6)
+        share = np.clip(np.cumsum(counts)[:-1] / n, 1e-6, 1 - 1e-6)
         cut = np.maximum.accumulate(np.log(share / (1 - share)))
         gaps = np.maximum(np.diff(cut), 1e-6)
-        start = np.concatenate([np.zeros(d), cut[:1], np.log(np.expm1(gaps))])
-    elif kind == "multinomial":
-        start = np.concatenate([np.zeros((classes - 1) * d), [np.log(max(counts.get(k, 0), 1) / max(counts.get(0, 0), 1)) for k in range(1, classes)]])
-    else:
-        start = np.append(np.zeros(d), np.log(counts.get(1, 1) / counts.get(0, 1)))
-    penalised = len(start) - (classes - 1) if kind != "binary" else d
-    part = _PARTS[kind]
+        return np.concatenate([np.zeros(d), cut[:1], np.log(np.expm1(gaps))])
+    counts = np.maximum(counts, 1)
+    if kind == "multinomial":
+        return np.concatenate([np.zeros((classes - 1) * d), np.log(counts[1:] / counts[0])])
+    return np.append(np.zeros(d), np.log(counts[1] / counts[0]))
 
-    def evaluate(p: np.ndarray) -> tuple[float, np.ndarray]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(p) + 1)
-            for batch in batches:
-                if batch.num_rows:
-                    xs = batch.column("x").flatten().to_numpy().reshape(-1, d)
-                    loss, g = part(xs, batch.column("y").to_numpy(), p)
-                    total += np.append(g, loss)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["sums"])
 
-        sums = _added(design.mapInArrow(run, "sums array<double>"))
-        g = sums[:-1] / n
-        g[:penalised] += config.l2 * p[:penalised]
-        return sums[-1] / n + config.l2 / 2 * float(p[:penalised] @ p[:penalised]), g
+def vectors(model: LogitModel, xs: np.ndarray) -> np.ndarray:
+    """(rows, classes) of a model over raw features, as :func:`probabilities` gives them."""
+    z = (xs - np.array(model.mean)) / np.array(model.std)
+    if model.kind == "ordinal":
+        edges = np.concatenate([np.zeros((len(z), 1)), _sigmoid(np.array(model.cuts) + (z @ np.array(model.coef))[:, None]), np.ones((len(z), 1))], axis=1)
+        return np.clip(np.diff(edges, axis=1), CLIP, 1 - CLIP)
+    if model.kind == "multinomial":
+        eta = np.concatenate([np.zeros((len(z), 1)), z @ np.array(model.coef).T + np.array(model.cuts)], axis=1)
+        power = np.exp(eta - eta.max(axis=1, keepdims=True))
+        return np.clip(power / power.sum(axis=1, keepdims=True), CLIP, 1 - CLIP)
+    first = _sigmoid(z @ np.array(model.coef) + model.cuts[0])
+    return np.stack([first, 1 - first], axis=1)
 
-    best, loss, iterations = descend(evaluate, start, config)
-    if kind == "ordinal":
-        a = best[d:]
-        cuts = (a[0] + np.concatenate([[0.0], np.cumsum(np.logaddexp(0, a[1:]))])).tolist()
-        coef = best[:d].tolist()
-    elif kind == "multinomial":
-        coef, cuts = best[:penalised].reshape(classes - 1, d).tolist(), best[penalised:].tolist()
-    else:
-        coef, cuts = best[:d].tolist(), [float(best[d])]
-    return LogitModel(kind, features, mean, std, coef, cuts, n, loss, iterations)
+
+def replicate_bands(rows: DataFrame, key: list[str], models: list[LogitModel], level: float = 0.9) -> DataFrame:
+    """(key, low, high): the band of each class's chance over the replicates' models, percentiles with linear interpolation."""
+    within(level, 0, 1, "level")
+    names, d = models[0].features, len(models[0].features)
+    picked = rows.select(*key, F.array(*[F.col(f).cast("double") for f in names]).alias("__x"))
+    edges = [50 * (1 - level), 50 * (1 + level)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                piece = batch.slice(at, 4096)
+                xs = piece.column("__x").flatten().to_numpy().reshape(-1, d)
+                low, high = np.percentile(np.stack([vectors(m, xs) for m in models]), edges, axis=0)
+                yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in key], pa.array(low.tolist(), pa.list_(pa.float64())), pa.array(high.tolist(), pa.list_(pa.float64()))], [*key, "low", "high"])
+
+    kinds = dict(picked.dtypes)
+    return picked.mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in key], "low array<double>", "high array<double>"]))
 
 
 def linear(model: LogitModel, coef: list[float]) -> Column:
@@ -256,8 +393,8 @@ def fit_choice(candidates: DataFrame, features: list[str], step: list[str], chos
         sums = _added(design.mapInArrow(run, "sums array<double>"))
         return sums[-1] / n + config.l2 / 2 * float(p @ p), sums[:-1] / n + config.l2 * p
 
-    best, loss, iterations = descend(evaluate, np.zeros(d), config)
-    return LogitModel("choice", features, mean, std, best.tolist(), [], n, loss, iterations)
+    best, loss, iterations, converged = descend(evaluate, np.zeros(d), config)
+    return LogitModel("choice", features, mean, std, best.tolist(), [], n, loss, iterations, converged, config.l2)
 
 
 def fit_temperature(rows: DataFrame, eta: str, cuts: list[str], label: str, low: float = 0.25, high: float = 4.0, n: int = 61) -> tuple[float, float, float]:
@@ -291,7 +428,7 @@ def four_way_baseline(rate_a: Column, rate_b: Column, overtime: Column) -> Colum
 
 def information_criteria(model: LogitModel) -> dict[str, float]:
     """AIC and BIC from the unpenalised part of the model's loss."""
-    penalty = float(np.sum(np.square(model.coef))) / 2
+    penalty = model.l2 / 2 * float(np.sum(np.square(model.coef)))
     ll = -(model.loss - penalty) * model.n
     k = int(np.size(model.coef) + len(model.cuts))
     return {"log_likelihood": ll, "aic": -2 * ll + 2 * k, "bic": -2 * ll + k * float(np.log(model.n))}

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from oddsloom.functions import draws
+from oddsloom.functions.spread import spread_join
+
+#: Value blocks of a group in which percentiles are looked for.
+PERCENTILE_BLOCKS = 4096
+
 
 def total_and_groups(scored: DataFrame, group: str, measures: list[str], label: str = "all") -> DataFrame:
     """Counts and means over everything and by group; the row over everything is named ``label``."""
@@ -17,8 +28,7 @@ def total_and_groups(scored: DataFrame, group: str, measures: list[str], label:
 def reliability_bins(scored: DataFrame, p: str, hit: str, key: list[str], bins: int = 10, by: str | None = None) -> DataFrame:
     """(bin, n, mean_p, hit_rate, gap): equal-count bins in order of p, ties by key.
 
-    Ranks come from a range partitioning of p in tasks: a rank is the row's
-    place in its value block plus the rows of lower blocks.
+    A rank is the row's place in its block, a range of p, plus the rows of lower blocks.
     """
     block = F.floor(F.col(p) * 1000).cast("int")
     rows = scored.withColumn("__b", block)
@@ -46,8 +56,35 @@ def arms_delta(a: DataFrame, b: DataFrame, key: list[str], measure: str) -> Data
 
 
 def percentile_band(rows: DataFrame, by: list[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """(by, low, high): exact percentiles with linear interpolation."""
-    return rows.groupBy(*by).agg(F.percentile(value, F.lit(low)).alias("low"), F.percentile(value, F.lit(high)).alias("high"))
+    """(by, low, high): exact percentiles with linear interpolation; null values are left out.
+
+    Ranks are found in value blocks, so that no task holds a whole group: a
+    coarse histogram of each group says in which blocks the wanted ranks lie,
+    and only rows of those blocks are ordered, equal values as one row.
+    """
+    group = F.struct(F.lit(0).alias("_"), *by).alias("g")
+    known = rows.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("x"))
+    ends = known.groupBy("g").agg(F.min("x").alias("least"), F.max("x").alias("most"), F.count(F.lit(1)).alias("n"))
+    width = F.greatest((F.col("most") - F.col("least")) / PERCENTILE_BLOCKS, F.lit(1e-300))
+    blocked = spread_join(known, ends, ["g"], "x").select("g", "x", "n", F.floor((F.col("x") - F.col("least")) / width).alias("b"))
+    values = blocked.groupBy("g", "n", "b", "x").agg(F.count(F.lit(1)).alias("c"))
+    counts = values.groupBy("g", "n", "b").agg(F.sum("c").alias("m"))
+    counts = counts.withColumn("before", F.sum("m").over(W.partitionBy("g").orderBy("b")) - F.col("m"))
+    at = [(F.col("n") - 1) * F.lit(float(q)) for q in (low, high)]
+    wanted = [*[F.floor(a) for a in at], *[F.ceil(a) for a in at]]
+    holds = reduce(lambda u, v: u | v, [(w >= F.col("before")) & (w < F.col("before") + F.col("m")) for w in wanted])
+    inside = values.join(counts.where(holds).select("g", "b", "before"), ["g", "b"])
+    ranked = inside.withColumn("last", F.sum("c").over(W.partitionBy("g", "b").orderBy("x")) + F.col("before"))
+
+    def pick(w: Column) -> Column:
+        return F.max(F.when((w >= F.col("last") - F.col("c")) & (w < F.col("last")), F.col("x")))
+
+    found = ranked.groupBy("g", "n").agg(*[pick(w).alias(f"w{i}") for i, w in enumerate(wanted)])
+
+    def between(i: int, a: Column) -> Column:
+        return F.col(f"w{i}") + (a - F.floor(a)) * (F.col(f"w{i + 2}") - F.col(f"w{i}"))
+
+    return found.select(*[F.col("g")[c].alias(c) for c in by], between(0, at[0]).alias("low"), between(1, at[1]).alias("high"))
 
 
 def weighted_moments(rows: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
@@ -58,7 +95,7 @@ def weighted_moments(rows: DataFrame, by: list[str], value: str, weight: str) ->
     return rows.join(means, by).groupBy(*by, "mean").agg(F.try_divide(F.sum(w * dev), F.sum(w)).alias("variance"))
 
 
-def grid_argmin(rows: DataFrame, grid: list[float], loss: "callable[[Column], Column]") -> DataFrame:
+def grid_argmin(rows: DataFrame, grid: list[float], loss: Callable[[Column], Column]) -> DataFrame:
     """(grid_value, score, is_best): the mean of ``loss(grid value)`` for each grid value; the first least one is best.
 
     Losses of all grid values are made in one pass as columns and unpivoted after the aggregation.
@@ -69,36 +106,63 @@ def grid_argmin(rows: DataFrame, grid: list[float], loss: "callable[[Column], Co
     return flat.select("grid_value", "score", (F.col("i") == best).alias("is_best"))
 
 
+def _added_by_replicate(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], replicates: int, names: list[str]) -> DataFrame:
+    """(replicate, names): the sums of ``part``'s (names, replicates) arrays; a task gives one row a replicate, whatever it reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names), replicates))
+        for batch in batches:
+            # Slices bound the (rows, replicates) array of draws.
+            for at in range(0, batch.num_rows, 4096):
+                total += part(batch.slice(at, 4096))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), *[pa.array(x) for x in total]], ["replicate", *names])
+
+    parts = rows.mapInArrow(run, ", ".join(["replicate int", *[f"{n} double" for n in names]]))
+    return parts.groupBy("replicate").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def bootstrap_sums(rows: DataFrame, key: str, value: str, replicates: int, seed: int) -> DataFrame:
     """(replicate, n, mean): means over Poisson-weighted resamples of groups, drawn from the group's key.
 
     A group's rows share their multiplicity, so that matches are resampled
-    whole; draws depend on key, replicate and seed alone.
+    whole; draws depend on key, replicate and seed alone. Null values add
+    nothing; without rows there are replicates of nothing.
     """
-    totals = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.sum(value).alias("__s"))
-    drawn = totals.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), key, "replicate"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    times, cumulative, term = F.lit(0), 0.0, 2.718281828459045**-1
-    for k in range(12):
-        cumulative += term
-        times = times + (u > cumulative).cast("int")
-        term /= k + 1
-    drawn = drawn.withColumn("__m", times)
-    return drawn.groupBy("replicate").agg(F.sum(F.col("__m") * F.col("__n")).alias("n"), F.try_divide(F.sum(F.col("__m") * F.col("__s")), F.sum(F.col("__m") * F.col("__n"))).alias("mean"))
+    number = draws.key_number(F.col(key), rows.schema[key].dataType.simpleString())
+    totals = rows.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("n"), F.coalesce(F.sum(value), F.lit(0)).cast("double").alias("s"))
+
+    def part(batch: pa.RecordBatch) -> np.ndarray:
+        times = draws.poisson_times(draws.units(batch.column("key").to_numpy(), replicates, seed))
+        return np.stack([batch.column("n").to_numpy() @ times, batch.column("s").to_numpy() @ times])
+
+    sums = _added_by_replicate(totals.select(number.alias("key"), "n", "s"), part, replicates, ["n", "s"])
+    return sums.select("replicate", F.col("n").cast("bigint").alias("n"), F.try_divide("s", "n").alias("mean"))
+
+
+def resampled(rows: DataFrame, key: str, replicate: int, seed: int) -> DataFrame:
+    """``rows`` with all rows of a key repeated as often as the bootstrap replicate draws that key, none included."""
+    number = draws.key_number(F.col(key), rows.schema[key].dataType.simpleString())
+    times = draws.poisson_column(draws.unit(number, F.lit(replicate).cast("bigint"), seed))
+    return rows.withColumn("__nth", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).drop("__nth")
 
 
 def permutation_test(pairs: DataFrame, key: str, difference: str, permutations: int, seed: int) -> DataFrame:
     """(observed, p_value): sign flips of paired differences; the share of flips at least as far from 0 as what was seen.
 
-    Flips are bits of a hash of key and permutation: every task adds up its
-    part of all permutations, and one row for each is merged.
+    A flip depends on key, permutation and seed alone. Null differences are left out.
     """
-    rows = pairs.select(F.col(key).alias("__k"), F.col(difference).cast("double").alias("__d"))
-    flips = rows.withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    sign = F.when(F.pmod(F.xxhash64(F.lit(seed), "__k", "__p"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    sums = flips.groupBy("__p").agg(F.avg(sign * F.col("__d")).alias("__m"))
-    observed = rows.agg(F.avg("__d").alias("observed"))
-    return sums.crossJoin(F.broadcast(observed)).groupBy("observed").agg(F.avg((F.abs("__m") >= F.abs("observed")).cast("double")).alias("p_value"))
+    number = draws.key_number(F.col(key), pairs.schema[key].dataType.simpleString())
+    rows = pairs.where(F.col(difference).isNotNull()).select(number.alias("key"), F.col(difference).cast("double").alias("d"))
+
+    def part(batch: pa.RecordBatch) -> np.ndarray:
+        d = batch.column("d").to_numpy()
+        sign = np.where(draws.units(batch.column("key").to_numpy(), permutations, seed) < 0.5, 1.0, -1.0)
+        return np.stack([d @ sign, np.full(permutations, d.sum())])
+
+    sums = _added_by_replicate(rows, part, permutations, ["flipped", "seen"]).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"))))
+    # Sums of the same numbers in another order may differ in their last digits.
+    far = F.abs("flipped") >= F.abs("seen") - 1e-9 * F.abs("seen")
+    return sums.groupBy((F.try_divide("seen", "n")).alias("observed")).agg(F.avg(far.cast("double")).alias("p_value"))
 
 
 def latest_name(rows: DataFrame, key: str, name: str, ts: str, tie: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-OT_SCORE = 12
+OT_SCORE, REGULATION = 12, 13
 CLOSE_MARGIN = 2
 DETAIL = [f"team{s}_{x}_rounds" for s in (1, 2) for x in ("atk", "def")]
 
@@ -15,14 +15,20 @@ def is_overtime(a: Column, b: Column) -> Column:
     return F.least(a, b) >= OT_SCORE
 
 
+def above_regulation(a: Column, b: Column) -> Column:
+    """A side won more rounds than regulation needs."""
+    return F.greatest(a, b) > REGULATION
+
+
 def is_close(a: Column, b: Column) -> Column:
     """A margin of two rounds or less."""
     return F.abs(a - b) <= CLOSE_MARGIN
 
 
 def finished_maps(matches: DataFrame, maps: DataFrame) -> DataFrame:
-    """Finished maps of completed matches with the match's time, teams and names."""
-    done = matches.where("status = 'completed'").select("match_id", "ts", "team1_id", "team2_id", "team1_name", "team2_name")
+    """Finished maps of completed matches with the match's time, teams, names and, if it has one, league."""
+    league = [c for c in ("league",) if c in matches.columns]
+    done = matches.where("status = 'completed'").select("match_id", "ts", "team1_id", "team2_id", "team1_name", "team2_name", *league)
     return maps.where("winner is not null").join(done, "match_id")
 
 

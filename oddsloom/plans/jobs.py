@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddsloom.functions import scoring, series
-from oddsloom.operators import features, logit, reports, seats, splits, veto
+from oddsloom.operators import features, harness, logit, reports, seats, splits, veto
 
 
 @dataclass
@@ -53,6 +54,34 @@ def evaluate(design_rows: DataFrame, trained: Trained, split: str = "test") -> D
     return rows.select(*features.ROW, "p", "truth", scoring.rps(p, truth).alias("rps"), scoring.log_loss(p, truth).alias("log_loss"), scoring.side_correct(p, truth).alias("correct"))
 
 
+def map_model(trained: Trained) -> harness.MapModel:
+    """A fitted model as a function of rows and tables; a binary one gives its two chances as regulation ones."""
+
+    def predict(rows: DataFrame, t: features.Tables) -> DataFrame:
+        p = logit.probabilities(trained.model, trained.temperature)
+        out = features.feature_matrix(rows, t).select(*features.ROW, p.alias("p"))
+        if trained.model.kind == "binary":
+            return out.withColumn("p", F.array(F.col("p")[0], F.lit(0.0), F.lit(0.0), F.col("p")[1]))
+        return out.withColumn("p", F.transform("p", lambda x: x / F.aggregate("p", F.lit(0.0), lambda a, b: a + b)))
+
+    return predict
+
+
+#: Map models by name: what is fitted on the train split of a design, or needs no fit.
+MODELS: dict[str, Callable[[DataFrame, logit.FitConfig], harness.MapModel]] = {
+    "four_way_baseline": lambda design_rows, config: baseline,
+    **{kind: (lambda design_rows, config, kind=kind: map_model(train(design_rows, kind, config))) for kind in ("ordinal", "multinomial", "binary")},
+}
+
+
+def train_replicates(design_rows: DataFrame, kind: str, replicates: int, seed: int, config: logit.FitConfig = logit.FitConfig()) -> list[logit.LogitModel]:
+    """Models of bootstrap replicates of the train split's matches, all fitted in the same passes."""
+    rows, label = design_rows.where("split = 'train'"), "outcome_ordinal"
+    if kind == "binary":
+        rows, label = rows.withColumn("__a", (F.col("outcome_ordinal") < 2).cast("int")), "__a"
+    return logit.fit_replicates(rows, list(features.FEATURES), label, kind, replicates, seed, "match_id", config)
+
+
 def report(scored: DataFrame) -> DataFrame:
     """One row: count and mean scores."""
     return scored.agg(F.count(F.lit(1)).alias("n"), F.avg("rps").alias("rps"), F.avg("log_loss").alias("log_loss"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
@@ -88,8 +117,9 @@ def series_forecast(chances: DataFrame, sequences: DataFrame, best_of: int) -> D
 def baseline(rows: DataFrame, t: features.Tables) -> DataFrame:
     """(match_id, map_index, p): the four-way baseline from shrunk win rates and the league's overtime rate."""
     ledger = t.seat_ledger()
-    read = features.prior_state(features.sides(rows), ledger, ["team_id"], sums={"w": "won", "g": F.lit(1)})
-    read = features.prior_totals(read, ledger.where("seat = 1"), [], sums={"o": "ot", "n": F.lit(1)})
+    q = features.sides(rows)
+    read = features.prior_state(q, ledger, ["team_id"], sums={"w": "won", "g": F.lit(1)}, hot=t.hot_teams)
+    read = features.prior_totals(read, ledger.where("seat = 1"), [], sums={"o": "ot", "n": F.lit(1)}, base=q)
     rate = (F.col("w") + 5.0) / (F.col("g") + 10.0)
     both = read.groupBy(*features.ROW).agg(
         F.max(F.when(F.col("side") == 1, rate)).alias("a"), F.max(F.when(F.col("side") == 2, rate)).alias("b"), F.max(F.coalesce(F.try_divide(F.col("o").cast("double"), F.col("n").cast("double")), F.lit(0.0))).alias("ot")

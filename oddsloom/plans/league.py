@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from oddsloom.operators import veto
 from oddsloom.operators.features import Tables
+from oddsloom.session import durable
 
 MAP_NAMES = ("Abyss", "Ascent", "Haven", "Lotus", "Split", "Summit", "Sunset")
-PLAYERS = 3
+PLAYERS, CIRCUIT = 3, 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One match for each order, two different teams of 24."""
+    """One match for each order, between two customers of a circuit of eight."""
     o = table(spark, sf_dir, "orders")
-    one, two = F.col("o_custkey") % 24, (F.col("o_custkey") % 24 + 1 + F.col("o_orderkey") % 23) % 24
+    circuit, seat = F.floor(F.col("o_custkey") / CIRCUIT), F.col("o_custkey") % CIRCUIT
+    one, two = F.col("o_custkey"), circuit * CIRCUIT + (seat + 1 + F.col("o_orderkey") % (CIRCUIT - 1)) % CIRCUIT
     return o.select(
         F.col("o_orderkey").cast("string").alias("match_id"),
         F.col("o_orderdate").alias("ts"),
@@ -34,6 +37,7 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Team "), two.cast("string")).alias("team2_name"),
         F.concat(F.lit("Bo"), (F.col("o_orderkey") % 3 * 2 + 1).cast("string")).alias("best_of"),
         F.when(F.col("o_orderstatus") == "P", "upcoming").otherwise("completed").alias("status"),
+        circuit.cast("string").alias("league"),
     )
 
 
@@ -67,9 +71,9 @@ def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("no_detail", "a", "b", "ot")
 
 
-def players(spark: SparkSession, sf_dir: str) -> DataFrame:
+def players(maps: DataFrame, matches: DataFrame) -> DataFrame:
     """Three players a side and map; rosters turn with the match."""
-    both = maps(spark, sf_dir).join(matches(spark, sf_dir).select("match_id", "team1_name", "team2_name"), "match_id")
+    both = maps.join(matches.select("match_id", "team1_name", "team2_name"), "match_id")
     rows = []
     for side in (1, 2):
         for p in range(PLAYERS):
@@ -80,20 +84,33 @@ def players(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows.append(
                 F.struct(
                     F.col(f"team{side}_name").alias("team_name"), F.concat(F.col(f"team{side}_name"), F.lit("-"), number).alias("player_name"),
-                    acs.alias("acs"), (acs / 200.0).alias("rating"), own.cast("int").alias("first_kills"), other.cast("int").alias("first_deaths"),
+                    acs.alias("acs"), ((F.col("sk") * 11 + p * 17 + F.col("map_index") * 5) % 200 / 100.0).alias("rating"), own.cast("int").alias("first_kills"), other.cast("int").alias("first_deaths"),
                 )
             )
     return both.select("match_id", "map_index", F.inline(F.array(*rows)))
 
 
+def vetoes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A veto for each match, in an order of maps that its key gives; steps turn between the teams, the last map decides."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(F.array(*[F.lit(m) for m in MAP_NAMES])).alias("i", "map_name"))
+    place = F.col("o_orderkey") * (F.col("i") * F.col("i") + 3) % 101 + 9 * F.col("i")
+    nth = F.row_number().over(W.partitionBy("o_orderkey").orderBy(place, "map_name")) - 1
+    out = o.select(F.col("o_orderkey").cast("string").alias("match_id"), nth.cast("int").alias("step_index"), "map_name", (F.col("o_orderkey") % 3 * 2 + 1).cast("int").alias("best_of"))
+    own = matches(spark, sf_dir).select("match_id", "team1_id", "team2_id")
+    team = F.when(F.col("step_index") == len(MAP_NAMES) - 1, None).when(F.col("step_index") % 2 == 0, F.col("team1_id")).otherwise(F.col("team2_id"))
+    return out.join(own, "match_id").select("match_id", "step_index", F.element_at(veto.script(F.col("best_of")), F.col("step_index") + 1).alias("action"), team.alias("team_id"), "map_name")
+
+
 def tables(spark: SparkSession, sf_dir: str, with_players: bool = True) -> Tables:
-    return Tables(matches(spark, sf_dir), maps(spark, sf_dir), players(spark, sf_dir) if with_players else None)
+    """The league; maps are stored, as every feature reads them several times."""
+    own, played = matches(spark, sf_dir), durable(maps(spark, sf_dir))
+    return Tables(own, played, players(played, own) if with_players else None)
 
 
-def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feature_rows(t: Tables) -> DataFrame:
     """Every map, finished or not, as a row to be described."""
-    m = matches(spark, sf_dir).select("match_id", "ts", "team1_id", "team2_id", "team1_name", "team2_name")
-    return maps(spark, sf_dir).select("match_id", "map_index", "map_name").join(m, "match_id").select("match_id", "map_index", "map_name", "ts", "team1_id", "team2_id")
+    m = t.matches.select("match_id", "ts", "team1_id", "team2_id")
+    return t.maps.select("match_id", "map_index", "map_name").join(m, "match_id").select("match_id", "map_index", "map_name", "ts", "team1_id", "team2_id")
 
 
 _NAMES = ", ".join(f"'{m}'" for m in MAP_NAMES)
@@ -102,7 +119,8 @@ _NAMES = ", ".join(f"'{m}'" for m in MAP_NAMES)
 SQL = f"""
 WITH matches AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS match_id, o_orderdate AS ts, 'Circuit Stage ' || (o_orderkey % 3 + 1) AS event_name,
-    CAST(o_custkey % 24 AS VARCHAR) AS team1_id, CAST((o_custkey % 24 + 1 + o_orderkey % 23) % 24 AS VARCHAR) AS team2_id,
+    CAST(o_custkey AS VARCHAR) AS team1_id, CAST(o_custkey // 8 * 8 + (o_custkey % 8 + 1 + o_orderkey % 7) % 8 AS VARCHAR) AS team2_id,
+    o_custkey // 8 AS league, CAST(o_custkey % 8 AS INTEGER) AS slot1, CAST((o_custkey % 8 + 1 + o_orderkey % 7) % 8 AS INTEGER) AS slot2,
     'Bo' || (o_orderkey % 3 * 2 + 1) AS best_of, CASE WHEN o_orderstatus = 'P' THEN 'upcoming' ELSE 'completed' END AS status
   FROM orders),
 maps0 AS (
@@ -118,7 +136,7 @@ maps AS (
 rounds AS (
   SELECT *, CASE WHEN NOT detail THEN NULL WHEN ot THEN 6 + pk % 4 ELSE s1 // 2 END AS atk1, CASE WHEN NOT detail THEN NULL WHEN ot THEN 6 + sk % 4 ELSE s2 // 2 END AS atk2 FROM maps),
 played AS (
-  SELECT r.*, CASE WHEN ot THEN 12 - atk1 ELSE s1 - atk1 END AS def1, CASE WHEN ot THEN 12 - atk2 ELSE s2 - atk2 END AS def2, m.ts, team1_id, team2_id, status
+  SELECT r.*, CASE WHEN ot THEN 12 - atk1 ELSE s1 - atk1 END AS def1, CASE WHEN ot THEN 12 - atk2 ELSE s2 - atk2 END AS def2, m.ts, team1_id, team2_id, status, league, slot1, slot2
   FROM rounds r JOIN matches m USING (match_id)),
 finished AS (SELECT * FROM played WHERE winner IS NOT NULL AND status = 'completed'),
 seat AS (
@@ -136,3 +154,30 @@ side AS (
 
 #: Everything strictly before a row's time, for a window that is partitioned and ordered by ``ts``.
 BEFORE = "RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING"
+
+#: Ratings after each map: the k-th maps of all circuits are folded in step; ``elo`` has (team_id, ts, rating), the last of each time.
+ELO_SQL = SQL.replace("WITH matches", "WITH RECURSIVE matches", 1) + """, elo_seq AS MATERIALIZED (
+  SELECT league, slot1, slot2, s1 > s2 AS won, team1_id, team2_id, ts, match_id, map_index, row_number() OVER (PARTITION BY league ORDER BY ts, match_id, map_index) AS k FROM finished),
+elo_run(league, k, ratings) AS (
+  SELECT DISTINCT league, CAST(0 AS BIGINT), CAST([1500, 1500, 1500, 1500, 1500, 1500, 1500, 1500] AS DOUBLE[]) FROM elo_seq
+  UNION ALL
+  SELECT league, k, list_transform(ratings, lambda x, i: CASE WHEN i = slot1 + 1 THEN x + gain WHEN i = slot2 + 1 THEN x - gain ELSE x END) FROM (
+    SELECT r.league, s.k, r.ratings, slot1, slot2, 32 * (CASE WHEN won THEN 1 ELSE 0 END - 1 / (1 + pow(10.0, (ratings[slot2 + 1] - ratings[slot1 + 1]) / 400.0))) AS gain
+    FROM elo_run r JOIN elo_seq s ON s.league = r.league AND s.k = r.k + 1)),
+elo_rows AS (
+  SELECT team_id, ts, match_id, map_index, rating FROM (SELECT ts, match_id, map_index, unnest([team1_id, team2_id]) AS team_id, unnest([ratings[slot1 + 1], ratings[slot2 + 1]]) AS rating
+    FROM elo_run JOIN elo_seq USING (league, k))),
+elo AS (SELECT team_id, ts, arg_max(rating, (match_id, map_index)) AS rating FROM elo_rows GROUP BY team_id, ts)
+"""
+
+_SCRIPTS = ", ".join("[" + ", ".join(f"'{a}'" for a in veto.SCRIPTS[n]) + "]" for n in (1, 3, 5))
+
+#: The vetoes, and ``cand``: each step of a team with the maps that were left.
+VETO_SQL = f"""{SQL}, veto0 AS (SELECT o_orderkey, m, i FROM orders, (SELECT unnest([{_NAMES}]) AS m, unnest(range(7)) AS i)),
+veto1 AS (SELECT CAST(o_orderkey AS VARCHAR) AS match_id, m AS map_name, o_orderkey % 3 AS len,
+  CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderkey * (i * i + 3) % 101 + 9 * i, m) - 1 AS INTEGER) AS step_index FROM veto0),
+vetoes AS (SELECT v.*, ([{_SCRIPTS}])[len + 1][step_index + 1] AS action, CASE WHEN step_index % 2 = 0 THEN team1_id ELSE team2_id END AS team_id, CASE WHEN step_index % 2 = 0 THEN team2_id ELSE team1_id END AS opponent_id, ts
+  FROM veto1 v JOIN matches USING (match_id)),
+cand AS (SELECT s.match_id, s.step_index, s.action, s.team_id, s.opponent_id, r.map_name, s.ts, r.step_index = s.step_index AS chosen
+  FROM vetoes s JOIN vetoes r ON r.match_id = s.match_id AND r.step_index >= s.step_index WHERE s.step_index < 6)
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 from pyspark.sql import Window as W
 
-from oddsloom.functions import asof, names, scoring, series, shrink
-from oddsloom.operators import diagnostics, features, logit, presentation, reports, seats, splits, veto
-from oddsloom.plans import league
+from oddsloom.functions import asof, draws, guards, names, scoring, series, shrink
+from oddsloom.operators import diagnostics, features, harness, logit, presentation, reports, seats, series_eval, splits, veto, veto_steps
+from oddsloom.plans import jobs, league
 from oddsloom.plans.league import BEFORE, SQL, table
+from oddsloom.session import shared_folder
+from oddsloom.sources import documents
+from oddsloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,7 +45,11 @@ def _rounded(df: DataFrame, places: int = 8) -> DataFrame:
 
 
 def _feature(f: Callable[..., DataFrame], players: bool = False) -> Query:
-    return lambda spark, d: _rounded(f(league.feature_rows(spark, d), league.tables(spark, d, players)))
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        t = league.tables(spark, d, players)
+        return _rounded(f(league.feature_rows(t), t))
+
+    return run
 
 
 def _diff(name: str, expr: str, ctes: str) -> str:
@@ -75,6 +83,9 @@ ORACLES["map_win_rate_diff"] = _diff(
     _WIN,
 )
 QUERIES["elo_differential"] = _feature(features.elo_differential)
+_ELO = """SELECT match_id, map_index, round(max(CASE WHEN side = 1 THEN x END) - max(CASE WHEN side = 2 THEN x END), 8) AS elo_differential FROM (
+  SELECT s.match_id, s.map_index, s.side, coalesce(e.rating, 1500.0) AS x FROM side s ASOF LEFT JOIN elo e ON s.team_id = e.team_id AND s.ts > e.ts) GROUP BY match_id, map_index"""
+ORACLES["elo_differential"] = league.ELO_SQL + _ELO
 QUERIES["ot_rate_diff"] = _feature(features.ot_rate_diff)
 ORACLES["ot_rate_diff"] = _diff(
     "ot_rate_diff",
@@ -87,15 +98,16 @@ SELECT q.match_id AS match_id, q.map_index AS map_index, round(CASE WHEN n > 1 T
 FROM r WHERE q.side = 1"""
 QUERIES["form_diffs"] = _feature(features.form_diffs, True)
 _OWN = """, own AS (
-  SELECT s.*, (acs0 + acs1 + acs2) / 3.0 AS acs FROM (
+  SELECT s.*, (acs0 + acs1 + acs2) / 3.0 AS acs, (rt0 + rt1 + rt2) / 3.0 AS rt FROM (
     SELECT *, CAST((pk * 7 + (seat * 13) + map_index) % 300 AS DOUBLE) AS acs0, CAST((pk * 7 + 31 + (seat * 13) + map_index) % 300 AS DOUBLE) AS acs1,
-      CAST((pk * 7 + 62 + (seat * 13) + map_index) % 300 AS DOUBLE) AS acs2 FROM seat) s),
+      CAST((pk * 7 + 62 + (seat * 13) + map_index) % 300 AS DOUBLE) AS acs2,
+      CAST((sk * 11 + map_index * 5) % 200 AS DOUBLE) / 100 AS rt0, CAST((sk * 11 + 17 + map_index * 5) % 200 AS DOUBLE) / 100 AS rt1, CAST((sk * 11 + 34 + map_index * 5) % 200 AS DOUBLE) / 100 AS rt2 FROM seat) s),
 nth AS (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY ts, match_id, map_index) AS k FROM own)"""
 ORACLES["form_diffs"] = f"""{SQL}{_OWN}, last AS ({_read("nth", ["team_id"], {"n": "1"})}),
-v AS (SELECT q.match_id, q.map_index, q.side, sum(acs * pow(0.9, n - k)) / sum(pow(0.9, n - k)) AS x
+v AS (SELECT q.match_id, q.map_index, q.side, sum(acs * pow(0.9, n - k)) / sum(pow(0.9, n - k)) AS x, sum(rt * pow(0.9, n - k)) / sum(pow(0.9, n - k)) AS y
   FROM last LEFT JOIN nth ON nth.team_id = last.team_id AND nth.k BETWEEN n - 9 AND n GROUP BY ALL)
 SELECT match_id, map_index, round(coalesce(max(CASE WHEN side = 1 THEN x END) - max(CASE WHEN side = 2 THEN x END), 0), 8) AS acs_form_diff,
-  round(coalesce(max(CASE WHEN side = 1 THEN x END) - max(CASE WHEN side = 2 THEN x END), 0) / 200.0, 8) AS rating_form_diff FROM v GROUP BY match_id, map_index"""
+  round(coalesce(max(CASE WHEN side = 1 THEN y END) - max(CASE WHEN side = 2 THEN y END), 0), 8) AS rating_form_diff FROM v GROUP BY match_id, map_index"""
 QUERIES["h2h_win_rate_centered"] = _feature(features.h2h_win_rate_centered)
 ORACLES["h2h_win_rate_centered"] = f"""{SQL}, r AS ({_read("seat", ["team_id", "opponent_id"], {"w": "won", "g": "1"})})
 SELECT q.match_id AS match_id, q.map_index AS map_index, round((w + 10.0) / (g + 20.0) - 0.5, 8) AS h2h_win_rate_centered FROM r WHERE q.side = 1"""
@@ -147,8 +159,9 @@ ORACLES["first_blood_diff"] = _diff(
 
 @query()
 def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """The thirteen columns at once; tests hold it against the single features."""
-    return features.feature_matrix(league.feature_rows(spark, d), league.tables(spark, d))
+    """The thirteen columns at once; tests hold it against the single features too. Its SQL is given below, with the parts'."""
+    t = league.tables(spark, d)
+    return _rounded(features.feature_matrix(league.feature_rows(t), t))
 
 
 # --- as-of building blocks over events and orders ----------------------------------------------------------------
@@ -159,7 +172,7 @@ def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
 def asof_prior_event(spark: SparkSession, d: str) -> DataFrame:
     """Each event's value of the user's latest earlier event."""
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
-    return asof.prior_state(e.select("event_id", "user_id", "ts"), e, ["user_id"], lasts={"prior_value": "value"}, ties=["event_id"]).select("event_id", "prior_value")
+    return asof.prior_state(e.select("event_id", "user_id", "ts"), e, ["user_id"], lasts={"prior_value": "value"}, ties=["event_id"], hot=asof.hot_keys(e, ["user_id"])).select("event_id", "prior_value")
 
 
 @query(f"""SELECT event_id, count(*) OVER w AS n, coalesce(CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS BIGINT), 0) AS errors
@@ -176,7 +189,7 @@ def asof_prior_league(spark: SparkSession, d: str) -> DataFrame:
 def asof_orders_prev(spark: SparkSession, d: str) -> DataFrame:
     """Each order's latest earlier order of the customer, and whole days between them."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    read = asof.prior_state(o, o, ["o_custkey"], ts="o_orderdate", lasts={"p": F.struct("o_orderkey", "o_orderdate")}, ties=["o_orderkey"])
+    read = asof.prior_state(o, o, ["o_custkey"], ts="o_orderdate", lasts={"p": F.struct("o_orderkey", "o_orderdate")}, ties=["o_orderkey"], hot=asof.hot_keys(o, ["o_custkey"]))
     return read.select("o_orderkey", F.col("p.o_orderkey").alias("previous_orderkey"), names.floor_days(F.col("o_orderdate"), F.col("p.o_orderdate")).alias("rest_days"))
 
 
@@ -202,7 +215,7 @@ r AS (SELECT *, coalesce(sum(bad) OVER u, 0) AS ub, count(*) OVER u AS un, coale
 def beta_shrink_rate(spark: SparkSession, d: str) -> DataFrame:
     """Posterior mean and variance of the user's error rate, shrunk to one half."""
     e = table(spark, d, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "error").cast("int").alias("bad"))
-    read = asof.prior_state(e.select("event_id", "user_id", "ts"), e, ["user_id"], sums={"b": "bad", "n": F.lit(1)})
+    read = asof.prior_state(e.select("event_id", "user_id", "ts"), e, ["user_id"], sums={"b": "bad", "n": F.lit(1)}, hot=asof.hot_keys(e, ["user_id"]))
     post = shrink.beta_posterior(F.col("b"), F.col("n"), F.lit(0.5), 10.0)
     return read.select("event_id", F.round(post["mean"], 8).alias("shrunk"), F.round(post["variance"], 10).alias("variance"))
 
@@ -211,8 +224,8 @@ def beta_shrink_rate(spark: SparkSession, d: str) -> DataFrame:
 def two_level_shrink(spark: SparkSession, d: str) -> DataFrame:
     """The user's error rate shrunk to everyone's."""
     e = table(spark, d, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "error").cast("int").alias("bad"))
-    read = asof.prior_state(e.select("event_id", "user_id", "ts"), e, ["user_id"], sums={"b": "bad", "n": F.lit(1)})
-    read = asof.prior_totals(read, e, [], sums={"lb": "bad", "ln": F.lit(1)})
+    read = asof.prior_state(e.select("event_id", "user_id", "ts"), e, ["user_id"], sums={"b": "bad", "n": F.lit(1)}, hot=asof.hot_keys(e, ["user_id"]))
+    read = asof.prior_totals(read, e, [], sums={"lb": "bad", "ln": F.lit(1)}, base=e)
     prior = shrink.rate(F.col("lb"), F.col("ln"), 0.5)
     return _rounded(read.select("event_id", shrink.beta_mean(F.col("b"), F.col("n"), prior, 50.0).alias("shrunk")))
 
@@ -276,14 +289,23 @@ def roster_jaccard(spark: SparkSession, d: str) -> DataFrame:
 # --- text, predicates and joins -----------------------------------------------------------------------------------
 
 
-@query("""SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, TRY_CAST(nullif(regexp_extract(url, '(\\d+)', 1), '') AS BIGINT) AS first_number,
-len(regexp_extract_all(html, 'href="[^"]*"')) AS links FROM pages""")
+_LINK = r'href="(/[^"/]+)"'
+
+
+@query(r"""WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="(/[^"/]+)"', 1) AS urls FROM pages),
+u AS (SELECT page_id, unnest(urls) AS match_url, generate_subscripts(urls, 1) AS i FROM l),
+f AS (SELECT page_id, match_url, min(i) AS i FROM u GROUP BY ALL)
+SELECT page_id, match_url, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS nth FROM f""")
 def html_links(spark: SparkSession, d: str) -> DataFrame:
-    """Host, first number and number of links of a page."""
-    number = F.regexp_extract("url", r"(\d+)", 1)
-    return table(spark, d, "pages").select(
-        "page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), number.try_cast("bigint").alias("first_number"), F.regexp_count("html", F.lit('href="[^"]*"')).cast("bigint").alias("links")
-    )
+    """The distinct links of each page to pages at the top of its own host, in order of first sight."""
+    return documents.event_links(table(spark, d, "pages"), "page_id", "html", _LINK)
+
+
+@query("""SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, TRY_CAST(nullif(regexp_extract(url, '(\\d+)', 1), '') AS INTEGER) AS first_number FROM pages""")
+def url_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Host and first number of a page's address, by lenient casts."""
+    number = names.lenient_int(F.regexp_extract("url", r"(\d+)", 1))
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), number.alias("first_number"))
 
 
 @query("""SELECT p_partkey, array_to_string(list_transform(string_split(regexp_replace(trim(p_name), '\\s+', ' ', 'g'), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS p_name FROM part""")
@@ -299,30 +321,52 @@ def outcome_label_case(spark: SparkSession, d: str) -> DataFrame:
     return seats.outcome_labels(league.maps(spark, d))
 
 
-@query(f"""{SQL} SELECT illegal, count(*) AS n FROM (SELECT CASE WHEN s1 = s2 THEN 'tie' WHEN greatest(s1, s2) < 13 THEN 'winner below 13'
-WHEN least(s1, s2) >= 12 AND abs(s1 - s2) <> 2 THEN 'overtime margin' WHEN least(s1, s2) < 12 AND greatest(s1, s2) <> 13 THEN 'winner above 13 without overtime' END AS illegal FROM maps) GROUP BY illegal""")
+_ODD_SCORES = "SELECT match_id, map_index, s1 + pk % 3 - 1 AS s1, s2 - sk % 2 AS s2 FROM maps"
+
+
+@query(f"""{SQL} SELECT illegal, count(*) AS n FROM (SELECT CASE WHEN s1 = s2 THEN 'tie' WHEN least(s1, s2) < 0 THEN 'negative' WHEN greatest(s1, s2) < 13 THEN 'winner below 13'
+WHEN least(s1, s2) >= 12 AND abs(s1 - s2) <> 2 THEN 'overtime margin' WHEN least(s1, s2) < 12 AND greatest(s1, s2) <> 13 THEN 'winner above 13 without overtime' END AS illegal FROM ({_ODD_SCORES})) GROUP BY illegal""")
 def legality_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Scorelines by why they are illegal; null for those that are not."""
-    return seats.legality(league.maps(spark, d)).groupBy("illegal").agg(F.count(F.lit(1)).alias("n"))
+    """Scorelines by why they are illegal, after most were changed; null for those that are not."""
+    odd = league.maps(spark, d).withColumn("team1_score", F.col("team1_score") + F.col("pk") % 3 - 1).withColumn("team2_score", F.col("team2_score") - F.col("sk") % 2)
+    return seats.legality(odd).groupBy("illegal").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{SQL} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN atk1 + CASE WHEN ot THEN 12 - atk1 ELSE s1 - atk1 END <> CASE WHEN least(s1, s2) >= 12 THEN 12 ELSE s1 END THEN 'first' END AS reason FROM rounds) WHERE reason IS NOT NULL GROUP BY reason")
+@query(f"""{SQL}, odd AS (SELECT match_id, map_index, ot, s1, s2, atk1 + CAST(pk % 13 = 0 AS INTEGER) AS a1, CASE WHEN ot THEN 12 - atk1 ELSE s1 - atk1 END AS d1, atk2 - CAST(sk % 11 = 0 AS INTEGER) AS a2,
+  CASE WHEN sk % 17 = 0 THEN NULL WHEN ot THEN 12 - atk2 ELSE s2 - atk2 END AS d2 FROM rounds),
+w AS (SELECT match_id, map_index, CASE WHEN a1 IS NOT NULL AND d2 IS NULL THEN 'partly null' WHEN a1 + d1 <> CASE WHEN ot THEN 12 ELSE s1 END THEN 'first seat''s rounds'
+  WHEN a2 + d2 <> CASE WHEN ot THEN 12 ELSE s2 END THEN 'second seat''s rounds' END AS reason FROM odd)
+SELECT * FROM w WHERE reason IS NOT NULL""")
 def round_detail_breaches(spark: SparkSession, d: str) -> DataFrame:
-    """Maps whose rounds contradict their score; none here."""
-    return seats.round_detail_breaches(league.maps(spark, d)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    """Maps whose rounds contradict their score, after some were changed."""
+    odd = (
+        league.maps(spark, d)
+        .withColumn("team1_atk_rounds", F.col("team1_atk_rounds") + (F.col("pk") % 13 == 0).cast("int"))
+        .withColumn("team2_atk_rounds", F.col("team2_atk_rounds") - (F.col("sk") % 11 == 0).cast("int"))
+        .withColumn("team2_def_rounds", F.when(F.col("sk") % 17 != 0, F.col("team2_def_rounds")))
+    )
+    return seats.round_detail_breaches(odd)
 
 
 ERAS = [("first", "1992-01-01", "1994-01-01"), ("second", "1994-01-01", "1996-07-01"), ("third", "1996-07-01", "1998-01-01"), ("open", "1998-01-01", None)]
 _ERAS_SQL = ", ".join(f"('{n}', TIMESTAMP '{a}', {f"TIMESTAMP '{b}'" if b else 'NULL'})" for n, a, b in ERAS)
 
 
-@query(f"""SELECT e.name AS era, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN (VALUES {_ERAS_SQL}) e(name, s, t)
-ON o_orderdate >= s AND (t IS NULL OR o_orderdate < t) GROUP BY e.name""")
+@query(f"""SELECT o_orderkey, e.name AS era FROM orders LEFT JOIN (VALUES {_ERAS_SQL}) e(name, s, t) ON o_orderdate >= s AND (t IS NULL OR o_orderdate < t)""")
 def era_interval_join(spark: SparkSession, d: str) -> DataFrame:
-    """Orders by era: half-open intervals, the last one open."""
-    eras = spark.createDataFrame(ERAS, "era string, start string, until string").select("era", F.col("start").cast("timestamp_ntz").alias("start"), F.col("until").cast("timestamp_ntz").alias("until"))
-    inside = (F.col("o_orderdate") >= F.col("start")) & (F.col("until").isNull() | (F.col("o_orderdate") < F.col("until")))
-    return table(spark, d, "orders").join(F.broadcast(eras), inside).groupBy("era").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    """The era of each order: half-open intervals, the last one open; null before the first."""
+    eras = spark.createDataFrame([(n, a, b, ["any"]) for n, a, b in ERAS], "name string, start string, until string, map_pool array<string>")
+    eras = documents.checked_eras(eras.withColumn("start", F.to_date("start")).withColumn("until", F.to_date("until")))
+    return documents.era_of(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), eras, "o_orderdate").select("o_orderkey", "era")
+
+
+@query(f"""{SQL}, o AS (SELECT match_id, row_number() OVER (ORDER BY ts, match_id) AS n, count(*) OVER () AS t FROM matches),
+p AS (SELECT match_id, CASE WHEN n > t - greatest(1, CAST(round_even(t * 0.2, 0) AS BIGINT)) THEN 'test' ELSE 'train' END AS split FROM o)
+SELECT match_id, map_index, split FROM maps JOIN p USING (match_id)""")
+def split_of_maps(spark: SparkSession, d: str) -> DataFrame:
+    """The split of each map's match, which every match must have."""
+    split = splits.chronological_split(league.matches(spark, d), 0.2)
+    return splits.join_split(league.maps(spark, d), split).select("match_id", "map_index", "split")
 
 
 @query("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
@@ -332,10 +376,11 @@ def left_split_join(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def anti_guard(spark: SparkSession, d: str) -> DataFrame:
-    """Customers without orders."""
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers without urgent orders."""
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    return table(spark, d, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 49)")
@@ -345,12 +390,12 @@ def semi_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").join(large, F.col("s_suppkey") == F.col("l_suppkey"), "left_semi").select("s_suppkey", "s_name")
 
 
-@query("SELECT a.l_orderkey, round(b.l_quantity - a.l_quantity, 4) AS change FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2")
+@query(f"""{SQL}, r AS (SELECT match_id, map_index, (s1 - s2) / 10.0 AS x FROM maps)
+SELECT a.match_id, CAST(a.x AS DOUBLE) AS first, CAST(b.x AS DOUBLE) AS second FROM r a JOIN r b ON a.match_id = b.match_id AND a.map_index = 0 AND b.map_index = 1""")
 def self_pair_join(spark: SparkSession, d: str) -> DataFrame:
-    """First and second item of each order."""
-    i = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    a, b = i.where("l_linenumber = 1").alias("a"), i.where("l_linenumber = 2").alias("b")
-    return a.join(b, "l_orderkey").select("l_orderkey", F.round(F.col("b.l_quantity") - F.col("a.l_quantity"), 4).alias("change"))
+    """First and second map of each match."""
+    residual = ((F.col("team1_score") - F.col("team2_score")) / 10.0).cast("double")
+    return diagnostics.compounding_pairs(league.maps(spark, d).select("match_id", "map_index", residual.alias("residual")))
 
 
 _PATHS = """SELECT r_name, n_name, count(*) AS customers, round(avg(c_acctbal), 4) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL"""
@@ -467,7 +512,7 @@ SELECT CAST(g AS DOUBLE) AS grid_value, round(s, 8) AS score, i = arg_min(i, (s,
 def argmin_grid(spark: SparkSession, d: str) -> DataFrame:
     """The shrinkage strength of least log loss, all of the grid in one pass."""
     e = table(spark, d, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "error").cast("int").alias("bad"))
-    read = asof.prior_state(e, e, ["user_id"], sums={"b": "bad", "n": F.lit(1)})
+    read = asof.prior_state(e, e, ["user_id"], sums={"b": "bad", "n": F.lit(1)}, hot=asof.hot_keys(e, ["user_id"]))
 
     def loss(k: Column) -> Column:
         mean = (F.col("b") + k * 0.5) / (F.col("n") + k)
@@ -551,17 +596,62 @@ def flatten_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.size(keys).cast("bigint").alias("n_keys"))
 
 
-@query()
+def _match_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The league's matches as nested JSON documents; in some, the first map's score is no score, and some are cut off."""
+    m = league.maps(spark, d)
+    spoilt = (F.col("match_id").cast("bigint") % 10 == 0) & (F.col("map_index") == 0)
+    cell = F.struct("map_index", F.concat(F.lit("  "), F.lower("map_name")).alias("map_name"), F.when(spoilt, 5).otherwise(F.col("team1_score")).alias("team1_score"), "team2_score", "winner", F.array(F.struct(F.lit("p").alias("player_name"), F.col("pk").cast("double").alias("acs"))).alias("player_stats"))
+    nested = m.groupBy("match_id").agg(F.array_sort(F.collect_list(cell)).alias("maps"))
+    teams = [F.struct(F.col(f"team{i}_name").alias("name"), F.col(f"team{i}_id").alias("team_id")).alias(f"team{i}") for i in (1, 2)]
+    whole = league.matches(spark, d).join(nested, "match_id").select(F.struct("match_id", "event_name", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), *teams, "best_of", "status", "maps").alias("m"))
+    text = F.to_json("m")
+    return whole.select(F.when(F.col("m.match_id").cast("bigint") % 17 == 0, F.substring(text, 1, 40)).otherwise(text).alias("data"))
+
+
+_GOOD = f"""{SQL}, bad AS (SELECT match_id FROM maps WHERE winner IS NOT NULL AND map_index = 0 AND CAST(match_id AS BIGINT) % 10 = 0 AND (greatest(5, s2) < 13 OR (least(5, s2) >= 12 AND abs(5 - s2) <> 2) OR (least(5, s2) < 12 AND greatest(5, s2) <> 13))),
+good AS (SELECT * FROM maps WHERE CAST(match_id AS BIGINT) % 17 <> 0 AND match_id NOT IN (SELECT match_id FROM bad))
+"""
+
+
+@query(_GOOD + "SELECT match_id, map_index, map_name, CASE WHEN CAST(match_id AS BIGINT) % 10 = 0 AND map_index = 0 THEN 5 ELSE s1 END AS team1_score, s2 AS team2_score, winner FROM good WHERE winner IS NOT NULL")
+def flatten_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Finished maps of the documents that are matches with possible scores."""
+    good, _ = documents.parse(_match_documents(spark, d))
+    return documents.flatten_maps(good).select("match_id", "map_index", "map_name", "team1_score", "team2_score", "winner")
+
+
+@query(_GOOD + "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN CAST(match_id AS BIGINT) % 17 = 0 THEN 'not a match' ELSE 'illegal score' END AS reason FROM matches WHERE match_id IN (SELECT match_id FROM maps) AND (CAST(match_id AS BIGINT) % 17 = 0 OR match_id IN (SELECT match_id FROM bad))) GROUP BY reason")
+def quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that were set aside, by reason."""
+    return documents.parse(_match_documents(spark, d))[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""{SQL}, m AS (SELECT count(*) AS n, avg(CAST(greatest(s1, s2) > 13 AS INTEGER)) AS ot FROM maps WHERE winner IS NOT NULL), f AS (SELECT coalesce(CASE WHEN league % 5 > 0 THEN best_of END, 'unknown') AS f, count(*) AS n FROM matches GROUP BY 1)
+SELECT 'maps' AS measure, CAST(n AS DOUBLE) AS value FROM m UNION ALL SELECT 'overtime_rate', round(ot, 8) FROM m UNION ALL SELECT 'matches', count(*) FROM matches UNION ALL SELECT 'format_' || f, n FROM f""")
+def sanity_report(spark: SparkSession, d: str) -> DataFrame:
+    """Counts, the share of maps beyond regulation and the mix of formats, some of them unknown."""
+    m = league.matches(spark, d).withColumn("best_of", F.when(F.col("league").cast("bigint") % 5 > 0, F.col("best_of")))
+    return _rounded(documents.sanity_report(m, league.maps(spark, d)))
+
+
+_REPLICATES, _FLIPS = 200, 500
+_TIMES = " + ".join(f"CAST(u > {e!r} AS INTEGER)" for e in draws.poisson_edges())
+
+
+@query(f"""WITH t AS (SELECT o_custkey % {draws.PRIME} AS k, count(*) AS n, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey), u AS (SELECT r, n, s, {draws.unit_sql('k', 'r', 13)} AS u FROM t, (SELECT unnest(range({_REPLICATES})) AS r)),
+m AS (SELECT r, n, s, {_TIMES} AS m FROM u) SELECT CAST(r AS INTEGER) AS replicate, CAST(sum(m * n) AS BIGINT) AS n, round(sum(m * s) / sum(m * n), 6) AS mean FROM m GROUP BY r""")
 def bootstrap_means(spark: SparkSession, d: str) -> DataFrame:
     """Two hundred resamples of customers' orders."""
-    return reports.bootstrap_sums(table(spark, d, "orders"), "o_custkey", "o_totalprice", 200, 13)
+    return _rounded(reports.bootstrap_sums(table(spark, d, "orders"), "o_custkey", "o_totalprice", _REPLICATES, 13), 6)
 
 
-@query()
+@query(f"""WITH s AS (SELECT s_suppkey % {draws.PRIME} AS k, s_acctbal - 4500.0 AS d FROM supplier), u AS (SELECT r, d, {draws.unit_sql('k', 'r', 29)} AS u FROM s, (SELECT unnest(range({_FLIPS})) AS r)),
+f AS (SELECT r, sum(CASE WHEN u < 0.5 THEN d ELSE -d END) AS x FROM u GROUP BY r), o AS (SELECT sum(d) AS seen, count(*) AS n FROM s)
+SELECT round(CAST(seen / n AS DOUBLE), 6) AS observed, round(avg(CAST(abs(x) >= abs(seen) - 1e-9 * abs(seen) AS DOUBLE)), 6) AS p_value FROM f, o GROUP BY seen, n""")
 def permutation_test(spark: SparkSession, d: str) -> DataFrame:
     """Sign flips of the difference between suppliers' balances and their mean."""
     s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") - 4500.0).alias("d"))
-    return reports.permutation_test(s, "s_suppkey", "d", 500, 29)
+    return _rounded(reports.permutation_test(s, "s_suppkey", "d", _FLIPS, 29), 6)
 
 
 # --- strengths and choices ----------------------------------------------------------------------------------------------
@@ -584,7 +674,7 @@ def select_win_strength(spark: SparkSession, d: str) -> DataFrame:
     ledger = league.tables(spark, d, False).seat_ledger()
     rows = ledger.select("team_id", "map_name", "ts", "won")
     read = asof.prior_state(rows, rows, ["team_id"], sums={"tw": "won", "tg": F.lit(1)})
-    read = asof.prior_state(read, rows, ["team_id", "map_name"], sums={"mw": "won", "mg": F.lit(1)})
+    read = asof.prior_state(read, rows, ["team_id", "map_name"], sums={"mw": "won", "mg": F.lit(1)}, base=rows)
     prior = shrink.rate(F.col("tw"), F.col("tg"), 0.5) * 0.98 + 0.01
     read = read.withColumn("p", prior)
 
@@ -629,10 +719,13 @@ _PARTS = ("map_win_rate_diff", "ot_rate_diff", "map_round_margin_variance", "for
 _TWELVE = [c for c in features.FEATURES if c != "elo_differential"]
 
 
+ORACLES["feature_matrix"] = f"SELECT match_id, map_index, {', '.join(features.FEATURES)} FROM ({ORACLES['elo_differential']}) e {' '.join(f'JOIN ({ORACLES[n]}) p{i} USING (match_id, map_index)' for i, n in enumerate(_PARTS))}"
+
+
 @query(f"SELECT match_id, map_index, {', '.join(_TWELVE)} FROM ({ORACLES[_PARTS[0]]}) p0 {' '.join(f'JOIN ({ORACLES[n]}) p{i} USING (match_id, map_index)' for i, n in enumerate(_PARTS) if i)}")
 def feature_columns(spark: SparkSession, d: str) -> DataFrame:
-    """The matrix without the rating, which SQL cannot fold in reasonable time."""
-    return _rounded(feature_matrix(spark, d).select(*features.ROW, *_TWELVE))
+    """The matrix without the rating."""
+    return feature_matrix(spark, d).select(*features.ROW, *_TWELVE)
 
 
 # --- more over events, orders and items -------------------------------------------------------------------------------
@@ -646,8 +739,8 @@ def three_level_shrink(spark: SparkSession, d: str) -> DataFrame:
     """Error rates of a user's events by room, shrunk to the user's, itself shrunk to everyone's."""
     e = table(spark, d, "events").select("event_id", "user_id", (F.col("event_id") % 3).alias("room"), "ts", (F.col("event_type") == "error").cast("int").alias("bad"))
     read = asof.prior_state(e.drop("bad"), e, ["user_id"], sums={"ub": "bad", "un": F.lit(1)})
-    read = asof.prior_state(read, e, ["user_id", "room"], sums={"vb": "bad", "vn": F.lit(1)})
-    read = asof.prior_totals(read, e, [], sums={"lb": "bad", "ln": F.lit(1)})
+    read = asof.prior_state(read, e, ["user_id", "room"], sums={"vb": "bad", "vn": F.lit(1)}, base=e)
+    read = asof.prior_totals(read, e, [], sums={"lb": "bad", "ln": F.lit(1)}, base=e)
     own = shrink.beta_mean(F.col("ub"), F.col("un"), shrink.rate(F.col("lb"), F.col("ln"), 0.5), 50.0)
     return _rounded(read.select("event_id", shrink.beta_mean(F.col("vb"), F.col("vn"), own, 20.0).alias("shrunk")))
 
@@ -669,24 +762,196 @@ def pair_h2h(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(read.select("o_orderkey", (shrink.beta_mean(F.col("w"), F.col("g"), F.lit(0.5), 20.0) - 0.5).alias("centered")))
 
 
-_SIDES = {m: ((i * 3 % 7) / 7.0, (i * 5 % 7) / 7.0) for i, m in enumerate(_POOL)}
-_SIDE_VALUES = ", ".join(f"('{m}', {a}, {b})" for m, (a, b) in _SIDES.items())
-_SCRIPT_VALUES = ", ".join(f"({i}, '{x}')" for i, x in enumerate(veto.SCRIPTS[3]))
+_CHOICES = ORACLES["choice_features"]
+_SCRIPT = league._SCRIPTS
 
 
-@query(f"""WITH RECURSIVE v(m, a, b) AS (VALUES {_SIDE_VALUES}), script(step, action) AS (VALUES {_SCRIPT_VALUES}),
-r(step, action, m, taken) AS (
-  SELECT -1, '', '', CAST([] AS VARCHAR[])
+@query(f"""WITH RECURSIVE v AS ({_CHOICES}), script AS (SELECT [{_SCRIPT}] AS s),
+r(match_id, step, action, m, taken) AS (
+  SELECT DISTINCT match_id, -1, '', '', CAST([] AS VARCHAR[]) FROM v
   UNION ALL
-  SELECT step, action, m, list_append(taken, m) FROM (
-    SELECT s.step, s.action, v.m, r.taken, row_number() OVER (PARTITION BY r.step
-      ORDER BY CASE WHEN s.action = 'pick' THEN -1 ELSE 1 END * CASE WHEN s.step % 2 = 0 THEN a - b ELSE b - a END, v.m) AS k
-    FROM r JOIN script s ON s.step = r.step + 1 JOIN v ON NOT list_contains(r.taken, v.m)) WHERE k = 1)
-SELECT CAST(step AS INTEGER) AS step, CASE WHEN action = 'decider' THEN '' WHEN step % 2 = 0 THEN 'A' ELSE 'B' END AS side, action, m AS map_name FROM r WHERE step >= 0""")
+  SELECT match_id, step, action, m, list_append(taken, m) FROM (
+    SELECT match_id, step, action, m, taken, row_number() OVER (PARTITION BY match_id ORDER BY CASE WHEN action = 'pick' THEN -x ELSE x END, m) AS k FROM (
+      SELECT r.match_id, r.step + 1 AS step, s[CAST(CAST(r.match_id AS BIGINT) % 3 AS INTEGER) + 1][r.step + 2] AS action, v.map_name AS m, r.taken, CASE WHEN (r.step + 1) % 2 = 0 THEN own_rate ELSE other_rate END AS x
+      FROM r JOIN v ON v.match_id = r.match_id AND NOT list_contains(r.taken, v.map_name), script WHERE r.step < 6)) WHERE k = 1)
+SELECT match_id, CAST(step AS INTEGER) AS step, CASE WHEN action = 'decider' THEN '' WHEN step % 2 = 0 THEN 'A' ELSE 'B' END AS side, action, m AS map_name FROM r WHERE step >= 0""")
 def greedy_select(spark: SparkSession, d: str) -> DataFrame:
-    """A greedy veto for a series of three: each side bans its worst map and picks its best."""
-    steps = veto.greedy_veto({m: a for m, (a, _) in _SIDES.items()}, {m: b for m, (_, b) in _SIDES.items()}, 3)
-    return spark.createDataFrame(steps, "step int, side string, action string, map_name string")
+    """The greedy veto of every match, by both sides' rates before it, to eight places: each bans its worst map and picks its best."""
+    rates = choice_features(spark, d).select("match_id", ((F.col("match_id").cast("bigint") % 3) * 2 + 1).cast("int").alias("best_of"), "map_name", F.col("own_rate").alias("a"), F.col("other_rate").alias("b"))
+    return veto.greedy_vetoes(rates)
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT o_orderkey AS k, CAST(o_orderkey % {draws.PRIME} AS BIGINT) AS h FROM orders), pool AS (SELECT unnest([{', '.join(f"'{m}'" for m in league.MAP_NAMES)}]) AS m, unnest(range(7)) AS i),
+r(k, h, draw, step, taken, p) AS (
+  SELECT k, h, draw, 0, CAST([] AS VARCHAR[]), CAST(1.0 AS DOUBLE) FROM o, (SELECT unnest(range(2)) AS draw)
+  UNION ALL
+  SELECT k, h, draw, step + 1, list_append(taken, m), p * w / total FROM (
+    SELECT *, row_number() OVER (PARTITION BY k, draw ORDER BY upto > mark DESC, m) AS nth FROM (
+      SELECT *, {draws.unit_sql('h', 'draw * 7 + step', 5)} * total AS mark FROM (
+        SELECT *, sum(w) OVER (PARTITION BY k, draw) AS total, sum(w) OVER (PARTITION BY k, draw ORDER BY m) AS upto FROM (
+          SELECT r.*, pool.m, exp((r.k * (i + 1) + r.step * 5) % 11 / 5.0) AS w FROM r JOIN pool ON NOT list_contains(r.taken, pool.m) WHERE r.step < 6)))) WHERE nth = 1)
+SELECT CAST(k AS VARCHAR) AS match_id, CAST(draw AS INTEGER) AS draw, array_to_string(list_concat(taken, list_filter([{', '.join(f"'{m}'" for m in league.MAP_NAMES)}], lambda m: NOT list_contains(taken, m))), '>') AS sequence, round(p, 8) AS p FROM r WHERE step = 6""")
+def sampled_vetoes(spark: SparkSession, d: str) -> DataFrame:
+    """Two sampled vetoes of every match, from scores by map and step."""
+    pool = F.posexplode(F.array(*[F.lit(m) for m in league.MAP_NAMES])).alias("i", "map_name")
+    o = table(spark, d, "orders").select("o_orderkey", pool).select("o_orderkey", "i", "map_name", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("step"))
+    score = (F.col("o_orderkey") * (F.col("i") + 1) + F.col("step") * 5) % 11 / 5.0
+    out = veto.sample_vetoes(o.select("o_orderkey", "step", "map_name", score.alias("score")), 2, 5, 7, "o_orderkey")
+    return _rounded(out.select(F.col("o_orderkey").cast("string").alias("match_id"), "draw", F.array_join("sequence", ">").alias("sequence"), "p"))
+
+
+# --- vetoes as they were played -----------------------------------------------------------------------------------------
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return veto_steps.candidates(league.vetoes(spark, d), league.matches(spark, d), league.MAP_NAMES)
+
+
+_WG = {"w": "won", "g": "1"}
+_RATED = f"""{league.VETO_SQL}, opp AS (SELECT team_id AS opponent_id, map_name, ts, won FROM seat){_join_reads({
+    "ra": _read("seat", ["team_id"], _WG, "cand"), "ram": _read("seat", ["team_id", "map_name"], _WG, "cand"), "rb": _read("opp", ["opponent_id"], _WG, "cand"), "rbm": _read("opp", ["opponent_id", "map_name"], _WG, "cand"),
+    "rm": _read("seat", ["map_name"], {"n": "1", "s": "abs(margin)", "ss": "margin * margin", "o": "ot"}, "cand", "seat = 1"), "rl": _read("(SELECT * FROM seat WHERE seat = 1) z", [], {"n": "1", "o": "ot"}, "cand")})},
+rated AS (SELECT ra.q.match_id AS match_id, ra.q.step_index AS step_index, ra.q.action AS action, ra.q.map_name AS map_name, ra.q.chosen AS chosen,
+    (ram.w + 10 * CASE WHEN ra.g = 0 THEN 0.5 ELSE ra.w / ra.g END) / (ram.g + 10.0) AS own_rate, (rbm.w + 10 * CASE WHEN rb.g = 0 THEN 0.5 ELSE rb.w / rb.g END) / (rbm.g + 10.0) AS other_rate,
+    CASE WHEN ra.g = 0 THEN 0.5 ELSE ra.w / ra.g END AS overall, CASE WHEN rm.n > 1 THEN (rm.ss - rm.s * 1.0 * rm.s / rm.n) / (rm.n - 1) ELSE 0 END AS margin_variance,
+    (rm.o + 1000 * CASE WHEN rl.n = 0 THEN 0 ELSE rl.o / rl.n END) / (rm.n + 1000.0) AS ot_rate
+  FROM ra JOIN ram ON ra.q = ram.q JOIN rb ON ra.q = rb.q JOIN rbm ON ra.q = rbm.q JOIN rm ON ra.q = rm.q JOIN rl ON ra.q = rl.q)
+"""
+
+
+@query(_RATED + """SELECT match_id, step_index, map_name, chosen, round(own_rate, 8) AS own_rate, round(other_rate, 8) AS other_rate, round(own_rate - overall, 8) + CAST(0 AS DOUBLE) AS speciality,
+  round(margin_variance, 8) AS margin_variance, round(ot_rate, 8) AS ot_rate FROM rated WHERE action = 'pick'""")
+def pick_training_set(spark: SparkSession, d: str) -> DataFrame:
+    """The maps left at each pick, what was picked, and the five features of the choice."""
+    t = league.tables(spark, d, False)
+    rows = veto_steps.with_rates(_candidates(spark, d).where("action = 'pick'"), t)
+    return _rounded(rows.select(*veto_steps.STEP, "map_name", "chosen", *veto_steps.CHOICE_FEATURES))
+
+
+_PLAYED = f"""{league.VETO_SQL}, ev AS (SELECT map_name, ts FROM played WHERE winner IS NOT NULL){_join_reads({"f": _read("ev", ["map_name"], {"n": "1"}, "cand")})},
+fr AS (SELECT q.match_id AS match_id, q.step_index AS step_index, q.action AS action, q.map_name AS map_name, q.chosen AS chosen, CASE WHEN sum(n) OVER s > 0 THEN greatest(n / sum(n) OVER s, 1e-12) ELSE 1.0 / count(*) OVER s END AS share
+  FROM f WINDOW s AS (PARTITION BY q.match_id, q.step_index)),
+pr AS (SELECT *, share / sum(share) OVER (PARTITION BY match_id, step_index) AS p FROM fr),
+sc AS (SELECT *, row_number() OVER (PARTITION BY match_id, step_index ORDER BY p DESC, map_name) AS rank FROM pr)
+"""
+
+
+@query(_PLAYED + """SELECT step_index, count(*) AS n_steps, round(avg(-ln(p)), 8) AS mean_cross_entropy, round(avg(CAST(rank = 1 AS INTEGER)), 8) AS top1_accuracy, round(avg(CAST(rank <= 3 AS INTEGER)), 8) AS top3_accuracy
+FROM sc WHERE chosen GROUP BY GROUPING SETS ((), (step_index))""")
+def veto_frequency_report(spark: SparkSession, d: str) -> DataFrame:
+    """How well the most played maps foretell each step of a veto, given the steps before it."""
+    scored = veto_steps.score_steps(veto_steps.by_frequency(_candidates(spark, d), league.matches(spark, d), league.maps(spark, d)))
+    return _rounded(veto_steps.step_report(scored))
+
+
+@query(_RATED + """, ps AS (SELECT *, exp(z - max(z) OVER s) AS e FROM (SELECT *, CASE WHEN action = 'ban' THEN -own_rate ELSE own_rate END AS z FROM rated) WINDOW s AS (PARTITION BY match_id, step_index)),
+pp AS (SELECT match_id, step_index, map_name, chosen, e / sum(e) OVER s AS greedy, 1.0 / count(*) OVER s AS uniform FROM ps WINDOW s AS (PARTITION BY match_id, step_index)),
+u AS (UNPIVOT (SELECT match_id, step_index, map_name, chosen, CAST(greedy AS DOUBLE) AS greedy, CAST(uniform AS DOUBLE) AS uniform FROM pp) ON greedy, uniform INTO NAME arm VALUE p),
+sc AS (SELECT *, row_number() OVER (PARTITION BY arm, match_id, step_index ORDER BY round(p, 12) DESC, map_name) AS rank FROM u),
+m AS (SELECT arm, count(*) AS n_steps, avg(-ln(p)) AS c, avg(CAST(rank = 1 AS INTEGER)) AS t1, avg(CAST(rank <= 3 AS INTEGER)) AS t3 FROM sc WHERE chosen GROUP BY arm)
+SELECT m.arm, m.n_steps, round(m.c, 6) AS mean_cross_entropy, round(m.t1, 6) AS mean_top1, round(m.t3, 6) AS mean_top3, round(m.c - b.c, 6) AS delta_cross_entropy, round(m.t1 - b.t1, 6) AS delta_top1, round(m.t3 - b.t3, 6) AS delta_top3
+FROM m, (SELECT * FROM m WHERE arm = 'uniform') b""")
+def veto_arms(spark: SparkSession, d: str) -> DataFrame:
+    """The greedy step model against equal chances over the same steps; chances are compared to twelve places."""
+    t = league.tables(spark, d, False)
+    rows = veto_steps.with_rates(_candidates(spark, d), t)
+    arms = {n: veto_steps.score_steps(f(rows).withColumn("p", F.round("p", 12))) for n, f in (("greedy", veto_steps.by_greed), ("uniform", veto_steps.uniform))}
+    return _rounded(veto_steps.compare_arms(arms, "uniform"), 6)
+
+
+# --- held-out maps and series -----------------------------------------------------------------------------------------------
+
+_BASE = f"""{SQL}{_join_reads({"t": _read("seat", ["team_id"], {"w": "won", "g": "1"}), "l": _read("(SELECT * FROM seat WHERE seat = 1) z", [], {"o": "ot", "n": "1"})})},
+b0 AS (SELECT t.q.match_id AS match_id, t.q.map_index AS map_index, max(CASE WHEN t.q.side = 1 THEN (t.w + 5.0) / (t.g + 10.0) END) AS a, max(CASE WHEN t.q.side = 2 THEN (t.w + 5.0) / (t.g + 10.0) END) AS b, max(CASE WHEN l.n = 0 THEN 0.0 ELSE l.o / l.n END) AS ot
+  FROM t JOIN l ON t.q = l.q GROUP BY 1, 2),
+o AS (SELECT match_id, row_number() OVER (ORDER BY ts, match_id) AS n, count(*) OVER () AS t FROM matches),
+test AS (SELECT match_id FROM o WHERE n > t - greatest(1, CAST(round_even(t * 0.15, 0) AS BIGINT))),
+y AS (SELECT match_id, map_index, CASE WHEN s1 > s2 THEN CASE WHEN least(s1, s2) >= 12 THEN 1 ELSE 0 END ELSE CASE WHEN least(s1, s2) >= 12 THEN 2 ELSE 3 END END AS y FROM maps JOIN test USING (match_id)),
+p AS (SELECT match_id, map_index, y, a / (a + b) * (1 - ot) AS p0, a / (a + b) * ot AS p1, b / (a + b) * ot AS p2, b / (a + b) * (1 - ot) AS p3 FROM b0 JOIN y USING (match_id, map_index)),
+s AS (SELECT *, pow(p0 - CAST(y < 1 AS INTEGER), 2) + pow(p0 + p1 - CAST(y < 2 AS INTEGER), 2) + pow(p0 + p1 + p2 - CAST(y < 3 AS INTEGER), 2) AS rps, -ln([p0, p1, p2, p3][y + 1]) AS ll, (p0 + p1 >= 0.5) = (y < 2) AS ok FROM p),
+m AS (SELECT count(*) AS n_eval, avg(rps) AS mean_rps, avg(ll) AS mean_log_loss, avg(CAST(ok AS INTEGER)) AS acc, [avg(p0), avg(p1), avg(p2), avg(p3)] AS pr, [avg(CAST(y = 0 AS INTEGER)), avg(CAST(y = 1 AS INTEGER)), avg(CAST(y = 2 AS INTEGER)), avg(CAST(y = 3 AS INTEGER))] AS ob FROM s),
+c AS (SELECT unnest({list(harness.LABELS)}) AS category, unnest(pr) AS predicted, unnest(ob) AS observed, unnest(range(4)) AS i FROM m)
+"""
+
+
+def _held_out(spark: SparkSession, d: str) -> DataFrame:
+    t = league.tables(spark, d, False)
+    rows = harness.held_out_maps(t, seats.outcome_labels(t.maps), splits.chronological_split(t.matches, check=False))
+    return harness.score_held_out(jobs.baseline, rows, t)
+
+
+@query(_BASE + """SELECT n_eval, round(mean_rps, 7) AS mean_rps, round(mean_log_loss, 7) AS mean_log_loss, round(acc, 7) AS side_accuracy, (SELECT arg_max(category, (abs(predicted - observed), -i)) FROM c) AS worst_category,
+round(pr[2] + pr[3], 7) AS ot_predicted, round(ob[2] + ob[3], 7) AS ot_observed, round(abs(pr[2] + pr[3] - ob[2] - ob[3]), 7) AS ot_gap FROM m""")
+def held_out_report(spark: SparkSession, d: str) -> DataFrame:
+    """The four-way baseline over the maps of the latest matches."""
+    return _rounded(harness.evaluation_report(_held_out(spark, d)), 7)
+
+
+@query(_BASE + "SELECT category, round(predicted, 7) AS predicted, round(observed, 7) AS observed, round(abs(predicted - observed), 7) AS gap FROM c")
+def held_out_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """The same by outcome."""
+    return _rounded(harness.calibration(_held_out(spark, d)), 7)
+
+
+_FLAT = f"""{SQL}, q1 AS (SELECT match_id, ts, team1_id AS team_id FROM matches), q2 AS (SELECT match_id, ts, team2_id AS team_id FROM matches){_join_reads({"a": _read("seat", ["team_id"], {"w": "won", "g": "1"}, "q1"), "b": _read("seat", ["team_id"], {"w": "won", "g": "1"}, "q2")})},
+r AS (SELECT a.q.match_id AS match_id, CAST(a.q.match_id AS BIGINT) % 3 * 2 + 1 AS best_of, CASE WHEN a.g = 0 THEN 0.5 ELSE a.w / a.g END AS x, CASE WHEN b.g = 0 THEN 0.5 ELSE b.w / b.g END AS y FROM a JOIN b ON a.q.match_id = b.q.match_id),
+f AS (SELECT match_id, best_of, CASE WHEN x + y = 0 THEN 0.5 ELSE x / (x + y) END AS p FROM r),
+v AS (SELECT match_id, best_of, p, CASE best_of WHEN 1 THEN [p, 1 - p] WHEN 3 THEN [p * p, 2 * p * p * (1 - p), 2 * p * (1 - p) * (1 - p), (1 - p) * (1 - p)]
+  ELSE [pow(p, 3), 3 * pow(p, 3) * (1 - p), 6 * pow(p, 3) * pow(1 - p, 2), 6 * pow(p, 2) * pow(1 - p, 3), 3 * p * pow(1 - p, 3), pow(1 - p, 3)] END AS v FROM f)
+"""
+
+
+def _flat(spark: SparkSession, d: str) -> DataFrame:
+    t = league.tables(spark, d, False)
+    rows = t.matches.select("match_id", "ts", names.best_of(F.col("best_of")).alias("best_of"), "team1_id", "team2_id")
+    return series_eval.flat_series(rows, t)
+
+
+@query(_FLAT + "SELECT match_id, CAST(best_of AS INTEGER) AS best_of, round(p, 8) AS p_map, len(v) AS n, round(v[1], 8) AS p_sweep, round(v[2], 8) AS p_second, round(v[-1], 8) AS p_swept FROM v")
+def flat_series(spark: SparkSession, d: str) -> DataFrame:
+    """Scoreline chances of every match from one chance for all of its maps."""
+    v = F.col("probabilities")
+    out = _flat(spark, d).select("match_id", "best_of", "p_map", F.size(v).cast("bigint").alias("n"), *[F.element_at(v, i).alias(n) for i, n in ((1, "p_sweep"), (2, "p_second"), (-1, "p_swept"))])
+    return _rounded(out)
+
+
+@query(_FLAT + """, y AS (SELECT *, CAST(match_id AS BIGINT) * 7 % (best_of + 1) AS y FROM v)
+SELECT CAST(best_of AS INTEGER) AS best_of, count(*) AS n_eval, round(avg(v[1] + v[-1]), 7) AS predicted_sweep, round(avg(CAST(y IN (0, best_of) AS INTEGER)), 7) AS observed_sweep, round(avg(v[1]), 7) AS predicted_a, round(avg(CAST(y = 0 AS INTEGER)), 7) AS observed_a,
+  round(avg(v[-1]), 7) AS predicted_b, round(avg(CAST(y = best_of AS INTEGER)), 7) AS observed_b, round(avg(v[1] + v[-1]) - avg(CAST(y IN (0, best_of) AS INTEGER)), 7) AS gap_sweep, round(avg(v[1]) - avg(CAST(y = 0 AS INTEGER)), 7) AS gap_a, round(avg(v[-1]) - avg(CAST(y = best_of AS INTEGER)), 7) AS gap_b
+FROM y GROUP BY best_of""")
+def sweep_report(spark: SparkSession, d: str) -> DataFrame:
+    """How often series are swept, predicted by the flat baseline, against outcomes that keys give."""
+    y = (F.col("match_id").cast("bigint") * 7 % (F.col("best_of") + 1)).cast("int")
+    return _rounded(series_eval.sweep_report(_flat(spark, d).withColumn("outcome_index", y)), 7)
+
+
+@query(league.ELO_SQL + "SELECT team_id, round(arg_max(rating, (ts, match_id, map_index)), 8) AS rating, count(*) AS n_maps FROM elo_rows GROUP BY team_id")
+def elo_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Each team's last rating, and how many maps it is from."""
+    ledger = league.tables(spark, d, False).rated(32.0, 1500.0)
+    return _rounded(ledger.groupBy("team_id").agg(F.max_by("rating", F.struct("ts", "match_id", "map_index")).alias("rating"), F.count(F.lit(1)).alias("n_maps")))
+
+
+@query(f"""WITH g AS (SELECT n_nationkey, unnest([{', '.join(f"'{m}'" for m in league.MAP_NAMES)}]) AS map_name FROM nation), c AS (SELECT c_nationkey, ([{', '.join(f"'{m}'" for m in league.MAP_NAMES)}])[CAST(c_custkey % 7 + 1 AS INTEGER)] AS map_name, count(*) AS n FROM customer GROUP BY ALL)
+SELECT n_nationkey, g.map_name, coalesce(n, 0) AS n FROM g LEFT JOIN c ON n_nationkey = c_nationkey AND g.map_name = c.map_name""")
+def cross_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Every nation with every map of the pool, and how many customers have both."""
+    pool = F.array(*[F.lit(m) for m in league.MAP_NAMES])
+    grid = table(spark, d, "nation").select("n_nationkey", F.explode(pool).alias("map_name"))
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey"), F.element_at(pool, (F.col("c_custkey") % 7 + 1).cast("int")).alias("map_name")).agg(F.count(F.lit(1)).alias("n"))
+    return grid.join(c, ["n_nationkey", "map_name"], "left").select("n_nationkey", "map_name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS match_id, CAST(o_orderkey % 5 AS INTEGER) AS map_index, o_orderdate AS ts FROM orders WHERE o_orderpriority = '1-URGENT'""")
+def json_lines_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Questions written as JSON lines, read as a stream and answered batch by batch; lines that are none are left out."""
+    folder = f"{shared_folder(spark).rstrip('/')}/questions-{uuid.uuid4().hex}"
+    asked = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    line = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("match_id"), (F.col("o_orderkey") % 5).cast("int").alias("map_index"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts")))
+    asked.select(F.explode(F.array(line, F.lit("no question"))).alias("value")).write.text(f"{folder}/in")
+    stream = streams.json_lines(spark, f"{folder}/in")
+    streams.answer_all(stream, lambda batch: batch.select("match_id", "map_index", "ts"), f"{folder}/out", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
 @query("""WITH w AS (SELECT l_returnflag, l_quantity AS q, [l_discount, l_tax, 1 - l_discount - l_tax] AS v FROM lineitem)
@@ -709,23 +974,65 @@ def derived_quantities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graded(spark: SparkSession, d: str) -> DataFrame:
-    """Items with a grade of their price to be told from quantity, discount and tax."""
-    price = F.col("l_extendedprice")
-    return table(spark, d, "lineitem").select(
-        *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_tax")], F.when(price < 20000, 0).when(price < 45000, 1).otherwise(2).alias("grade")
-    )
+    """Items with a grade that follows their quantity and discount, and is noisy by their key."""
+    z = F.col("l_quantity") / 10 - F.col("l_discount") * 20 + F.col("l_orderkey") * 7919 % 100 / 25.0
+    return table(spark, d, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount")], F.when(z < 2.7, 0).when(z < 4.3, 1).otherwise(2).alias("grade"))
 
 
-@query()
+_STEPS = 1500
+_SIG = "(1 / (1 + exp(-({}))))"
+
+
+@query(f"""WITH RECURSIVE z AS (SELECT l_quantity AS q, l_discount AS f, l_quantity / 10 - l_discount * 20 + (l_orderkey * 7919 % 100) / 25.0 AS z FROM lineitem),
+m AS (SELECT avg(q) AS mq, stddev_pop(q) AS sq, avg(f) AS mf, stddev_pop(f) AS sf, count(*) AS n, avg(CAST(z < 2.7 AS INTEGER)) AS c0, avg(CAST(z < 4.3 AS INTEGER)) AS c1 FROM z),
+cell AS MATERIALIZED (SELECT (q - mq) / sq AS x, (f - mf) / sf AS v, CASE WHEN z < 2.7 THEN 0 WHEN z < 4.3 THEN 1 ELSE 2 END AS y, count(*) * 1.0 / max(n) AS k FROM z, m GROUP BY ALL),
+g(i, w, u, a, b) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), ln(c0 / (1 - c0)), ln(c1 / (1 - c1)) FROM m
+  UNION ALL
+  SELECT i + 1, w - 0.7 * (w + sum(k * d * x)), u - 0.7 * (u + sum(k * d * v)), a - 0.7 * sum(k * da), b - 0.7 * sum(k * db) FROM (
+    SELECT i, w, u, a, b, k, x, v, CASE y WHEN 0 THEN -(1 - p) WHEN 1 THEN -(r * (1 - r) - p * (1 - p)) / (r - p) ELSE r END AS d, CASE y WHEN 0 THEN -(1 - p) WHEN 1 THEN p * (1 - p) / (r - p) ELSE 0 END AS da,
+      CASE y WHEN 0 THEN 0 WHEN 1 THEN -r * (1 - r) / (r - p) ELSE r END AS db
+    FROM (SELECT g.*, k, x, v, y, {_SIG.format("a + w * x + u * v")} AS p, {_SIG.format("b + w * x + u * v")} AS r FROM g, cell WHERE i < {_STEPS}))
+  GROUP BY i, w, u, a, b),
+e AS (SELECT * FROM g WHERE i = {_STEPS})
+SELECT unnest(['l_quantity', 'l_discount', 'cut_0', 'cut_1', 'loss']) AS name, round(unnest([w, u, a, b, (w * w + u * u) / 2 - (SELECT sum(k * ln(CASE y WHEN 0 THEN {_SIG.format("a + w * x + u * v")} WHEN 1 THEN {_SIG.format("b + w * x + u * v")} - {_SIG.format("a + w * x + u * v")} ELSE 1 - {_SIG.format("b + w * x + u * v")} END)) FROM cell)]), 5) AS value FROM e""")
 def fit_ordinal(spark: SparkSession, d: str) -> DataFrame:
-    """(name, value): coefficients and cutpoints of an ordinal logit after at most twenty steps over all items."""
-    model = logit.fit(_graded(spark, d), ["l_quantity", "l_discount", "l_tax"], "grade", "ordinal", logit.FitConfig(max_iter=20))
-    rows = [*model.report(), *[(f"cut_{i}", float(c)) for i, c in enumerate(model.cuts)], ("loss", float(model.loss))]
+    """(name, value): coefficients, cutpoints and loss of an ordinal logit over all items, whose grades follow quantity and discount; one that has not converged fails."""
+    model = logit.fit(_graded(spark, d), ["l_quantity", "l_discount"], "grade", "ordinal", logit.FitConfig(grad_tol=1e-8))
+    return _rounded(_parameters(spark, model), 5)
+
+
+def _parameters(spark: SparkSession, model: logit.LogitModel) -> DataFrame:
+    if not model.converged:
+        raise guards.IntegrityError(f"the fit has not converged after {model.iterations} iterations")
+    rows = [*zip(model.features, map(float, model.coef), strict=True), *[(f"cut_{i}", float(c)) for i, c in enumerate(model.cuts)], ("loss", float(model.loss))]
     return spark.createDataFrame(rows, "name string, value double")
 
 
-@query()
+@query(_RATED + f""", c AS (SELECT match_id, step_index, chosen, [own_rate, other_rate, own_rate - overall, margin_variance, ot_rate] AS x FROM rated WHERE action = 'pick'),
+mo AS (SELECT [{', '.join(f"avg(x[{i}])" for i in range(1, 6))}] AS m, [{', '.join(f"stddev_pop(x[{i}])" for i in range(1, 6))}] AS s FROM c)
+SELECT unnest({veto_steps.CHOICE_FEATURES}) AS name, round(unnest(m), 7) AS mean, round(unnest(s), 7) AS deviation FROM mo""")
+def choice_moments(spark: SparkSession, d: str) -> DataFrame:
+    """Means and deviations by which picks are standardised, as a fitted choice model holds them."""
+    t = league.tables(spark, d, False)
+    rows = veto_steps.with_rates(_candidates(spark, d).where("action = 'pick'"), t)
+    model = veto_steps.choice_model(rows, "pick")
+    if not model.converged:
+        raise guards.IntegrityError("the choice model has not converged")
+    return _rounded(spark.createDataFrame(list(zip(model.features, model.mean, model.std, strict=True)), "name string, mean double, deviation double"), 7)
+
+
+_CELL = "CASE grade WHEN 0 THEN {0} WHEN 1 THEN {1} - {0} ELSE 1 - {1} END".format(_SIG.format("-2 + eta / t"), _SIG.format("2 + eta / t"))
+_LOSSES = f"SELECT j, t, sum(-k * ln(greatest(1e-12, least(1 - 1e-12, {_CELL})))) AS l FROM c, {{}} GROUP BY j, t"
+
+
+@query(f"""WITH z AS (SELECT l_quantity, l_discount, l_quantity / 10 - l_discount * 20 + (l_orderkey * 7919 % 100) / 25.0 AS z FROM lineitem),
+c AS (SELECT (1.5 - l_quantity / 10 + l_discount * 20) * 2.5 AS eta, CASE WHEN z < 2.7 THEN 0 WHEN z < 4.3 THEN 1 ELSE 2 END AS grade, count(*) AS k FROM z GROUP BY ALL),
+g AS (SELECT j, 0.25 * pow(16.0, j / 60.0) AS t FROM (SELECT unnest(range(61)) AS j)), l AS ({_LOSSES.format("g")}), b AS (SELECT arg_min(j, (l, j)) AS j FROM l),
+e AS (SELECT (SELECT g.t FROM g, b WHERE g.j = greatest(0, b.j - 1)) AS lo, (SELECT g.t FROM g, b WHERE g.j = least(60, b.j + 1)) AS hi), h AS (SELECT j, lo * pow(hi / lo, j / 60.0) AS t FROM e, (SELECT unnest(range(61)) AS j)), n AS ({_LOSSES.format("h")}), o AS ({_LOSSES.format("(SELECT 0 AS j, 1.0 AS t) w")})
+SELECT round(arg_min(t, (n.l, j)), 8) AS temperature, round(min(n.l), 5) AS loss, round((SELECT l FROM o), 5) AS loss_at_one FROM n""")
 def fit_temperature(spark: SparkSession, d: str) -> DataFrame:
-    """(temperature, loss, loss_at_one) of least log loss for a fixed ordinal predictor of price grades."""
-    rows = _graded(spark, d).select(((25.5 - F.col("l_quantity")) / 3.0).alias("eta"), F.lit(-2.0).alias("c0"), F.lit(2.0).alias("c1"), "grade")
-    return spark.createDataFrame([logit.fit_temperature(rows, "eta", ["c0", "c1"], "grade")], "temperature double, loss double, loss_at_one double")
+    """(temperature, loss, loss_at_one) of least log loss for a fixed ordinal predictor of the grades."""
+    rows = _graded(spark, d).select(((1.5 - F.col("l_quantity") / 10 + F.col("l_discount") * 20) * 2.5).alias("eta"), F.lit(-2.0).alias("c0"), F.lit(2.0).alias("c1"), "grade")
+    t, loss, one = logit.fit_temperature(rows, "eta", ["c0", "c1"], "grade")
+    return spark.createDataFrame([(round(t, 8), round(loss, 5), round(one, 5))], "temperature double, loss double, loss_at_one double")

@@ -8,7 +8,8 @@ from pyspark.sql import types as Ty
 from pyspark.sql import Window as W
 
 from oddsloom.functions import names
-from oddsloom.operators.seats import legality
+from oddsloom.operators.seats import above_regulation, legality
+from oddsloom.operators.veto import SCRIPTS
 
 TEAM = "STRUCT<name: STRING, team_id: STRING>"
 PLAYER = (
@@ -81,9 +82,9 @@ def materialize(cached: DataFrame, out: str, data: str = "data") -> None:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, at: str) -> DataFrame:
-    """``old`` with the rows of ``new`` put in or over by key; of several new rows, the latest by ``at``."""
-    latest = W.partitionBy(key).orderBy(F.desc(at))
-    fresh = new.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n")
+    """``old`` with the rows of ``new`` put in or over by key; of several new rows, the latest by ``at``, ties by the row's JSON text."""
+    whole = F.struct(*new.columns)
+    fresh = new.groupBy(F.col(key).alias("__key")).agg(F.max_by(whole, F.struct(F.col(at), F.to_json(whole))).alias("__row")).select("__row.*")
     return old.join(fresh, key, "left_anti").unionByName(fresh)
 
 
@@ -118,9 +119,13 @@ def veto_steps(notes: DataFrame, key: str = "match_id", note: str = "note") -> D
     return rows.select(key, nth.alias("step_index"), "team", "action", "map_name")
 
 
-def event_links(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:
-    """(key, match_url) of the distinct match links of event pages, in order of first sight (``nth``)."""
-    links = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r'href="(/\d+/[^"]*)"'), F.lit(1))).alias("__i", "match_url"))
+#: Links to pages of matches: their path begins with the match's number.
+MATCH_LINK = r'href="(/\d+/[^"]*)"'
+
+
+def event_links(pages: DataFrame, key: str = "url", html: str = "html", pattern: str = MATCH_LINK) -> DataFrame:
+    """(key, match_url, nth) of the distinct links of event pages that fit ``pattern``, in order of first sight."""
+    links = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(pattern), F.lit(1))).alias("__i", "match_url"))
     first = links.groupBy(key, "match_url").agg(F.min("__i").alias("__i"))
     return first.select(key, "match_url", (F.row_number().over(W.partitionBy(key).orderBy("__i")) - 1).alias("nth"))
 
@@ -148,12 +153,61 @@ def era_of(rows: DataFrame, eras: DataFrame, ts: str = "ts") -> DataFrame:
     return rows.join(F.broadcast(e), (day >= F.col("start")) & (F.col("until").isNull() | (day < F.col("until"))), "left").drop("start", "until")
 
 
-def read_fixtures(spark: SparkSession, path: str, as_of: str) -> DataFrame:
-    """Coming fixtures from JSON: those with an id, two different teams, a time from ``as_of`` on and an odd length."""
-    schema = "fixtures ARRAY<STRUCT<match_id: STRING, event: STRING, scheduled_at: STRING, best_of: STRING, team_a_id: STRING, team_b_id: STRING>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.inline("fixtures"))
-    rows = rows.withColumn("ts", F.try_to_timestamp("scheduled_at").cast("timestamp_ntz"))
-    return rows.where(F.col("match_id").isNotNull() & (F.col("team_a_id") != F.col("team_b_id")) & (F.col("ts") >= F.to_timestamp_ntz(F.lit(as_of))) & names.best_of(F.col("best_of")).isNotNull())
+FIXTURES = "fixtures ARRAY<STRUCT<match_id: STRING, event: STRING, scheduled_at: STRING, best_of: STRING, team_a_id: STRING, team_b_id: STRING>>"
+
+
+def judge_fixtures(rows: DataFrame, as_of: str, eras: DataFrame | None = None, teams: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``ts``, ``length`` (the number in best_of) and ``reason``: why a fixture is left out, or null.
+
+    All six texts must be there and not blank, teams must differ and be known
+    (``teams``: team_id), times are without a zone and from ``as_of`` on,
+    lengths have a veto script, the day lies in an era, and of several fixtures
+    with one id all are left out.
+    """
+    fields = ["match_id", "event", "scheduled_at", "best_of", "team_a_id", "team_b_id"]
+    blank = F.lit(False)
+    for c in fields:
+        blank = blank | F.coalesce(F.trim(c) == "", F.lit(True))
+    zone = F.col("scheduled_at").rlike(r"(?i)(z|[+-]\d\d:?\d\d)\s*$") & F.col("scheduled_at").contains(":")
+    out = rows.withColumn("ts", F.try_to_timestamp("scheduled_at").cast("timestamp_ntz")).withColumn("length", names.best_of(F.col("best_of")))
+    counts = rows.where("match_id is not null").groupBy(F.col("match_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    out = out.join(counts, F.col("match_id") == F.col("__id"), "left")
+    if eras is not None:
+        out = era_of(out, eras)
+    known = F.lit(True)
+    if teams is not None:
+        for side in ("a", "b"):
+            ids = teams.select(F.col("team_id").alias(f"__{side}")).distinct()
+            out = out.join(ids, F.col(f"team_{side}_id") == F.col(f"__{side}"), "left")
+            known = known & F.col(f"__{side}").isNotNull()
+    reason = (
+        F.when(blank, "a field is missing")
+        .when(F.col("team_a_id") == F.col("team_b_id"), "a team plays itself")
+        .when(~known, "unknown team")
+        .when(F.col("ts").isNull() | zone, "no time without a zone")
+        .when(F.col("length").isNull() | ~F.col("length").isin(*SCRIPTS), "no series of that length")
+        .when(F.col("__n") > 1, "the id is there twice")
+        .when(F.col("ts") < F.to_timestamp_ntz(F.lit(as_of)), "past")
+    )
+    if eras is not None:
+        reason = reason.when(F.col("era").isNull(), "no era")
+    return out.withColumn("reason", reason).select(*rows.columns, "ts", "length", "reason")
+
+
+def read_fixtures(spark: SparkSession, path: str, as_of: str, eras: DataFrame | None = None, teams: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(coming fixtures, those left out with a reason) from a JSON file; see :func:`judge_fixtures`."""
+    rows = spark.read.schema(FIXTURES).json(path, multiLine=True).select(F.inline("fixtures"))
+    judged = judge_fixtures(rows, as_of, eras, teams)
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
+
+
+def sanity_report(matches: DataFrame, maps: DataFrame) -> DataFrame:
+    """(measure, value): counts of matches and maps, the share of maps beyond regulation, and matches by format, unknown ones too."""
+    m = maps.where("winner is not null").agg(F.count(F.lit(1)).alias("n"), F.avg(above_regulation(F.col("team1_score"), F.col("team2_score")).cast("double")).alias("ot"))
+    cells = [F.struct(F.lit("maps").alias("measure"), F.col("n").cast("double").alias("value")), F.struct(F.lit("overtime_rate").alias("measure"), F.col("ot").alias("value"))]
+    formats = matches.groupBy(F.coalesce("best_of", F.lit("unknown")).alias("format")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    total = matches.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("matches").alias("measure"), "value")
+    return m.select(F.inline(F.array(*cells))).unionByName(total).unionByName(formats.select(F.concat(F.lit("format_"), "format").alias("measure"), "value"))
 
 
 def quarantine_illegal(maps: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -30,6 +30,15 @@ def answer_stream(questions: DataFrame, answer: Callable[[DataFrame], DataFrame]
     return questions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
 
 
+def answer_all(questions: DataFrame, answer: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> None:
+    """Answer all that has arrived, in batches, and stop; a restart goes on behind the last batch that was written."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        answer(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    questions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def windowed_counts(events: DataFrame, ts: str, key: str, value: str, size: str = "1 hour", slide: str | None = None, lateness: str = "2 hours") -> DataFrame:
     """Counts and sums by time window and key; rows later than the watermark are not counted."""
     window = F.window(ts, size, slide) if slide else F.window(ts, size)

@@ -79,11 +79,27 @@ def test_veto_sequences(spark):
         rest = [m for m in pool if m not in seq[:i]]
         p *= math.exp(scores[seq[i]][i]) / sum(math.exp(scores[m][i]) for m in rest)
     assert got[seq] == pytest.approx(p)
-    drawn = veto.sample_sequences([r.asDict() for r in chances.collect()], 50, 3, pool)
-    assert drawn == veto.sample_sequences([r.asDict() for r in chances.collect()], 50, 3, pool)
-    assert all(p == pytest.approx(got[s]) for s, p in drawn)
-    steps = veto.greedy_veto({m: i for i, m in enumerate("abcdefg")}, {m: -i for i, m in enumerate("abcdefg")}, 3)
-    assert [s[3] for s in steps[:4]] == ["a", "g", "f", "b"] and steps[6][2] == "decider"
+    utilities = spark.createDataFrame([(k, s, m, x[s]) for k in range(40) for m, x in scores.items() for s in range(3)], "match_id long, step int, map_name string, score double")
+    drawn = veto.sample_vetoes(utilities, 25, 3, 4).collect()
+    assert drawn == veto.sample_vetoes(utilities.repartition(5), 25, 3, 4).orderBy("match_id", "draw").collect() or sorted(drawn) == sorted(veto.sample_vetoes(utilities.repartition(5), 25, 3, 4).collect())
+    assert len(drawn) == 1000 and all(r.p == pytest.approx(got[tuple(r.sequence)]) for r in drawn)
+    shares = {s: sum(tuple(r.sequence) == s for r in drawn) / 1000 for s in got}
+    assert max(abs(shares[s] - p) for s, p in got.items()) < 0.05
+
+
+def test_greedy_vetoes(spark):
+    rates = [(k, b, m, float(i), float(-i) if k == "x" else 0.5) for k, b in (("x", 3), ("y", 1)) for i, m in enumerate("abcdefg")]
+    df = spark.createDataFrame(rates, "match_id string, best_of int, map_name string, a double, b double")
+    out = {k: [(r.step, r.side, r.action, r.map_name) for r in sorted(veto.greedy_vetoes(df).collect(), key=lambda r: r.step) if r.match_id == k] for k in "xy"}
+    assert [s[3] for s in out["x"]] == list("agfbcde") and out["x"][6] == (6, "", "decider", "e")
+    # All rates of side B are alike in y: it bans by name.
+    assert [s[3] for s in out["y"]] == list("abcdefg") and {s[2] for s in out["y"][:6]} == {"ban"}
+    with pytest.raises(Exception, match="a veto needs"):
+        veto.greedy_vetoes(df.where("map_name <> 'a'")).collect()
+    with pytest.raises(Exception, match="no veto script"):
+        veto.greedy_vetoes(df.withColumn("best_of", F.lit(7))).collect()
+    played = df.limit(1).select(veto.played_maps(F.array(*[F.lit(m) for m in "abcdefg"]), F.lit(3)).alias("p")).first().p
+    assert played == ["c", "d", "g"]
 
 
 def test_fits_recover_known_coefficients(spark):
@@ -185,7 +201,8 @@ def test_eras(spark, tmp_path):
 
 
 def test_train_evaluate_predict(spark, sf):
-    t, rows = league.tables(spark, sf), league.feature_rows(spark, sf)
+    t = league.tables(spark, sf)
+    rows = league.feature_rows(t)
     d = jobs.design(rows, t, jobs.labelled(t.maps), splits.chronological_split(t.matches, check=False)).cache()
     trained = jobs.train(d, "ordinal", logit.FitConfig(max_iter=2))
     assert jobs.report(jobs.evaluate(d, trained)).first().n > 0
