@@ -1,4 +1,4 @@
-"""What the operators share: folds, keys and bounded samples."""
+"""What the operators share: folds, keys, bounded samples and one row of many."""
 
 from __future__ import annotations
 
@@ -19,3 +19,16 @@ def in_fold(doc_id: str | Column, of: int, remainder: int) -> Column:
 def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 7) -> DataFrame:
     """``df``, or its ``most`` rows of smallest key hash: the same rows whatever the partitioning."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), *[F.col(c) for c in df.columns]).limit(most)
+
+
+def one_row_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with one row for each key, the first by its JSON text; rows with a null key stay as they are.
+
+    Rows are reduced before they are shuffled, so a key that very many rows share is no large group.
+    """
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    whole = F.struct(*df.columns)
+    one = df.where(known).groupBy(*keys).agg(F.min_by(whole, F.to_json(whole)).alias("__row")).select("__row.*")
+    return one.unionByName(df.where(~known))

@@ -12,12 +12,13 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from oddsloom.functions.spread import spread_join
+from oddsloom.llm.common import one_row_each
 from oddsloom.session import durable
 
-#: A chunk ends at the first boundary after 256 characters, or after 2048 where there is none.
-CHUNK = r"(?s).{256,2045}?[dlmnrt]\s[abceops]|.{1,2048}"
+#: A chunk ends at the first doubled sign after 256 characters, whatever the script, or after 2048 where there is none.
+CHUNK = r"(?s).{256,2046}?(\S)\1|.{1,2048}"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Tried in turn, narrowest first, until the chunks themselves show no clash; the last is the content.
@@ -81,7 +82,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     table = durable(recipes(docs, id_col, text_col, **how))
     groups = table.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return table.join(groups, "recipe").select(
+    return spread_join(table, groups, ["recipe"], "doc_id").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
@@ -89,13 +90,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row for each different text, that of the largest id, all columns kept.
 
-    Rows that repeat id and text are copies of one another too. Ids of null are
-    kept as they have no key to be found by.
+    Rows that repeat id and text are copies of one another too; of those, the
+    first by its JSON text stays. Ids of null are kept as they have no key to be
+    found by. A null or empty text is a text like any other; an empty table
+    gives an empty result. Columns of any other name may be there.
     """
     table = durable(recipes(docs, id_col, text_col))
     groups = table.groupBy("recipe").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("size"))
     lost = (
-        table.join(groups.where("size > 1"), "recipe")
+        spread_join(table, groups.where("size > 1"), ["recipe"], "doc_id")
         .where(F.col("doc_id") < F.col("keep"))
         .select(F.col("doc_id").alias("__lost"), F.col("text_sha256").alias("__sha"))
         .distinct()
@@ -105,9 +108,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return docs.join(lost, docs[id_col] == F.col("__lost"), "left_anti")
     named = docs.withColumn("__own", F.sha2(normalised(docs[text_col]), 256))
     left = named.join(lost, (F.col(id_col) == F.col("__lost")) & (F.col("__own") == F.col("__sha")), "left_anti")
-    first = W.partitionBy(id_col, "__own").orderBy(F.lit(0))
-    return (
-        left.withColumn("__nth", F.row_number().over(first))
-        .where(F.col("__nth").eqNullSafe(1) | F.col(id_col).isNull())
-        .drop("__own", "__nth")
-    )
+    return one_row_each(left, [id_col, "__own"]).drop("__own")
