@@ -1,11 +1,13 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Every source is cut into hash blocks. A source's target says how often all of
-its blocks are taken and how many of them once more. A binary tree over the
-output shards splits these exact block quotas: each node draws, without
-replacement, how many blocks of each source go to its left half. A shard then
-takes the next blocks of each source's permuted order, so that no two shards
-share a block, and orders its rows by a local random key.
+Every source is cut into hash blocks, which stand in a permuted order. A
+source's target gives its quota of draws: whole passes over all its blocks, then
+the first blocks of the order, then at most one part of a block and one single
+document. A binary tree over the output shards splits these exact quotas: each
+node draws, without replacement, how many units of each source go to its left
+half. A shard takes the next units of each source's order, so that no two shards
+share one, and orders its rows by a local random key. A document is in the mix
+as often as the shards of the tree hold it.
 """
 
 from __future__ import annotations
@@ -13,28 +15,34 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from oddsloom.functions.spread import spread_join
 from oddsloom.session import durable
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Source tables of at most so many rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 20_000
-#: Numbers of (source, shard) that the splitting tree may hold on the driver.
-TREE_CELLS = 2_000_000
+#: Tables of sources or blocks of at most so many rows are broadcast; larger ones are joined by a shuffle, to the same rows.
+BROADCAST_ROWS = 80_000
 
 
 @dataclass(frozen=True)
 class MixConfig:
-    """Weights by rank of the source, repeating; share of all words to take; most copies of a document."""
+    """Weights by rank of the source, repeating; share of all words to take; most copies of a document.
+
+    A source has ``blocks`` blocks, or one for every ``block_rows`` documents if
+    that is more. A tree splits the quotas of ``tree_sources`` sources.
+    """
 
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     share: float = 1.5
     most: int = 2
     blocks: int = 1024
+    block_rows: int = 4096
     shards: int = 16
+    tree_sources: int = 1000
     seed: int = 20_240_607
 
 
@@ -84,35 +92,32 @@ def split_quotas(units: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _joined(df: DataFrame, small: DataFrame, on: Column, rows: int, how: str = "inner") -> DataFrame:
-    return df.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
+def shard_ranges(units: DataFrame, config: MixConfig) -> DataFrame:
+    """(key, shard, first, n): which run of a source's units each shard takes; ``units`` has (key, part, units).
 
+    Sources of one part share a tree, which runs in a task of its own; the
+    driver holds none of them.
+    """
 
-@dataclass
-class Mix:
-    """A plan of the mix: ``sources`` has one row per source with its targets and cuts, ``shards`` one per drawn block."""
+    def split(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        quotas = split_quotas(table["units"].to_numpy(), config.shards, config.seed)
+        ends = np.cumsum(quotas, axis=0)
+        keys = pa.chunked_array([table["key"].combine_chunks()] * config.shards)
+        shard = np.repeat(np.arange(config.shards, dtype=np.int32), table.num_rows)
+        return pa.table({"key": keys, "shard": shard, "first": (ends - quotas).reshape(-1), "n": quotas.reshape(-1)})
 
-    config: MixConfig
-    sources: DataFrame
-    n_sources: int
-    shards: DataFrame | None = None
+    return units.select("key", "part", "units").groupBy("part").applyInArrow(split, "key string, shard int, first long, n long")
 
-    def copies(self, df: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-        """``df`` with ``copies`` (0 to most) and the source's columns; decided row by row, without a shuffle of ``df``.
 
-        A null id is hashed like any other value; rows that repeat an id are decided alike.
-        """
-        cut = self.sources.select(F.col("source").alias("__source"), "source_size", "target", "__full", "__block", "__hash", "__fix")
-        df = df.withColumn("__b", block_of(F.col(id_col), self.config)).withColumn("__h", order_of(F.col(id_col), self.config))
-        out = _joined(df, cut, df[source_col].eqNullSafe(F.col("__source")), self.n_sources)
-        more = (F.col("__b") < F.col("__block")) | ((F.col("__b") == F.col("__block")) & (F.col("__h") <= F.col("__hash"))) | (F.col(id_col) == F.col("__fix"))
-        more = F.coalesce(more & (F.col("__full") < self.config.most), F.lit(False))
-        return out.withColumn("copies", F.col("__full") + more.cast("int"))
+def source_key(source: Column) -> Column:
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def block_of(doc_id: Column, config: MixConfig) -> Column:
-    """The document's block within its source."""
-    return F.pmod(F.xxhash64(F.lit(config.seed), doc_id), F.lit(config.blocks)).cast("int")
+def block_of(doc_id: Column, blocks: Column, config: MixConfig) -> Column:
+    """The document's block within its source of so many blocks."""
+    return F.pmod(F.xxhash64(F.lit(config.seed), doc_id), blocks).cast("long")
 
 
 def order_of(doc_id: Column, config: MixConfig) -> Column:
@@ -120,87 +125,104 @@ def order_of(doc_id: Column, config: MixConfig) -> Column:
     return F.xxhash64(F.lit(config.seed + 1), doc_id)
 
 
-def plan_mix(docs: DataFrame, config: MixConfig | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[Mix, DataFrame]:
-    """The plan for ``docs`` and the table (doc_id, source, size) that it was made from.
+def _with_source(rows: DataFrame, sources: DataFrame, n: int, by: str) -> DataFrame:
+    """``rows`` with their source's columns, by ``key``; the rows of a hot source stay where they are, or are spread."""
+    return rows.join(F.broadcast(sources), "key") if n <= BROADCAST_ROWS else spread_join(rows, sources, ["key"], by)
+
+
+@dataclass
+class Mix:
+    """A plan: ``sources`` has one row per source with size, target and number of blocks.
 
-    A source's last pass takes whole blocks while they fit, then documents of
-    the next block while they fit, then the one document left whose size comes
-    nearest to what is missing, if that is nearer than none.
+    ``drawn`` has one row per unit that a shard holds: (key, block, pass, shard,
+    upto, only). ``upto`` is the last place within the block that belongs to
+    it, null for all; ``only`` is the id of a single document, null for all.
     """
-    config = config or MixConfig()
-    sizes = durable(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
-    blocks = sizes.groupBy("source", block_of(F.col("doc_id"), config).alias("block")).agg(F.sum("size").alias("words"))
-    blocks = durable(blocks)
-    targets = durable(source_targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), config))
-    n_sources = targets.count()
-    share = targets.withColumn("__full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
-    share = share.withColumn("__rest", F.col("target") - F.col("__full") * F.col("source_size")).withColumnRenamed("source", "__source")
-
-    running = _joined(blocks, share, F.col("source").eqNullSafe(F.col("__source")), n_sources).withColumn(
-        "__cum", F.sum("words").over(W.partitionBy("source").orderBy("block"))
-    )
-    cut = running.groupBy("__source", "source_size", "target", "__full", "__rest").agg(
-        F.coalesce(F.min(F.when(F.col("__cum") > F.col("__rest"), F.col("block"))), F.lit(config.blocks)).alias("__block"),
-        F.coalesce(F.max(F.when(F.col("__cum") <= F.col("__rest"), F.col("__cum"))), F.lit(0)).alias("__before"),
-    )
-    cut = durable(cut)
-
-    edge = _joined(sizes, cut, F.col("source").eqNullSafe(F.col("__source")), n_sources)
-    edge = edge.withColumn("__b", block_of(F.col("doc_id"), config)).withColumn("__h", order_of(F.col("doc_id"), config))
-    inside = edge.where(F.col("__b") == F.col("__block")).withColumn("__sum", F.sum("size").over(W.partitionBy("source").orderBy("__h")) + F.col("__before"))
-    fits = inside.where(F.col("__sum") <= F.col("__rest")).groupBy(F.col("source").alias("__s")).agg(F.max("__h").alias("__hash"), F.max("__sum").alias("__got"))
-    cut = cut.join(fits, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    cut = durable(cut.withColumn("__gap", F.col("__rest") - F.coalesce("__got", "__before")))
-
-    open_docs = _joined(sizes, cut, F.col("source").eqNullSafe(F.col("__source")), n_sources)
-    open_docs = open_docs.withColumn("__b", block_of(F.col("doc_id"), config)).withColumn("__h", order_of(F.col("doc_id"), config))
-    untaken = (F.col("__b") > F.col("__block")) | ((F.col("__b") == F.col("__block")) & ~F.coalesce(F.col("__h") <= F.col("__hash"), F.lit(False)))
-    miss = F.abs(F.col("size") - F.col("__gap"))
-    fix = (
-        open_docs.where(untaken & (miss < F.col("__gap")) & F.col("doc_id").isNotNull())
-        .groupBy(F.col("source").alias("__s"))
-        .agg(F.min_by("doc_id", F.struct(miss, "__h", "doc_id")).alias("__fix"))
-    )
-    sources = cut.join(fix, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s").withColumnRenamed("__source", "source")
-    return Mix(config, durable(sources), n_sources), sizes
+
+    config: MixConfig
+    sources: DataFrame
+    n_sources: int
+    drawn: DataFrame
+    n_drawn: int
 
 
-def shard_table(mix: Mix, sizes: DataFrame) -> DataFrame:
-    """(source, block, pass, shard): which shard takes each drawn block, from the exact quotas of the tree.
+def _quotas(placed: DataFrame, ranked: DataFrame, sources: DataFrame, config: MixConfig) -> DataFrame:
+    """``sources`` with the parts of their quota.
 
-    The tree is held on the driver, as one number for each source and shard;
-    with very many sources there are fewer shards, so that these are at most
-    ``TREE_CELLS``. A source has at most blocks x most rows here. The block of
-    a source's last single document is drawn too, so every taken row has a shard.
+    A pass takes whole blocks while they fit, then documents of the next block
+    while they fit, then the one document left whose size comes nearest to what
+    is missing, if that is nearer than none.
     """
-    config = mix.config
-    cut = mix.sources.select(F.col("source").alias("__source"), "__full", "__block", F.when(F.col("__fix").isNotNull(), block_of(F.col("__fix"), config)).alias("__last"))
-    blocks = sizes.select("source", block_of(F.col("doc_id"), config).alias("block")).distinct()
-    drawn = _joined(blocks, cut, F.col("source").eqNullSafe(F.col("__source")), mix.n_sources)
-    drawn = drawn.select("source", "block", F.explode(F.sequence(F.lit(0), F.col("__full"))).alias("pass"), "__full", "__block", "__last")
-    more = (F.col("block") <= F.col("__block")) | F.coalesce(F.col("block") == F.col("__last"), F.lit(False))
-    drawn = drawn.where((F.col("pass") < F.col("__full")) | ((F.col("__full") < config.most) & more))
-    order = W.partitionBy("source").orderBy(F.xxhash64(F.lit(config.seed + 2), "pass", "block"), "pass", "block")
-    drawn = durable(drawn.select("source", "block", "pass", (F.row_number().over(order) - 1).alias("__nth")))
-    units = drawn.groupBy("source").count().orderBy(F.col("source").asc_nulls_last()).collect()
-    shards = max(1, min(config.shards, TREE_CELLS // max(1, len(units))))
-    upto = np.cumsum(split_quotas(np.array([u["count"] for u in units], np.int64), shards, config.seed), axis=0)
-    rows = [(u["source"], [int(x) for x in upto[:, i]]) for i, u in enumerate(units)]
-    ends = mix.sources.sparkSession.createDataFrame(rows, "__source string, __ends array<bigint>")
-    return _joined(drawn, ends, F.col("source").eqNullSafe(F.col("__source")), len(rows)).select(
-        "source", "block", "pass", F.size(F.filter("__ends", lambda e: e <= F.col("__nth"))).alias("shard")
+    share = sources.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
+    share = share.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")).withColumn("open", F.col("full") < config.most)
+    sums = ranked.join(share.select("key", "rest"), "key").groupBy("key").agg(
+        F.count(F.lit(1)).alias("n_blocks"),
+        F.count_if(F.col("upto_here") <= F.col("rest")).alias("whole"),
+        F.coalesce(F.max(F.when(F.col("upto_here") <= F.col("rest"), F.col("upto_here"))), F.lit(0)).alias("before"),
     )
+    share = durable(share.join(sums, "key").withColumn("whole", F.when(F.col("open"), F.col("whole")).otherwise(0)))
+    cut = share.where("open").select("key", "rest", "whole", "before")
+    small = cut.count() <= BROADCAST_ROWS
+    rows = placed.join(F.broadcast(cut), "key") if small else spread_join(placed, cut, ["key"], "doc_id")
+    # The rows of one block are all that a window sees.
+    inside = rows.where(F.col("rank") == F.col("whole")).withColumn("sum", F.sum("size").over(W.partitionBy("key").orderBy("place")) + F.col("before"))
+    part = inside.where(F.col("sum") <= F.col("rest")).groupBy("key").agg(F.max("place").alias("upto"), F.max("sum").alias("got"))
+    share = durable(share.join(part, "key", "left").withColumn("gap", F.col("rest") - F.coalesce("got", "before")))
+    left = share.where("open").select("key", "whole", "upto", "gap")
+    rows = placed.join(F.broadcast(left), "key") if small else spread_join(placed, left, ["key"], "doc_id")
+    untaken = (F.col("rank") > F.col("whole")) | ((F.col("rank") == F.col("whole")) & ~F.coalesce(F.col("place") <= F.col("upto"), F.lit(False)))
+    miss = F.abs(F.col("size") - F.col("gap"))
+    single = rows.where(untaken & (miss < F.col("gap")) & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min_by(F.struct("doc_id", "rank"), F.struct(miss, "place", "doc_id")).alias("single"))
+    out = share.join(single, "key", "left").select("*", F.col("single.doc_id").alias("only"), F.col("single.rank").alias("only_rank")).drop("single")
+    passes = F.col("full") * F.col("n_blocks") + F.col("whole")
+    return out.withColumn("passes", passes).withColumn("units", passes + F.col("upto").isNotNull().cast("int") + F.col("only").isNotNull().cast("int"))
 
 
-def deal(mix: Mix, sizes: DataFrame, rows: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``rows`` as often as drawn, with ``mix_pass``, ``mix_shard`` (from the tree) and ``mix_order`` (a local random key)."""
-    shards = shard_table(mix, sizes).select(F.col("source").alias("__s"), F.col("block").alias("__blk"), F.col("pass").alias("__pass"), F.col("shard").alias("mix_shard"))
-    out = mix.copies(rows, id_col, source_col).where("copies > 0")
-    out = out.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    n = mix.n_sources * mix.config.blocks * mix.config.most
-    same = F.col(source_col).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__blk")) & (F.col("mix_pass") == F.col("__pass"))
-    out = out.join(F.broadcast(shards) if n <= 4 * BROADCAST_ROWS else shards, same)
-    return out.select(*rows.columns, "mix_pass", "mix_shard", F.xxhash64(F.lit(mix.config.seed + 3), id_col, "mix_pass").alias("mix_order"))
+def plan_mix(docs: DataFrame, config: MixConfig | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[Mix, DataFrame]:
+    """The plan for ``docs`` and the table (doc_id, source, size, key) that it was made from."""
+    config = config or MixConfig()
+    sizes = durable(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), source_key(F.col(source_col)).alias("key")))
+    totals = sizes.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    blocks = totals.select("source", F.greatest(F.lit(config.blocks), F.ceil(F.col("rows") / config.block_rows)).cast("long").alias("blocks"))
+    targets = source_targets(totals.select("source", "source_size"), config).join(blocks.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    sources = durable(targets.withColumn("key", source_key(F.col("source"))))
+    n_sources = sources.count()
+
+    dealt = _with_source(sizes, sources.select("key", "blocks"), n_sources, "doc_id")
+    dealt = dealt.select("doc_id", "size", "key", block_of(F.col("doc_id"), F.col("blocks"), config).alias("block"), order_of(F.col("doc_id"), config).alias("place"))
+    words = dealt.groupBy("key", "block").agg(F.sum("size").alias("words"))
+    order = W.partitionBy("key").orderBy(F.xxhash64(F.lit(config.seed + 2), "block"), "block")
+    ranked = durable(words.select("key", "block", (F.row_number().over(order) - 1).cast("long").alias("rank"), F.sum("words").over(order).alias("upto_here")))
+    n_blocks = ranked.count()
+    ranks = ranked.select("key", "block", "rank")
+    placed = dealt.join(F.broadcast(ranks) if n_blocks <= BROADCAST_ROWS else ranks, ["key", "block"])
+    quotas = durable(_quotas(placed, ranked, sources, config).withColumn("part", F.floor((F.row_number().over(W.orderBy("key")) - 1) / config.tree_sources)))
+
+    taken = shard_ranges(quotas.where("units > 0"), config).where("n > 0")
+    nth = taken.select("key", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("nth"))
+    nth = nth.join(quotas.select("key", "full", "n_blocks", "whole", "passes", "upto", "only", "only_rank"), "key")
+    regular, partly = F.col("nth") < F.col("passes"), (F.col("nth") == F.col("passes")) & F.col("upto").isNotNull()
+    units = nth.select(
+        "key", "shard",
+        F.when(regular, F.col("nth") % F.col("n_blocks")).when(partly, F.col("whole")).otherwise(F.col("only_rank")).alias("rank"),
+        F.when(regular, F.floor(F.col("nth") / F.col("n_blocks"))).otherwise(F.col("full")).cast("int").alias("pass"),
+        F.when(~regular & partly, F.col("upto")).alias("upto"), F.when(~regular & ~partly, F.col("only")).alias("only"),
+    )
+    drawn = durable(units.join(ranks, ["key", "rank"]).select("key", "block", "pass", "shard", "upto", "only"))
+    return Mix(config, sources, n_sources, drawn, drawn.count()), sizes
+
+
+def deal(mix: Mix, rows: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """``rows`` as often as the shards of the tree hold them, with ``mix_pass``, ``mix_shard`` and ``mix_order`` (a local random key).
+
+    A null id is hashed like any other value; rows that repeat an id within a source are dealt alike.
+    """
+    keyed = rows.withColumn("key", source_key(F.col(source_col)))
+    keyed = _with_source(keyed, mix.sources.select("key", "blocks"), mix.n_sources, id_col)
+    keyed = keyed.withColumn("block", block_of(F.col(id_col), F.col("blocks"), mix.config))
+    held = keyed.join(F.broadcast(mix.drawn) if mix.n_drawn <= BROADCAST_ROWS else mix.drawn, ["key", "block"])
+    inside = F.coalesce(order_of(F.col(id_col), mix.config) <= F.col("upto"), F.lit(True)) & F.coalesce(F.col(id_col) == F.col("only"), F.col("only").isNull())
+    return held.where(inside).select(*rows.columns, F.col("pass").alias("mix_pass"), F.col("shard").alias("mix_shard"), F.xxhash64(F.lit(mix.config.seed + 3), id_col, "pass").alias("mix_order"))
 
 
 def laid_out(mixed: DataFrame) -> DataFrame:
@@ -214,25 +236,24 @@ def taken_words(mix: Mix, sizes: DataFrame) -> DataFrame:
     The mix is dealt, laid out and stored with ids in place of texts, and then
     counted; rows that repeat an id within a source are counted once a pass.
     """
-    mixed = durable(laid_out(deal(mix, sizes, sizes.select("doc_id", "source"))))
-    copies = mixed.groupBy(F.col("source").alias("__s"), F.col("doc_id").alias("__id"), "mix_pass").agg(F.lit(1).alias("__n"))
-    copies = copies.groupBy("__s", "__id").agg(F.count("__n").alias("__copies"))
-    out = sizes.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__s")), "left")
-    targets = mix.sources.select(F.col("source").alias("__source"), "source_size", "target")
-    out = _joined(out, targets, F.col("source").eqNullSafe(F.col("__source")), mix.n_sources)
+    mixed = durable(laid_out(deal(mix, sizes.select("doc_id", "source", F.col("key").alias("own")))))
+    copies = mixed.groupBy("own", "doc_id", "mix_pass").agg(F.lit(1).alias("n"))
+    copies = copies.groupBy(F.col("own").alias("__own"), F.col("doc_id").alias("__id")).agg(F.count("n").alias("__copies"))
+    out = sizes.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__own")), "left")
+    out = _with_source(out, mix.sources.select("key", "source_size", "target"), mix.n_sources, "doc_id")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("__copies", F.lit(0))).alias("taken"))
 
 
 def mix_sources(docs: DataFrame, config: MixConfig | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus: rows of ``docs``, repeated as drawn, with ``mix_shard`` and ``mix_order`` (a local random key).
 
-    Columns of these two names are replaced.
-
-    To write it: ``laid_out(out)``.
-    A null text has no words and stays where its block is taken; an empty table
-    gives an empty mix. The same rows and seed give the same mix.
+    Columns of these two names are replaced; any other name may be there. To
+    write it: ``laid_out(out)``. A null text has no words and stays where its
+    block is taken; a null source is a source; rows that repeat an id within a
+    source are drawn alike; an empty table gives an empty mix. The same rows and
+    seed give the same mix, however they are partitioned.
     """
-    mix, sizes = plan_mix(docs, config, id_col, text_col, source_col)
+    mix, _ = plan_mix(docs, config, id_col, text_col, source_col)
     kept = [c for c in docs.columns if c not in ("mix_shard", "mix_order")]
     rows = docs.select(F.struct(*kept).alias("__row"), F.col(id_col).alias("__id"), F.col(source_col).alias("__src"))
-    return deal(mix, sizes, rows, "__id", "__src").select("__row.*", "mix_shard", "mix_order")
+    return deal(mix, rows, "__id", "__src").select("__row.*", "mix_shard", "mix_order")

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,69 +110,129 @@ def test_targets(spark, sizes):
 
 
 def test_split_quotas_are_exact():
-    import numpy as np
-
     units = np.array([1000, 0, 7, 350])
     q = mixing.split_quotas(units, 7, 1)
     assert (q.sum(axis=0) == units).all() and q.sum(axis=1).max() - q.sum(axis=1).min() <= 1
     assert (q == mixing.split_quotas(units, 7, 1)).all()
 
 
+def plain_mix(spark, docs, config):
+    """The mix by plain loops: {(source, id): [(pass, shard), ...]}; hashes alone come from Spark."""
+    rows = docs.select(
+        "doc_id", "source", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != "")).alias("size"),
+        F.xxhash64(F.lit(config.seed), "doc_id").alias("b"), F.xxhash64(F.lit(config.seed + 1), "doc_id").alias("place"),
+    ).collect()
+    sources = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    own = {s: [r for r in rows if r.source == s] for s in sources}
+    targets = fill([sum(r.size for r in own[s]) for s in sources], config.weights, config.share, config.most)
+    blocks = {s: max(config.blocks, -(-len(own[s]) // config.block_rows)) for s in sources}
+    permuted = {r.id: r.h for r in spark.range(max(blocks.values(), default=0)).select("id", F.xxhash64(F.lit(config.seed + 2), "id").alias("h")).collect()}
+    order, units = {}, {}
+    for s, target in zip(sources, targets, strict=True):
+        by_block = {}
+        for r in own[s]:
+            by_block.setdefault(r.b % blocks[s], []).append(r)
+        ranks = sorted(by_block, key=lambda b: (permuted[b], b))
+        total = sum(r.size for r in own[s])
+        full = int(target // total) if total else 0
+        rest = target - full * total
+        draw = [(p, by_block[b]) for p in range(full) for b in ranks]
+        if full < config.most:
+            at, got = 0, 0
+            while at < len(ranks) and got + sum(r.size for r in by_block[ranks[at]]) <= rest:
+                got += sum(r.size for r in by_block[ranks[at]])
+                draw.append((full, by_block[ranks[at]]))
+                at += 1
+            left = [r for b in ranks[at:] for r in by_block[b]]
+            if at < len(ranks):
+                part, places = [], sorted({r.place for r in by_block[ranks[at]]})
+                for place in places:
+                    here = [r for r in by_block[ranks[at]] if r.place == place]
+                    if got + sum(r.size for r in here) > rest:
+                        break
+                    got += sum(r.size for r in here)
+                    part += here
+                if part:
+                    draw.append((full, part))
+                    left = [r for r in left if r not in part]
+            near = [(abs(r.size - (rest - got)), r.place, r.doc_id) for r in left if r.doc_id is not None and abs(r.size - (rest - got)) < rest - got]
+            if near:
+                draw.append((full, [r for r in own[s] if r.doc_id == min(near)[2]]))
+        order[s], units[s] = draw, len(draw)
+    # A key is "=" and the source, or empty for null: the null source comes first in the tree.
+    keys = [s for s in sorted(sources, key=lambda s: "" if s is None else f"={s}") if units[s]]
+    out = {}
+    if keys:
+        at = {s: 0 for s in keys}
+        for shard, quota in enumerate(mixing.split_quotas(np.array([units[s] for s in keys]), config.shards, config.seed)):
+            for s, n in zip(keys, quota, strict=True):
+                for p, rows_in in order[s][at[s] : at[s] + n]:
+                    for i in {r.doc_id for r in rows_in}:
+                        out.setdefault((s, i), set()).add((p, shard))
+                at[s] += n
+    return out
+
+
+def mix_rows():
+    rows = [(i, "w " * (1 + i * 7 % 50), "abc"[i % 3] if i % 11 else None) for i in range(1500)]
+    return [*rows, (8, "w w", "c"), (8, "w w w", "c"), (None, "w", "a"), (None, "w w", None), (5000, None, "b"), (5001, "w " * 999, "lone"), (5002, "w " * 4, "lone"), (5003, "  ", "empty")]
+
+
+@pytest.mark.parametrize("config", [mixing.MixConfig(), mixing.MixConfig(blocks=7, block_rows=100, shards=5), mixing.MixConfig(blocks=3, share=0.4, weights=(1.0,))])
+def test_the_mix_is_what_plain_loops_draw(spark, config):
+    docs = documents(spark, mix_rows())
+    want = plain_mix(spark, docs, config)
+    plan, sizes = mixing.plan_mix(docs, config)
+    got = {}
+    for r in mixing.deal(plan, sizes.select("doc_id", "source")).collect():
+        got.setdefault((r.source, r.doc_id), set()).add((r.mix_pass, r.mix_shard))
+    assert got == want
+    taken = {}
+    for r in mixing.taken_words(plan, sizes).collect():
+        taken.setdefault(r.doc_id, set()).add((r.size, r.taken))
+    for (_, i), places in want.items():
+        assert i is None or any(t == s * len(places) for s, t in taken[i])
+
+
 def test_mix(spark):
     rows = [(i, "w " * (1 + i * 7919 % 50), ("b" if i % 3 else "a") if i % 10 else None) for i in range(600)] + [(900, None, "a"), (901, "  ", "c")]
     docs = documents(spark, rows)
     plan, sizes = mixing.plan_mix(docs)
-    got = plan.copies(sizes).select("doc_id", "source", "size", "source_size", "target", "copies").collect()
-    assert len(got) == len(rows) and max(r.copies for r in got) <= 2
-    for source in ("a", "b", None):
-        own = [r for r in got if r.source == source]
-        taken = sum(r.size * r.copies for r in own)
-        assert abs(taken - own[0].target) <= 2
-    mixed = mixing.mix_sources(docs.withColumn("copies", F.lit("clash")))
-    assert mixed.columns == [*docs.columns, "copies", "mix_shard", "mix_order"]
+    got = mixing.taken_words(plan, sizes).collect()
+    source = {i: s for i, _, s in rows}
+    assert len(got) == len(rows) and all(r.taken <= 2 * r["size"] for r in got)
+    for name in ("a", "b", None):
+        own = [r for r in got if source[r.doc_id] == name]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 2
+    mixed = mixing.mix_sources(docs.withColumn("copies", F.lit("clash")).withColumn("key", F.lit("clash")).withColumn("block", F.lit(1)))
+    assert mixed.columns == [*docs.columns, "copies", "key", "block", "mix_shard", "mix_order"]
     counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
-    assert counts == {r.doc_id: r.copies for r in got if r.copies}
+    assert all(counts.get(r.doc_id, 0) * r["size"] == r.taken for r in got)
     again = mixing.mix_sources(docs.repartition(7))
     assert again.select("doc_id", "mix_shard", "mix_order").exceptAll(mixed.select("doc_id", "mix_shard", "mix_order")).count() == 0
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
-def mix_rows():
-    rows = [(i, "w " * (1 + i * 7 % 50), "abc"[i % 3] if i % 11 else None) for i in range(1500)]
-    return [*rows, (8, "w w", "c"), (8, "w w w", "c"), (None, "w", "a"), (None, "w w", None), (5000, None, "b"), (5001, "w " * 999, "lone"), (5002, "w " * 4, "lone")]
-
-
-def test_source_mixing_takes_what_the_shards_of_the_tree_hold(spark, tmp_path, monkeypatch):
+def test_source_mixing_takes_what_the_tree_gives_its_shards(spark, tmp_path, monkeypatch):
     from oddsloom.llm.queries import op8_source_mixing
 
     documents(spark, mix_rows()).write.parquet(f"{tmp_path}/documents.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    plan, sizes = mixing.plan_mix(docs)
-    want = plan.copies(sizes).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
-    got = op8_source_mixing(spark, str(tmp_path))
-    assert got.schema.simpleString() == want.schema.simpleString()
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-    dealt = mixing.deal(plan, sizes, sizes.select("doc_id", "source"))
-    assert dealt.count() == plan.copies(sizes).agg(F.sum("copies")).first()[0]
-    whole = mixing.shard_table
-
-    def without_a_shard(mix, sizes):
-        return whole(mix, sizes).where("shard != 3")
-
-    lost = dealt.where("mix_shard = 3").join(sizes.dropDuplicates(["doc_id", "source"]), ["doc_id", "source"]).agg(F.sum("size")).first()[0]
-    assert lost > 0
-    monkeypatch.setattr(mixing, "shard_table", without_a_shard)
-    assert op8_source_mixing(spark, str(tmp_path)).agg(F.sum("taken")).first()[0] < got.agg(F.sum("taken")).first()[0]
-
-
-def test_the_last_single_document_of_a_source_has_a_shard_of_the_tree(spark):
-    docs = documents(spark, [(i, "w " * (1000 if i % 2 else 3), "ab"[i % 2]) for i in range(60)])
-    plan, sizes = mixing.plan_mix(docs)
-    config = plan.config
-    drawn = {(r.source, r.block, r["pass"]) for r in mixing.shard_table(plan, sizes).collect()}
-    fixed = plan.sources.where("__fix is not null").select("source", "__full", mixing.block_of(F.col("__fix"), config).alias("block"), "__block").collect()
-    assert any(r.block > r["__block"] for r in fixed)
-    assert all((r.source, r.block, r["__full"]) in drawn for r in fixed)
+    got = op8_source_mixing(spark, str(tmp_path)).collect()
+    assert sum(r.taken for r in got) > 0
+    whole = mixing.shard_ranges
+    monkeypatch.setattr(mixing, "shard_ranges", lambda units, config: whole(units, config).where("shard != 3"))
+    assert sum(r.taken for r in op8_source_mixing(spark, str(tmp_path)).collect()) < sum(r.taken for r in got)
+    monkeypatch.setattr(mixing, "shard_ranges", lambda units, config: whole(units, config).where("false"))
+    assert sum(r.taken for r in op8_source_mixing(spark, str(tmp_path)).collect()) == 0
+
+
+def test_many_sources_share_trees_and_joins_by_shuffle_give_the_same(spark, monkeypatch):
+    docs = documents(spark, [(i, "w " * (1 + i % 9), f"s{i % 40}") for i in range(800)])
+    config = mixing.MixConfig(tree_sources=7, blocks=8)
+    columns = ["doc_id", "mix_shard", "mix_order"]
+    first = sorted(map(tuple, mixing.mix_sources(docs, config).select(*columns).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", -1)
+    assert sorted(map(tuple, mixing.mix_sources(docs, config).select(*columns).collect())) == first
 
 
 def test_the_pipeline_writes_the_mix_shard_by_shard_in_local_order(spark, sf, tmp_path):
