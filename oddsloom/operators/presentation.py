@@ -15,7 +15,7 @@ from oddsloom.operators.reports import latest_name
 
 def display_names(matches: DataFrame) -> DataFrame:
     """(team_id, team_name): the latest name of each team, ties by match."""
-    seats = F.array(F.struct(F.col("team1_id").alias("team_id"), F.col("team1_name").alias("team_name")), F.struct(F.col("team2_id"), F.col("team2_name")))
+    seats = F.array(F.struct(F.col("team1_id").alias("team_id"), F.col("team1_name").alias("team_name")), F.struct(F.col("team2_id").alias("team_id"), F.col("team2_name").alias("team_name")))
     return latest_name(matches.select("ts", "match_id", F.inline(seats)), "team_id", "team_name", "ts", "match_id")
 
 

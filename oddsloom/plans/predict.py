@@ -116,7 +116,7 @@ class Forecast:
         ranked = self.ranked().groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("rank", "sequence", "played", "p", "p_series"))).alias("ranked_vetoes"))
         swings = self.leverage().groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("map_name", "p_played", "swing"))).alias("leverage"))
         moved = self.sensitivity().select("match_id", F.struct("n", "mean", "variance", "low", "high").alias("sensitivity"))
-        team = F.when(F.col("side") == "A", F.struct(F.col("team1_id").alias("i"), F.col("a_name").alias("n"))).when(F.col("side") == "B", F.struct(F.col("team2_id"), F.col("b_name")))
+        team = F.when(F.col("side") == "A", F.struct(F.col("team1_id").alias("i"), F.col("a_name").alias("n"))).when(F.col("side") == "B", F.struct(F.col("team2_id").alias("i"), F.col("b_name").alias("n")))
         base = self.fixtures.join(a, "team1_id", "left").join(b, "team2_id", "left")
         steps = self.greedy().join(base.select("match_id", "team1_id", "team2_id", "a_name", "b_name"), "match_id").withColumn("t", team)
         greedy = steps.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct(F.col("step").alias("step_index"), F.col("t.i").alias("team_id"), F.col("t.n").alias("team_name"), "action", "map_name"))).alias("greedy_veto"))
