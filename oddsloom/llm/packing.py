@@ -169,7 +169,7 @@ def assign_slots(pieces: DataFrame, config: PackConfig) -> DataFrame:
         "__before", F.sum("count").over(W.partitionBy("length").orderBy("__block").rowsBetween(W.unboundedPreceding, -1))
     )
     before = before.select(F.col("length").alias("__l"), F.col("__block").alias("__b"), F.coalesce("__before", F.lit(0)).alias("__before"))
-    within = F.row_number().over(W.partitionBy("length", "__block").orderBy("doc_id", "piece")) - 1
+    within = F.row_number().over(W.partitionBy("length", "__block").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
     ranked = pieces.withColumn("__within", within).join(before, (F.col("length") == F.col("__l")) & (F.col("__block") == F.col("__b")))
     ranked = ranked.withColumn("__rank", F.col("__within") + F.col("__before"))
     schema = Ty.StructType([Ty.StructField(n, Ty.LongType()) for n in ("__len", "__from", "__n", "__seq", "__each", "__off")])

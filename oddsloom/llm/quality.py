@@ -98,13 +98,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig | None
     At most ``fit_rows`` labels are used, those of the smallest key hash, so the
     label side of the join has a proven bound and no text moves to be joined.
     The driver gets ``dims`` + 1 averaged weights. Null ids and labels are left
-    out; without labelled rows all weights are 0 and every score is one half.
+    out; a null text is empty; repeated rows count as often as they occur. Without
+    labelled rows all weights are 0 and every score is one half. Other columns,
+    of any name, are not looked at.
     """
     config = config or QualityConfig()
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("__key"), F.col(label_col).cast("int").alias("label"))
-    known = bounded_sample(known, "__key", config.fit_rows, config.seed)
-    rows = docs.join(F.broadcast(known), docs[id_col] == F.col("__key")).select(F.coalesce(docs[text_col], F.lit("")).alias("text"), "label", "__key")
-    dealt = rows.repartition(config.shards, F.pmod(F.xxhash64("__key"), F.lit(config.shards))).sortWithinPartitions("__key", "label", "text")
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("known"), F.col(label_col).cast("int").alias("label"))
+    known = bounded_sample(known, "known", config.fit_rows, config.seed)
+    texts = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(known), F.col("key") == F.col("known"))
+    dealt = rows.repartition(config.shards, F.pmod(F.xxhash64("key"), F.lit(config.shards))).sortWithinPartitions("key", "label", "text")
     parts = dealt.select("text", "label").mapInArrow(lambda b: _fit_shard(b, config), "i long, w double")
     table = parts.groupBy("i").agg(F.sum("w").alias("w")).toArrow()
     i, w = table["i"].to_numpy(), table["w"].to_numpy()
@@ -134,7 +137,11 @@ def scored(docs: DataFrame, score: Callable[[pa.Array], dict[str, np.ndarray]],
 
 
 def score_quality(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, score, predicted) for every row, over whole texts; null and empty texts get the bias alone."""
+    """(doc_id, score, predicted) for every row, over whole texts of any length.
+
+    Null and empty texts get the bias alone. Repeated rows are scored alike, an
+    empty table gives an empty result, and other columns are not looked at.
+    """
     dims = len(weights) - 1
 
     def score(texts: pa.Array) -> dict[str, np.ndarray]:

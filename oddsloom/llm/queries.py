@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = in_fold("doc_id", 5, 0)
-    weights = quality.fit_quality(docs.where(~held_out), _table(spark, sf_dir, "labels"))
+    weights = quality.fit_quality(docs.where(~held_out), _table(spark, sf_dir, "labels").where(~held_out))
     return quality.score_quality(docs, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
