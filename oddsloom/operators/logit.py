@@ -400,16 +400,25 @@ def fit_choice(candidates: DataFrame, features: list[str], step: list[str], chos
 def fit_temperature(rows: DataFrame, eta: str, cuts: list[str], label: str, low: float = 0.25, high: float = 4.0, n: int = 61) -> tuple[float, float, float]:
     """(temperature, loss at it, loss at 1) of least negative log likelihood over two geometric grids.
 
-    A grid is one pass: the losses of all its values are columns of one aggregate.
+    A grid is one pass over all rows: a task adds up the losses of all its values.
     """
+    bound = rows.select(F.col(eta).cast("double").alias("eta"), F.array(*[F.col(c).cast("double") for c in cuts]).alias("cuts"), F.col(label).cast("int").alias("y"))
 
     def losses(grid: np.ndarray) -> np.ndarray:
-        def loss(t: float) -> Column:
-            edges = [F.lit(0.0), *[_logistic(F.col(c) + F.col(eta) / float(t)) for c in cuts], F.lit(1.0)]
-            cells = F.array(*[_clip(b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)])
-            return F.sum(-F.log(F.element_at(cells, F.col(label).cast("int") + 1)))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(grid))
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    piece = batch.slice(at, 4096)
+                    e, y = piece.column("eta").to_numpy(), piece.column("y").to_numpy()
+                    c = piece.column("cuts").flatten().to_numpy().reshape(-1, len(cuts))
+                    row = np.arange(len(e))
+                    for j, t in enumerate(grid):
+                        edges = np.concatenate([np.zeros((len(e), 1)), _sigmoid(c + (e / t)[:, None]), np.ones((len(e), 1))], axis=1)
+                        total[j] -= np.log(np.clip(edges[row, y + 1] - edges[row, y], CLIP, 1 - CLIP)).sum()
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["sums"])
 
-        return np.array(rows.agg(*[loss(t).alias(f"g{i}") for i, t in enumerate(grid)]).first())
+        return _added(bound.mapInArrow(run, "sums array<double>"))
 
     grid = np.geomspace(low, high, n)
     at = int(losses(grid).argmin())
