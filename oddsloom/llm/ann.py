@@ -1,6 +1,9 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, shard results merged.
 
-Vectors are dealt to shards by hash. A shard's graph is stored as flat
+Vectors are dealt to the nearest of a few centroids, and those of a centroid to
+shards by hash. A query goes to the shards of its nearest centroids alone; how
+many these must be is measured on the sample that the centroids are fitted on,
+so vectors that lie in no clusters are searched in all shards. A shard's graph is stored as flat
 neighbour arrays, one for each level; it is built in bulk from blocked distance
 products, with the usual neighbour selection that keeps an edge only if no
 nearer kept neighbour is closer to its end. A query descends greedily through
@@ -25,7 +28,10 @@ from oddsloom.session import durable
 @dataclass(frozen=True)
 class AnnConfig:
     """``links`` neighbours a node (twice that at the lowest level), ``pool`` candidates to choose them from,
-    ``beam`` nodes kept in a search, ``shard_rows`` vectors a shard and ``block`` queries a task."""
+    ``beam`` nodes kept in a search, ``shard_rows`` vectors a shard and ``block`` queries a task.
+
+    Up to ``centroids`` centroids are fitted on at most ``fit_rows`` vectors; a query visits the fewest of them that
+    hold the part ``cover`` of the true neighbours of ``trials`` of these vectors."""
 
     k: int = 10
     links: int = 20
@@ -33,6 +39,10 @@ class AnnConfig:
     beam: int = 160
     shard_rows: int = 8192
     block: int = 1024
+    centroids: int = 256
+    fit_rows: int = 20_000
+    cover: float = 0.98
+    trials: int = 200
     seed: int = 17
 
 
@@ -204,6 +214,7 @@ def _build_shard(table: pa.Table, config: AnnConfig) -> pa.Table:
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     return pa.table(
         {
+            "cluster": pa.array([table["cluster"][0].as_py()], pa.int32()),
             "shard": pa.array([table["shard"][0].as_py()], pa.int32()),
             "dim": pa.array([dim], pa.int32()),
             "vectors": [vectors.tobytes()],
@@ -217,24 +228,100 @@ def _build_shard(table: pa.Table, config: AnnConfig) -> pa.Table:
 
 
 _INDEX = pa.schema(
-    [("shard", pa.int32()), ("dim", pa.int32()), ("vectors", pa.binary()), ("ids", pa.binary()), ("id_offsets", pa.binary()), ("level_nodes", pa.list_(pa.binary())), ("level_links", pa.list_(pa.binary()))]
+    [("cluster", pa.int32()), ("shard", pa.int32()), ("dim", pa.int32()), ("vectors", pa.binary()), ("ids", pa.binary()), ("id_offsets", pa.binary()), ("level_nodes", pa.list_(pa.binary())), ("level_links", pa.list_(pa.binary()))]
 )
-INDEX = "shard int, dim int, vectors binary, ids binary, id_offsets binary, level_nodes array<binary>, level_links array<binary>"
+INDEX = "cluster int, shard int, dim int, vectors binary, ids binary, id_offsets binary, level_nodes array<binary>, level_links array<binary>"
+
+
+@dataclass
+class Index:
+    """``shards`` has one row for each shard; ``clusters`` has (dim, cluster, shards), at most ``centroids`` rows a length.
+
+    ``routes`` has, by length, the centroids and how many of them a query visits.
+    """
 
+    shards: DataFrame
+    clusters: DataFrame
+    routes: dict[int, tuple[np.ndarray, int]]
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(rows of a, rows of b) squared distances."""
+    return np.maximum(0.0, (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T))
+
+
+def fit_route(sample: np.ndarray, clusters: int, config: AnnConfig) -> tuple[np.ndarray, int]:
+    """(centroids, centroids to visit) by a few rounds of k-means over the sample."""
+    rng = np.random.default_rng(config.seed)
+    clusters = min(clusters, len(sample))
+    centroids = sample[rng.choice(len(sample), clusters, replace=False)]
+    for _ in range(8):
+        own = _distances(sample, centroids).argmin(axis=1)
+        count = np.bincount(own, minlength=clusters)
+        total = np.zeros_like(centroids)
+        np.add.at(total, own, sample)
+        centroids = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centroids)
+    own = _distances(sample, centroids).argmin(axis=1)
+    tried = rng.choice(len(sample), min(config.trials, len(sample)), replace=False)
+    k = min(config.k, len(sample) - 1)
+    if clusters == 1 or k < 1:
+        return centroids, clusters
+    d = _distances(sample[tried], sample)
+    d[np.arange(len(tried)), tried] = np.inf
+    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    place = np.argsort(np.argsort(_distances(sample[tried], centroids), axis=1), axis=1)
+    visited = np.sort(np.take_along_axis(place, own[near], 1).ravel())
+    return centroids, int(visited[min(len(visited) - 1, int(np.ceil(config.cover * len(visited))))]) + 1
+
+
+def _routed(batches: Iterator[pa.RecordBatch], routes: dict[int, tuple[np.ndarray, int]], most: bool) -> Iterator[pa.RecordBatch]:
+    """Batches with ``clusters``: the nearest centroid of each vector, or with ``most`` all that a query visits."""
+    for batch in batches:
+        vectors = batch.column("vector")
+        size = vectors.value_lengths().to_numpy()
+        out: list[list[int]] = [[0]] * len(size)
+        for dim in np.unique(size).tolist():
+            rows = np.flatnonzero(size == dim)
+            if dim not in routes:
+                continue
+            centroids, visits = routes[dim]
+            own = np.array(vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+            order = np.argsort(_distances(own, centroids), axis=1, kind="stable")[:, : visits if most else 1]
+            for i, row in enumerate(rows.tolist()):
+                out[row] = order[i].tolist()
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "clusters"])
+
+
+def _with_clusters(df: DataFrame, routes: dict[int, tuple[np.ndarray, int]], most: bool) -> DataFrame:
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(lambda b: _routed(b, routes, most), f"{schema}, clusters array<int>").withColumn("dim", F.size("vector"))
 
-def build_index(df: DataFrame, config: AnnConfig | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """One row for each shard: its graph as flat arrays. Vectors of different lengths are never in one shard.
+
+def build_index(df: DataFrame, config: AnnConfig | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> Index:
+    """The index of ``df``: one graph for each shard, as flat arrays. Vectors of different lengths are never in one shard.
 
     Vectors that are null, empty, zero or hold a null or non-finite component
-    take no part, nor do rows without an id; equal vectors are one node.
+    take no part, nor do rows without an id; equal vectors are one node. An
+    empty table gives an index without shards; other columns are not looked at.
     """
     config = config or AnnConfig()
     nodes = durable(distinct_vectors(df, config.k + 1, id_col, vector_col))
-    shards = max(1, -(-nodes.count() // config.shard_rows))
-    dealt = nodes.select(
-        F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"), F.size("vector").alias("dim"), "vector", "ids", F.col("ids")[0].alias("first")
-    )
-    return dealt.groupBy("shard", "dim").applyInArrow(lambda t: _build_shard(t, config), INDEX)
+    counts = {r["dim"]: r["count"] for r in nodes.groupBy(F.size("vector").alias("dim")).count().collect()}
+    routes: dict[int, tuple[np.ndarray, int]] = {}
+    if any(n > config.shard_rows for n in counts.values()):
+        sample: dict[int, list] = {}
+        for r in nodes.select("vector").orderBy(F.xxhash64(F.lit(config.seed), "vector"), "vector").limit(config.fit_rows).toLocalIterator():
+            sample.setdefault(len(r["vector"]), []).append(r["vector"])
+        for dim, rows in sample.items():
+            clusters = min(config.centroids, -(-counts[dim] // config.shard_rows))
+            if clusters > 1:
+                routes[dim] = fit_route(np.array(rows, float), clusters, config)
+    dealt = durable(_with_clusters(nodes, routes, False).withColumn("cluster", F.col("clusters")[0]).drop("clusters"))
+    clusters = durable(dealt.groupBy("dim", "cluster").agg(F.ceil(F.count(F.lit(1)) / config.shard_rows).cast("int").alias("shards")))
+    # At most ``centroids`` rows for each length.
+    dealt = dealt.join(F.broadcast(clusters), ["dim", "cluster"])
+    dealt = dealt.select(F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int").alias("shard"), "cluster", "dim", "vector", "ids", F.col("ids")[0].alias("first"))
+    return Index(dealt.groupBy("cluster", "shard", "dim").applyInArrow(lambda t: _build_shard(t, config), INDEX), clusters, routes)
 
 
 def _search_shard(index: pa.Table, queries: pa.Table, config: AnnConfig) -> pa.Table:
@@ -273,29 +360,29 @@ def _search_shard(index: pa.Table, queries: pa.Table, config: AnnConfig) -> pa.T
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def search(index: DataFrame, queries: DataFrame, config: AnnConfig | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(index: Index, queries: DataFrame, config: AnnConfig | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found by Euclidean distance, nearest first, ties to the smaller id.
 
-    Queries go to every shard, in blocks: a task holds one shard and one block
-    of queries, whatever their numbers. Scores are exact distances in double
-    precision. A query never finds its own id. Queries that could not be
-    indexed find nothing; ids are whole numbers, and rows that repeat an id
-    count once as a query.
+    Queries go to the shards of the centroids they visit, in blocks: a task
+    holds one shard and one block of queries, whatever their numbers. Scores are
+    exact distances in double precision. A query never finds its own id. Queries
+    that could not be indexed find nothing; ids are whole numbers, and rows that
+    repeat an id count once as a query. Without queries, or without an index,
+    nothing is found; other columns, of any name, are not looked at.
     """
     config = config or AnnConfig()
-    index = durable(index)
-    shards = durable(index.select("shard", "dim"))
     asked = queries.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
     asked = asked.where(usable(F.col("vector")) & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id"])
-    blocks = max(1, -(-asked.count() // config.block))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("dim", F.size("vector"))
-    # The list of shards of a length: one number for every ``shard_rows`` vectors.
-    lists = shards.groupBy("dim").agg(F.collect_list("shard").alias("shards"))
-    sent = asked.join(lists, "dim").select("vec_id", "vector", "part", "dim", F.explode("shards").alias("shard"))
-    copies = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = copies.groupBy("shard", "dim", "part").cogroup(sent.groupBy("shard", "dim", "part")).applyInArrow(
-        lambda a, b: _search_shard(a, b, config), "query_id long, vec_id long, score double"
-    )
+    asked = durable(_with_clusters(asked, index.routes, True).select("vec_id", "vector", "dim", F.explode("clusters").alias("cluster")))
+    parts = asked.groupBy("dim", "cluster").agg(F.ceil(F.count(F.lit(1)) / config.block).cast("int").alias("parts"))
+    # At most ``centroids`` rows for each length.
+    visited = durable(index.clusters.join(parts, ["dim", "cluster"]))
+    key = ["cluster", "shard", "dim", "part"]
+    sent = asked.join(F.broadcast(visited), ["dim", "cluster"])
+    sent = sent.select("vec_id", "vector", "dim", "cluster", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    copies = index.shards.join(F.broadcast(visited.select("dim", "cluster", "parts")), ["dim", "cluster"])
+    copies = copies.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    found = copies.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(lambda a, b: _search_shard(a, b, config), "query_id long, vec_id long, score double")
     nth = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", nth).where(F.col("rank") <= config.k).select("query_id", "rank", "vec_id", "score")
 

@@ -240,3 +240,21 @@ def test_recall_at_the_dimension_of_the_table(spark, sf):
         order = [int(i) for i in ids[np.lexsort((ids, d))] if i != q][:10]
         hits += len(found & set(order))
     assert len(got) == sum(q % 100 == 0 for q in rows) and hits >= 0.9 * 10 * len(got)
+
+
+def test_queries_visit_few_shards_of_clustered_vectors(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(24, 16)) * 4
+    table = (centres[rng.integers(0, 24, 4000)] + rng.normal(size=(4000, 16)) * 0.6).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(table)], "vec_id long, embedding array<float>")
+    config = ann.AnnConfig(shard_rows=200, block=16)
+    index = ann.build_index(df, config)
+    centroids, visits = index.routes[16]
+    assert len(centroids) == 20 and visits <= 5
+    got = {}
+    for r in ann.search(index, df.where("vec_id % 40 = 0"), config).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(found & set([int(i) for i in np.argsort(((table - table[q]) ** 2).sum(1), kind="stable") if i != q][:10])) for q, found in got.items())
+    assert len(got) == 100 and hits >= 0.95 * 1000
+    flat = ann.fit_route(rng.normal(size=(3000, 64)), 10, config)
+    assert flat[1] >= 8
