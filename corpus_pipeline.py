@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from oddsloom.llm import exactdup, langid, mixing, neardup, packing
 from oddsloom.llm.queries import pack_config
+from oddsloom.session import shared_folder
 
 #: Beyond texts without letters, a text goes if fewer of its n-grams than this are known to its best language.
 LEAST_SUPPORT = 0.02
@@ -23,12 +24,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document for each text, ignoring the case of A-Z: the one of the largest id."""
+    """One document for each text, ignoring the case of A-Z: the one of the largest id.
+
+    A null text is an empty one; rows that repeat id and text leave one; rows with a null id stay.
+    """
     return exactdup.drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one of the smallest id."""
+    """One document of each class of near-duplicates: the one of the smallest id.
+
+    Rows that repeat an id leave one; texts without words are one class; rows with a null id stay.
+    """
     return neardup.drop_near_duplicates(docs)
 
 
@@ -36,12 +43,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix draws them, none or twice included; rows are repeated.
 
     They come shard by shard, each shard in its local order, and are written so.
+    A null source is a source, and a null text has no words; rows that repeat an id are drawn alike.
     """
     return mixing.laid_out(mixing.mix_sources(docs)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents in sequences of 2048."""
+    """Token pieces of all documents in sequences of 2048; a null text is empty, repeated rows are packed as often."""
     return packing.pack(docs, pack_config())
 
 
@@ -58,20 +66,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents, each written to the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="oddsloom-pipeline-")
+    """All stages over the table documents, each written to the shared folder and read again.
+
+    Null texts and texts without a letter go in the first stage; rows that
+    repeat a text, or an id with a near text, go in the second and third; a null
+    source is a source of the mix; very long texts are read whole and cut into
+    pieces by the last stage; an empty table gives an empty result. Columns
+    other than those of documents, of any name, stay until the last stage.
+    """
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i == len(STAGES) - 1:
-            return out
-        path = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
