@@ -8,9 +8,10 @@ register. A text takes the points below its own weights, and a register's first
 point agrees between two texts with probability equal to their weighted
 Jaccard similarity. Points beyond a text's last needed time are not made.
 
-Texts that share a band share its leader; all texts of a leader are compared
-exactly, in blocks, by one product of shingle incidence matrices, and only a
-spanning forest of the links leaves a block.
+Texts that share a band share its leader. The texts of a leader are compared
+exactly by one product of shingle incidence matrices, and only a spanning forest
+of the links leaves a task. A large group is first compared with its leader
+alone; only texts that are not near to it go on to be compared with the others.
 """
 
 from __future__ import annotations
@@ -21,12 +22,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oddsloom.functions.spread import spread_join
 from oddsloom.llm import text as T
+from oddsloom.llm.common import one_row_each
 from oddsloom.session import durable
 
+#: Least neighbours of so many links at most are broadcast; those of more are met by a join that spreads hot nodes.
+BROADCAST_LINKS = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPLIT = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -37,7 +42,7 @@ class NearDupConfig:
 
     With 24 bands of 4 rows a pair at similarity 0.8 shares no band with
     probability 3e-6. ``block`` and ``block_shingles`` bound what one task
-    compares at a time; larger groups are compared in all pairs of blocks.
+    compares at a time; larger groups are dealt to several blocks.
     """
 
     shingle: int = 5
@@ -196,41 +201,86 @@ def _compare(table: pa.Table, config: NearDupConfig) -> pa.Table:
     return pa.table({"a": pa.array(member, pa.int64()), "b": pa.array(root, pa.int64())})
 
 
+def _near_leader(table: pa.Table, config: NearDupConfig) -> pa.Table:
+    """(leader, rep, shingles, near) of the texts of one block: whether each reaches the threshold with the leader."""
+    table = table.sort_by("rep")
+    name, leader = table["rep"].to_numpy(), table["leader"][0].as_py()
+    shingle, weight, at = bags(pa.concat_arrays(table["text"].chunks), config.shingle)
+    owner = np.repeat(np.arange(len(name)), np.diff(at))
+    first = int(np.searchsorted(name, leader))
+    own, times = shingle[at[first] : at[first + 1]], weight[at[first] : at[first + 1]]
+    place = np.minimum(np.searchsorted(own, shingle), len(own) - 1)
+    common = np.bincount(owner, weights=np.where(own[place] == shingle, np.minimum(weight, times[place]), 0), minlength=len(name))
+    size = np.bincount(owner, weights=weight, minlength=len(name))
+    near = common >= config.threshold * (size + size[first] - common) - 1e-6
+    rest = name != leader
+    return pa.table({"leader": table["leader"].filter(rest), "rep": table["rep"].filter(rest), "shingles": table["shingles"].filter(rest), "near": pa.array(near[rest])})
+
+
+def _blocks(n: Column, mass: Column, config: NearDupConfig) -> Column:
+    return F.greatest(F.ceil(n / config.block), F.ceil(mass / config.block_shingles), F.lit(1)).cast("int")
+
+
+def _rest_of_large_groups(near: DataFrame, texts: DataFrame, config: NearDupConfig) -> DataFrame:
+    """Links of the texts that are not near to their leader, with one another and with those that are.
+
+    Both kinds are dealt to blocks; every block of the former meets every other
+    block. Two texts near to the leader are linked through it already.
+    """
+    of = lambda c, flag: F.sum(F.when(F.col("near") == F.lit(flag), F.col(c)).otherwise(0))
+    sizes = near.withColumn("one", F.lit(1)).groupBy("leader").agg(of("one", False).alias("n"), of("shingles", False).alias("mass"), of("one", True).alias("m"), of("shingles", True).alias("near_mass"))
+    sizes = sizes.where("n > 0").select("leader", _blocks(F.col("n"), F.col("mass"), config).alias("far_blocks"), _blocks(F.col("m"), F.col("near_mass"), config).alias("near_blocks"))
+    rows = spread_join(near, sizes, ["leader"], "rep")
+    far, last = F.sequence(F.lit(0), F.col("far_blocks") - 1), F.col("far_blocks") + F.col("near_blocks") - 1
+    hashed = F.xxhash64("rep")
+    own = F.when(F.col("near"), F.col("far_blocks") + F.pmod(hashed, F.col("near_blocks"))).otherwise(F.pmod(hashed, F.col("far_blocks"))).cast("int")
+    rows = rows.withColumn("own", own)
+    # A block of texts that are not near meets itself in each of its tasks, as there is a block of the other kind, if an empty one.
+    others = F.when(F.col("near"), far).otherwise(F.filter(F.sequence(F.lit(0), last), lambda x: x != F.col("own")))
+    tasks = rows.select("leader", "rep", "own", F.explode(others).alias("other")).select("leader", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return tasks.join(texts, "rep").groupBy("leader", "i", "j").applyInArrow(lambda t: _compare(t, config), "a long, b long")
+
+
 def linked_pairs(docs: DataFrame, reps: DataFrame, config: NearDupConfig, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(a, b) links that span every component of the pairs which share a band and reach the threshold.
 
-    ``reps`` has (rep, shingles, bands), one row for each different bag. Two
-    texts that share a band share its leader, the least id there, so the groups
-    by leader hold all pairs; a text is sent once for each different leader. A
-    group beyond a block is dealt to blocks and compared in all pairs of them.
+    ``reps`` has (rep, shingles, bands), one row for each different bag; ``docs``
+    has one row for each id and text. Two texts that share a band share its
+    leader, the least id there, so the groups by leader hold all pairs; a text
+    is sent once for each different leader. In a group of several blocks, texts
+    are compared with the leader alone, and only those that are not near to it
+    with the whole group.
     """
     rows = reps.select("rep", "shingles", F.explode("bands").alias("key"))
     leaders = rows.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    follow = rows.join(leaders, "key").select("leader", "rep", "shingles").distinct()
-    follow = durable(follow)
+    follow = durable(spread_join(rows, leaders, ["key"], "rep").select("leader", "rep", "shingles").distinct())
     sizes = follow.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("mass"))
-    sizes = sizes.where("n > 1").select("leader", F.greatest(F.ceil(F.col("n") / config.block), F.ceil(F.col("mass") / config.block_shingles), F.lit(1)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    tasks = follow.join(sizes, "leader").select("leader", "rep", "blocks", own.alias("own"))
-    # Two blocks a task, so that every pair of blocks meets; a group of one block is its own task.
-    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
-    tasks = tasks.select("leader", "rep", "own", F.explode(other).alias("other"))
-    tasks = tasks.select("leader", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    grouped = durable(spread_join(follow, sizes.select("leader", _blocks(F.col("n"), F.col("mass"), config).alias("blocks")), ["leader"], "rep"))
     texts = docs.select(F.col(id_col).alias("rep"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    met = tasks.join(texts, "rep")
-    return met.groupBy("leader", "i", "j").applyInArrow(lambda t: _compare(t, config), "a long, b long")
+    small = grouped.where("blocks = 1").select("leader", "rep").join(texts, "rep")
+    links = small.groupBy("leader").applyInArrow(lambda t: _compare(t, config), "a long, b long")
+    large = grouped.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    # The leader goes to every block of its group.
+    block = F.when(F.col("rep") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
+    met = large.select("leader", "rep", "shingles", F.explode(block).alias("block")).join(texts, "rep")
+    near = durable(met.groupBy("leader", "block").applyInArrow(lambda t: _near_leader(t, config), "leader long, rep long, shingles long, near boolean"))
+    found = near.where("near").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
+    return links.unionByName(found).unionByName(_rest_of_large_groups(near, texts, config))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (a, b): the least node of its component.
 
     Alternating large-star and small-star rounds; each is a grouped minimum and
-    a join, with its links checkpointed, until a round changes nothing.
+    a join, with its links checkpointed, until a round changes nothing. A round
+    makes at most two links of one, so a count of the links bounds both joins.
     """
 
-    def star(pairs: DataFrame) -> DataFrame:
-        least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        return pairs.join(least.select(F.col("u").alias("__u"), F.least("u", "m").alias("m")), F.col("u") == F.col("__u"))
+    def star(pairs: DataFrame, n: int) -> DataFrame:
+        least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        return pairs.join(F.broadcast(least), "u") if n <= BROADCAST_LINKS else spread_join(pairs, least, ["u"], "v")
 
     links = durable(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
@@ -240,8 +290,8 @@ def components(links: DataFrame) -> DataFrame:
             break
         mark = (now["n"], now["x"])
         both = links.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))))
-        large = star(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
-        small = star(large.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        large = star(both, now["n"]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
+        small = star(large.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), now["n"])
         small = small.select(F.inline(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))))
         links = durable(small.where("a <> b").distinct())
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -262,13 +312,27 @@ def near_classes(docs: DataFrame, config: NearDupConfig | None = None, text_col:
     signed = durable(signatures(docs, config, text_col, id_col))
     reps = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"))
     reps = durable(reps)
-    known = reps.where("rep is not null")
-    roots = components(linked_pairs(docs, known, config, text_col, id_col))
+    if not signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = docs.select(id_col, text_col).distinct()
+    roots = components(linked_pairs(docs, reps.where("rep is not null"), config, text_col, id_col))
     named = reps.select("digest", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("class_id"))
-    return signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    rows = spread_join(signed.select("doc_id", "digest"), named, ["digest"], "doc_id")
+    return rows.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, config: NearDupConfig | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each class, all columns kept; rows with a null id stay."""
-    lost = near_classes(docs, config, text_col, id_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs[id_col] == F.col("__lost"), "left_anti")
+    """``docs`` with one document of each class, that of the least id, all columns kept.
+
+    Rows that repeat the id that stays are copies too, and the first of them by
+    its JSON text stays. Rows with a null id stay, as they have no key to be
+    found by. Null, empty and wordless texts are one class; an empty table gives
+    an empty result. Columns of any other name may be there.
+    """
+    classes = durable(near_classes(docs, config, text_col, id_col).where("doc_id is not null"))
+    lost = classes.where("not kept").select(F.col("doc_id").alias("__lost")).distinct()
+    left = docs.join(lost, docs[id_col] == F.col("__lost"), "left_anti")
+    again = classes.where("kept").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again")
+    if again.isEmpty():
+        return left
+    once = left.join(again, left[id_col] == F.col("__again"), "left_anti")
+    return once.unionByName(one_row_each(left.join(again, left[id_col] == F.col("__again"), "left_semi"), [id_col]))

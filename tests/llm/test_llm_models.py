@@ -251,6 +251,34 @@ def test_near_drop_keeps_columns_and_null_ids(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 9]
 
 
+def test_near_drop_leaves_one_of_repeated_rows(spark):
+    text = "one two three four five six"
+    docs = docs_of(spark, [(1, text, "b"), (1, text, "a"), (2, text, "a"), (3, "another text of some more words here", "c"), (3, "another text of some more words here", "c"), (None, text, "d")])
+    docs = docs.withColumn("digest", F.lit("clash")).withColumn("class_id", F.lit("clash")).withColumn("leader", F.lit("clash"))
+    kept = neardup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.lang) for r in kept.collect()) == [(0, "d"), (1, "a"), (3, "c")]
+    assert neardup.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_large_near_groups_lose_no_link(spark):
+    """Texts that share bands with a leader without being near to it, some near to one another, over several blocks."""
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts, base = {}, rng.choices(vocab, k=120)
+    for k in range(60):
+        own = list(base)
+        for at in range(k % 6 * 9, k % 6 * 9 + 9):
+            own[at] = f"v{k % 6}x{at}"
+        if k % 2:
+            own[rng.randrange(60, 120)] = rng.choice(vocab)
+        texts[k] = " ".join(own)
+    docs = docs_of(spark, [(i, t, None) for i, t in texts.items()])
+    config = neardup.NearDupConfig(block=7, bands=48, rows=2)
+    got = {r.doc_id: r.class_id for r in neardup.near_classes(docs, config).collect()}
+    assert got == near_brute(texts) and 1 < len(set(got.values())) < 60
+
+
 def nearest_brute(rows, k):
     ok = {i: np.array(v, float) for i, v in rows if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     out = {}

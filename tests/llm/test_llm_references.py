@@ -258,3 +258,43 @@ def test_queries_visit_few_shards_of_clustered_vectors(spark):
     assert len(got) == 100 and hits >= 0.95 * 1000
     flat = ann.fit_route(rng.normal(size=(3000, 64)), 10, config)
     assert flat[1] >= 8
+
+
+def test_the_whole_pipeline_over_odd_tables(spark, sf, tmp_path):
+    """run() itself: repeated rows, nulls and columns of inner names, and an empty table."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    first = docs.orderBy("doc_id").limit(40)
+    nulls = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", "en", None, 0)], docs.schema)
+    odd = first.unionByName(first.limit(9)).unionByName(nulls)
+    clashing(odd.drop("source")).withColumn("source", F.when(F.col("doc_id") % 5 > 0, F.lit("a"))).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").cache()
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert out.count() > 0 and out.where("doc_id >= 1000000").count() == 0
+    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).where("n > 2048 or n <> end").count() == 0
+    again = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    assert sorted(map(repr, again.select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(repr, out.select("doc_id", "piece", "ids_crc32").collect()))
+    out.unpersist()
+    docs.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_components_by_either_join(spark, monkeypatch):
+    rng = random.Random(12)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(500, i) for i in range(501, 560)] + [(i, i + 1) for i in range(600, 640)]
+    root = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in root if find(x) != x}
+    df = spark.createDataFrame(links, "a long, b long")
+    for bound in (200_000, -1):
+        monkeypatch.setattr(neardup, "BROADCAST_LINKS", bound)
+        assert {r.node: r.root for r in neardup.components(df).collect()} == want
