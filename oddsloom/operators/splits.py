@@ -29,7 +29,8 @@ def numbered(matches: DataFrame, ts: str = "ts", key: str = "match_id") -> DataF
 def chronological_split(matches: DataFrame, test_share: float = 0.15, ts: str = "ts", key: str = "match_id", check: bool = True) -> DataFrame:
     """(key, ts, split): the last max(1, share of all, half to even) rows are test, the others train.
 
-    With ``check``, null times, repeated keys and fewer than twenty train rows fail.
+    With ``check``, null times, repeated keys and fewer than twenty train rows
+    fail; these checks are three jobs over the keys and times of ``matches``.
     """
     if check:
         require_none(matches, F.col(ts).isNull(), [key], "matches without a time")
@@ -76,7 +77,7 @@ def assemble_out_of_fold(folds: DataFrame, predictions: DataFrame, key: str = "m
 
 
 def join_split(maps: DataFrame, splits: DataFrame, key: str = "match_id") -> DataFrame:
-    """``maps`` with the split of their match; a match without one fails."""
+    """``maps`` with the split of their match; a match without one fails, which a job over both tables' keys finds out."""
     some = maps.join(splits, key, "left_anti").select(key).distinct().limit(5).collect()
     if some:
         raise IntegrityError(f"no split for {[r[0] for r in some]}")
