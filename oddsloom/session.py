@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -51,6 +53,44 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one job in a folder of its own under :func:`shared_folder`.
+
+    Tables that a later one replaces are dropped by the job. Results are read
+    lazily, so what is left goes when the process ends, or by :meth:`close`.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        atexit.register(self._quiet_close)
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}"
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as Parquet and read again: its lineage ends here."""
+        df.write.parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def drop(self, name: str = "") -> None:
+        """Remove one table, or all of them; none is no error."""
+        path = self._path(self.path(name) if name else self.folder)
+        path.getFileSystem(self._conf).delete(path, True)
+
+    def close(self) -> None:
+        atexit.unregister(self._quiet_close)
+        self.drop()
+
+    def _quiet_close(self) -> None:
+        try:
+            self.drop()
+        except Exception:  # noqa: BLE001  the JVM may have gone before
+            pass
+
+
 _shipped: set[str] = set()
 
 
