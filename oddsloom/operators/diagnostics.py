@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from oddsloom.functions import shrink
-from oddsloom.functions.asof import prior_state
-from oddsloom.operators import logit, reports
+from oddsloom.functions.asof import prior_state, prior_totals
+from oddsloom.functions.guards import positive
+from oddsloom.operators import logit, reports, splits
+from oddsloom.operators.features import FeatureConfig, Tables, roster_ledger
 
 CLIP = 1e-12
 #: Accuracy and log-loss gaps from which a coarser model costs accuracy.
@@ -23,30 +25,73 @@ def binomial_loss(wins: Column, games: Column, p: Column) -> Column:
     return -(wins * F.log(q) + (games - wins) * F.log(1 - q))
 
 
-def select_strength(ledger: DataFrame, wins: str, games: Column, grid: Sequence[float], team_k: float | None = None, default: float = 0.5) -> DataFrame:
-    """(grid_value, score, is_best): the strength with which a team's rate on a map is best shrunk to its overall rate.
+#: The strengths that are tried for a team's rate on a map.
+WIN_GRID = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0)
+ROUND_GRID = (*WIN_GRID, 200.0, 500.0, 1000.0)
+#: Of what a rate is: won, and out of how many. Rows with a null on either side do not count.
+MEASURES: dict[str, tuple[str, str, tuple[float, ...]]] = {
+    "win": ("won", "1", WIN_GRID),
+    "attack": ("atk_won", "atk_played", ROUND_GRID),
+    "defense": ("def_won", "def_played", ROUND_GRID),
+    "first_blood": ("fk", "fk + fd", ROUND_GRID),
+}
 
-    Every row of the ledger is predicted from strictly earlier rows, in one
-    pass for the whole grid; scores are log losses by trial. The overall rate is
-    itself shrunk to ``default`` by ``team_k``, or taken as it is.
+
+def strength_rows(t: Tables, bounds: splits.FoldBounds, measure: str, config: FeatureConfig = FeatureConfig()) -> DataFrame:
+    """(block, won, n, map_won, map_n, prior): each team and map of the train matches, with what was known strictly before it.
+
+    ``prior`` is what the rate on the map is shrunk to: the team's own rate for
+    wins, the team's shrunk to the league's for attack and defence rounds and to
+    one half for first bloods. Test matches are not read at all: none is earlier
+    than a train match.
     """
-    rows = ledger.withColumn("__n", games).where(F.col("__n") > 0)
-    events = rows.select("team_id", "map_name", "ts", F.col(wins).alias("w"), F.col("__n").alias("g"))
-    asked = rows.select("team_id", "map_name", "ts", F.col(wins).alias("won_here"), F.col("__n").alias("here"))
-    read = prior_state(asked, events, ["team_id"], sums={"team_w": "w", "team_g": "g"})
-    read = prior_state(read, events, ["team_id", "map_name"], sums={"map_w": "w", "map_g": "g"}, base=asked)
-    team = shrink.rate(F.col("team_w"), F.col("team_g"), default) if team_k is None else shrink.beta_mean(F.col("team_w"), F.col("team_g"), F.lit(default), team_k)
-    read = read.select("won_here", "here", "map_w", "map_g", team.alias("prior"))
-    total = F.sum("here")
+    won, of, _ = MEASURES[measure]
+    ledger = roster_ledger(t) if measure == "first_blood" else t.seat_ledger()
+    rows = ledger.select("match_id", "team_id", "map_name", "ts", F.expr(won).alias("won"), F.expr(of).alias("n"), bounds.block(F.col("ts"), F.col("match_id")).alias("block"))
+    rows = rows.where("block is not null and won is not null and n > 0")
+    q = rows.select("block", "team_id", "map_name", "ts", F.col("won").alias("here_won"), F.col("n").alias("here"))
+    asked = q.where("block >= 1")
+    read = prior_state(asked, rows, ["team_id"], sums={"team_won": "won", "team_n": "n"}, hot=t.hot_teams)
+    read = prior_state(read, rows, ["team_id", "map_name"], sums={"map_won": "won", "map_n": "n"}, base=asked, hot=t.hot_teams)
+    if measure == "win":
+        prior = shrink.rate(F.col("team_won"), F.col("team_n"), 0.5)
+    elif measure == "first_blood":
+        prior = shrink.beta_mean(F.col("team_won"), F.col("team_n"), F.lit(0.5), config.blood_team_k)
+    else:
+        read = prior_totals(read, rows, [], sums={"all_won": "won", "all_n": "n"}, base=asked)
+        prior = shrink.beta_mean(F.col("team_won"), F.col("team_n"), shrink.rate(F.col("all_won"), F.col("all_n"), 0.5), config.side_team_k)
+    return read.select("block", F.col("here_won").alias("won"), F.col("here").alias("n"), "map_won", "map_n", prior.alias("prior"))
+
+
+def strengths_by_fold(rows: DataFrame, grid: Sequence[float]) -> DataFrame:
+    """(fold_id, grid_value, n, score, is_best): log loss by trial of every strength, over all validated rows (fold_id null) and by fold.
+
+    One aggregate over rows, folds and grid: a task adds up the losses of all
+    strengths by fold. Of equal scores the first strength is the best.
+    """
+    grid = [positive(k, "strength") for k in grid]
+    if not grid:
+        raise ValueError("no strengths to choose from")
 
     def loss(k: float) -> Column:
-        p = (F.col("map_w") + F.lit(float(k)) * F.col("prior")) / (F.col("map_g") + F.lit(float(k)))
-        return F.sum(binomial_loss(F.col("won_here"), F.col("here"), p)) / total
-
-    means = read.agg(*[loss(k).alias(f"g{i}") for i, k in enumerate(grid)])
-    flat = means.select(F.posexplode(F.array(*[F.struct(F.lit(float(k)).alias("grid_value"), F.col(f"g{i}").alias("score")) for i, k in enumerate(grid)])).alias("i", "x")).select("i", "x.*")
-    best = F.min(F.struct("score", "i")).over(W.partitionBy())["i"]
-    return flat.select("grid_value", "score", (F.col("i") == best).alias("is_best"))
+        p = (F.col("map_won") + F.lit(k) * F.col("prior")) / (F.col("map_n") + F.lit(k))
+        return F.sum(binomial_loss(F.col("won"), F.col("n"), p))
+
+    folds = rows.groupBy((F.col("block") - 1).cast("int").alias("fold_id")).agg(F.sum("n").cast("bigint").alias("n"), F.array(*[loss(k) for k in grid]).alias("losses"))
+    # A row a fold from here on.
+    cells = folds.select("fold_id", "n", F.posexplode("losses").alias("i", "loss"))
+    sums = cells.groupingSets([[F.col("i")], [F.col("i"), F.col("fold_id")]], F.col("i"), F.col("fold_id")).agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
+    values = F.array(*[F.lit(k) for k in grid])
+    best = F.min(F.struct("score", "i")).over(W.partitionBy("fold_id"))["i"]
+    return sums.withColumn("score", F.col("loss") / F.col("n")).select("fold_id", F.element_at(values, F.col("i") + 1).alias("grid_value"), "n", "score", (F.col("i") == best).alias("is_best"))
+
+
+def select_strength(t: Tables, measure: str, grid: Sequence[float] | None = None, folds: int = 5, min_block: int = 8, test_share: float = 0.15) -> DataFrame:
+    """:func:`strengths_by_fold` of a measure, over walk-forward folds of the completed matches that are not held out."""
+    if measure not in MEASURES:
+        raise ValueError(f"no measure is named {measure!r}")
+    split = splits.chronological_split(t.matches.where("status = 'completed'"), test_share, check=False)
+    return strengths_by_fold(strength_rows(t, splits.fold_bounds(split, folds, min_block), measure), grid or MEASURES[measure][2])
 
 
 def play_counts(maps: DataFrame, matches: DataFrame, rows: DataFrame) -> DataFrame:

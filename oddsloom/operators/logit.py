@@ -217,40 +217,73 @@ def fit_replicates(rows: DataFrame, features: list[str], label: str, kind: str,
     and seed; all rows of a match count as often. That is a fit over the rows
     repeated so often, with its own means and deviations.
     """
-    return _fit_all(rows, features, label, kind, config, (positive_int(replicates, "replicates"), seed, key))
+    positive_int(replicates, "replicates")
+    number = draws.key_number(F.col(key), rows.schema[key].dataType.simpleString())
+    return _fit_all(rows, features, label, kind, config, Weighting(replicates, number, lambda k: draws.poisson_times(draws.units(k, replicates, seed))))
 
 
-def _fit_all(rows: DataFrame, features: list[str], label: str, kind: str, config: FitConfig, resample: tuple[int, int, str] | None) -> list[LogitModel]:
+def fit_folds(rows: DataFrame, features: list[str], label: str, kind: str, block: Column, folds: int, config: FitConfig = FitConfig()) -> list[LogitModel]:
+    """One model for each fold, all fitted in the same passes: fold f is fitted on the rows of blocks 0..f.
+
+    Rows of later blocks, or without one, count for nothing in a fold: neither
+    in its means and deviations nor in its loss.
+    """
+    positive_int(folds, "folds")
+    return _fit_all(rows, features, label, kind, config, Weighting(folds, F.coalesce(block, F.lit(folds)).cast("bigint"), lambda k: k[:, None] <= np.arange(folds)))
+
+
+def out_of_fold(rows: DataFrame, models: list[LogitModel], block: Column) -> DataFrame:
+    """``rows`` of blocks from 1 on with ``eta`` and ``cuts`` of the ordinal model that saw earlier blocks alone; block f + 1 has the model of fold f.
+
+    All models are columns over the same row, so nothing is shuffled.
+    """
+    etas = F.array(*[linear(m, m.coef) for m in models])
+    cuts = F.array(*[F.array(*[F.lit(float(c)) for c in m.cuts]) for m in models])
+    inside = (block >= 1) & (block <= len(models))
+    return rows.where(inside).withColumns({"eta": F.element_at(etas, block), "cuts": F.element_at(cuts, block)})
+
+
+@dataclass(frozen=True)
+class Weighting:
+    """How often a row counts in each of ``models`` fits: a whole number by row, and what it means, as (rows, models)."""
+
+    models: int
+    number: Column
+    times: Callable[[np.ndarray], np.ndarray]
+
+
+def _fit_all(rows: DataFrame, features: list[str], label: str, kind: str, config: FitConfig, weighting: Weighting | None) -> list[LogitModel]:
     bad = F.lit(False)
     for c in (*features, label):
         bad = bad | F.col(c).isNull()
     if not rows.where(bad).isEmpty():
         raise IntegrityError("the design has nulls")
     mean, std = standardizer(rows, features)
-    n_replicates, seed, key = resample or (1, 0, "")
-    number = draws.key_number(F.col(key), rows.schema[key].dataType.simpleString()) if resample else F.lit(0).cast("bigint")
+    n_models = weighting.models if weighting else 1
+    number = weighting.number if weighting else F.lit(0).cast("bigint")
+    times = weighting.times if weighting else None
     x = F.array(*[((F.col(f) - m) / s).cast("double") for f, m, s in zip(features, mean, std, strict=True)])
     design = durable(rows.select(x.alias("x"), F.col(label).cast("int").alias("y"), number.alias("k")))
     classes = (design.agg(F.max("y")).first()[0] or 0) + 1
     d = len(features)
 
     def times_of(k: np.ndarray) -> np.ndarray:
-        return draws.poisson_times(draws.units(k, n_replicates, seed)).astype(float) if resample else np.ones((len(k), 1))
+        return np.ones((len(k), 1)) if times is None else times(k).astype(float)
 
     def moments(xs: np.ndarray, y: np.ndarray, k: np.ndarray) -> np.ndarray:
         t = times_of(k)
         return np.concatenate([t.T @ np.eye(classes)[y], t.T @ xs, t.T @ xs**2], axis=1).reshape(-1)
 
-    sums = _pass_over(design, moments, n_replicates * (classes + 2 * d), d).reshape(n_replicates, -1)
+    sums = _pass_over(design, moments, n_models * (classes + 2 * d), d).reshape(n_models, -1)
     counts, first, second = np.split(sums, [classes, classes + d], axis=1)
     if ((counts > 0).sum(axis=1) < 2).any():
         raise IntegrityError("the labels hold fewer than two classes")
     n = counts.sum(axis=1)
-    # Moments of the standardised design: 0 and 1 but for resampling and for features that never vary.
-    shift = first / n[:, None] if resample else np.zeros((1, d))
-    scale = np.sqrt(np.maximum(second / n[:, None] - shift**2, 0)) if resample else np.ones((1, d))
+    # Moments of the standardised design: 0 and 1 but for weighted rows and for features that never vary.
+    shift = first / n[:, None] if weighting else np.zeros((1, d))
+    scale = np.sqrt(np.maximum(second / n[:, None] - shift**2, 0)) if weighting else np.ones((1, d))
     scale[scale < 1e-12] = 1.0
-    starts = {r: _start(kind, counts[r], n[r], d) for r in range(n_replicates)}
+    starts = {r: _start(kind, counts[r], n[r], d) for r in range(n_models)}
     penalised = len(starts[0]) - (classes - 1) if kind != "binary" else d
     part, size = _PARTS[kind], len(starts[0])
 
@@ -272,7 +305,7 @@ def _fit_all(rows: DataFrame, features: list[str], label: str, kind: str, config
 
     found = descend_together(evaluate, starts, config)
     models = []
-    for r in range(n_replicates):
+    for r in range(n_models):
         best, loss, iterations, converged = found[r]
         if kind == "ordinal":
             a = best[d:]
@@ -397,35 +430,52 @@ def fit_choice(candidates: DataFrame, features: list[str], step: list[str], chos
     return LogitModel("choice", features, mean, std, best.tolist(), [], n, loss, iterations, converged, config.l2)
 
 
-def fit_temperature(rows: DataFrame, eta: str, cuts: list[str], label: str, low: float = 0.25, high: float = 4.0, n: int = 61) -> tuple[float, float, float]:
-    """(temperature, loss at it, loss at 1) of least negative log likelihood over two geometric grids.
+#: Fixed values of the search for a temperature: bounds, values of the coarse and of the fine grid, and how far the fine one reaches.
+T_LOW, T_HIGH, T_COARSE, T_FINE, T_REACH = 0.05, 20.0, 97, 61, 1.5
+
+
+def fit_temperature(rows: DataFrame, eta: str, cuts: str, label: str) -> tuple[float, float, float, int]:
+    """(temperature, loss at it, loss at 1, rows) of least negative log likelihood over two geometric grids.
 
-    A grid is one pass over all rows: a task adds up the losses of all its values.
+    ``cuts`` is an array: rows may have cutpoints of different models. The
+    coarse grid has 1 in it, so the loss found is never above that at 1; the
+    fine one lies around the best of the coarse one. A grid is one pass over all
+    rows: a task adds up the losses of all its values. No rows, a null or a label
+    without a cell fails.
     """
-    bound = rows.select(F.col(eta).cast("double").alias("eta"), F.array(*[F.col(c).cast("double") for c in cuts]).alias("cuts"), F.col(label).cast("int").alias("y"))
+    bound = rows.select(F.col(eta).cast("double").alias("eta"), F.col(cuts).cast("array<double>").alias("cuts"), F.col(label).cast("int").alias("y"))
+    inside = (F.col("y") >= 0) & (F.col("y") <= F.size("cuts")) & F.col("eta").isNotNull()
+    bound = bound.withColumn("y", F.when(F.coalesce(inside, F.lit(False)), F.col("y")).otherwise(F.raise_error(F.lit("a row without a predictor or with a label beyond its cutpoints")).cast("int")))
 
     def losses(grid: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(grid))
+            total = np.zeros(len(grid) + 1)
             for batch in batches:
                 for at in range(0, batch.num_rows, 4096):
                     piece = batch.slice(at, 4096)
                     e, y = piece.column("eta").to_numpy(), piece.column("y").to_numpy()
-                    c = piece.column("cuts").flatten().to_numpy().reshape(-1, len(cuts))
+                    c = piece.column("cuts").flatten().to_numpy().reshape(len(e), -1)
                     row = np.arange(len(e))
+                    # The two edges of the row's own cell alone.
+                    low = np.where(y > 0, c[row, np.maximum(y - 1, 0)], -np.inf)
+                    high = np.where(y < c.shape[1], c[row, np.minimum(y, c.shape[1] - 1)], np.inf)
+                    total[-1] += len(e)
                     for j, t in enumerate(grid):
-                        edges = np.concatenate([np.zeros((len(e), 1)), _sigmoid(c + (e / t)[:, None]), np.ones((len(e), 1))], axis=1)
-                        total[j] -= np.log(np.clip(edges[row, y + 1] - edges[row, y], CLIP, 1 - CLIP)).sum()
+                        total[j] -= np.log(np.clip(_sigmoid(high + e / t) - _sigmoid(low + e / t), CLIP, 1 - CLIP)).sum()
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["sums"])
 
         return _added(bound.mapInArrow(run, "sums array<double>"))
 
-    grid = np.geomspace(low, high, n)
-    at = int(losses(grid).argmin())
-    fine = np.geomspace(grid[max(0, at - 1)], grid[min(n - 1, at + 1)], n)
-    found = losses(np.append(fine, 1.0))
-    best = int(found[:-1].argmin())
-    return float(fine[best]), float(found[best]), float(found[-1])
+    coarse = np.append(np.geomspace(T_LOW, T_HIGH, T_COARSE), 1.0)
+    *first, n = losses(coarse)
+    if not n:
+        raise IntegrityError("no rows to fit a temperature on")
+    at = int(np.argmin(first))
+    fine = np.clip(np.geomspace(coarse[at] / T_REACH, coarse[at] * T_REACH, T_FINE), T_LOW, T_HIGH)
+    second = losses(fine)[:-1]
+    best = int(np.argmin(second))
+    t, loss = (fine[best], second[best]) if second[best] < first[at] else (coarse[at], first[at])
+    return float(t), float(loss), float(first[-1]), int(n)
 
 
 def four_way_baseline(rate_a: Column, rate_b: Column, overtime: Column) -> Column:

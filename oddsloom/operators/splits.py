@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 from pyspark.sql import Window as W
 
 from oddsloom.functions.guards import IntegrityError, positive_int, require_none, require_unique
@@ -64,6 +67,51 @@ def walk_forward_folds(train: DataFrame, folds: int, min_block: int = 1, ts: str
     return rows.select("fold_id", key, role.alias("role")).where("role is not null")
 
 
+@dataclass(frozen=True)
+class FoldBounds:
+    """Chronological blocks by the (time, key) of their first matches; ``end`` is where the train matches stop, if they do.
+
+    Block 0 is for training alone; fold f trains on blocks 0..f and validates on block f + 1.
+    """
+
+    starts: tuple[tuple[str, object], ...]
+    end: tuple[str, object] | None
+    kind: Ty.DataType
+
+    @property
+    def folds(self) -> int:
+        return len(self.starts) - 1
+
+    def block(self, ts: Column, key: Column) -> Column:
+        """The block of a row by its match's time and key, without a join; null from ``end`` on and for a null time."""
+
+        def from_(bound: tuple[str, object]) -> Column:
+            at = F.lit(bound[0]).cast(self.kind)
+            return (ts > at) | ((ts == at) & (key >= F.lit(bound[1])))
+
+        number = F.lit(0)
+        for bound in self.starts[1:]:
+            number = number + from_(bound).cast("int")
+        return F.when(ts.isNotNull() if self.end is None else ~from_(self.end), number)
+
+
+def fold_bounds(split: DataFrame, folds: int = 5, min_block: int = 8, ts: str = "ts", key: str = "match_id") -> FoldBounds:
+    """The blocks of the train matches of a chronological split (key, ts, split), as :func:`walk_forward_folds` makes them.
+
+    To the driver come the first matches of the blocks, folds + 2 at most.
+    """
+    positive_int(folds, "folds"), positive_int(min_block, "min_block")
+    n = split.where("split = 'train'").count()
+    folds = min(folds, n // min_block - 1)
+    if folds < 1:
+        raise IntegrityError(f"{n} rows make no fold")
+    size = n // (folds + 1)
+    places = [0, *[n - size * (folds - i) for i in range(folds)], n]
+    at = numbered(split.select(key, ts), ts, key).where(F.col("nth").isin(places)).select("nth", F.col(ts).cast("string").alias("t"), F.col(key).alias("k"))
+    found = {r["nth"]: (r["t"], r["k"]) for r in at.collect()}
+    return FoldBounds(tuple(found[i] for i in places[:-1]), found.get(n), split.schema[ts].dataType)
+
+
 def assemble_out_of_fold(folds: DataFrame, predictions: DataFrame, key: str = "match_id") -> DataFrame:
     """``predictions`` (fold_id, key, ...), checked to cover exactly the validation rows of every fold."""
     want = folds.where("role = 'validate'").select("fold_id", key)
@@ -77,8 +125,8 @@ def assemble_out_of_fold(folds: DataFrame, predictions: DataFrame, key: str = "m
 
 
 def join_split(maps: DataFrame, splits: DataFrame, key: str = "match_id") -> DataFrame:
-    """``maps`` with the split of their match; a match without one fails, which a job over both tables' keys finds out."""
+    """``maps`` with the split of their match, and what other columns of ``splits`` they lack; a match without one fails, which a job over both tables' keys finds out."""
     some = maps.join(splits, key, "left_anti").select(key).distinct().limit(5).collect()
     if some:
         raise IntegrityError(f"no split for {[r[0] for r in some]}")
-    return maps.join(splits.select(key, "split"), key)
+    return maps.join(splits.select(key, *[c for c in splits.columns if c not in maps.columns]), key)

@@ -8,27 +8,51 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsloom.functions import scoring, series
+from oddsloom.functions import guards, scoring, series
 from oddsloom.operators import features, harness, logit, reports, seats, splits, veto
 
 
 @dataclass
 class Trained:
-    """A map model and its temperature."""
+    """A map model and its temperature, with what that was fitted on: rows, and their loss at 1 and at it."""
 
     model: logit.LogitModel
     temperature: float = 1.0
+    n_calibration: int = 0
+    loss_at_one: float = float("nan")
+    loss: float = float("nan")
 
 
-def design(rows: DataFrame, t: features.Tables, labels: DataFrame, split: DataFrame) -> DataFrame:
-    """Feature rows with label and split; rows without a label are those not finished."""
+def design(rows: DataFrame, t: features.Tables, labels: DataFrame, split: DataFrame, folds: int = 5, min_block: int = 8) -> DataFrame:
+    """Feature rows with label, split and, in the train split, the chronological ``block`` of their match; rows without a label are those not finished.
+
+    ``split`` has match_id, ts and split.
+    """
     x = features.feature_matrix(rows, t)
     y = labels.select("match_id", "map_index", "outcome_ordinal")
-    return splits.join_split(x.join(y, features.ROW), split)
+    bounds = splits.fold_bounds(split, folds, min_block)
+    blocks = split.select("match_id", "split", F.when(F.col("split") == "train", bounds.block(F.col("ts"), F.col("match_id"))).alias("block"))
+    return splits.join_split(x.join(y, features.ROW), blocks)
+
+
+def calibrate(rows: DataFrame, names: list[str], label: str, config: logit.FitConfig = logit.FitConfig(), block: str = "block") -> tuple[float, float, float, int]:
+    """:func:`logit.fit_temperature` over out-of-fold predictions: every row is scored by a model of earlier blocks alone.
+
+    The folds' models are fitted in the same passes. Rows of block 0 are only trained on.
+    """
+    folds = rows.agg(F.max(block)).first()[0]
+    if not folds:
+        raise guards.IntegrityError("the rows make no fold")
+    models = logit.fit_folds(rows, names, label, "ordinal", F.col(block), int(folds), config)
+    return logit.fit_temperature(logit.out_of_fold(rows, models, F.col(block)), "eta", "cuts", label)
 
 
 def train(design_rows: DataFrame, kind: str = "ordinal", config: logit.FitConfig = logit.FitConfig()) -> Trained:
-    """Fit on the train split; the ordinal model gets its temperature there too."""
+    """Fit on the train split; the ordinal model gets its temperature from out-of-fold predictions of the same split.
+
+    A model looks better calibrated on the rows it was fitted on than it is, so
+    these are never used for the temperature.
+    """
     rows = design_rows.where("split = 'train'")
     label = "outcome_ordinal"
     if kind == "binary":
@@ -36,8 +60,8 @@ def train(design_rows: DataFrame, kind: str = "ordinal", config: logit.FitConfig
     model = logit.fit(rows, list(features.FEATURES), label, kind, config)
     if kind != "ordinal":
         return Trained(model)
-    scored = rows.select(logit.linear(model, model.coef).alias("eta"), *[F.lit(c).alias(f"t{i}") for i, c in enumerate(model.cuts)], label)
-    return Trained(model, logit.fit_temperature(scored, "eta", [f"t{i}" for i in range(len(model.cuts))], label)[0])
+    temperature, loss, at_one, n = calibrate(rows, list(features.FEATURES), label, config)
+    return Trained(model, temperature, n, at_one, loss)
 
 
 def evaluate(design_rows: DataFrame, trained: Trained, split: str = "test") -> DataFrame:

@@ -656,39 +656,49 @@ def permutation_test(spark: SparkSession, d: str) -> DataFrame:
 
 # --- strengths and choices ----------------------------------------------------------------------------------------------
 
-_K = [1.0, 5.0, 10.0, 50.0, 200.0]
+_FOLDS = """, om AS (SELECT match_id, row_number() OVER (ORDER BY ts, match_id) - 1 AS n, count(*) OVER () AS t FROM matches WHERE status = 'completed'),
+tm AS (SELECT match_id, n, t - greatest(1, CAST(round_even(t * 0.15, 0) AS BIGINT)) AS t FROM om),
+bm AS (SELECT match_id, CASE WHEN n < t - (t // 6) * 5 THEN 0 ELSE (n - (t - (t // 6) * 5)) // (t // 6) + 1 END AS block FROM tm WHERE n < t)"""
 
 
-def _strength(w: str, g: str, team: str, where: str = "TRUE") -> str:
-    """SQL for the log losses of a grid of strengths over the seat ledger."""
-    reads = {n: _read("seat", keys, {"w": w, "g": g}, queries="seat", where=where) for n, keys in (("t", ["team_id"]), ("m", ["team_id", "map_name"]))}
-    return f"""{SQL}{_join_reads(reads)}, g AS (SELECT unnest({_K}) AS k, unnest(range({len(_K)})) AS i),
-x AS (SELECT {w.replace("won", "t.q.won").replace("atk_t.q.won", "t.q.atk_won")} AS y, {g.replace("atk_played", "t.q.atk_played")} AS n, m.w, m.g, {team} AS p FROM t JOIN m ON t.q = m.q),
-l AS (SELECT k, i, sum(-(y * ln((w + k * p) / (g + k)) + (n - y) * ln(1 - (w + k * p) / (g + k)))) / sum(n) AS s FROM x, g WHERE n > 0 GROUP BY k, i)
-SELECT CAST(k AS DOUBLE) AS grid_value, round(s, 8) AS score, i = arg_min(i, (s, i)) OVER () AS is_best FROM l"""
+def _strength(source: str, w: str, g: str, grid: tuple[float, ...], prior: str, ctes: str = "") -> str:
+    """SQL for the log losses of a grid of strengths by walk-forward fold; test matches take no part."""
+    reads = {n: _read("seen", keys, {"w": "w", "g": "g"}, queries="asked") for n, keys in (("t", ["team_id"]), ("m", ["team_id", "map_name"]), ("l", []))}
+    return f"""{SQL}{_FOLDS}{ctes}, seen AS (SELECT match_id, map_index, seat, team_id, map_name, ts, block, {w} AS w, {g} AS g FROM {source} JOIN bm USING (match_id) WHERE ({w}) IS NOT NULL AND ({g}) > 0),
+asked AS (SELECT * FROM seen WHERE block > 0){_join_reads(reads)}, g AS (SELECT unnest({list(grid)}) AS k, unnest(range({len(grid)})) AS i),
+x AS (SELECT t.q.block AS block, t.q.w AS y, t.q.g AS n, m.w AS w, m.g AS g, {prior} AS p FROM t JOIN m ON t.q = m.q JOIN l ON t.q = l.q),
+f AS (SELECT CAST(block - 1 AS INTEGER) AS fold_id, k, i, sum(n) AS n, sum(-(y * ln(greatest(1e-12, least(1 - 1e-12, (x.w + k * p) / (x.g + k)))) + (n - y) * ln(1 - greatest(1e-12, least(1 - 1e-12, (x.w + k * p) / (x.g + k)))))) AS s FROM x, g GROUP BY ALL),
+a AS (SELECT fold_id, k, i, sum(n) AS n, sum(s) / sum(n) AS s FROM f GROUP BY GROUPING SETS ((k, i), (k, i, fold_id)))
+SELECT fold_id, CAST(k AS DOUBLE) AS grid_value, CAST(n AS BIGINT) AS n, round(s, 8) AS score, i = arg_min(i, (s, i)) OVER (PARTITION BY fold_id) AS is_best FROM a"""
 
 
-@query(_strength("won", "1", "CASE WHEN t.g = 0 THEN 0.5 ELSE t.w / t.g END * 0.98 + 0.01"))
-def select_win_strength(spark: SparkSession, d: str) -> DataFrame:
-    """Strength for win rates; priors are drawn in by a hundredth so that no loss is without bound."""
-    ledger = league.tables(spark, d, False).seat_ledger()
-    rows = ledger.select("team_id", "map_name", "ts", "won")
-    read = asof.prior_state(rows, rows, ["team_id"], sums={"tw": "won", "tg": F.lit(1)})
-    read = asof.prior_state(read, rows, ["team_id", "map_name"], sums={"mw": "won", "mg": F.lit(1)}, base=rows)
-    prior = shrink.rate(F.col("tw"), F.col("tg"), 0.5) * 0.98 + 0.01
-    read = read.withColumn("p", prior)
+_LEAGUE_PRIOR = "(t.w + 50 * CASE WHEN l.g = 0 THEN 0.5 ELSE l.w / l.g END) / (t.g + 50.0)"
 
-    def loss(k: Column) -> Column:
-        return diagnostics.binomial_loss(F.col("won"), F.lit(1), (F.col("mw") + k * F.col("p")) / (F.col("mg") + k))
 
-    return _rounded(reports.grid_argmin(read, _K, loss))
+@query(_strength("seat", "won", "1", diagnostics.WIN_GRID, "CASE WHEN t.g = 0 THEN 0.5 ELSE t.w / t.g END"))
+def select_win_strength(spark: SparkSession, d: str) -> DataFrame:
+    """Strength for win rates over walk-forward folds, by fold and over all; held-out matches are not read."""
+    return _rounded(diagnostics.select_strength(league.tables(spark, d, False), "win"))
 
 
-@query(_strength("atk_won", "atk_played", "(t.w + 25.0) / (t.g + 50.0)"))
+@query(_strength("seat", "atk_won", "atk_played", diagnostics.ROUND_GRID, _LEAGUE_PRIOR))
 def select_attack_strength(spark: SparkSession, d: str) -> DataFrame:
-    """Strength for attack rounds, weighted by rounds; the whole grid in one pass."""
-    ledger = league.tables(spark, d, False).seat_ledger().where("atk_played is not null")
-    return _rounded(diagnostics.select_strength(ledger, "atk_won", F.col("atk_played"), _K, 50.0))
+    """Strength for attack rounds, weighted by rounds."""
+    return _rounded(diagnostics.select_strength(league.tables(spark, d, False), "attack"))
+
+
+@query(_strength("dseat", "def_won", "def_played", diagnostics.ROUND_GRID, _LEAGUE_PRIOR, """, dseat AS (
+  SELECT match_id, map_index, map_name, ts, 1 AS seat, team1_id AS team_id, def1 AS def_won, def1 + atk2 AS def_played FROM finished
+  UNION ALL SELECT match_id, map_index, map_name, ts, 2, team2_id, def2, def2 + atk1 FROM finished)"""))
+def select_defense_strength(spark: SparkSession, d: str) -> DataFrame:
+    """Strength for defence rounds, weighted by rounds."""
+    return _rounded(diagnostics.select_strength(league.tables(spark, d, False), "defense"))
+
+
+@query(_strength("seat", _FB["w"], _FB["g"], diagnostics.ROUND_GRID, "(t.w + 25.0) / (t.g + 50.0)"))
+def select_first_blood_strength(spark: SparkSession, d: str) -> DataFrame:
+    """Strength for first bloods, weighted by first kills and deaths."""
+    return _rounded(diagnostics.select_strength(league.tables(spark, d), "first_blood"))
 
 
 @query(f"""{SQL}, c AS (SELECT m.match_id, team1_id AS team_id, ts, unnest([{', '.join(f"'{m}'" for m in league.MAP_NAMES)}]) AS map_name FROM matches m),
@@ -976,7 +986,7 @@ def derived_quantities(spark: SparkSession, d: str) -> DataFrame:
 def _graded(spark: SparkSession, d: str) -> DataFrame:
     """Items with a grade that follows their quantity and discount, and is noisy by their key."""
     z = F.col("l_quantity") / 10 - F.col("l_discount") * 20 + F.col("l_orderkey") * 7919 % 100 / 25.0
-    return table(spark, d, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount")], F.when(z < 2.7, 0).when(z < 4.3, 1).otherwise(2).alias("grade"))
+    return table(spark, d, "lineitem").select("l_orderkey", *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount")], F.when(z < 2.7, 0).when(z < 4.3, 1).otherwise(2).alias("grade"))
 
 
 _STEPS = 1500
@@ -1022,17 +1032,56 @@ def choice_moments(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(spark.createDataFrame(list(zip(model.features, model.mean, model.std, strict=True)), "name string, mean double, deviation double"), 7)
 
 
-_CELL = "CASE grade WHEN 0 THEN {0} WHEN 1 THEN {1} - {0} ELSE 1 - {1} END".format(_SIG.format("-2 + eta / t"), _SIG.format("2 + eta / t"))
-_LOSSES = f"SELECT j, t, sum(-k * ln(greatest(1e-12, least(1 - 1e-12, {_CELL})))) AS l FROM c, {{}} GROUP BY j, t"
+_EDGES = "greatest(1e-12, least(1 - 1e-12, CASE grade WHEN 0 THEN {0} WHEN 1 THEN {1} - {0} ELSE 1 - {0} - ({1} - {0}) END))".format(_SIG.format("a + eta / t"), _SIG.format("b + eta / t"))
+#: The search for a temperature over ``c`` (eta, cutpoints a and b, grade, count k): both grids, the coarse one with 1 at its end.
+_TEMPERATURE = f"""g AS (SELECT j, 0.05 * pow(400.0, j / 96.0) AS t FROM (SELECT unnest(range(97)) AS j) UNION ALL SELECT 97, 1.0),
+l AS (SELECT j, t, sum(-k * ln({_EDGES})) AS l FROM c, g GROUP BY j, t), b0 AS (SELECT arg_min(t, (l, j)) AS t, min(l) AS l FROM l),
+h AS (SELECT j, greatest(0.05, least(20.0, t / 1.5 * pow(2.25, j / 60.0))) AS t FROM b0, (SELECT unnest(range(61)) AS j)), n AS (SELECT j, t, sum(-k * ln({_EDGES})) AS l FROM c, h GROUP BY j, t),
+b1 AS (SELECT arg_min(t, (l, j)) AS t, min(l) AS l FROM n)
+SELECT round(CASE WHEN b1.l < b0.l THEN b1.t ELSE b0.t END, 8) AS temperature, round(least(b0.l, b1.l), 4) AS loss, round((SELECT l FROM l WHERE j = 97), 4) AS loss_at_one, (SELECT CAST(sum(k) AS BIGINT) FROM c) AS n FROM b0, b1"""
+
+
+def _temperature(spark: SparkSession, found: tuple[float, float, float, int]) -> DataFrame:
+    t, loss, one, n = found
+    return spark.createDataFrame([(round(t, 8), round(loss, 4), round(one, 4), n)], "temperature double, loss double, loss_at_one double, n long")
 
 
 @query(f"""WITH z AS (SELECT l_quantity, l_discount, l_quantity / 10 - l_discount * 20 + (l_orderkey * 7919 % 100) / 25.0 AS z FROM lineitem),
-c AS (SELECT (1.5 - l_quantity / 10 + l_discount * 20) * 2.5 AS eta, CASE WHEN z < 2.7 THEN 0 WHEN z < 4.3 THEN 1 ELSE 2 END AS grade, count(*) AS k FROM z GROUP BY ALL),
-g AS (SELECT j, 0.25 * pow(16.0, j / 60.0) AS t FROM (SELECT unnest(range(61)) AS j)), l AS ({_LOSSES.format("g")}), b AS (SELECT arg_min(j, (l, j)) AS j FROM l),
-e AS (SELECT (SELECT g.t FROM g, b WHERE g.j = greatest(0, b.j - 1)) AS lo, (SELECT g.t FROM g, b WHERE g.j = least(60, b.j + 1)) AS hi), h AS (SELECT j, lo * pow(hi / lo, j / 60.0) AS t FROM e, (SELECT unnest(range(61)) AS j)), n AS ({_LOSSES.format("h")}), o AS ({_LOSSES.format("(SELECT 0 AS j, 1.0 AS t) w")})
-SELECT round(arg_min(t, (n.l, j)), 8) AS temperature, round(min(n.l), 5) AS loss, round((SELECT l FROM o), 5) AS loss_at_one FROM n""")
+c AS (SELECT (1.5 - l_quantity / 10 + l_discount * 20) * 2.5 AS eta, -2.0 AS a, 2.0 AS b, CASE WHEN z < 2.7 THEN 0 WHEN z < 4.3 THEN 1 ELSE 2 END AS grade, count(*) AS k FROM z GROUP BY ALL),
+{_TEMPERATURE}""")
 def fit_temperature(spark: SparkSession, d: str) -> DataFrame:
-    """(temperature, loss, loss_at_one) of least log loss for a fixed ordinal predictor of the grades."""
-    rows = _graded(spark, d).select(((1.5 - F.col("l_quantity") / 10 + F.col("l_discount") * 20) * 2.5).alias("eta"), F.lit(-2.0).alias("c0"), F.lit(2.0).alias("c1"), "grade")
-    t, loss, one = logit.fit_temperature(rows, "eta", ["c0", "c1"], "grade")
-    return spark.createDataFrame([(round(t, 8), round(loss, 5), round(one, 5))], "temperature double, loss double, loss_at_one double")
+    """(temperature, loss, loss_at_one, n) of least log loss for a fixed ordinal predictor of the grades."""
+    rows = _graded(spark, d).select(((1.5 - F.col("l_quantity") / 10 + F.col("l_discount") * 20) * 2.5).alias("eta"), F.array(F.lit(-2.0), F.lit(2.0)).alias("cuts"), "grade")
+    return _temperature(spark, logit.fit_temperature(rows, "eta", "cuts", "grade"))
+
+
+_FOLD_STEPS = 700
+
+
+@query(f"""WITH RECURSIVE om AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS n, count(*) OVER () AS t FROM orders),
+tm AS (SELECT o_orderkey, n, t - greatest(1, CAST(round_even(t * 0.15, 0) AS BIGINT)) AS t FROM om),
+bm AS (SELECT o_orderkey, CASE WHEN n < t - (t // 6) * 5 THEN 0 ELSE (n - (t - (t // 6) * 5)) // (t // 6) + 1 END AS block FROM tm WHERE n < t),
+z AS (SELECT block, l_quantity AS q, l_discount AS f, l_quantity / 10 - l_discount * 20 + (l_orderkey * 7919 % 100) / 25.0 AS z FROM lineitem JOIN bm ON l_orderkey = o_orderkey),
+z1 AS MATERIALIZED (SELECT block, q, f, CASE WHEN z < 2.7 THEN 0 WHEN z < 4.3 THEN 1 ELSE 2 END AS y, count(*) AS k FROM z GROUP BY ALL),
+z2 AS (SELECT r.r, z1.* FROM z1, (SELECT unnest(range(5)) AS r) r WHERE block <= r.r),
+m AS MATERIALIZED (SELECT r, sum(k * q) / sum(k) AS mq, sqrt(sum(k * q * q) / sum(k) - pow(sum(k * q) / sum(k), 2)) AS sq, sum(k * f) / sum(k) AS mf, sqrt(sum(k * f * f) / sum(k) - pow(sum(k * f) / sum(k), 2)) AS sf, sum(k) AS n,
+  sum(CASE WHEN y < 1 THEN k ELSE 0 END) / sum(k) AS c0, sum(CASE WHEN y < 2 THEN k ELSE 0 END) / sum(k) AS c1 FROM z2 GROUP BY r),
+cell AS MATERIALIZED (SELECT z2.r, (q - mq) / sq AS x, (f - mf) / sf AS v, y, sum(k) * 1.0 / max(n) AS k FROM z2 JOIN m ON z2.r = m.r GROUP BY ALL),
+gd(i, r, w, u, a, b) AS (
+  SELECT 0, r, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), ln(c0 / (1 - c0)), ln(c1 / (1 - c1)) FROM m
+  UNION ALL
+  SELECT i + 1, r, w - 0.7 * (w + sum(k * d * x)), u - 0.7 * (u + sum(k * d * v)), a - 0.7 * sum(k * da), b - 0.7 * sum(k * db) FROM (
+    SELECT i, r, w, u, a, b, k, x, v, CASE y WHEN 0 THEN -(1 - p) WHEN 1 THEN -(s * (1 - s) - p * (1 - p)) / (s - p) ELSE s END AS d, CASE y WHEN 0 THEN -(1 - p) WHEN 1 THEN p * (1 - p) / (s - p) ELSE 0 END AS da,
+      CASE y WHEN 0 THEN 0 WHEN 1 THEN -s * (1 - s) / (s - p) ELSE s END AS db
+    FROM (SELECT gd.*, k, x, v, y, {_SIG.format("a + w * x + u * v")} AS p, {_SIG.format("b + w * x + u * v")} AS s FROM gd JOIN cell ON gd.r = cell.r WHERE i < {_FOLD_STEPS}))
+  GROUP BY i, r, w, u, a, b),
+e AS (SELECT * FROM gd WHERE i = {_FOLD_STEPS}),
+c AS MATERIALIZED (SELECT w * (q - mq) / sq + u * (f - mf) / sf AS eta, a, b, y AS grade, sum(k) AS k FROM z1 JOIN e ON block = e.r + 1 JOIN m ON e.r = m.r GROUP BY ALL),
+{_TEMPERATURE}""")
+def out_of_fold_temperature(spark: SparkSession, d: str) -> DataFrame:
+    """The temperature of the ordinal model of the grades, from items that none of its five walk-forward fits has seen; the latest orders are held out."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("match_id"), F.col("o_orderdate").alias("ts"))
+    bounds = splits.fold_bounds(splits.chronological_split(o, check=False), 5, 8)
+    blocks = o.select(F.col("match_id").alias("l_orderkey"), bounds.block(F.col("ts"), F.col("match_id")).alias("block")).where("block is not null")
+    rows = _graded(spark, d).join(blocks, "l_orderkey")
+    return _temperature(spark, jobs.calibrate(rows, ["l_quantity", "l_discount"], "grade", logit.FitConfig(grad_tol=1e-8)))

@@ -117,7 +117,7 @@ def test_fits_recover_known_coefficients(spark):
     assert p.select(F.avg(scoring.log_loss(F.transform("p", lambda v: v / (F.col("p")[0] + F.col("p")[1] + F.col("p")[2])), F.col("y")))).first()[0] == pytest.approx(model.loss, abs=1e-6)
     binary = logit.fit(rows.withColumn("y", (F.col("y") < 2).cast("int")), ["x1", "x2"], "y", "binary", logit.FitConfig(l2=0.0, max_iter=40))
     assert binary.coef[0] > 0 > binary.coef[1]
-    t, best, at_one = logit.fit_temperature(rows.select(logit.linear(model, model.coef).alias("e"), *[F.lit(c).alias(f"t{i}") for i, c in enumerate(model.cuts)], "y"), "e", ["t0", "t1"], "y")
+    t, best, at_one, n = logit.fit_temperature(rows.select(logit.linear(model, model.coef).alias("e"), F.array(*[F.lit(c) for c in model.cuts]).alias("c"), "y"), "e", "c", "y")
     assert best <= at_one and t == pytest.approx(1.0, abs=0.1)
     assert logit.information_criteria(model)["bic"] > logit.information_criteria(model)["aic"]
 
