@@ -1038,12 +1038,12 @@ _TEMPERATURE = f"""g AS (SELECT j, 0.05 * pow(400.0, j / 96.0) AS t FROM (SELECT
 l AS (SELECT j, t, sum(-k * ln({_EDGES})) AS l FROM c, g GROUP BY j, t), b0 AS (SELECT arg_min(t, (l, j)) AS t, min(l) AS l FROM l),
 h AS (SELECT j, greatest(0.05, least(20.0, t / 1.5 * pow(2.25, j / 60.0))) AS t FROM b0, (SELECT unnest(range(61)) AS j)), n AS (SELECT j, t, sum(-k * ln({_EDGES})) AS l FROM c, h GROUP BY j, t),
 b1 AS (SELECT arg_min(t, (l, j)) AS t, min(l) AS l FROM n)
-SELECT round(CASE WHEN b1.l < b0.l THEN b1.t ELSE b0.t END, 8) AS temperature, round(least(b0.l, b1.l), 4) AS loss, round((SELECT l FROM l WHERE j = 97), 4) AS loss_at_one, (SELECT CAST(sum(k) AS BIGINT) FROM c) AS n FROM b0, b1"""
+SELECT round(CASE WHEN b1.l < b0.l THEN b1.t ELSE b0.t END, 8) AS temperature, round(least(b0.l, b1.l), 2) AS loss, round((SELECT l FROM l WHERE j = 97), 2) AS loss_at_one, (SELECT CAST(sum(k) AS BIGINT) FROM c) AS n FROM b0, b1"""
 
 
 def _temperature(spark: SparkSession, found: tuple[float, float, float, int]) -> DataFrame:
     t, loss, one, n = found
-    return spark.createDataFrame([(round(t, 8), round(loss, 4), round(one, 4), n)], "temperature double, loss double, loss_at_one double, n long")
+    return spark.createDataFrame([(round(t, 8), round(loss, 2), round(one, 2), n)], "temperature double, loss double, loss_at_one double, n long")
 
 
 @query(f"""WITH z AS (SELECT l_quantity, l_discount, l_quantity / 10 - l_discount * 20 + (l_orderkey * 7919 % 100) / 25.0 AS z FROM lineitem),
