@@ -11,10 +11,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from oddsloom.functions import scoring, series
-from oddsloom.operators import logit, presentation, series_eval, veto, veto_steps
+from oddsloom.operators import logit, presentation, series_eval, veto, veto_exact, veto_steps
 from oddsloom.operators.features import Tables
 from oddsloom.plans import jobs
 from oddsloom.session import durable
@@ -40,22 +39,21 @@ class Predictor:
     pool: Sequence[str]
     knobs: Knobs = field(default_factory=Knobs)
 
-    def vetoes(self, fixtures: DataFrame) -> DataFrame:
-        """(match_id, draw, sequence, p, played, best_of) of every fixture's sampled vetoes."""
-        u = veto_steps.utilities(fixtures, self.tables, self.choices, self.pool)
-        drawn = veto.sample_vetoes(u, self.knobs.n_samples, self.knobs.seed, len(self.pool))
-        lengths = fixtures.select("match_id", "best_of")
-        return drawn.join(lengths, "match_id").withColumn("played", veto.played_maps(F.col("sequence"), F.col("best_of")))
-
     def answer(self, fixtures: DataFrame) -> Forecast:
         """The forecast of ``fixtures``: match_id, ts, event_name, best_of (a number), team1_id and team2_id."""
         chances = jobs.map_chances(fixtures.select("match_id", "ts", "event_name", "team1_id", "team2_id"), list(self.pool), self.tables, self.trained)
-        side = F.map_from_entries(F.collect_list(F.struct("map_name", scoring.side_a(F.col("p")).alias("a")))).alias("side")
-        maps = durable(chances)
-        samples = self.vetoes(fixtures).join(maps.groupBy("match_id").agg(side), "match_id")
-        vector = series_vector(F.transform("played", lambda m: F.element_at("side", m)), F.col("best_of"))
-        samples = samples.withColumn("v", vector).withColumn("p_series", series.series_win(F.col("v"))).drop("side")
-        return Forecast(self, fixtures, maps, durable(samples))
+        maps, scores = durable(chances), durable(veto_steps.utilities(fixtures, self.tables, self.choices, self.pool))
+        drawn = veto.sample_vetoes(scores, self.knobs.n_samples, self.knobs.seed, len(self.pool))
+        return Forecast(self, fixtures, maps, scores, durable(with_series(drawn, fixtures, maps)))
+
+
+def with_series(sequences: DataFrame, fixtures: DataFrame, maps: DataFrame) -> DataFrame:
+    """Sequences with what they play, the scorelines ``v`` of that and side A's chance of the series."""
+    side = F.map_from_entries(F.collect_list(F.struct("map_name", scoring.side_a(F.col("p")).alias("a")))).alias("side")
+    rows = sequences.join(fixtures.select("match_id", "best_of"), "match_id").withColumn("played", veto.played_maps(F.col("sequence"), F.col("best_of")))
+    rows = rows.join(maps.groupBy("match_id").agg(side), "match_id")
+    vector = series_vector(F.transform("played", lambda m: F.element_at("side", m)), F.col("best_of"))
+    return rows.withColumn("v", vector).withColumn("p_series", series.series_win(F.col("v"))).drop("side")
 
 
 def series_vector(p: Column, best_of: Column) -> Column:
@@ -65,11 +63,12 @@ def series_vector(p: Column, best_of: Column) -> Column:
 
 @dataclass
 class Forecast:
-    """What :meth:`Predictor.answer` found: map chances and sampled vetoes; the rest is made from them."""
+    """What :meth:`Predictor.answer` found: map chances, the scores of veto steps and sampled vetoes; the rest is made from them."""
 
     predictor: Predictor
     fixtures: DataFrame
     maps: DataFrame
+    scores: DataFrame
     samples: DataFrame
 
     def series(self) -> DataFrame:
@@ -81,10 +80,14 @@ class Forecast:
         return series_eval.sensitivity(self.samples, level=self.predictor.knobs.level)
 
     def ranked(self) -> DataFrame:
-        """(match_id, rank, sequence, played, p, p_series): the likeliest of the sampled sequences, ties by the sequence."""
-        found = self.samples.groupBy("match_id", "sequence").agg(F.first("p").alias("p"), F.first("played").alias("played"), F.first("p_series").alias("p_series"))
-        rank = F.row_number().over(W.partitionBy("match_id").orderBy(F.desc("p"), "sequence"))
-        return found.withColumn("rank", rank).where(F.col("rank") <= self.predictor.knobs.top_n).select("match_id", "rank", "sequence", "played", "p", "p_series")
+        """(match_id, rank, sequence, played, p, p_series): the likeliest of all sequences, ties by the sequence."""
+        top = veto_exact.top_sequences(self.scores, self.predictor.knobs.top_n)
+        return with_series(top, self.fixtures, self.maps).select("match_id", "rank", "sequence", "played", "p", "p_series")
+
+    def exact(self) -> DataFrame:
+        """(match_id, best_of, probabilities, leverage) over all sequences, without sampling."""
+        wins = self.maps.select("match_id", "map_name", F.greatest(F.lit(0.0), F.least(F.lit(1.0), scoring.side_a(F.col("p")))).alias("a"))
+        return veto_exact.exact_series(self.scores, wins, self.fixtures)
 
     def coverage(self) -> DataFrame:
         """(match_id, coverage_gap): the ranked sequences' weighted series chance less the overall one; null without mass."""
@@ -93,12 +96,8 @@ class Forecast:
         return listed.join(overall, "match_id").select("match_id", (F.col("listed") - F.col("overall")).alias("coverage_gap"))
 
     def leverage(self) -> DataFrame:
-        """(match_id, map_name, p_played, swing): how much the series chance moves with a map being played."""
-        total = self.samples.groupBy("match_id").agg(F.sum("p").alias("mass"), F.sum(F.col("p") * F.col("p_series")).alias("all"))
-        cells = self.samples.select("match_id", "p", "p_series", F.explode("played").alias("map_name"))
-        cells = cells.groupBy("match_id", "map_name").agg(F.sum("p").alias("m"), F.sum(F.col("p") * F.col("p_series")).alias("s")).join(total, "match_id")
-        cells = cells.where("m > 0 and m < mass * (1 - 1e-12)")
-        return cells.select("match_id", "map_name", (F.col("m") / F.col("mass")).alias("p_played"), (F.col("s") / F.col("m") - (F.col("all") - F.col("s")) / (F.col("mass") - F.col("m"))).alias("swing"))
+        """(match_id, map_name, p_played, swing): how much the series chance moves with a map being played, over all sequences."""
+        return self.exact().select("match_id", F.inline("leverage"))
 
     def greedy(self) -> DataFrame:
         """(match_id, step, side, action, map_name): the veto in which both sides go by their shrunk win rates."""

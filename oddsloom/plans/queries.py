@@ -11,7 +11,7 @@ from pyspark.sql import types as Ty
 from pyspark.sql import Window as W
 
 from oddsloom.functions import asof, draws, guards, names, scoring, series, shrink
-from oddsloom.operators import diagnostics, features, harness, logit, presentation, reports, seats, series_eval, splits, veto, veto_steps
+from oddsloom.operators import diagnostics, features, harness, logit, presentation, reports, seats, series_eval, splits, veto, veto_exact, veto_steps
 from oddsloom.plans import jobs, league
 from oddsloom.plans.league import BEFORE, SQL, table
 from oddsloom.session import shared_folder
@@ -533,39 +533,102 @@ def series_scorelines(spark: SparkSession, d: str) -> DataFrame:
 
 
 _POOL = list(league.MAP_NAMES)
-_SCORES = {m: [((i + 1) * (s + 2) % 5) / 4.0 for s in range(7)] for i, m in enumerate(_POOL)}
-_VALUES = ", ".join(f"('{m}', {s}, {x})" for m, xs in _SCORES.items() for s, x in enumerate(xs))
-_ENUM = f"""WITH RECURSIVE s(m, step, x) AS (VALUES {_VALUES}),
-q(seq, p) AS (
-  SELECT CAST([] AS VARCHAR[]), CAST(1.0 AS DOUBLE)
+_MAPS_SQL = f"maps7 AS (SELECT unnest([{', '.join(f"'{m}'" for m in _POOL)}]) AS m, unnest(range(7)) AS i)"
+
+
+def _utilities(rows: DataFrame, key: str) -> DataFrame:
+    """A score for each key, step and map, by which a veto of seven maps goes."""
+    pool = F.posexplode(F.array(*[F.lit(m) for m in _POOL])).alias("i", "map_name")
+    cells = rows.select(F.col(key).alias("match_id"), pool).select("match_id", "i", "map_name", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("step"))
+    score = (F.col("match_id") * (F.col("i") + 1) * 7919 + F.col("match_id") * F.col("i") * F.col("i") + F.col("step") * 104729) % 10007 / 2500.0
+    return cells.select("match_id", "step", "map_name", score.alias("score"))
+
+
+def _scored(key: str, source: str) -> str:
+    """SQL for the same scores: ``s`` has k, step, i, m and the softmax numerator w."""
+    return f"{_MAPS_SQL}, s AS MATERIALIZED (SELECT {key} AS k, CAST(st AS INTEGER) AS step, i, m, exp(({key} * (i + 1) * 7919 + {key} * i * i + st * 104729) % 10007 / 2500.0) AS w FROM {source}, maps7, (SELECT unnest(range(6)) AS st))"
+
+
+@query(f"""WITH RECURSIVE {_scored("s_suppkey", "supplier")},
+q(k, step, seq, p) AS (
+  SELECT DISTINCT k, 0, CAST([] AS VARCHAR[]), CAST(1.0 AS DOUBLE) FROM s
   UNION ALL
-  SELECT list_append(seq, m), p * exp(x) / z FROM (
-    SELECT seq, p, m, x, sum(exp(x)) OVER (PARTITION BY seq) AS z FROM q JOIN s ON s.step = len(seq) AND NOT list_contains(seq, m) WHERE len(seq) < 7))
+  SELECT k, step + 1, list_append(seq, m), p * w / z FROM (
+    SELECT q.k, q.step, seq, p, m, w, sum(w) OVER (PARTITION BY q.k, seq) AS z FROM q JOIN s ON s.k = q.k AND s.step = q.step AND NOT list_contains(seq, m)))
+SELECT k AS match_id, array_to_string(seq || list_filter([{', '.join(f"'{m}'" for m in _POOL)}], lambda m: NOT list_contains(seq, m)), '>') AS sequence, round(p, 10) AS p FROM q WHERE step = 6""")
+def veto_enumerate(spark: SparkSession, d: str) -> DataFrame:
+    """All 5,040 vetoes over seven maps of every supplier, by scores from its key."""
+    out = veto_exact.enumerate_sequences(_utilities(table(spark, d, "supplier"), "s_suppkey"))
+    return out.select("match_id", F.array_join("sequence", ">").alias("sequence"), F.round("p", 10).alias("p"))
+
+
+#: Sets of maps that are left, with orders merged: ``r`` has k, step, the bits of what is left, and p.
+_MERGED = f"""WITH RECURSIVE {{}},
+r(k, step, gone, p) AS (
+  SELECT DISTINCT k, 0, CAST(0 AS BIGINT), CAST(1.0 AS DOUBLE) FROM s
+  UNION ALL
+  SELECT k, step + 1, gone + (CAST(1 AS BIGINT) << i), sum(p * w / z) FROM (
+    SELECT r.k, r.step, r.gone, r.p, s.i, s.w, sum(s.w) OVER (PARTITION BY r.k, r.gone) AS z FROM r JOIN s ON s.k = r.k AND s.step = r.step AND (r.gone >> s.i) % 2 = 0) GROUP BY k, step, gone + (CAST(1 AS BIGINT) << i))
 """
 
 
-@query(_ENUM + "SELECT array_to_string(seq, '>') AS sequence, round(p, 10) AS p FROM q WHERE len(seq) = 7")
-def veto_enumerate(spark: SparkSession, d: str) -> DataFrame:
-    """All 5,040 sequences of a seven-map veto with their probabilities."""
-    out = veto.enumerate_sequences(spark, _POOL, veto.step_chances(spark, _SCORES))
-    return out.select(F.array_join("sequence", ">").alias("sequence"), F.round("p", 10).alias("p"))
+@query(_MERGED.format(_scored("s_suppkey", "supplier")) + f""" SELECT k AS match_id, step, array_to_string(list_filter([{', '.join(f"'{m}'" for m in _POOL)}], lambda m, j: (gone >> (j - 1)) % 2 = 0), ',') AS remaining, round(p, 8) AS p FROM r""")
+def veto_states(spark: SparkSession, d: str) -> DataFrame:
+    """The chance of every set of maps that may be left before each step of a supplier's veto; orders are merged, not enumerated."""
+    out = veto_exact.state_chances(_utilities(table(spark, d, "supplier"), "s_suppkey"))
+    return _rounded(out.select("match_id", "step", F.array_join("remaining", ",").alias("remaining"), "p"))
+
+
+@query(_MERGED.format(_scored("c_custkey", "customer")) + """, t AS (SELECT r.k, r.step, s.m, r.p * s.w / sum(s.w) OVER (PARTITION BY r.k, r.gone) AS p FROM r JOIN s ON s.k = r.k AND s.step = r.step AND (r.gone >> s.i) % 2 = 0
+  UNION ALL SELECT r.k, 6, m, p FROM r JOIN maps7 ON (r.gone >> i) % 2 = 0 WHERE r.step = 6)
+SELECT k AS match_id, CAST(step AS INTEGER) AS step, m AS map_name, round(sum(p), 8) AS p FROM t GROUP BY ALL""")
+def veto_marginals(spark: SparkSession, d: str) -> DataFrame:
+    """How likely each map goes at each step of a customer's veto."""
+    return _rounded(veto_exact.step_marginals(_utilities(table(spark, d, "customer"), "c_custkey")))
 
 
-@query(_ENUM + "SELECT array_to_string(seq, '>') AS sequence, round(p, 10) AS p FROM q WHERE len(seq) = 7 ORDER BY round(p, 10) DESC, sequence LIMIT 25")
+@query(f"""WITH RECURSIVE {_scored("c_custkey", "customer")},
+q(k, step, seq, gone, p) AS (
+  SELECT DISTINCT k, 0, CAST([] AS VARCHAR[]), CAST(0 AS BIGINT), CAST(1.0 AS DOUBLE) FROM s
+  UNION ALL
+  SELECT k, step, seq, gone, p FROM (
+    SELECT k, step + 1 AS step, list_append(seq, m) AS seq, gone + (CAST(1 AS BIGINT) << i) AS gone, p * w / z AS p, row_number() OVER (PARTITION BY k, gone + (CAST(1 AS BIGINT) << i) ORDER BY p * w / z DESC, list_append(seq, m)) AS nth FROM (
+      SELECT q.k, q.step, q.seq, q.gone, q.p, s.m, s.i, s.w, sum(s.w) OVER (PARTITION BY q.k, q.seq) AS z FROM q JOIN s ON s.k = q.k AND s.step = q.step AND (q.gone >> s.i) % 2 = 0)) WHERE nth <= 5),
+f AS (SELECT k, p, seq || list_filter([{', '.join(f"'{m}'" for m in _POOL)}], lambda m: NOT list_contains(seq, m)) AS seq FROM q WHERE step = 6),
+n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p DESC, seq) AS rank FROM f)
+SELECT k AS match_id, CAST(rank AS INTEGER) AS rank, array_to_string(seq, '>') AS sequence, round(p, 10) AS p FROM n WHERE rank <= 5""")
 def topk_sequences(spark: SparkSession, d: str) -> DataFrame:
-    """The 25 likeliest of them."""
-    return veto.top_sequences(veto_enumerate(spark, d), 25)
+    """The five likeliest vetoes of every customer, found best first."""
+    out = veto_exact.top_sequences(_utilities(table(spark, d, "customer"), "c_custkey"), 5)
+    return out.select("match_id", "rank", F.array_join("sequence", ">").alias("sequence"), F.round("p", 10).alias("p"))
+
 
+def _at_least(need: int, maps: int) -> str:
+    """SQL for the chance of ``need`` wins in the list ``a`` of so many maps."""
+    ways = [[i for i in range(maps) if bits >> i & 1] for bits in range(1 << maps)]
+    return " + ".join("*".join(f"a[{i + 1}]" if i in w else f"(1-a[{i + 1}])" for i in range(maps)) for w in ways if len(w) >= need)
 
-@query(_ENUM + """, f AS (SELECT seq, p, [seq[3], seq[4], seq[7]] AS played, 1 / (1 + exp(-(len(seq[3]) - len(seq[4])) / 3.0)) AS a FROM q WHERE len(seq) = 7),
-t AS (SELECT sum(p) AS mass, sum(p * a) AS total FROM f), c AS (SELECT m, sum(p) AS n, sum(p * a) AS s FROM (SELECT unnest(played) AS m, p, a FROM f) GROUP BY m)
-SELECT m AS map_name, round(n / mass, 8) AS p_played, round(s / n - (total - s) / (mass - n), 8) AS swing FROM c, t""")
+
+@query(f"""WITH RECURSIVE {_scored("c_custkey", "customer")}, script AS (SELECT [{league._SCRIPTS}] AS c),
+r(k, step, gone, played, p) AS (
+  SELECT DISTINCT k, 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(1.0 AS DOUBLE) FROM s
+  UNION ALL
+  SELECT k, step + 1, gone + bit, played + CASE WHEN act = 'pick' THEN bit ELSE 0 END, sum(p * w / z) FROM (
+    SELECT r.k, r.step, r.gone, r.played, r.p, s.w, CAST(1 AS BIGINT) << s.i AS bit, c[CAST(r.k % 3 AS INTEGER) + 1][r.step + 1] AS act, sum(s.w) OVER (PARTITION BY r.k, r.gone, r.played) AS z
+    FROM r JOIN s ON s.k = r.k AND s.step = r.step AND (r.gone >> s.i) % 2 = 0, script) GROUP BY k, step, gone + bit, played + CASE WHEN act = 'pick' THEN bit ELSE 0 END),
+f AS (SELECT k, p, played + 127 - gone AS played, list_transform(list_filter(range(7), lambda i: ((played + 127 - gone) >> i) % 2 = 1), lambda i: (k * (i + 3) * 31 % 97 + 1) / 99.0) AS a FROM r WHERE step = 6),
+g AS (SELECT k, played, p, CASE len(a) WHEN 1 THEN a[1] WHEN 3 THEN {_at_least(2, 3)} ELSE {_at_least(3, 5)} END AS x FROM f),
+t AS (SELECT k, sum(p * x) AS x FROM g GROUP BY k),
+c AS (SELECT g.k, m, sum(p) AS n, sum(p * g.x) AS x FROM g JOIN maps7 ON (played >> i) % 2 = 1 GROUP BY ALL)
+SELECT c.k AS match_id, CAST(c.k % 3 * 2 + 1 AS INTEGER) AS best_of, round(t.x, 8) AS p_series, m AS map_name, round(n, 8) AS p_played, round(c.x / n - (t.x - c.x) / (1 - n), 6) AS swing FROM c JOIN t ON c.k = t.k""")
 def mass_leverage(spark: SparkSession, d: str) -> DataFrame:
-    """How much a chance moves with each map being played."""
-    s = veto.enumerate_sequences(spark, _POOL, veto.step_chances(spark, _SCORES))
-    gap = F.length(F.col("sequence")[2]) - F.length(F.col("sequence")[3])
-    s = s.select("p", F.array(*[F.col("sequence")[i] for i in (2, 3, 6)]).alias("played"), (1.0 / (1.0 + F.exp(-gap / 3.0))).alias("p_a"))
-    return _rounded(veto.leverage(s))
+    """The exact chance of each customer's series over all of its vetoes, and how much it moves with each map being played."""
+    c = table(spark, d, "customer")
+    wins = c.select(F.col("c_custkey").alias("match_id"), F.posexplode(F.array(*[F.lit(m) for m in _POOL])).alias("i", "map_name"))
+    wins = wins.select("match_id", "map_name", ((F.col("match_id") * (F.col("i") + 3) * 31 % 97 + 1) / 99.0).alias("a"))
+    lengths = c.select(F.col("c_custkey").alias("match_id"), (F.col("c_custkey") % 3 * 2 + 1).cast("int").alias("best_of"))
+    out = veto_exact.exact_series(_utilities(c, "c_custkey"), wins, lengths).select("match_id", "best_of", series.series_win(F.col("probabilities")).alias("p_series"), F.inline("leverage"))
+    return out.select("match_id", "best_of", F.round("p_series", 8).alias("p_series"), "map_name", F.round("p_played", 8).alias("p_played"), F.round("swing", 6).alias("swing"))
 
 
 @query("SELECT event_id, round(exp(value - m) / sum(exp(value - m)) OVER (PARTITION BY user_id), 8) AS p FROM (SELECT *, max(value) OVER (PARTITION BY user_id) AS m FROM events)")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oddsloom.functions import guards, names, scoring, series
-from oddsloom.operators import logit, presentation, reports, splits, veto
+from oddsloom.operators import logit, presentation, reports, splits, veto, veto_exact
 from oddsloom.plans import jobs, league
 from oddsloom.sources import documents
 from oddsloom.streaming import streams
@@ -71,8 +71,8 @@ def test_splits_and_folds(spark):
 def test_veto_sequences(spark):
     pool = ["d", "a", "c", "b"]
     scores = {m: [float(i * s % 3) for s in range(4)] for i, m in enumerate(pool)}
-    chances = veto.step_chances(spark, scores)
-    got = {tuple(r.sequence): r.p for r in veto.enumerate_sequences(spark, pool, chances).collect()}
+    one = spark.createDataFrame([(0, s, m, x[s]) for m, x in scores.items() for s in range(3)], "match_id long, step int, map_name string, score double")
+    got = {tuple(r.sequence): r.p for r in veto_exact.enumerate_sequences(one).collect()}
     assert len(got) == 24 and sum(got.values()) == pytest.approx(1.0)
     seq, p = ("a", "d", "b", "c"), 1.0
     for i in range(3):
@@ -209,8 +209,8 @@ def test_train_evaluate_predict(spark, sf):
     fixture = spark.createDataFrame([("f1", "3", "7", "Circuit Stage 2")], "match_id string, team1_id string, team2_id string, event_name string").withColumn("ts", F.lit("1999-01-01 10:00:00").cast("timestamp_ntz"))
     pool = list(league.MAP_NAMES)
     chances = jobs.map_chances(fixture, pool, t, trained)
-    s = veto.enumerate_sequences(spark, pool, veto.step_chances(spark, {m: [float(i)] * 7 for i, m in enumerate(pool)}))
-    s = s.select(F.lit("f1").alias("match_id"), "p", F.array(*[F.col("sequence")[i] for i in (2, 3, 6)]).alias("played"))
+    s = veto_exact.enumerate_sequences(spark.createDataFrame([("f1", step, m, float(i)) for i, m in enumerate(pool) for step in range(6)], "match_id string, step int, map_name string, score double"))
+    s = s.select("match_id", "p", F.array(*[F.col("sequence")[i] for i in (2, 3, 6)]).alias("played"))
     v = jobs.series_forecast(chances, s, 3).first()
     assert sum(v.probabilities) == pytest.approx(1.0) and len(v.probabilities) == 4
     d.unpersist()

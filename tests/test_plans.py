@@ -224,6 +224,12 @@ def test_predictions_and_their_wire_form(spark, sf, small, tmp_path):
     vectors = {r.match_id: r.probabilities for r in forecast.series().collect()}
     assert len(vectors["f1"]) == 4 and len(vectors["f2"]) == 6 and all(sum(v) == pytest.approx(1, abs=1e-6) for v in vectors.values())
     assert forecast.maps.count() == 14
+    exact = {r.match_id: r for r in forecast.exact().collect()}
+    assert all(sum(r.probabilities) == pytest.approx(1, abs=1e-9) and np.allclose(r.probabilities, vectors[k], atol=0.2) for k, r in exact.items())
+    ranked = forecast.ranked().collect()
+    assert len(ranked) == 6 and all(len(r.played) == exact[r.match_id].best_of for r in ranked)
+    drawn = {(r.match_id, tuple(r.sequence)): r.p for r in forecast.samples.collect()}
+    assert all(r.p >= max(p for (m, _), p in drawn.items() if m == r.match_id) * (1 - 1e-9) for r in ranked if r["rank"] == 1)
     bands = {r.match_id: r for r in forecast.sensitivity().collect()}
     assert bands["f1"].n == 12 and bands["f1"].low <= bands["f1"].mean + 1e-9 <= bands["f1"].high + 1e-6 + 1
     again = predictor.answer(fixtures.repartition(3))
