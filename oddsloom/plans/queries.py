@@ -15,7 +15,7 @@ from oddsloom.operators import diagnostics, features, harness, logit, presentati
 from oddsloom.plans import jobs, league
 from oddsloom.plans.league import BEFORE, SQL, table
 from oddsloom.session import shared_folder
-from oddsloom.sources import documents
+from oddsloom.sources import documents, markup
 from oddsloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -301,6 +301,52 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
     return documents.event_links(table(spark, d, "pages"), "page_id", "html", _LINK)
 
 
+def _markup_sql(query: str) -> str:
+    """SQL that parses pages as :mod:`oddsloom.sources.markup` does, one token of every page at a time: ``el`` has the elements, ``tk`` the tokens."""
+    implied = " ".join(f"WHEN name = '{n}' AND names[1] IN ({', '.join(f"'{x}'" for x in ends)}) THEN {"CASE WHEN names[1] IN ('td', 'th') AND names[2] = 'tr' THEN 2 ELSE 1 END" if n == 'tr' else '1'}" for n, ends in markup.IMPLIED.items())
+    empty = ", ".join(f"'{n}'" for n in (*markup.VOID, *markup.RAW))
+    raw = ", ".join(f"'{n}'" for n in markup.RAW)
+    pattern = markup.PLAIN_TOKEN.replace("'", "''")
+    return f"""WITH RECURSIVE pg AS (SELECT page_id, regexp_extract_all(html, '{pattern}') AS ts FROM pages),
+tk AS MATERIALIZED (SELECT page_id, unnest(ts) AS t, CAST(unnest(range(len(ts))) AS INTEGER) AS i, CAST(len(ts) AS INTEGER) AS n FROM pg),
+nm AS (SELECT *, lower(regexp_extract(t, '^</?([a-zA-Z][^\\s/>]*)', 1)) AS name FROM tk),
+kd AS MATERIALIZED (SELECT *, CASE WHEN t = '<' OR t NOT LIKE '<%' THEN 'text' WHEN name = '' OR NOT (t LIKE '%>' OR name IN ({raw})) THEN 'other' WHEN t LIKE '</%' THEN 'close' WHEN name IN ({empty}) THEN 'void' ELSE 'open' END AS kind FROM nm),
+run(page_id, i, n, names, ids, parent, depth, ended, own) AS (
+  SELECT DISTINCT page_id, -1, n, CAST([] AS VARCHAR[]), CAST([] AS INTEGER[]), -1, 0, CAST([] AS INTEGER[]), '' FROM tk
+  UNION ALL
+  SELECT page_id, i, n, CASE WHEN pushed THEN [name] || left_names ELSE left_names END, CASE WHEN pushed THEN [i] || left_ids ELSE left_ids END, coalesce(left_ids[1], -1), CAST(len(left_ids) AS INTEGER),
+    CASE WHEN kind = 'void' OR (kind = 'open' AND NOT pushed) THEN list_append(gone, i) ELSE gone END, CASE WHEN kind IN ('open', 'void') THEN name ELSE '' END FROM (
+    SELECT *, kind = 'open' AND len(left_ids) < {markup.MAX_DEPTH} AS pushed FROM (
+      SELECT page_id, i, n, name, kind, names[pc + 1:] AS left_names, ids[pc + 1:] AS left_ids, ids[1:pc] AS gone FROM (
+        SELECT r.page_id, k.i, r.n, k.name, k.kind, r.names, r.ids, CASE WHEN kind = 'close' THEN coalesce(list_position(names, name), 0) WHEN kind = 'open' THEN CASE {implied} ELSE 0 END ELSE 0 END AS pc
+        FROM run r JOIN kd k ON k.page_id = r.page_id AND k.i = r.i + 1)))),
+ends AS (SELECT page_id, unnest(ended) AS id, i AS "end" FROM run UNION ALL SELECT page_id, unnest(ids), n FROM run WHERE i = n - 1),
+el AS MATERIALIZED (SELECT r.page_id, r.i, e."end", r.parent, r.depth, r.own AS name FROM run r JOIN ends e ON e.page_id = r.page_id AND e.id = r.i WHERE own <> '')
+{query}"""
+
+
+@query(_markup_sql('SELECT page_id, i, "end", parent, depth, name FROM el'))
+def page_elements(spark: SparkSession, d: str) -> DataFrame:
+    """Every element of every page: where it begins and ends, in what it stands and how deep."""
+    return markup.elements(table(spark, d, "pages"), "page_id").select("page_id", "i", "end", "parent", "depth", "name")
+
+
+_UNESCAPED = "x"
+for _mark, _sign in markup._ENTITIES:
+    _UNESCAPED = "replace({}, '{}', '{}')".format(_UNESCAPED, _mark, _sign.replace("'", "''"))
+
+
+@query(_markup_sql(f"""SELECT el.page_id, el.name, row_number() OVER (PARTITION BY el.page_id, el.name ORDER BY el.i) - 1 AS nth, coalesce(p.name, '') AS parent_name, coalesce(string_agg({_UNESCAPED.replace("x", "regexp_replace(t, '^\\s+|\\s+$', '', 'g')", 1)}, '' ORDER BY tk.i), '') AS text
+FROM el LEFT JOIN el p ON p.page_id = el.page_id AND p.i = el.parent LEFT JOIN tk ON tk.page_id = el.page_id AND tk.i > el.i AND tk.i < el."end" AND (t = '<' OR t NOT LIKE '<%') WHERE el.name IN ('h1', 'li', 'p', 'title') GROUP BY el.page_id, el.name, el.i, p.name"""))
+def page_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Headings, items and paragraphs of every page with their texts and what they stand in, nested ones included."""
+    parsed = markup.with_elements(table(spark, d, "pages").select("page_id", "html")).select("page_id", "texts", "elements", F.explode(F.filter("elements", lambda e: e["name"].isin("h1", "li", "p", "title"))).alias("e"))
+    above = markup.nth(F.filter("elements", lambda x: x["i"] == F.col("e.parent")), 1)["name"]
+    nth = F.row_number().over(W.partitionBy("page_id", "name").orderBy("i")) - 1
+    rows = parsed.select("page_id", "e.name", "e.i", F.coalesce(above, F.lit("")).alias("parent_name"), markup.text(F.col("texts"), F.col("e")).alias("text"))
+    return rows.select("page_id", "name", nth.cast("bigint").alias("nth"), "parent_name", "text")
+
+
 @query("""SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, TRY_CAST(nullif(regexp_extract(url, '(\\d+)', 1), '') AS INTEGER) AS first_number FROM pages""")
 def url_parts(spark: SparkSession, d: str) -> DataFrame:
     """Host and first number of a page's address, by lenient casts."""
