@@ -237,12 +237,14 @@ INDEX = "cluster int, shard int, dim int, vectors binary, ids binary, id_offsets
 class Index:
     """``shards`` has one row for each shard; ``clusters`` has (dim, cluster, shards), at most ``centroids`` rows a length.
 
-    ``routes`` has, by length, the centroids and how many of them a query visits.
+    ``routes`` has, by length, the centroids and how many of them a query visits;
+    ``sizes``, by length, how many ids each centroid holds.
     """
 
     shards: DataFrame
     clusters: DataFrame
     routes: dict[int, tuple[np.ndarray, int]]
+    sizes: dict[int, np.ndarray]
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -274,8 +276,16 @@ def fit_route(sample: np.ndarray, clusters: int, config: AnnConfig) -> tuple[np.
     return centroids, int(visited[min(len(visited) - 1, int(np.ceil(config.cover * len(visited))))]) + 1
 
 
-def _routed(batches: Iterator[pa.RecordBatch], routes: dict[int, tuple[np.ndarray, int]], most: bool) -> Iterator[pa.RecordBatch]:
-    """Batches with ``clusters``: the nearest centroid of each vector, or with ``most`` all that a query visits."""
+def visited_centroids(distances: np.ndarray, visits: int, sizes: np.ndarray, least: int) -> list[list[int]]:
+    """By query, its ``visits`` nearest centroids that hold anything, and more in their order until they hold ``least`` ids, or all there are."""
+    full = np.flatnonzero(sizes > 0)
+    order = full[np.argsort(distances[:, full], axis=1, kind="stable")]
+    enough = (np.cumsum(sizes[order], axis=1) < least).sum(axis=1) + 1
+    return [row[: max(visits, n)].tolist() for row, n in zip(order, enough.tolist(), strict=True)]
+
+
+def _routed(batches: Iterator[pa.RecordBatch], routes: dict[int, tuple[np.ndarray, int]], sizes: dict[int, np.ndarray] | None, least: int) -> Iterator[pa.RecordBatch]:
+    """Batches with ``clusters``: the nearest centroid of each vector, or with ``sizes`` all that a query visits."""
     for batch in batches:
         vectors = batch.column("vector")
         size = vectors.value_lengths().to_numpy()
@@ -286,15 +296,16 @@ def _routed(batches: Iterator[pa.RecordBatch], routes: dict[int, tuple[np.ndarra
                 continue
             centroids, visits = routes[dim]
             own = np.array(vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
-            order = np.argsort(_distances(own, centroids), axis=1, kind="stable")[:, : visits if most else 1]
-            for i, row in enumerate(rows.tolist()):
-                out[row] = order[i].tolist()
+            d = _distances(own, centroids)
+            found = d.argmin(axis=1)[:, None].tolist() if sizes is None else visited_centroids(d, visits, sizes[dim], least)
+            for row, x in zip(rows.tolist(), found, strict=True):
+                out[row] = x
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "clusters"])
 
 
-def _with_clusters(df: DataFrame, routes: dict[int, tuple[np.ndarray, int]], most: bool) -> DataFrame:
+def _with_clusters(df: DataFrame, routes: dict[int, tuple[np.ndarray, int]], sizes: dict[int, np.ndarray] | None = None, least: int = 0) -> DataFrame:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(lambda b: _routed(b, routes, most), f"{schema}, clusters array<int>").withColumn("dim", F.size("vector"))
+    return df.mapInArrow(lambda b: _routed(b, routes, sizes, least), f"{schema}, clusters array<int>").withColumn("dim", F.size("vector"))
 
 
 def build_index(df: DataFrame, config: AnnConfig | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> Index:
@@ -316,12 +327,16 @@ def build_index(df: DataFrame, config: AnnConfig | None = None, id_col: str = "v
             clusters = min(config.centroids, -(-counts[dim] // config.shard_rows))
             if clusters > 1:
                 routes[dim] = fit_route(np.array(rows, float), clusters, config)
-    dealt = durable(_with_clusters(nodes, routes, False).withColumn("cluster", F.col("clusters")[0]).drop("clusters"))
-    clusters = durable(dealt.groupBy("dim", "cluster").agg(F.ceil(F.count(F.lit(1)) / config.shard_rows).cast("int").alias("shards")))
+    dealt = durable(_with_clusters(nodes, routes).withColumn("cluster", F.col("clusters")[0]).drop("clusters"))
+    clusters = durable(dealt.groupBy("dim", "cluster").agg(F.ceil(F.count(F.lit(1)) / config.shard_rows).cast("int").alias("shards"), F.sum(F.size("ids")).alias("ids")))
     # At most ``centroids`` rows for each length.
+    sizes = {dim: np.zeros(len(centroids), np.int64) for dim, (centroids, _) in routes.items()}
+    for r in clusters.where(F.col("dim").isin(list(routes))).collect():
+        sizes[r["dim"]][r["cluster"]] = r["ids"]
+    clusters = clusters.drop("ids")
     dealt = dealt.join(F.broadcast(clusters), ["dim", "cluster"])
     dealt = dealt.select(F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int").alias("shard"), "cluster", "dim", "vector", "ids", F.col("ids")[0].alias("first"))
-    return Index(dealt.groupBy("cluster", "shard", "dim").applyInArrow(lambda t: _build_shard(t, config), INDEX), clusters, routes)
+    return Index(dealt.groupBy("cluster", "shard", "dim").applyInArrow(lambda t: _build_shard(t, config), INDEX), clusters, routes, sizes)
 
 
 def _search_shard(index: pa.Table, queries: pa.Table, config: AnnConfig) -> pa.Table:
@@ -341,6 +356,12 @@ def _search_shard(index: pa.Table, queries: pa.Table, config: AnnConfig) -> pa.T
     for a in range(0, len(asked), 256):
         # One node more, as the query's own may be among them.
         found = graph.search(wanted[a : a + 256].astype(np.float32), config.k + 1, config.beam)
+        # A walk that a part of the graph could not leave finds fewer than there are: all of the shard is looked at then.
+        short = np.flatnonzero((found >= 0).sum(axis=1) < min(config.k + 1, len(vectors)))
+        if len(short):
+            near = np.argsort(_distances(wanted[a : a + 256][short], vectors), axis=1, kind="stable")[:, : config.k + 1]
+            found[short] = -1
+            found[short, : near.shape[1]] = near
         q, j = np.nonzero(found >= 0)
         node = found[q, j]
         gap = vectors[node] - wanted[a : a + 256][q]
@@ -364,7 +385,9 @@ def search(index: Index, queries: DataFrame, config: AnnConfig | None = None, id
     """(query_id, rank, vec_id, score): the nearest found by Euclidean distance, nearest first, ties to the smaller id.
 
     Queries go to the shards of the centroids they visit, in blocks: a task
-    holds one shard and one block of queries, whatever their numbers. Scores are
+    holds one shard and one block of queries, whatever their numbers. However few
+    vectors the nearest centroids hold, every query gets ``k`` rows, or all
+    candidates if there are fewer. Scores are
     exact distances in double precision. A query never finds its own id. Queries
     that could not be indexed find nothing; ids are whole numbers, and rows that
     repeat an id count once as a query. Without queries, or without an index,
@@ -373,7 +396,7 @@ def search(index: Index, queries: DataFrame, config: AnnConfig | None = None, id
     config = config or AnnConfig()
     asked = queries.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
     asked = asked.where(usable(F.col("vector")) & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id"])
-    asked = durable(_with_clusters(asked, index.routes, True).select("vec_id", "vector", "dim", F.explode("clusters").alias("cluster")))
+    asked = durable(_with_clusters(asked, index.routes, index.sizes, config.k + 1).select("vec_id", "vector", "dim", F.explode("clusters").alias("cluster")))
     parts = asked.groupBy("dim", "cluster").agg(F.ceil(F.count(F.lit(1)) / config.block).cast("int").alias("parts"))
     # At most ``centroids`` rows for each length.
     visited = durable(index.clusters.join(parts, ["dim", "cluster"]))

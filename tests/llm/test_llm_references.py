@@ -260,6 +260,46 @@ def test_queries_visit_few_shards_of_clustered_vectors(spark):
     assert flat[1] >= 8
 
 
+@pytest.mark.parametrize("few", [1, 3, 9])
+def test_queries_of_small_clusters_get_all_their_rows(spark, few):
+    """Four large clusters and a far small one: its queries still find ten each, the nearest of the large ones among them."""
+    rng = np.random.default_rng(few)
+    centres = rng.normal(size=(4, 16)) * 3
+    table = np.concatenate([centres[rng.integers(0, 4, 4000)] + rng.normal(size=(4000, 16)) * 0.3, 60 + rng.normal(size=(few, 16)) * 0.1]).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(table)], "vec_id long, embedding array<float>")
+    for seed in (17, 18, 19):
+        config = ann.AnnConfig(shard_rows=1000, seed=seed)
+        queries = df.where(f"vec_id >= 4000 or vec_id % 400 = 0")
+        got = {}
+        for r in ann.nearest(df, queries, config).collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert len(got) == 10 + few and {len(v) for v in got.values()} == {10}
+        for q in range(4000, 4000 + few):
+            assert set(range(4000, 4000 + few)) - {q} <= set(got[q])
+    outside = spark.createDataFrame([(-1, [500.0] * 16)], "vec_id long, embedding array<float>")
+    assert ann.search(ann.build_index(df, config), outside, config).count() == 10
+
+
+def test_centroids_are_visited_until_they_hold_enough():
+    d = np.array([[0.0, 1.0, 2.0, 3.0, 4.0]])
+    sizes = np.array([2, 0, 3, 20, 20])
+    assert ann.visited_centroids(d, 1, sizes, 11) == [[0, 2, 3]]
+    assert ann.visited_centroids(d, 4, sizes, 11) == [[0, 2, 3, 4]]
+    assert ann.visited_centroids(d, 1, sizes, 99) == [[0, 2, 3, 4]]
+    assert ann.visited_centroids(d, 1, np.zeros(5, int), 3) == [[]]
+
+
+def test_a_graph_in_two_parts_gives_all_rows(spark):
+    """Nodes that no walk reaches from where it starts are found all the same."""
+    links = np.full((40, 4), -1, np.int32)
+    links[:5] = np.arange(4)
+    table = np.arange(40.0)[:, None] * np.ones(3)
+    index = pa.table({"cluster": [0], "shard": [0], "dim": [3], "vectors": [table.tobytes()], "ids": [np.arange(40).tobytes()], "id_offsets": [np.arange(41).tobytes()], "level_nodes": [[np.arange(40, dtype=np.int32).tobytes(), np.array([0], np.int32).tobytes()]], "level_links": [[links.tobytes(), np.full((1, 4), -1, np.int32).tobytes()]]})
+    queries = pa.table({"vec_id": pa.array([30], pa.int64()), "vector": pa.array([table[30].tolist()], pa.list_(pa.float32()))})
+    found = ann._search_shard(index, queries, ann.AnnConfig(k=4)).to_pydict()
+    assert found["vec_id"] == [29, 31, 28, 32]
+
+
 def test_the_whole_pipeline_over_odd_tables(spark, sf, tmp_path):
     """run() itself: repeated rows, nulls and columns of inner names, and an empty table."""
     import corpus_pipeline
