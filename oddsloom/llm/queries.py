@@ -54,7 +54,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.find_secrets(docs, dictionary=secrets.fit_dictionary(docs))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

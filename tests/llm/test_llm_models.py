@@ -139,6 +139,61 @@ def test_novel_strings_are_reported_and_known_ones_are_not(spark):
     assert [r.text for r in masked] == ["send the bearer [secret] with each call", None]
 
 
+ALPHABETS = {"digits": "0123456789", "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+FAMILIAR = (
+    "authentication_configuration getAuthenticationTokenProvider client_secret_configuration https_proxy_authentication xxxxxxxxxxxxxxxxxxxxxxxx abcdefghijklmnopqrstuvwxyz "
+    "your_api_key_goes_here application.properties.example password_policy_provider user_account_settings ABCDEFGHIJKLMNOPQRSTUVWXYZ serverConnectionManager reset_password_request_handler "
+    "================================ public_key_certificate_service access_token_expired_error token_generator_factory login.settings.profile test_session_cookie_settings"
+).split()
+
+
+def test_random_strings_of_any_alphabet_are_reported_and_identifiers_are_not(spark):
+    """Precision and recall over planted strings of 16 to 2,000 signs: the bytes decide, not the kinds of signs."""
+    rng = random.Random(21)
+    before, after = "We rotate it every month and the private key is ", " so please keep it away from the garden and the bridge."
+    planted = [(n, size, "".join(rng.choices(a, k=size))) for n, a in ALPHABETS.items() for size in (16, 20, 32, 64, 128, 256, 512, 1024, 2000) for _ in range(12)]
+    rows = [(i, f"{before}{x}{after}", "en") for i, (_, _, x) in enumerate(planted)] + [(10_000 + i, f"{before}{x}{after}", "en") for i, x in enumerate(FAMILIAR)]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(docs_of(spark, rows)).collect()}
+    span = {i: f":{len(before)}:{len(before) + len(x)}" for i, (_, _, x) in enumerate(planted)}
+    found = {}
+    for i, (name, size, _) in enumerate(planted):
+        found.setdefault((name, size), []).append(bool({"novel" + span[i], "hex" + span[i]} & set(got[i].split(","))))
+    for (name, size), hits in found.items():
+        assert sum(hits) >= (8 if size <= 20 else 11), (name, size, sum(hits))
+    hits = [h for x in found.values() for h in x]
+    wrong = [x for i, x in enumerate(FAMILIAR) if got[10_000 + i]]
+    assert sum(hits) >= 0.97 * len(hits) and len(wrong) <= 1
+    assert sum(hits) / (sum(hits) + len(wrong)) >= 0.99
+    small = "akia note " + planted[-40][2]
+    both = spark.createDataFrame([(1, small), (2, "no words here " + planted[-40][2])], "doc_id long, text string")
+    assert [r.text for r in secrets.redact(both).orderBy("doc_id").collect()] == ["akia note [secret]", "no words here " + planted[-40][2]]
+    assert {r.doc_id: bool(r.spans) for r in secrets.find_secrets(both).collect()} == {1: True, 2: False}
+
+
+def test_words_of_the_corpus_are_known(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("bcdfgklmnprstvz", k=rng.randint(4, 9))) for _ in range(400)]
+    key = "".join(rng.choices(ALPHABETS["lower"], k=32))
+    rows = [(i, " ".join(rng.choices(words, k=80)), "xx") for i in range(300)]
+    joined = "_".join(words[:6])
+    rows += [(1000, f"the secret name {joined} is no key", "xx"), (1001, f"the secret key {key} is one", "xx"), (1002, None, "xx"), (1003, "", "xx")]
+    docs = docs_of(spark, rows)
+    dictionary = secrets.fit_dictionary(docs)
+    assert words[0].encode() in dictionary and key.encode() not in dictionary and dictionary.endswith(secrets.IDENTIFIERS)
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(docs, dictionary=dictionary).where("doc_id >= 1000").collect()}
+    assert got[1000] == "" and got[1001] == f"novel:15:{15 + 32}" and got[1002] == got[1003] == ""
+    assert secrets.find_secrets(docs).where("doc_id = 1000").first().spans != ""
+    assert secrets.fit_dictionary(docs.limit(0)).strip() == secrets.IDENTIFIERS.strip()
+
+
+def test_overlapping_spans_are_masked_once(spark):
+    key = "AKIA" + "7Q2W9E4R5T8Y1U3I"
+    text = f"token={key}{'0123456789abcdef'} and token = {'ab12' * 6}"
+    kinds = [s.split(":")[0] for s in secrets.find_secrets(docs_of(spark, [(1, text, "en")])).first().spans.split(",")]
+    assert len(kinds) > 2
+    assert secrets.redact(docs_of(spark, [(1, text, "en")])).first().text == "[secret] and [secret]"
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
