@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +13,9 @@ from oddsloom.functions import asof, draws, guards, names, scoring, series, shri
 from oddsloom.operators import diagnostics, features, harness, logit, presentation, reports, seats, series_eval, splits, veto, veto_exact, veto_steps
 from oddsloom.plans import jobs, league
 from oddsloom.plans.league import BEFORE, SQL, table
-from oddsloom.session import shared_folder
+from oddsloom.session import Scratch
 from oddsloom.sources import documents, markup
-from oddsloom.streaming import streams
+from oddsloom.streaming import session, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1061,16 +1060,15 @@ def cross_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.join(c, ["n_nationkey", "map_name"], "left").select("n_nationkey", "map_name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("""SELECT CAST(o_orderkey AS VARCHAR) AS match_id, CAST(o_orderkey % 5 AS INTEGER) AS map_index, o_orderdate AS ts FROM orders WHERE o_orderpriority = '1-URGENT'""")
+@query(f"SELECT match_id, map_name, own_rate AS a, other_rate AS b FROM ({ORACLES['choice_features']})")
 def json_lines_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Questions written as JSON lines, read as a stream and answered batch by batch; lines that are none are left out."""
-    folder = f"{shared_folder(spark).rstrip('/')}/questions-{uuid.uuid4().hex}"
-    asked = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
-    line = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("match_id"), (F.col("o_orderkey") % 5).cast("int").alias("map_index"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts")))
-    asked.select(F.explode(F.array(line, F.lit("no question"))).alias("value")).write.text(f"{folder}/in")
-    stream = streams.json_lines(spark, f"{folder}/in")
-    streams.answer_all(stream, lambda batch: batch.select("match_id", "map_index", "ts"), f"{folder}/out", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    """Every match asked about as a line of JSON, read as a stream and answered batch by batch from the stored history of the league: both sides' rates on each map before the match."""
+    t, scratch = league.tables(spark, d, False), Scratch(spark, "questions")
+    stored = session.Session.store(t, scratch.path("history"), league.MAP_NAMES)
+    asked = t.matches.select("match_id", "team1_id", "team2_id", names.best_of(F.col("best_of")).alias("best_of"), F.lit(1).alias("seed"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"))
+    asked.select(F.explode(F.array(F.to_json(F.struct(*asked.columns)), F.lit("no question"))).alias("value")).write.text(scratch.path("in"))
+    streams.answer_all(streams.json_lines(spark, scratch.path("in"), session.SERIES_QUESTION), stored.rates, scratch.path("out"), scratch.path("state"))
+    return _rounded(spark.read.parquet(scratch.path("out")).select("match_id", "map_name", "a", "b"))
 
 
 @query("""WITH w AS (SELECT l_returnflag, l_quantity AS q, [l_discount, l_tax, 1 - l_discount - l_tax] AS v FROM lineitem)
