@@ -14,7 +14,7 @@ from oddsloom.operators import diagnostics, features, harness, logit, presentati
 from oddsloom.plans import jobs, league
 from oddsloom.plans.league import BEFORE, SQL, table
 from oddsloom.session import Scratch
-from oddsloom.sources import documents, markup
+from oddsloom.sources import documents, keyed, markup
 from oddsloom.streaming import session, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -704,6 +704,21 @@ def flatten_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.size(keys).cast("bigint").alias("n_keys"))
 
 
+@query("""WITH n AS (SELECT o_custkey, arg_max({'d': o_orderdate, 'p': o_orderpriority}, (o_orderdate, o_orderkey)) AS x FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey)
+SELECT c_custkey, coalesce(x.d, TIMESTAMP '1990-01-01') AS at, coalesce(x.p, c_mktsegment) AS note, o_custkey IS NOT NULL AS found FROM customer LEFT JOIN n ON c_custkey = o_custkey
+UNION ALL SELECT o_custkey, x.d, x.p, TRUE FROM n WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+def keyed_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as a keyed table, the latest of every third order put over them, and whether a point read finds that."""
+    scratch = Scratch(spark, "keyed")
+    kept = keyed.KeyedTable(spark, scratch.path("notes"), "c_custkey", "at", 16)
+    kept.put(table(spark, d, "customer").select("c_custkey", F.lit("1990-01-01").cast("timestamp_ntz").alias("at"), F.lit(0).cast("bigint").alias("nth"), F.col("c_mktsegment").alias("note")))
+    o = table(spark, d, "orders").where("o_orderkey % 3 = 0")
+    latest = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by(F.struct(F.col("o_orderdate").cast("timestamp_ntz").alias("at"), F.col("o_orderkey").cast("bigint").alias("nth"), F.col("o_orderpriority").alias("note")), F.struct("o_orderdate", "o_orderkey")).alias("x"))
+    kept.put(latest.select("c_custkey", "x.*"))
+    found = kept.get(latest).select("c_custkey", F.lit(True).alias("found"))
+    return kept.rows().join(found, "c_custkey", "left").select("c_custkey", "at", "note", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def _match_documents(spark: SparkSession, d: str) -> DataFrame:
     """The league's matches as nested JSON documents; in some, the first map's score is no score, and some are cut off."""
     m = league.maps(spark, d)
