@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from oddsloom.llm import exactdup, langid, mixing, neardup, packing
 from oddsloom.llm.queries import pack_config
-from oddsloom.session import shared_folder
+from oddsloom.session import Scratch
 
 #: Beyond texts without letters, a text goes if fewer of its n-grams than this are known to its best language.
 LEAST_SUPPORT = 0.02
@@ -72,11 +71,15 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     repeat a text, or an id with a near text, go in the second and third; a null
     source is a source of the mix; very long texts are read whole and cut into
     pieces by the last stage; an empty table gives an empty result. Columns
-    other than those of documents, of any name, stay until the last stage.
+    other than those of documents, of any name, stay until the last stage. A
+    stage's table goes when the next one is written; the last one, which the
+    result reads, when the process ends.
     """
-    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    scratch, before = Scratch(spark, "pipeline"), ""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        docs = scratch.written(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
