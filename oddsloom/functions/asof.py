@@ -11,8 +11,10 @@ bucket in a second window. So no task reads all rows of such a key.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -22,25 +24,47 @@ from oddsloom.session import durable
 
 #: A key of more rows than this is parted into buckets; results are the same either way.
 HOT_ROWS = 100_000
-#: Numbers share a bucket if they are equal but for so many lower values.
-NUMBERS = 4096
+#: Buckets that a read is parted into at most; the totals of a key's buckets meet in one task.
+MOST_BUCKETS = 4096
 
 
-def bucket_of(ts: Column, kind: Ty.DataType, size: str = "day") -> Column:
-    """A coarser time in the same order: ``size`` for times, the month for dates, a run of :data:`NUMBERS` for numbers."""
-    if isinstance(kind, (Ty.TimestampType, Ty.TimestampNTZType)):
-        return F.date_trunc(size, ts)
+def as_number(ts: Column, kind: Ty.DataType) -> Column:
+    """A double that never falls as the time rises; times without a zone are taken to the second."""
+    if isinstance(kind, Ty.TimestampType):
+        return F.unix_micros(ts).cast("double")
+    if isinstance(kind, Ty.TimestampNTZType):
+        return (F.unix_date(ts.cast("date")).cast("double") * 86_400) + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
     if isinstance(kind, Ty.DateType):
-        return F.trunc(ts, "month")
-    return F.floor(ts / NUMBERS)
+        return F.unix_date(ts).cast("double")
+    return ts.cast("double")
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str], most: int = HOT_ROWS) -> DataFrame | None:
+def time_cuts(times: DataFrame, ts: str = "ts", most: int | None = None) -> list[float]:
+    """Rising edges between buckets of about ``most`` rows each; none for few rows. Many rows of one time are never parted."""
+    most = HOT_ROWS if most is None else most
+    number = times.select(as_number(F.col(ts), times.schema[ts].dataType).alias("n")).where("n is not null")
+    buckets = min(MOST_BUCKETS, -(-number.count() // max(1, most)))
+    if buckets < 2:
+        return []
+    found = number.agg(F.percentile_approx("n", [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0]
+    return sorted(set(found))
+
+
+def with_bucket(df: DataFrame, ts: str, cuts: Sequence[float]) -> DataFrame:
+    """``df`` with ``__bucket``: how many cuts the time has reached; null for a null time."""
+    number = as_number(F.col(ts), df.schema[ts].dataType)
+    if not cuts:
+        return df.withColumn("__bucket", F.when(number.isNotNull(), F.lit(0.0)))
+    parted = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="__number", outputCol="__bucket", handleInvalid="keep").transform(df.withColumn("__number", number))
+    return parted.withColumn("__bucket", F.when(F.col("__number").isNotNull(), F.col("__bucket"))).drop("__number")
+
+
+def hot_keys(rows: DataFrame, keys: Sequence[str], most: int | None = None) -> DataFrame | None:
     """The keys with more than ``most`` rows, stored, or None if there are none: for ``hot`` below. Counting is a job of its own.
 
     There are at most as many as ``most`` goes into the number of rows.
     """
-    found = durable(rows.groupBy(*keys).count().where(F.col("count") > most).select(*keys))
+    found = durable(rows.groupBy(*keys).count().where(F.col("count") > (HOT_ROWS if most is None else most)).select(*keys))
     return None if found.isEmpty() else found
 
 
@@ -56,9 +80,9 @@ def prior_state(
     sums: Mapping[str, str | Column] | None = None,
     lasts: Mapping[str, str | Column] | None = None,
     ties: Sequence[str] = (),
-    bucket: str = "day",
     base: DataFrame | None = None,
     hot: DataFrame | None = None,
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """``queries`` with sums (0 without events) and last values (null without) of strictly earlier events of the same keys.
 
@@ -72,6 +96,8 @@ def prior_state(
     are read twice, once for the totals of buckets, and so are the keys and
     times of ``queries``: if ``queries`` is itself the result of a read, give
     what that one read for as ``base``, so that plans do not grow with every read.
+    ``cuts`` are the edges of buckets (:func:`time_cuts`); without them they are
+    found in a job over the times of events and queries.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
     values = {**sums, **lasts}
@@ -80,17 +106,18 @@ def prior_state(
     v = [f"__v_{n}" for n in values]
     kinds = events.select(*[_column(c).alias(n) for n, c in values.items()], *ties).schema
     parted = not keys or hot is not None
+    if parted and cuts is None:
+        cuts = time_cuts((queries if base is None else base).select(ts).unionByName(events.select(ts)), ts)
 
     def keyed(df: DataFrame) -> DataFrame:
         """``df`` with ``__bucket``: its time's if its key is hot, else null."""
-        own = bucket_of(F.col(ts), df.schema[ts].dataType, bucket)
         if not parted:
             return df
         if not keys:
-            return df.withColumn("__bucket", own)
+            return with_bucket(df, ts, cuts)
         same = hot.select(*[F.col(c).alias(f"__h_{c}") for c in hot.columns], F.lit(True).alias("__hot"))
         on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__h_{c}") for c in hot.columns])
-        return df.join(same, on, "left").withColumn("__bucket", F.when(F.col("__hot"), own)).select(*df.columns, "__bucket")
+        return with_bucket(df.join(same, on, "left"), ts, cuts).withColumn("__bucket", F.when(F.col("__hot"), F.col("__bucket"))).select(*df.columns, "__bucket")
 
     part = ["__bucket"] if parted else []
     names = [*[F.col(c).alias(a) for c, a in zip(keys, k, strict=True)], F.col(ts).alias("__ts"), *part]
@@ -141,10 +168,93 @@ def prior_state(
 def prior_totals(
     queries: DataFrame, events: DataFrame, keys: Sequence[str], ts: str = "ts", sums: Mapping[str, str | Column] | None = None, base: DataFrame | None = None, hot: DataFrame | None = None
 ) -> DataFrame:
-    """As :func:`prior_state`, for sums under few keys, or none: events are added up by key and time first."""
+    """As :func:`prior_state`, for sums under few keys, or none: only different times are read.
+
+    Events are added up by key and time first, the totals before every time that
+    is asked for are found once, and the queries meet them by key and time. So
+    neither many events nor many queries of one time come into one task.
+    """
     sums = dict(sums or {})
-    at = events.where(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(*[F.sum(c).alias(f"__of_{n}") for n, c in sums.items()])
-    return prior_state(queries, at, keys, ts, sums={n: f"__of_{n}" for n in sums}, base=base, hot=hot)
+    at = durable(events.where(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(*[F.sum(c).alias(f"__of_{n}") for n, c in sums.items()]))
+    times = durable((queries if base is None else base).where(F.col(ts).isNotNull()).select(*keys, ts).distinct())
+    hot = hot if not keys or hot is not None else hot_keys(at, list(keys)[:1])
+    state = prior_state(times, at, keys, ts, sums={f"__at_{n}": f"__of_{n}" for n in sums}, hot=hot)
+    named = state.select(*[F.col(k).alias(f"__t_{k}") for k in (*keys, ts)], *[f"__at_{n}" for n in sums])
+    on = reduce(lambda a, b: a & b, [queries[k].eqNullSafe(named[f"__t_{k}"]) for k in (*keys, ts)])
+    return queries.join(named, on, "left").select(*[queries[c] for c in queries.columns], *[F.coalesce(f"__at_{n}", F.lit(0)).alias(n) for n in sums])
+
+
+@dataclass(frozen=True)
+class Level:
+    """What is read of events that share ``keys``: sums and last values."""
+
+    keys: tuple[str, ...]
+    sums: Mapping[str, str | Column]
+    lasts: Mapping[str, str | Column] = field(default_factory=dict)
+
+
+def prior_levels(queries: DataFrame, events: DataFrame, key: str, levels: Sequence[Level], ts: str = "ts", ties: Sequence[str] = (), hot: DataFrame | None = None) -> DataFrame:
+    """As one :func:`prior_state` for each level, of which all hold ``key``, with one shuffle of queries and events for all of them.
+
+    Rows that share a level's keys share ``key``, so once dealt by that (and by
+    time bucket, where it is hot) every level is a window over rows that are
+    already together. Events with a null among a level's keys are none of that
+    level's. Names must differ between levels.
+    """
+    if any(key not in level.keys for level in levels):
+        raise ValueError(f"every level must hold {key}")
+    cuts = time_cuts(queries.select(ts).unionByName(events.select(ts)), ts) if hot is not None else None
+    keys = list(dict.fromkeys(k for level in levels for k in level.keys))
+    part = ["__bucket"] if hot is not None else []
+
+    def dealt(df: DataFrame) -> DataFrame:
+        if hot is None:
+            return df
+        same = hot.select(F.col(key).alias("__h"), F.lit(True).alias("__hot"))
+        return with_bucket(df.join(same, F.col(key) == F.col("__h"), "left"), ts, cuts).withColumn("__bucket", F.when(F.col("__hot"), F.col("__bucket"))).drop("__h", "__hot")
+
+    def of(level: Level, value: str | Column) -> Column:
+        known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in level.keys])
+        return F.when(known, _column(value))
+
+    values = {f"__v_{n}": of(level, c) for level in levels for n, c in (*level.sums.items(), *level.lasts.items())}
+    rest = [c for c in queries.columns if c not in (*keys, ts)]
+    e = dealt(events.where(F.col(key).isNotNull() & F.col(ts).isNotNull())).select(*keys, ts, *part, *ties_of(ties), F.lit(1).alias("__is_event"), *[c.alias(n) for n, c in values.items()])
+    kinds = e.schema
+    own = dealt(queries).select(*keys, ts, *part, *[F.lit(None).cast(kinds[f"__tie_{c}"].dataType).alias(f"__tie_{c}") for c in ties], F.lit(0).alias("__is_event"), *[F.lit(None).cast(kinds[n].dataType).alias(n) for n in values], F.struct(*rest).alias("__rest"))
+    rows = own.unionByName(e.withColumn("__rest", F.lit(None).cast(own.schema["__rest"].dataType))).repartition(key, *part)
+    for level in levels:
+        inside = W.partitionBy(*level.keys, *part).orderBy(ts, "__is_event", *[f"__tie_{c}" for c in ties]).rowsBetween(W.unboundedPreceding, -1)
+        rows = rows.select("*", *[F.sum(f"__v_{n}").over(inside).alias(f"__s_{n}") for n in level.sums], *[F.last(f"__v_{n}", ignorenulls=True).over(inside).alias(f"__s_{n}") for n in level.lasts])
+    here = rows.where("__is_event = 0")
+    for at, level in enumerate(levels) if hot is not None else ():
+        here = _with_earlier(here, e, own, level, ts, ties, at)
+    zero = [F.coalesce(f"__s_{n}", F.lit(0)).alias(n) for level in levels for n in level.sums]
+    return here.select(*keys, ts, "__rest.*", *zero, *[F.col(f"__s_{n}").alias(n) for level in levels for n in level.lasts]).select(*queries.columns, *[n for level in levels for n in (*level.sums, *level.lasts)])
+
+
+def ties_of(ties: Sequence[str]) -> list[Column]:
+    return [F.col(c).alias(f"__tie_{c}") for c in ties]
+
+
+def _with_earlier(here: DataFrame, e: DataFrame, own: DataFrame, level: Level, ts: str, ties: Sequence[str], at: int) -> DataFrame:
+    """``here`` with what earlier buckets of a hot key hold put to a level's values: one row for each of the level's keys and buckets."""
+    k = [*level.keys]
+    order = F.struct(ts, *[f"__tie_{c}" for c in ties])
+    totals = e.where("__bucket is not null").groupBy(*k, "__bucket").agg(
+        *[F.sum(f"__v_{n}").alias(f"__v_{n}") for n in level.sums], *[F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), order)).alias(f"__v_{n}") for n in level.lasts]
+    ).withColumn("__is_event", F.lit(1))
+    asked = own.where("__bucket is not null").select(*k, "__bucket").distinct().withColumn("__is_event", F.lit(0))
+    before = W.partitionBy(*k).orderBy("__bucket", "__is_event").rowsBetween(W.unboundedPreceding, -1)
+    both = asked.unionByName(totals, allowMissingColumns=True)
+    old = both.select(
+        "__is_event", *[F.col(c).alias(f"__{at}_{c}") for c in (*k, "__bucket")],
+        *[F.sum(f"__v_{n}").over(before).alias(f"__old_{n}") for n in level.sums], *[F.last(f"__v_{n}", ignorenulls=True).over(before).alias(f"__old_{n}") for n in level.lasts],
+    ).where("__is_event = 0").drop("__is_event")
+    on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__{at}_{c}") for c in (*k, "__bucket")])
+    out = here.join(old, on, "left")
+    new = {f"__s_{n}": F.coalesce(f"__s_{n}", F.lit(0)) + F.coalesce(f"__old_{n}", F.lit(0)) for n in level.sums} | {f"__s_{n}": F.coalesce(f"__s_{n}", f"__old_{n}") for n in level.lasts}
+    return out.select(*[new.get(c, F.col(c)).alias(c) for c in here.columns])
 
 
 def matches_before(matches: DataFrame, team_id: str, cutoff: Column, ts: str = "ts") -> DataFrame:

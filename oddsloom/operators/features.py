@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from oddsloom.functions import names, shrink
-from oddsloom.functions.asof import hot_keys, prior_state, prior_totals
+from oddsloom.functions.asof import Level, hot_keys, prior_levels, prior_state, prior_totals
 from oddsloom.functions.guards import positive_int, within
 from oddsloom.operators.elo import elo_ledger
 from oddsloom.operators.seats import finished_maps, is_overtime, seats
@@ -275,13 +275,13 @@ SINGLE: dict[str, Callable[..., DataFrame]] = {
 def feature_matrix(rows: DataFrame, t: Tables, c: FeatureConfig = FeatureConfig()) -> DataFrame:
     """(match_id, map_index, the thirteen features) for every row.
 
-    All totals and last values of a key set come from one window: by team, by
-    team and map, by pair, and by time for the league and for maps.
+    What is read by team, by team and map and by pair comes from one shuffle by
+    team; the league's and the maps' totals are found for each different time
+    and met by a join, after the two sides of a row have met.
     """
     ledger = t.seat_ledger()
     form = W.partitionBy("team_id").orderBy("ts", *TIES)
     last = form.rowsBetween(1 - c.form_maps, 0)
-    rated = t.rated(c.elo_k, c.elo_start)
     players = roster_ledger(t).select(
         "team_id", "map_name", "ts", *TIES, "fk", "fd",
         F.when(F.col("acs").isNotNull(), F.collect_list("acs").over(last)).alias("acs_values"),
@@ -289,45 +289,58 @@ def feature_matrix(rows: DataFrame, t: Tables, c: FeatureConfig = FeatureConfig(
         F.struct(F.col("ts"), jaccard(F.col("players"), F.lag("players").over(form)).alias("same")).alias("roster"),
     )
     played = t.matches.where("status = 'completed'").select("ts", "match_id", F.explode(F.array("team1_id", "team2_id")).alias("team_id")).withColumn("last_ts", F.col("ts"))
-    events = (
-        ledger.withColumn("one", F.lit(1)).withColumn("detail_n", F.col("signed_margin").isNotNull().cast("int"))
-        .unionByName(players, allowMissingColumns=True)
-        .unionByName(rated, allowMissingColumns=True)
-        .unionByName(played, allowMissingColumns=True)
-    )
-    events = durable(events)
-    sums = {"wins": "won", "games": "one", "ots": "ot", "a_won": "atk_won", "a_n": "atk_played", "m_s": "signed_margin", "m_n": "detail_n", "b_won": "fk", "b_n": F.col("fk") + F.col("fd")}
-    lasts = {x: x for x in ("rating", "acs_values", "rating_values", "roster", "last_ts")}
-    q = sides(rows)
-    read = prior_state(q, events, ["team_id"], sums={f"team_{n}": x for n, x in sums.items()}, lasts=lasts, ties=TIES, hot=t.hot_teams)
-    by_map = events.where("map_name is not null")
-    read = prior_state(read, by_map, ["team_id", "map_name"], sums={f"map_{n}": x for n, x in sums.items() if n != "ots"}, base=q, hot=t.hot_teams)
-    finished = t.finished()
-    league = {"league_ot": is_overtime(F.col("team1_score"), F.col("team2_score")).cast("int"), "league_n": F.lit(1)}
-    rounds = {"league_won": F.col("atk_won"), "league_rounds": F.col("atk_played")}
-    read = prior_totals(read, finished, [], sums=league, base=q)
-    read = prior_totals(read, ledger.where("atk_played is not null"), [], sums=rounds, base=q)
+    history = ledger.select("team_id", "opponent_id", "map_name", "ts", *TIES, "won", "ot", "atk_won", "atk_played", "signed_margin", F.lit(1).alias("one"), F.col("signed_margin").isNotNull().cast("int").alias("detail_n"))
+    events = history.unionByName(players, allowMissingColumns=True).unionByName(t.rated(c.elo_k, c.elo_start), allowMissingColumns=True).unionByName(played, allowMissingColumns=True)
+    if t.hot_teams is not None:
+        # Read again for the totals of buckets.
+        events = durable(events)
+    rates = {"wins": "won", "games": "one", "a_won": "atk_won", "a_n": "atk_played", "m_s": "signed_margin", "m_n": "detail_n", "b_won": "fk", "b_n": F.col("fk") + F.col("fd")}
+    levels = [
+        Level(("team_id",), {**{f"team_{n}": x for n, x in rates.items()}, "team_ots": "ot"}, {x: x for x in ("rating", "acs_values", "rating_values", "roster", "last_ts")}),
+        Level(("team_id", "map_name"), {f"map_{n}": x for n, x in rates.items()}),
+        Level(("team_id", "opponent_id"), {"pair_wins": "won", "pair_games": "one"}),
+    ]
+    read = prior_levels(sides(rows), events, "team_id", levels, ties=TIES, hot=t.hot_teams)
 
     def col(n: str) -> Column:
         return F.col(n)
 
-    attack = shrink.beta_mean(col("team_a_won"), col("team_a_n"), shrink.rate(col("league_won"), col("league_rounds"), 0.5), c.side_team_k)
     margin = shrink.normal_mean(col("team_m_s"), col("team_m_n"), F.lit(0.0), c.margin_team_k)
     blood = shrink.beta_mean(col("team_b_won"), col("team_b_n"), F.lit(0.5), c.blood_team_k)
     days = names.floor_days(col("ts"), col("roster.ts")).cast("double")
     values = {
         "map_win_rate_diff": shrink.beta_mean(col("map_wins"), col("map_games"), shrink.rate(col("team_wins"), col("team_games"), 0.5), c.win_k),
         "elo_differential": F.coalesce("rating", F.lit(c.elo_start)),
-        "ot_rate_diff": shrink.beta_mean(col("team_ots"), col("team_games"), shrink.rate(col("league_ot"), col("league_n"), 0.0), c.ot_k),
         "acs_form_diff": recency_mean(col("acs_values"), c.form_decay),
         "rating_form_diff": recency_mean(col("rating_values"), c.form_decay),
         "days_since_diff": F.coalesce(names.floor_days(col("ts"), col("last_ts")), F.lit(0)).cast("double"),
         "roster_decay_diff": F.when(col("roster.same") < c.roster_threshold, F.pow(F.lit(0.5), days / c.roster_half_life)).otherwise(1.0),
-        "attack_side_win_rate_diff": shrink.beta_mean(col("map_a_won"), col("map_a_n"), attack, c.side_map_k),
         "signed_margin_diff": shrink.normal_mean(col("map_m_s"), col("map_m_n"), margin, c.margin_map_k),
         "first_blood_diff": shrink.beta_mean(col("map_b_won"), col("map_b_n"), blood, c.blood_map_k),
+        "h2h": shrink.beta_mean(col("pair_wins"), col("pair_games"), F.lit(0.5), c.h2h_k) - 0.5,
     }
-    out = side_difference(read, values, {"acs_form_diff": 0.0, "rating_form_diff": 0.0})
-    for other in (map_round_margin_variance, h2h_win_rate_centered, event_stage):
-        out = out.join(other(rows, t, c), ROW)
-    return out.select(*ROW, *FEATURES)
+    # What the league's rates are still needed for goes along as it is.
+    totals = ["team_ots", "team_games", "team_a_won", "team_a_n", "map_a_won", "map_a_n"]
+    picked = read.select(*ROW, "map_name", "ts", "side", *[v.alias(n) for n, v in values.items()], *[F.col(n).cast("double").alias(n) for n in totals])
+    both = picked.groupBy(*ROW, "map_name", "ts").agg(*[F.max(F.when(F.col("side") == s, F.col(n))).alias(f"{n}{s}") for n in (*values, *totals) for s in (1, 2)])
+    one = ledger.where("seat = 1")
+    league = {"league_ot": F.col("ot"), "league_n": F.lit(1)}
+    rounds = {"league_won": F.col("atk_won"), "league_rounds": F.col("atk_played")}
+    asked = rows.select("ts", "map_name").distinct()
+    out = prior_totals(both, ledger.select("ts", "atk_won", "atk_played", F.when(F.col("seat") == 1, F.col("ot")).alias("ot"), F.when(F.col("seat") == 1, F.lit(1)).alias("n")), [], sums={**league, "league_n": "n", **rounds}, base=asked)
+    margins = F.abs("margin").cast("double")
+    out = prior_totals(out, one, ["map_name"], sums={"map_count": F.lit(1), "map_sum": margins, "map_squares": margins * margins}, base=asked)
+    ot, attack = shrink.rate(col("league_ot"), col("league_n"), 0.0), shrink.rate(col("league_won"), col("league_rounds"), 0.5)
+
+    def side(s: int) -> dict[str, Column]:
+        team = shrink.beta_mean(col(f"team_a_won{s}"), col(f"team_a_n{s}"), attack, c.side_team_k)
+        return {"ot_rate_diff": shrink.beta_mean(col(f"team_ots{s}"), col(f"team_games{s}"), ot, c.ot_k), "attack_side_win_rate_diff": shrink.beta_mean(col(f"map_a_won{s}"), col(f"map_a_n{s}"), team, c.side_map_k)}
+
+    made = {n: col(f"{n}1") - col(f"{n}2") for n in values if n != "h2h"} | {n: a - side(2)[n] for n, a in side(1).items()}
+    for n in ("acs_form_diff", "rating_form_diff"):
+        made[n] = F.coalesce(made[n], F.lit(0.0))
+    made["map_round_margin_variance"] = F.coalesce(shrink.sample_variance(col("map_count"), col("map_sum"), col("map_squares")), F.lit(0.0))
+    made["h2h_win_rate_centered"] = col("h2h1")
+    stage = t.matches.select("match_id", F.col("event_name").alias("__event"))
+    made["event_stage"] = names.event_stage(F.col("__event")).cast("double")
+    return out.join(stage, "match_id", "left").select(*ROW, *[made[n].alias(n) for n in FEATURES])

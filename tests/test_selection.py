@@ -193,7 +193,7 @@ def test_held_out_matches_do_not_move_a_strength(spark, tiny):
 def test_hot_teams_do_not_move_a_strength(spark, tiny, monkeypatch):
     grid = [2.0, 20.0]
     cold = sorted(map(tuple, diagnostics.select_strength(tiny, "attack", grid).collect()), key=repr)
-    monkeypatch.setattr(asof.hot_keys, "__defaults__", (3,))
+    monkeypatch.setattr(asof, "HOT_ROWS", 3)
     hot = features.Tables(tiny.matches, tiny.maps, tiny.players)
     assert hot.hot_teams.count() > 0
     got = sorted(map(tuple, diagnostics.select_strength(hot, "attack", grid).collect()), key=repr)
