@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from oddsloom.functions import series, shrink
 from oddsloom.functions.asof import prior_state
@@ -50,6 +51,23 @@ def outcome_index(wins1: Column, wins2: Column, best_of: Column) -> Column:
     return F.when(found > 0, (found - 1).cast("int"))
 
 
+def series_outcomes(matches: DataFrame, maps: DataFrame) -> DataFrame:
+    """(match_id, best_of, wins1, wins2, outcome_index) of completed matches whose finished maps decide them.
+
+    Maps count in order until one side has enough; later ones are not looked at.
+    A match that no side has won, or of a length that is not played, is left
+    out. ``matches`` has best_of as a number.
+    """
+    own = matches.where("status = 'completed'").select("match_id", "best_of")
+    won = F.col("team1_score") > F.col("team2_score")
+    rows = maps.where("winner is not null").select("match_id", "map_index", won.cast("int").alias("one"), (~won).cast("int").alias("two")).join(own, "match_id")
+    upto = W.partitionBy("match_id").orderBy("map_index").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.select("match_id", "best_of", "map_index", F.sum("one").over(upto).alias("wins1"), F.sum("two").over(upto).alias("wins2"))
+    decided = rows.where(F.greatest("wins1", "wins2") == F.floor((F.col("best_of") + 1) / 2))
+    first = decided.groupBy("match_id", "best_of").agg(F.min_by(F.struct("wins1", "wins2"), "map_index").alias("w")).select("match_id", "best_of", "w.*")
+    return first.withColumn("outcome_index", outcome_index(F.col("wins1"), F.col("wins2"), F.col("best_of"))).where("outcome_index is not null")
+
+
 def sweep_report(scored: DataFrame) -> DataFrame:
     """By best_of: count, and predicted and observed shares of sweeps by side A, by side B and by either, with their gaps.
 

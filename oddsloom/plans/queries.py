@@ -13,7 +13,7 @@ from oddsloom.functions import asof, draws, guards, names, scoring, series, shri
 from oddsloom.operators import diagnostics, features, harness, logit, presentation, reports, seats, series_eval, splits, veto, veto_exact, veto_steps
 from oddsloom.plans import jobs, league
 from oddsloom.plans.league import BEFORE, SQL, table
-from oddsloom.session import Scratch
+from oddsloom.session import Scratch, durable
 from oddsloom.sources import documents, keyed, markup
 from oddsloom.streaming import session, streams
 
@@ -1048,14 +1048,33 @@ def flat_series(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(out)
 
 
-@query(_FLAT + """, y AS (SELECT *, CAST(match_id AS BIGINT) * 7 % (best_of + 1) AS y FROM v)
+_OUTCOMES = """, wm AS (SELECT match_id, map_index, best_of, sum(CAST(s1 > s2 AS INTEGER)) OVER u AS a, sum(CAST(s1 < s2 AS INTEGER)) OVER u AS b FROM finished JOIN (SELECT match_id, CAST(match_id AS BIGINT) % 3 * 2 + 1 AS best_of FROM matches) USING (match_id) WINDOW u AS (PARTITION BY match_id ORDER BY map_index)),
+wd AS (SELECT match_id, best_of, arg_min(a, map_index) AS a, arg_min(b, map_index) AS b FROM wm WHERE greatest(a, b) = (best_of + 1) // 2 GROUP BY ALL),
+y AS (SELECT v.match_id, v.best_of, v.v, CAST(CASE WHEN a > b THEN b ELSE v.best_of - a END AS INTEGER) AS y FROM v JOIN wd ON v.match_id = wd.match_id)"""
+
+
+@query(_FLAT + _OUTCOMES + """
 SELECT CAST(best_of AS INTEGER) AS best_of, count(*) AS n_eval, round(avg(v[1] + v[-1]), 7) AS predicted_sweep, round(avg(CAST(y IN (0, best_of) AS INTEGER)), 7) AS observed_sweep, round(avg(v[1]), 7) AS predicted_a, round(avg(CAST(y = 0 AS INTEGER)), 7) AS observed_a,
   round(avg(v[-1]), 7) AS predicted_b, round(avg(CAST(y = best_of AS INTEGER)), 7) AS observed_b, round(avg(v[1] + v[-1]) - avg(CAST(y IN (0, best_of) AS INTEGER)), 7) AS gap_sweep, round(avg(v[1]) - avg(CAST(y = 0 AS INTEGER)), 7) AS gap_a, round(avg(v[-1]) - avg(CAST(y = best_of AS INTEGER)), 7) AS gap_b
 FROM y GROUP BY best_of""")
 def sweep_report(spark: SparkSession, d: str) -> DataFrame:
-    """How often series are swept, predicted by the flat baseline, against outcomes that keys give."""
-    y = (F.col("match_id").cast("bigint") * 7 % (F.col("best_of") + 1)).cast("int")
-    return _rounded(series_eval.sweep_report(_flat(spark, d).withColumn("outcome_index", y)), 7)
+    """How often series are swept, predicted by the flat baseline, against what the maps of each match came to."""
+    return _rounded(series_eval.sweep_report(_outcomes(spark, d)), 7)
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    t = league.tables(spark, d, False)
+    m = t.matches.withColumn("best_of", names.best_of(F.col("best_of")))
+    flat = series_eval.flat_series(m.select("match_id", "ts", "best_of", "team1_id", "team2_id"), t)
+    return flat.join(series_eval.series_outcomes(m, t.maps).select("match_id", "outcome_index"), "match_id")
+
+
+@query(_FLAT + _OUTCOMES + """, c AS (SELECT match_id, best_of, y, v, list_transform(range(1, len(v)), lambda i: pow(list_sum(v[1:i]) - CASE WHEN y < i THEN 1 ELSE 0 END, 2)) AS g FROM y)
+SELECT match_id, CAST(best_of AS INTEGER) AS best_of, y AS outcome_index, round(list_sum(g), 8) AS rps, round(-ln(greatest(v[y + 1], 1e-12)), 8) AS log_loss, (round(list_sum(v[1:len(v) // 2]), 12) >= 0.5) = (y < len(v) // 2) AS correct FROM c""")
+def series_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Ranked probability score, log loss and hit of the flat baseline for every series that its maps decide."""
+    rows = _outcomes(spark, d).withColumn("probabilities", F.transform("probabilities", lambda x: F.round(x, 14)))
+    return _rounded(series_eval.series_scores(rows).select("match_id", "best_of", "outcome_index", "rps", "log_loss", "correct"))
 
 
 @query(league.ELO_SQL + "SELECT team_id, round(arg_max(rating, (ts, match_id, map_index)), 8) AS rating, count(*) AS n_maps FROM elo_rows GROUP BY team_id")
@@ -1154,6 +1173,35 @@ def choice_moments(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(spark.createDataFrame(list(zip(model.features, model.mean, model.std, strict=True)), "name string, mean double, deviation double"), 7)
 
 
+_X = [f"x{i}" for i in range(5)]
+_W = [f"w{i}" for i in range(5)]
+
+
+@query(_RATED.replace("WITH matches", "WITH RECURSIVE matches", 1) + f""", c AS (SELECT match_id, step_index, action, chosen, [own_rate, other_rate, own_rate - overall, margin_variance, ot_rate] AS x FROM rated),
+mo AS MATERIALIZED (SELECT action, [{', '.join(f"avg(x[{i}])" for i in range(1, 6))}] AS m, [{', '.join(f"CASE WHEN stddev_pop(x[{i}]) = 0 THEN 1 ELSE stddev_pop(x[{i}]) END" for i in range(1, 6))}] AS s, count(*) FILTER (WHERE chosen) AS n FROM c GROUP BY action),
+z AS MATERIALIZED (SELECT c.action, match_id || '/' || step_index AS st, chosen, n, {', '.join(f"(x[{i + 1}] - m[{i + 1}]) / s[{i + 1}] AS x{i}" for i in range(5))} FROM c JOIN mo ON c.action = mo.action),
+gd(i, action, {', '.join(_W)}) AS (
+  SELECT 0, action, {', '.join('CAST(0 AS DOUBLE)' for _ in _W)} FROM mo
+  UNION ALL
+  SELECT i + 1, action, {', '.join(f"w{k} - 0.25 * (w{k} + sum((p - CAST(chosen AS INTEGER)) * x{k}) / max(n))" for k in range(5))} FROM (
+    SELECT *, e / sum(e) OVER (PARTITION BY action, st) AS p FROM (SELECT gd.*, st, chosen, n, {', '.join(_X)}, exp({' + '.join(f"w{k} * x{k}" for k in range(5))}) AS e FROM gd JOIN z ON gd.action = z.action WHERE i < 55))
+  GROUP BY i, action, {', '.join(_W)}),
+e AS (SELECT * FROM gd WHERE i = 55),
+l AS (SELECT action, sum(CASE WHEN chosen THEN -ln(p) END) / max(n) + ({' + '.join(f"max(w{k} * w{k})" for k in range(5))}) / 2 AS l FROM (
+  SELECT *, e / sum(e) OVER (PARTITION BY action, st) AS p FROM (SELECT e.*, st, chosen, n, exp({' + '.join(f"w{k} * x{k}" for k in range(5))}) AS e FROM e JOIN z ON e.action = z.action)) GROUP BY action)
+SELECT e.action, unnest({veto_steps.CHOICE_FEATURES} || ['loss']) AS name, round(unnest([{', '.join(_W)}, l]), 5) + CAST(0 AS DOUBLE) AS value FROM e JOIN l ON e.action = l.action""")
+def fit_choices(spark: SparkSession, d: str) -> DataFrame:
+    """(action, name, value): coefficients and loss of the conditional logits of bans and of picks; one that has not converged fails."""
+    t = league.tables(spark, d, False)
+    rows = durable(veto_steps.with_rates(_candidates(spark, d), t))
+    out = None
+    for action in ("ban", "pick"):
+        model = veto_steps.choice_model(rows, action, logit.FitConfig(grad_tol=1e-8))
+        own = _rounded(_parameters(spark, model), 5).withColumn("action", F.lit(action))
+        out = own if out is None else out.unionByName(own)
+    return out.select("action", "name", "value")
+
+
 _EDGES = "greatest(1e-12, least(1 - 1e-12, CASE grade WHEN 0 THEN {0} WHEN 1 THEN {1} - {0} ELSE 1 - {0} - ({1} - {0}) END))".format(_SIG.format("a + eta / t"), _SIG.format("b + eta / t"))
 #: The search for a temperature over ``c`` (eta, cutpoints a and b, grade, count k): both grids, the coarse one with 1 at its end.
 _TEMPERATURE = f"""g AS (SELECT j, 0.05 * pow(400.0, j / 96.0) AS t FROM (SELECT unnest(range(97)) AS j) UNION ALL SELECT 97, 1.0),

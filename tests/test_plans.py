@@ -194,6 +194,16 @@ def test_series(spark):
         series_eval.sweep_report(scored.withColumn("best_of", F.lit(5))).collect()
 
 
+def test_series_end_where_their_maps_decide_them(spark):
+    games = {"m1": (3, "aab"), "m2": (3, "abb"), "m3": (3, "ab"), "m4": (1, "ba"), "m5": (5, "babab"), "m6": (5, "aaabb"), "m7": (2, "aa"), "m8": (3, "a?a")}
+    matches = spark.createDataFrame([(k, n, "completed") for k, (n, _) in games.items()] + [("up", 3, "upcoming")], "match_id string, best_of int, status string")
+    rows = [(k, i, *((13, 7) if w != "b" else (7, 13)), None if w == "?" else w) for k, (_, ws) in {**games, "up": (3, "aa")}.items() for i, w in enumerate(ws)]
+    maps = spark.createDataFrame(rows, "match_id string, map_index int, team1_score int, team2_score int, winner string").repartition(3)
+    got = {r.match_id: (r.wins1, r.wins2, r.outcome_index) for r in series_eval.series_outcomes(matches, maps).collect()}
+    assert got == {"m1": (2, 0, 0), "m2": (1, 2, 2), "m4": (0, 1, 1), "m5": (2, 3, 3), "m6": (3, 0, 0), "m8": (2, 0, 0)}
+    assert series_eval.series_outcomes(matches.limit(0), maps).count() == 0
+
+
 def test_flat_series_of_a_league(spark, small):
     rows = small.matches.select("match_id", "ts", F.lit(3).alias("best_of"), "team1_id", "team2_id")
     got = series_eval.flat_series(rows, small)
