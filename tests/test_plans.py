@@ -147,8 +147,7 @@ def test_searches_find_the_minimum_in_few_passes():
 def test_harness(spark, sf, small):
     split = splits.chronological_split(small.matches, check=False)
     rows = harness.held_out_maps(small, jobs.labelled(small.maps), split)
-    x = features.feature_matrix(harness.held_out_maps(small, jobs.labelled(small.maps), split, "train"), small).join(jobs.labelled(small.maps), features.ROW)
-    design = x.withColumn("split", F.lit("train"))
+    design = jobs.design(league.feature_rows(small), small, jobs.labelled(small.maps), split).where("split = 'train'")
     models = {n: jobs.MODELS[n](design, logit.FitConfig()) for n in ("four_way_baseline", "ordinal", "binary")}
     out = {r.model: r for r in harness.compare_models({n: models[n] for n in ("four_way_baseline", "ordinal")}, rows, small).collect()}
     assert out["ordinal"].n_eval == out["four_way_baseline"].n_eval == rows.count() > 0
