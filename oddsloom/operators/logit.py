@@ -349,22 +349,26 @@ def vectors(model: LogitModel, xs: np.ndarray) -> np.ndarray:
 
 
 def replicate_bands(rows: DataFrame, key: list[str], models: list[LogitModel], level: float = 0.9) -> DataFrame:
-    """(key, low, high): the band of each class's chance over the replicates' models, percentiles with linear interpolation."""
+    """(key, low, high, sides): the band of each class's chance over the replicates' models, percentiles with linear interpolation,
+    and the first side's chance (the first half of the classes) by every model."""
     within(level, 0, 1, "level")
     names, d = models[0].features, len(models[0].features)
     picked = rows.select(*key, F.array(*[F.col(f).cast("double") for f in names]).alias("__x"))
     edges = [50 * (1 - level), 50 * (1 + level)]
+    kind = pa.list_(pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 piece = batch.slice(at, 4096)
                 xs = piece.column("__x").flatten().to_numpy().reshape(-1, d)
-                low, high = np.percentile(np.stack([vectors(m, xs) for m in models]), edges, axis=0)
-                yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in key], pa.array(low.tolist(), pa.list_(pa.float64())), pa.array(high.tolist(), pa.list_(pa.float64()))], [*key, "low", "high"])
+                p = np.stack([vectors(m, xs) for m in models])
+                low, high = np.percentile(p, edges, axis=0)
+                sides = p[:, :, : p.shape[2] // 2].sum(axis=2).T
+                yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in key], *[pa.array(x.tolist(), kind) for x in (low, high, sides)]], [*key, "low", "high", "sides"])
 
     kinds = dict(picked.dtypes)
-    return picked.mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in key], "low array<double>", "high array<double>"]))
+    return picked.mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in key], "low array<double>", "high array<double>", "sides array<double>"]))
 
 
 def linear(model: LogitModel, coef: list[float]) -> Column:

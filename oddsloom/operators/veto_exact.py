@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddsloom.functions import series
-from oddsloom.functions.guards import positive_int
+from oddsloom.functions.guards import positive_int, within
 from oddsloom.operators.veto import SCRIPTS
 
 #: Rows of a task's batch that are worked on together: a row holds a few kilobytes for each set of maps.
@@ -252,6 +252,46 @@ def top_sequences(utilities: DataFrame, n: int, key: str = "match_id") -> DataFr
     return _by_match(gathered(utilities, key), f"{key} {_kind(utilities, key)}, rank int, sequence array<string>, p double", work)
 
 
+def _with_wins(utilities: DataFrame, wins: DataFrame, lengths: DataFrame, key: str, kind: str) -> DataFrame:
+    """Gathered rows with best_of and, map by map in order of name, the column ``a`` of ``wins``."""
+    side = F.map_from_entries(F.collect_list(F.struct("map_name", F.col("a").cast(kind).alias("a"))))
+    rows = gathered(utilities, key).join(wins.groupBy(key).agg(side.alias("side")), key, "left").join(lengths.select(key, "best_of"), key)
+    a = F.transform("maps", lambda m: F.try_element_at("side", m))
+    chance = lambda x: F.coalesce((x >= 0) & (x <= 1), F.lit(False))
+    inside = F.forall(a, chance) if kind == "double" else F.forall(a, lambda x: F.coalesce((F.size(x) > 0) & (F.size(x) == F.size(a[0])) & F.forall(x, chance), F.lit(False)))
+    inside = inside & F.col("best_of").isin(list(SCRIPTS)) & (F.size("maps") == len(SCRIPTS[1]))
+    return rows.select(key, "maps", "scores", F.col("best_of").cast("int").alias("best_of"), F.when(F.coalesce(inside, F.lit(False)), a).otherwise(F.raise_error(F.lit("a veto without a script for its length and pool, or a map without a chance")).cast(f"array<{kind}>")).alias("wins"))
+
+
+def series_bands(utilities: DataFrame, wins: DataFrame, lengths: DataFrame, level: float = 0.9, key: str = "match_id") -> DataFrame:
+    """(key, n, mean, low, high): side A's exact chance of the series by every replicate, as a mean and a band.
+
+    ``wins`` has (key, map_name, a) with an array: side A's chance on the map by
+    every replicate, as many for all maps of a match. All replicates of a match
+    are walked in one pass over its sets of maps. Otherwise as :func:`exact_series`.
+    """
+    within(level, 0, 1, "level")
+    edges = [50 * (1 - level), 50 * (1 + level)]
+
+    def work(piece: pa.RecordBatch, scores: np.ndarray) -> pa.RecordBatch:
+        n, m = len(scores), scores.shape[2]
+        chances, length = step_chances(scores), piece.column("best_of").to_numpy()
+        by_map = piece.column("wins").to_pylist()
+        found = np.zeros((n, 4))
+        for best_of in np.unique(length).tolist():
+            for size in {len(row[0]) for row, b in zip(by_map, length.tolist(), strict=True) if b == best_of}:
+                own = np.array([i for i, row in enumerate(by_map) if length[i] == best_of and len(row[0]) == size])
+                # (rows x replicates, maps): a replicate is a row with the same veto.
+                a = np.array([by_map[i] for i in own]).transpose(0, 2, 1).reshape(-1, m)
+                cells = series_cells({mask: np.repeat(p[own], size, axis=0) for mask, p in chances.items()}, a, best_of)
+                won = cells[:, : cells.shape[1] // 2].sum(axis=1).reshape(len(own), size)
+                low, high = np.percentile(won, edges, axis=1)
+                found[own] = np.stack([np.full(len(own), size), won.mean(axis=1), low, high], axis=1)
+        return pa.RecordBatch.from_arrays([piece.column(key), pa.array(found[:, 0].astype(np.int32)), *[pa.array(found[:, i]) for i in (1, 2, 3)]], [key, "n", "mean", "low", "high"])
+
+    return _by_match(_with_wins(utilities, wins, lengths, key, "array<double>"), f"{key} {_kind(utilities, key)}, n int, mean double, low double, high double", work)
+
+
 def exact_series(utilities: DataFrame, wins: DataFrame, lengths: DataFrame, key: str = "match_id") -> DataFrame:
     """(key, best_of, probabilities, leverage) over all vetoes: scorelines in the order of the series, and what each map moves.
 
@@ -261,11 +301,7 @@ def exact_series(utilities: DataFrame, wins: DataFrame, lengths: DataFrame, key:
     series if it is played less that if it is not. A length without a script, a
     pool of another size or a map without a chance fails the job.
     """
-    side = F.map_from_entries(F.collect_list(F.struct("map_name", F.col("a").cast("double").alias("a"))))
-    rows = gathered(utilities, key).join(wins.groupBy(key).agg(side.alias("side")), key, "left").join(lengths.select(key, "best_of"), key)
-    a = F.transform("maps", lambda m: F.try_element_at("side", m))
-    inside = F.forall(a, lambda x: F.coalesce((x >= 0) & (x <= 1), F.lit(False))) & F.col("best_of").isin(list(SCRIPTS)) & (F.size("maps") == len(SCRIPTS[1]))
-    rows = rows.select(key, "maps", "scores", F.col("best_of").cast("int").alias("best_of"), F.when(F.coalesce(inside, F.lit(False)), a).otherwise(F.raise_error(F.lit("a veto without a script for its length and pool, or a map without a chance")).cast("array<double>")).alias("wins"))
+    rows = _with_wins(utilities, wins, lengths, key, "double")
 
     def work(piece: pa.RecordBatch, scores: np.ndarray) -> pa.RecordBatch:
         n, m = len(scores), scores.shape[2]

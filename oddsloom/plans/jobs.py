@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from oddsloom.functions import guards, scoring, series
 from oddsloom.operators import features, harness, logit, reports, seats, splits, veto
+from oddsloom.session import durable
 
 
 @dataclass
@@ -111,11 +112,13 @@ def report(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count(F.lit(1)).alias("n"), F.avg("rps").alias("rps"), F.avg("log_loss").alias("log_loss"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
 
 
-def map_chances(fixtures: DataFrame, pool: list[str], t: features.Tables, trained: Trained) -> DataFrame:
-    """(match_id, map_name, p): a vector for each fixture and map of the pool, each made once.
+def map_chances(fixtures: DataFrame, pool: list[str], t: features.Tables, trained: Trained, replicates: Sequence[logit.LogitModel] = (), level: float = 0.9) -> DataFrame:
+    """(match_id, map_name, p, low, high, sides): a vector for each fixture and map of the pool, each made once, and its bands over the replicates.
 
     Fixtures have match_id, team1_id, team2_id, ts and event_name; their own
-    matches are added to the tables for what depends on the event.
+    matches are added to the tables for what depends on the event. Bands hold
+    the model's own chance too, so that they lie around it; without replicates
+    they are null, as is ``sides``, side A's chance by every replicate.
     """
     rows = fixtures.withColumn("map_name", F.explode(F.array(*[F.lit(m) for m in sorted(pool)])))
     index = F.array_position(F.array(*[F.lit(m) for m in sorted(pool)]), F.col("map_name")).cast("int") - 1
@@ -123,7 +126,13 @@ def map_chances(fixtures: DataFrame, pool: list[str], t: features.Tables, traine
     known = t.matches.unionByName(fixtures.withColumn("status", F.lit("upcoming")).select([c for c in t.matches.columns if c in fixtures.columns or c == "status"]), allowMissingColumns=True)
     x = features.feature_matrix(rows, features.Tables(known, t.maps, t.players))
     p = logit.probabilities(trained.model, trained.temperature)
-    return rows.join(x, features.ROW).select("match_id", "map_name", p.alias("p"))
+    rows = rows.join(x, features.ROW)
+    if not replicates:
+        return rows.select("match_id", "map_name", p.alias("p"), *[F.lit(None).cast("array<double>").alias(c) for c in ("low", "high", "sides")])
+    rows = durable(rows.select("match_id", "map_name", p.alias("p"), *replicates[0].features))
+    bands = logit.replicate_bands(rows, ["match_id", "map_name"], list(replicates), level)
+    both = rows.select("match_id", "map_name", "p").join(bands, ["match_id", "map_name"])
+    return both.select("match_id", "map_name", "p", F.zip_with("low", "p", lambda a, b: F.least(a, b)).alias("low"), F.zip_with("high", "p", lambda a, b: F.greatest(a, b)).alias("high"), "sides")
 
 
 def series_forecast(chances: DataFrame, sequences: DataFrame, best_of: int) -> DataFrame:

@@ -38,10 +38,11 @@ class Predictor:
     choices: Mapping[str, logit.LogitModel]
     pool: Sequence[str]
     knobs: Knobs = field(default_factory=Knobs)
+    replicates: Sequence[logit.LogitModel] = ()
 
     def answer(self, fixtures: DataFrame) -> Forecast:
         """The forecast of ``fixtures``: match_id, ts, event_name, best_of (a number), team1_id and team2_id."""
-        chances = jobs.map_chances(fixtures.select("match_id", "ts", "event_name", "team1_id", "team2_id"), list(self.pool), self.tables, self.trained)
+        chances = jobs.map_chances(fixtures.select("match_id", "ts", "event_name", "team1_id", "team2_id"), list(self.pool), self.tables, self.trained, self.replicates, self.knobs.level)
         maps, scores = durable(chances), durable(veto_steps.utilities(fixtures, self.tables, self.choices, self.pool))
         drawn = veto.sample_vetoes(scores, self.knobs.n_samples, self.knobs.seed, len(self.pool))
         return Forecast(self, fixtures, maps, scores, durable(with_series(drawn, fixtures, maps)))
@@ -75,6 +76,12 @@ class Forecast:
         """(match_id, probabilities): scorelines averaged over the samples by their sequences' chances."""
         return veto.mixture(self.samples, "match_id", "p", "v")
 
+    def bands(self) -> DataFrame:
+        """(match_id, n, mean, low, high): the series chance over the replicates' models, exact over all vetoes; no rows without replicates."""
+        wins = self.maps.where("sides is not null").select("match_id", "map_name", F.transform("sides", lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))).alias("a"))
+        known = wins.select("match_id").distinct()
+        return veto_exact.series_bands(self.scores.join(known, "match_id", "left_semi"), wins, self.fixtures, self.predictor.knobs.level)
+
     def sensitivity(self) -> DataFrame:
         """How far the series chance moves with the veto."""
         return series_eval.sensitivity(self.samples, level=self.predictor.knobs.level)
@@ -110,7 +117,7 @@ class Forecast:
         names = presentation.display_names(self.predictor.tables.matches)
         a = names.select(F.col("team_id").alias("team1_id"), F.col("team_name").alias("a_name"))
         b = names.select(F.col("team_id").alias("team2_id"), F.col("team_name").alias("b_name"))
-        cell = F.struct(F.array_position(F.array(*[F.lit(m) for m in sorted(self.predictor.pool)]), F.col("map_name")).cast("int").alias("map_index"), "map_name", F.col("p").alias("probabilities"), F.lit(None).cast("array<double>").alias("low"), F.lit(None).cast("array<double>").alias("high"), scoring.side_a(F.col("p")).alias("p_a"), (F.col("p")[1] + F.col("p")[2]).alias("p_overtime"))
+        cell = F.struct(F.array_position(F.array(*[F.lit(m) for m in sorted(self.predictor.pool)]), F.col("map_name")).cast("int").alias("map_index"), "map_name", F.col("p").alias("probabilities"), "low", "high", scoring.side_a(F.col("p")).alias("p_a"), (F.col("p")[1] + F.col("p")[2]).alias("p_overtime"))
         own = self.maps.groupBy("match_id").agg(F.array_sort(F.collect_list(cell)).alias("maps"))
         ranked = self.ranked().groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("rank", "sequence", "played", "p", "p_series"))).alias("ranked_vetoes"))
         swings = self.leverage().groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("map_name", "p_played", "swing"))).alias("leverage"))

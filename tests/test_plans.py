@@ -227,7 +227,8 @@ def test_predictions_and_their_wire_form(spark, sf, small, tmp_path):
     teams = [r.team1_id for r in small.matches.select("team1_id").distinct().orderBy("team1_id").limit(3).collect()]
     fixtures = spark.createDataFrame([("f1", teams[0], teams[1], "Circuit Stage 2", 3), ("f2", teams[1], teams[2], "Circuit Stage 1", 5)], "match_id string, team1_id string, team2_id string, event_name string, best_of int")
     fixtures = fixtures.withColumn("ts", F.lit("1999-01-01 10:00:00").cast("timestamp_ntz"))
-    predictor = Predictor(small, trained, choices, league.MAP_NAMES, Knobs(n_samples=12, top_n=3))
+    replicates = jobs.train_replicates(d, "ordinal", 3, 5, logit.FitConfig(max_iter=15))
+    predictor = Predictor(small, trained, choices, league.MAP_NAMES, Knobs(n_samples=12, top_n=3), replicates)
     forecast = predictor.answer(fixtures)
     assert sorted(forecast.samples.groupBy("match_id").count().collect()) == [("f1", 12), ("f2", 12)]
     vectors = {r.match_id: r.probabilities for r in forecast.series().collect()}
@@ -243,7 +244,13 @@ def test_predictions_and_their_wire_form(spark, sf, small, tmp_path):
     assert bands["f1"].n == 12 and bands["f1"].low <= bands["f1"].mean + 1e-9 <= bands["f1"].high + 1e-6 + 1
     again = predictor.answer(fixtures.repartition(3))
     assert sorted(map(repr, again.samples.select("match_id", "draw", "sequence").collect())) == sorted(map(repr, forecast.samples.select("match_id", "draw", "sequence").collect()))
+    moved = {r.match_id: r for r in forecast.bands().collect()}
+    assert set(moved) == {"f1", "f2"} and all(r.n == 3 and 0 <= r.low <= r.mean <= r.high <= 1 for r in moved.values())
     artifact = forecast.artifact().cache()
+    cells = [m for r in artifact.collect() for m in r.overall.maps]
+    assert len(cells) == 14 and all(lo <= p <= hi for m in cells for lo, p, hi in zip(m.low, m.probabilities, m.high, strict=True))
+    upside = artifact.withColumn("overall", F.col("overall").withField("maps", F.transform("overall.maps", lambda m: m.withField("low", m["high"]).withField("high", m["low"]))))
+    assert {r.reason for r in contract.breaches(upside).collect()} == {"a band is upside down"}
     assert contract.breaches(artifact).count() == 0
     root = dict.fromkeys(contract.ROOT, "x")
     path = f"{tmp_path}/out/predictions"

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,24 @@ def test_odd_scores_fail(spark):
         with pytest.raises(Exception, match="without a script"):
             veto_exact.exact_series(u, w, n).collect()
     assert veto_exact.exact_series(u.limit(0), wins, three).count() == 0
+
+
+def test_bands_over_replicates_are_percentiles_of_exact_series(spark):
+    matches, n = ["m", "n", "o"], 6
+    u, _ = utilities(spark, matches, seed=9)
+    rng = random.Random(9)
+    a = {(m, x): [rng.random() for _ in range(n if m != "o" else 2)] for m in matches for x in POOL}
+    lengths = spark.createDataFrame([("m", 3), ("n", 5), ("o", 3)], "match_id string, best_of int")
+    wins = spark.createDataFrame([(m, x, p) for (m, x), p in a.items()], "match_id string, map_name string, a array<double>")
+    got = {r.match_id: r for r in veto_exact.series_bands(u, wins, lengths, 0.8).collect()}
+    for m in matches:
+        own = []
+        for r in range(len(a[m, "a"])):
+            one = spark.createDataFrame([(m, x, a[m, x][r]) for x in POOL], "match_id string, map_name string, a double")
+            p = veto_exact.exact_series(u.where(F.col("match_id") == m), one, lengths).first().probabilities
+            own.append(sum(p[: len(p) // 2]))
+        low, high = np.percentile(own, [10, 90])
+        assert (got[m].n, got[m].mean, got[m].low, got[m].high) == (len(own), pytest.approx(np.mean(own)), pytest.approx(low), pytest.approx(high))
+    for bad in (wins.where("map_name <> 'c'"), wins.withColumn("a", F.when(F.col("map_name") == "a", F.slice("a", 1, 1)).otherwise(F.col("a"))), wins.withColumn("a", F.array(F.lit(2.0)))):
+        with pytest.raises(Exception, match="without a chance"):
+            veto_exact.series_bands(u, bad, lengths).collect()
