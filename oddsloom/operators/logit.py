@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from oddsloom.functions import draws
 from oddsloom.functions.guards import IntegrityError, positive_int, within
-from oddsloom.session import durable
+from oddsloom.session import stored
 
 CLIP = 1e-12
 ARMIJO, HALVINGS = 1e-4, 50
@@ -263,7 +263,7 @@ def _fit_all(rows: DataFrame, features: list[str], label: str, kind: str, config
     number = weighting.number if weighting else F.lit(0).cast("bigint")
     times = weighting.times if weighting else None
     x = F.array(*[((F.col(f) - m) / s).cast("double") for f, m, s in zip(features, mean, std, strict=True)])
-    design = durable(rows.select(x.alias("x"), F.col(label).cast("int").alias("y"), number.alias("k")))
+    design = stored(rows.select(x.alias("x"), F.col(label).cast("int").alias("y"), number.alias("k")))
     classes = (design.agg(F.max("y")).first()[0] or 0) + 1
     d = len(features)
 
@@ -412,19 +412,24 @@ def fit_choice(candidates: DataFrame, features: list[str], step: list[str], chos
     mean, std = standardizer(candidates, features)
     x = F.array(*[((F.col(f) - m) / s).cast("double") for f, m, s in zip(features, mean, std, strict=True)])
     # A step has as many rows as there are candidates, a handful; steps are spread over tasks.
-    design = durable(candidates.select(*step, F.struct((~F.col(chosen)).alias("no"), x.alias("x")).alias("c")).groupBy(*step).agg(F.array_sort(F.collect_list("c")).alias("c")).select(F.transform("c", lambda c: c["x"]).alias("x")))
+    design = stored(candidates.select(*step, F.struct((~F.col(chosen)).alias("no"), x.alias("x")).alias("c")).groupBy(*step).agg(F.array_sort(F.collect_list("c")).alias("c")).select(F.transform("c", lambda c: c["x"]).alias("x")))
     n, d = design.count(), len(features)
 
     def evaluate(p: np.ndarray) -> tuple[float, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(d + 1)
             for batch in batches:
-                for step_rows in batch.column("x").to_pylist():
-                    xs = np.array(step_rows)
+                for at in range(0, batch.num_rows, 4096):
+                    steps = batch.column("x").slice(at, 4096)
+                    # All candidates of the slice's steps under one another; a step's first is what was chosen.
+                    sizes = np.diff(steps.offsets.to_numpy())
+                    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                    xs = steps.flatten().flatten().to_numpy().reshape(-1, d)
                     s = xs @ p
-                    q = np.exp(s - s.max())
-                    q /= q.sum()
-                    total += np.append(xs.T @ q - xs[0], -np.log(max(q[0], CLIP)))
+                    q = np.exp(s - np.repeat(np.maximum.reduceat(s, first), sizes))
+                    q /= np.repeat(np.add.reduceat(q, first), sizes)
+                    total[:d] += xs.T @ q - xs[first].sum(axis=0)
+                    total[d] -= np.log(np.maximum(q[first], CLIP)).sum()
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["sums"])
 
         sums = _added(design.mapInArrow(run, "sums array<double>"))
