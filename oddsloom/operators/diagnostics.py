@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from oddsloom.functions import shrink
-from oddsloom.functions.asof import prior_state, prior_totals
+from oddsloom.functions.asof import Level, prior_levels, prior_state, prior_totals
 from oddsloom.functions.guards import positive
 from oddsloom.operators import logit, reports, splits
 from oddsloom.operators.features import FeatureConfig, Tables, roster_ledger
+from oddsloom.operators.veto_steps import sides_before
 
 CLIP = 1e-12
 #: Accuracy and log-loss gaps from which a coarser model costs accuracy.
@@ -51,8 +52,7 @@ def strength_rows(t: Tables, bounds: splits.FoldBounds, measure: str, config: Fe
     rows = rows.where("block is not null and won is not null and n > 0")
     q = rows.select("block", "team_id", "map_name", "ts", F.col("won").alias("here_won"), F.col("n").alias("here"))
     asked = q.where("block >= 1")
-    read = prior_state(asked, rows, ["team_id"], sums={"team_won": "won", "team_n": "n"}, hot=t.hot_teams)
-    read = prior_state(read, rows, ["team_id", "map_name"], sums={"map_won": "won", "map_n": "n"}, base=asked, hot=t.hot_teams)
+    read = prior_levels(asked, rows, "team_id", [Level(("team_id",), {"team_won": "won", "team_n": "n"}), Level(("team_id", "map_name"), {"map_won": "won", "map_n": "n"})], hot=t.hot_teams)
     if measure == "win":
         prior = shrink.rate(F.col("team_won"), F.col("team_n"), 0.5)
     elif measure == "first_blood":
@@ -101,18 +101,13 @@ def play_counts(maps: DataFrame, matches: DataFrame, rows: DataFrame) -> DataFra
     return prior_state(rows, events, ["team_id", "map_name"], sums={"n_played": F.lit(1)})
 
 
-def choice_features(candidates: DataFrame, ledger: DataFrame, k: float = 10.0) -> DataFrame:
-    """``candidates`` (team_id, opponent_id, map_name, ts) with the rates a veto is modelled by.
+def choice_features(candidates: DataFrame, ledger: DataFrame, k: float = 10.0, pool: Sequence[str] | None = None) -> DataFrame:
+    """``candidates`` (match_id, team_id, opponent_id, map_name, ts) with the rates a veto is modelled by.
 
     own_rate and other_rate are shrunk win rates on the map; speciality is the
-    own one less the unshrunk overall rate.
+    own one less the unshrunk overall rate. ``pool`` as in :func:`oddsloom.operators.veto_steps.sides_before`.
     """
-    totals = {"w": "won", "g": F.lit(1)}
-    out = candidates
-    for side, key in (("own", "team_id"), ("other", "opponent_id")):
-        events = ledger.select(F.col("team_id").alias(key), "map_name", "ts", "won")
-        out = prior_state(out, events, [key], sums={f"__{side}_{n}": x for n, x in totals.items()}, base=candidates)
-        out = prior_state(out, events, [key, "map_name"], sums={f"__{side}_m{n}": x for n, x in totals.items()}, base=candidates)
+    out = sides_before(candidates, ledger, pool)
     overall = {s: shrink.rate(F.col(f"__{s}_w"), F.col(f"__{s}_g"), 0.5) for s in ("own", "other")}
     rate = {s: shrink.beta_mean(F.col(f"__{s}_mw"), F.col(f"__{s}_mg"), overall[s], k) for s in ("own", "other")}
     return out.select(*candidates.columns, rate["own"].alias("own_rate"), rate["other"].alias("other_rate"), (rate["own"] - overall["own"]).alias("speciality"))
