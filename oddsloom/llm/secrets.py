@@ -63,8 +63,8 @@ class NoveltyConfig:
 
     Long strings of a small alphabet cannot reach that: for them the bound is ``part`` of what random signs of the
     string's own alphabet hold, and ``start`` bytes, if that is less. A sensitive word counts over ``context`` characters
-    or ``near``, whichever is more, on either side. A dictionary is fitted on ``fit_rows`` documents: words of at least
-    ``fit_times`` of them, ``fit_words`` at most.
+    or ``near``, whichever is more, on either side. A dictionary holds words of at least ``fit_times``
+    documents, ``fit_words`` at most.
     """
 
     context: int = 160
@@ -73,7 +73,6 @@ class NoveltyConfig:
     part: float = 0.97
     start: float = 8.0
     level: int = 3
-    fit_rows: int = 2000
     fit_times: int = 3
     fit_words: int = 6000
 
@@ -164,19 +163,15 @@ _POSSIBLE = f"(?i:{SENSITIVE.pattern})|[0-9a-f]{{16}}"
 
 
 def fit_dictionary(docs: DataFrame, config: NoveltyConfig | None = None, text_col: str = "text", id_col: str = "doc_id") -> bytes:
-    """:data:`IDENTIFIERS` and the words that several of at most ``fit_rows`` documents share, the commonest last.
+    """:data:`IDENTIFIERS` and the words that several documents share, the commonest last.
 
-    The sample is taken by key hash. Only runs of 4 to 15 letters are words, so
+    Words are counted over all documents. Only runs of 4 to 15 letters are words, so
     no candidate is one. Null and empty texts have none; an empty table gives
     the identifiers alone. Other columns, of any name, are not looked at.
     """
     config = config or NoveltyConfig()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    # The cut is found over hashes alone: texts stay where they are.
-    key = F.xxhash64(F.lit(7), F.col("doc_id"))
-    cut = rows.select(key.alias("h")).orderBy("h").limit(config.fit_rows).agg(F.max("h")).first()[0]
-    sample = rows.where(key <= F.lit(cut).cast("long"))
-    words = sample.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("w"))
+    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("w"))
     # At most ``fit_words`` short words.
     common = words.groupBy("w").count().where(F.col("count") >= config.fit_times).orderBy(F.desc("count"), "w").limit(config.fit_words).collect()
     return " ".join([r["w"] for r in reversed(common)]).encode() + b" " + IDENTIFIERS

@@ -186,6 +186,12 @@ def test_words_of_the_corpus_are_known(spark):
     assert secrets.fit_dictionary(docs.limit(0)).strip() == secrets.IDENTIFIERS.strip()
 
 
+def test_words_are_counted_over_all_documents(spark):
+    # A word of three documents in 2,400, wherever their keys' hashes lie.
+    rows = [(i, "plain words" + (" zyxquilt" if i in (7, 1203, 2399) else ""), "xx") for i in range(2400)]
+    assert b"zyxquilt" in secrets.fit_dictionary(docs_of(spark, rows))
+
+
 def test_overlapping_spans_are_masked_once(spark):
     key = "AKIA" + "7Q2W9E4R5T8Y1U3I"
     text = f"token={key}{'0123456789abcdef'} and token = {'ab12' * 6}"
