@@ -183,7 +183,7 @@ def _part_binary(x: np.ndarray, y: np.ndarray, p: np.ndarray, times: np.ndarray)
 _PARTS = {"ordinal": _part_ordinal, "multinomial": _part_multinomial, "binary": _part_binary}
 
 
-def _added(parts: DataFrame) -> np.ndarray:
+def added(parts: DataFrame) -> np.ndarray:
     """The sum of one short vector for each task."""
     return np.sum([r["sums"] for r in parts.collect()], axis=0)
 
@@ -199,7 +199,7 @@ def _pass_over(design: DataFrame, part: Callable[[np.ndarray, np.ndarray, np.nda
                 total += part(piece.column("x").flatten().to_numpy().reshape(-1, d), piece.column("y").to_numpy(), piece.column("k").to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["sums"])
 
-    return _added(design.mapInArrow(run, "sums array<double>"))
+    return added(design.mapInArrow(run, "sums array<double>"))
 
 
 def fit(rows: DataFrame, features: list[str], label: str, kind: str, config: FitConfig = FitConfig()) -> LogitModel:
@@ -432,7 +432,7 @@ def fit_choice(candidates: DataFrame, features: list[str], step: list[str], chos
                     total[d] -= np.log(np.maximum(q[first], CLIP)).sum()
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["sums"])
 
-        sums = _added(design.mapInArrow(run, "sums array<double>"))
+        sums = added(design.mapInArrow(run, "sums array<double>"))
         return sums[-1] / n + config.l2 / 2 * float(p @ p), sums[:-1] / n + config.l2 * p
 
     best, loss, iterations, converged = descend(evaluate, np.zeros(d), config)
@@ -473,7 +473,7 @@ def fit_temperature(rows: DataFrame, eta: str, cuts: str, label: str) -> tuple[f
                         total[j] -= np.log(np.clip(_sigmoid(high + e / t) - _sigmoid(low + e / t), CLIP, 1 - CLIP)).sum()
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["sums"])
 
-        return _added(bound.mapInArrow(run, "sums array<double>"))
+        return added(bound.mapInArrow(run, "sums array<double>"))
 
     coarse = np.append(np.geomspace(T_LOW, T_HIGH, T_COARSE), 1.0)
     *first, n = losses(coarse)

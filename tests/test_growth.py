@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from oddsloom.functions import asof
 from oddsloom.operators import features, logit, veto_steps
 from oddsloom.plans import league
+from oddsloom.session import stored
 
 
 @pytest.fixture(scope="module")
@@ -103,3 +104,27 @@ def test_choices_of_steps_of_different_sizes_are_fitted_in_slices(spark):
             g += z[own].T @ (q - np.array([rows[i][3] for i in own], float))
         want -= 0.5 * (g / 60 + want)
     assert got.converged and np.allclose(got.coef, want, atol=1e-6)
+
+
+def test_rates_by_match_are_those_of_candidates(spark, sf):
+    """A row a match holds what its candidates' rows do; no window or shuffle is by step, and a repeated match fails."""
+    t, pool = league.tables(spark, sf, False), league.MAP_NAMES
+    m = t.matches.where("cast(match_id as int) % 40 = 0")
+    whole = veto_steps.checked_steps(league.vetoes_by_match(spark, sf).join(m.select("match_id"), "match_id", "left_semi"), pool)
+    rated = stored(veto_steps.match_rates(whole, t, pool))
+    got = veto_steps.rated_left(rated).select(*veto_steps.STEP, "action", F.col("map_name").alias("taken"), F.inline("left")).withColumn("chosen", F.col("taken") == F.col("map_name"))
+    flat = veto_steps.candidates(league.vetoes(spark, sf).join(m.select("match_id"), "match_id", "left_semi"), m, pool)
+    rows = stored(veto_steps.with_rates(flat, t, pool=pool))
+    columns = [*veto_steps.STEP, "action", "map_name", "chosen", *[F.round(c, 9).alias(c) for c in veto_steps.CHOICE_FEATURES]]
+    assert rows.count() == got.count() and got.select(columns).exceptAll(rows.select(columns)).isEmpty()
+    together = veto_steps.choice_models(rated, ("ban", "pick"), pool)
+    alone = veto_steps.choice_model(rows, "pick")
+    assert together["pick"].n == alone.n and np.allclose(together["pick"].coef, alone.coef, atol=1e-5) and np.isclose(together["pick"].loss, alone.loss)
+    for weights, p in ((lambda c: F.lit(1.0), veto_steps.uniform(rows)), (lambda c: F.exp(F.when(F.col("action") == "ban", -c["own_rate"]).otherwise(c["own_rate"])), veto_steps.by_greed(rows))):
+        judged = veto_steps.score_left(veto_steps.rated_left(rated), weights, 9)
+        assert "Exchange" not in judged._jdf.queryExecution().executedPlan().toString()
+        want = veto_steps.score_steps(p.withColumn("p", F.round("p", 9)))
+        names = [*veto_steps.STEP, "map_name", F.round("p", 8).alias("p"), "rank", "top1", "top3"]
+        assert judged.select(names).exceptAll(want.select(names)).isEmpty()
+    with pytest.raises(Exception, match="a repeated match"):
+        veto_steps.match_rates(whole.unionByName(whole.limit(1)), t, pool).collect()
