@@ -26,6 +26,8 @@ from oddsloom.operators.veto import SCRIPTS
 
 #: Rows of a task's batch that are worked on together: a row holds a few kilobytes for each set of maps.
 SLICE = 512
+#: Orders that are written out together, about: an order is a list of names, so they are few for a batch of a few megabytes.
+ORDERS_A_BATCH = 40_320
 #: Sequences whose chances differ by less than this part are ordered by name.
 SAME = 1e-9
 
@@ -40,6 +42,12 @@ def members(mask: int, m: int) -> list[int]:
     return [i for i in range(m) if mask >> i & 1]
 
 
+@cache
+def all_orders(m: int) -> np.ndarray:
+    """(orders, m): every order of the maps."""
+    return np.array(list(permutations(range(m))))
+
+
 def step_chances(scores: np.ndarray) -> dict[int, np.ndarray]:
     """By set of maps, (rows, maps of the set): the softmax of the scores (rows, steps, maps) of the step at which so many are left."""
     m = scores.shape[2]
@@ -154,16 +162,16 @@ def gathered(utilities: DataFrame, key: str = "match_id") -> DataFrame:
     return rows.select(key, "maps", F.coalesce(scores, F.raise_error(F.concat(F.lit("a veto needs one score of each map at each step: "), F.col(key).cast("string"))).cast("array<double>")).alias("scores"))
 
 
-def _by_match(rows: DataFrame, schema: str, work: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]) -> DataFrame:
-    """``work(batch, scores)`` over slices of gathered rows whose pools are of one size."""
+def _by_match(rows: DataFrame, schema: str, work: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], most: Callable[[int], int] = lambda m: SLICE) -> DataFrame:
+    """``work(batch, scores)`` over slices of gathered rows whose pools are of one size, ``most(size)`` rows each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.column("maps").value_lengths().to_numpy()
             for m in np.unique(size).tolist():
                 same = batch.take(pa.array(np.flatnonzero(size == m)))
-                for at in range(0, same.num_rows, SLICE):
-                    piece = same.slice(at, SLICE)
+                for at in range(0, same.num_rows, most(m)):
+                    piece = same.slice(at, most(m))
                     yield work(piece, piece.column("scores").flatten().to_numpy().reshape(piece.num_rows, m - 1, m))
 
     return rows.mapInArrow(run, schema)
@@ -215,20 +223,21 @@ def enumerate_sequences(utilities: DataFrame, key: str = "match_id") -> DataFram
 
     def work(piece: pa.RecordBatch, scores: np.ndarray) -> pa.RecordBatch:
         n, m = len(scores), scores.shape[2]
-        chances = step_chances(scores)
-        orders = list(permutations(range(m)))
-        p = np.ones((n, len(orders)))
-        for k, order in enumerate(orders):
-            mask = (1 << m) - 1
-            for i in order[:-1]:
-                p[:, k] *= chances[mask][:, members(mask, m).index(i)]
-                mask &= ~(1 << i)
-        names = piece.column("maps").to_pylist()
-        return pa.RecordBatch.from_arrays(
-            [piece.column(key).take(pa.array(np.repeat(np.arange(n), len(orders)))), pa.array([[row[i] for i in order] for row in names for order in orders], pa.list_(pa.string())), pa.array(p.reshape(-1))], [key, "sequence", "p"]
-        )
-
-    return _by_match(gathered(utilities, key), f"{key} {_kind(utilities, key)}, sequence array<string>, p double", work)
+        orders = all_orders(m)
+        chances = np.zeros((n, 1 << m, m))
+        for mask, p in step_chances(scores).items():
+            chances[:, mask, members(mask, m)] = p
+        p, left = np.ones((n, len(orders))), np.full(len(orders), (1 << m) - 1)
+        for i in orders.T[:-1]:
+            p *= chances[:, left, i]
+            left = left & ~(1 << i)
+        # Names are taken by place, so no order is a list of Python's.
+        names = piece.column("maps").flatten().take(pa.array((np.arange(n)[:, None] * m + orders.reshape(-1)).reshape(-1)))
+        sequences = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(orders) * m + 1, m, dtype=np.int32)), names)
+        return pa.RecordBatch.from_arrays([piece.column(key).take(pa.array(np.repeat(np.arange(n), len(orders)))), sequences, pa.array(p.reshape(-1))], [key, "sequence", "p"])
+
+    schema = f"{key} {_kind(utilities, key)}, sequence array<string>, p double"
+    return _by_match(gathered(utilities, key), schema, work, lambda m: max(1, ORDERS_A_BATCH // len(all_orders(m))))
 
 
 def top_sequences(utilities: DataFrame, n: int, key: str = "match_id") -> DataFrame:

@@ -1,13 +1,15 @@
 """What keeps jobs within their limits as tables grow: shuffles of a plan, sizes of tasks, and the same results as the plain way."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from oddsloom.functions import asof
-from oddsloom.operators import features, logit, veto_steps
+from oddsloom.operators import features, logit, veto_exact, veto_steps
 from oddsloom.plans import league
 from oddsloom.session import stored
+from oddsloom.streaming import streams
 
 
 @pytest.fixture(scope="module")
@@ -142,3 +144,28 @@ def test_a_team_is_asked_once_a_match(spark, sf, monkeypatch):
     hot = league.tables(spark, sf)
     assert hot.hot_teams is not None
     assert all(f(hot.rows, hot).exceptAll(w).isEmpty() for f, w in want.items())
+
+
+def test_orders_are_written_out_a_few_matches_at_a_time(spark):
+    names = ["a", "b", "c", "d", "e", "f", "g"]
+    rows = [(k, s, m, float((k * 7 + s * 3 + i * i) % 5)) for k in range(20) for s in range(6) for i, m in enumerate(names)]
+    df = spark.createDataFrame(rows, "match_id long, step int, map_name string, score double").coalesce(1)
+    out = veto_exact.enumerate_sequences(df)
+    sizes = out.coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    assert out.count() == 20 * 5040 and max(r.n for r in sizes.collect()) <= veto_exact.ORDERS_A_BATCH
+    one = {tuple(r.sequence): r.p for r in out.where("match_id = 3").collect()}
+    score = {(s, m): x for k, s, m, x in rows if k == 3}
+    order, p = ("c", "a", "g", "b", "f", "e", "d"), 1.0
+    for s, m in enumerate(order[:-1]):
+        p *= np.exp(score[s, m]) / sum(np.exp(score[s, n]) for n in order[s:])
+    assert len(one) == 5040 and np.isclose(one[order], p) and np.isclose(sum(one.values()), 1.0)
+
+
+def test_many_files_of_questions_are_few_batches(spark, tmp_path):
+    asked = spark.range(50).selectExpr("to_json(struct(cast(id as string) match_id, 1 seed)) as value")
+    asked.repartition(50).write.text(f"{tmp_path}/in")
+    files = streams.files_for_batches(spark, f"{tmp_path}/in", 4)
+    seen = []
+    questions = streams.json_lines(spark, f"{tmp_path}/in", "match_id STRING, seed BIGINT", files)
+    streams.answer_all(questions, lambda b: (seen.append(1), b)[1], f"{tmp_path}/out", f"{tmp_path}/state")
+    assert len(seen) <= 4 and spark.read.parquet(f"{tmp_path}/out").count() == 50
