@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from oddsloom.functions.guards import positive_int
+
 #: One line of JSON for each question.
 QUESTION = "match_id STRING, map_index INT, map_name STRING, team1_id STRING, team2_id STRING, ts TIMESTAMP_NTZ"
 
@@ -21,6 +23,17 @@ def json_lines(spark: SparkSession, path: str, schema: str = QUESTION, files: in
     return text.select(F.from_json("value", schema).alias("q")).select("q.*").where(F.col(first).isNotNull())
 
 
+def files_for_batches(spark: SparkSession, path: str, batches: int) -> int:
+    """How many files a batch must take for all that lie in a folder to be answered in so many batches at most.
+
+    A batch whose questions touch the whole history reads all of it, so with a
+    fixed number of files the work would grow with their number times the history.
+    """
+    inside = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in inside.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(inside)]
+    return max(1, -(-sum(not n.startswith(("_", ".")) for n in names) // positive_int(batches, "batches")))
+
+
 def answer_stream(questions: DataFrame, answer: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
     """Answer each micro-batch with ``answer`` over static history; results are written once, by batch number."""
 
