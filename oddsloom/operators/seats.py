@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,38 @@ def finished_maps(matches: DataFrame, maps: DataFrame) -> DataFrame:
     return maps.where("winner is not null").join(done, "match_id")
 
 
+def seat_columns(own: int, of_map: Callable[[str], Column] = F.col, of_match: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """What a seat's row says of a map, from the columns of the map and of its match."""
+    c, o = (
+        {k: of_match(f"team{s}_{k}") for k in ("id", "name")} | {k: of_map(f"team{s}_{k}") for k in ("score", "atk_rounds", "def_rounds")} for s in (own, 3 - own)
+    )
+    known = F.lit(True)
+    for x in DETAIL:
+        known = known & of_map(x).isNotNull()
+
+    def detail(value: Column) -> Column:
+        return F.when(known, value)
+
+    ot = is_overtime(c["score"], o["score"])
+    return {
+        "seat": F.lit(own),
+        "team_id": c["id"],
+        "team_name": c["name"],
+        "opponent_id": o["id"],
+        "won": (c["score"] > o["score"]).cast("int"),
+        "margin": c["score"] - o["score"],
+        "ot": ot.cast("int"),
+        "close": is_close(c["score"], o["score"]).cast("int"),
+        "atk_won": detail(c["atk_rounds"]),
+        "atk_played": detail(c["atk_rounds"] + o["def_rounds"]),
+        "def_won": detail(c["def_rounds"]),
+        "def_played": detail(c["def_rounds"] + o["atk_rounds"]),
+        "ot_won": detail(F.when(ot, c["score"] - c["atk_rounds"] - c["def_rounds"]).otherwise(0)),
+        "ot_played": detail(F.when(ot, c["score"] + o["score"] - 24).otherwise(0)),
+        "signed_margin": detail(c["score"] - o["score"]),
+    }
+
+
 def seats(finished: DataFrame, *keep: str) -> DataFrame:
     """Two rows for each map, one a team: won, margin, overtime, close, and the round detail (null where unknown).
 
@@ -39,37 +73,8 @@ def seats(finished: DataFrame, *keep: str) -> DataFrame:
     seen from the seat: attack rounds played are the own attack rounds won and
     the defence rounds won by the other side. Columns to ``keep`` are on both.
     """
-
-    def seat(own: int, other: int) -> Column:
-        c = {k: F.col(f"team{own}_{k}") for k in ("id", "name", "score", "atk_rounds", "def_rounds")}
-        o = {k: F.col(f"team{other}_{k}") for k in ("id", "name", "score", "atk_rounds", "def_rounds")}
-        known = F.lit(True)
-        for x in DETAIL:
-            known = known & F.col(x).isNotNull()
-
-        def detail(value: Column) -> Column:
-            return F.when(known, value)
-
-        ot = is_overtime(c["score"], o["score"])
-        return F.struct(
-            F.lit(own).alias("seat"),
-            c["id"].alias("team_id"),
-            c["name"].alias("team_name"),
-            o["id"].alias("opponent_id"),
-            (c["score"] > o["score"]).cast("int").alias("won"),
-            (c["score"] - o["score"]).alias("margin"),
-            ot.cast("int").alias("ot"),
-            is_close(c["score"], o["score"]).cast("int").alias("close"),
-            detail(c["atk_rounds"]).alias("atk_won"),
-            detail(c["atk_rounds"] + o["def_rounds"]).alias("atk_played"),
-            detail(c["def_rounds"]).alias("def_won"),
-            detail(c["def_rounds"] + o["atk_rounds"]).alias("def_played"),
-            detail(F.when(ot, c["score"] - c["atk_rounds"] - c["def_rounds"]).otherwise(0)).alias("ot_won"),
-            detail(F.when(ot, c["score"] + o["score"] - 24).otherwise(0)).alias("ot_played"),
-            detail(c["score"] - o["score"]).alias("signed_margin"),
-        )
-
-    return finished.select("match_id", "map_index", "map_name", "ts", *keep, F.inline(F.array(seat(1, 2), seat(2, 1))))
+    both = F.array(*[F.struct(*[c.alias(n) for n, c in seat_columns(s).items()]) for s in (1, 2)])
+    return finished.select("match_id", "map_index", "map_name", "ts", *keep, F.inline(both))
 
 
 def round_detail_breaches(maps: DataFrame) -> DataFrame:

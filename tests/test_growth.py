@@ -146,6 +146,38 @@ def test_a_team_is_asked_once_a_match(spark, sf, monkeypatch):
     assert all(f(hot.rows, hot).exceptAll(w).isEmpty() for f, w in want.items())
 
 
+def test_team_and_map_sums_take_two_rows_a_match(spark, sf, tmp_path, monkeypatch):
+    """A side of a match is one row that asks and is history; repeated orders, null teams and times, hot teams and many names give the same as rows of maps."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    odd = F.when(F.col("o_orderkey") % 50 == 3, None)
+    orders = orders.unionByName(orders.where("o_orderkey % 40 = 1").withColumn("o_custkey", F.col("o_custkey") + 1)).withColumn("o_custkey", F.coalesce(odd, F.when(F.col("o_orderkey") % 50 != 3, F.col("o_custkey"))))
+    orders = orders.withColumn("o_orderdate", F.when(F.col("o_orderkey") % 60 != 7, F.date_trunc("year", "o_orderdate").cast(orders.schema["o_orderdate"].dataType)))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.read.parquet(f"{sf}/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
+    by_match = (features.map_win_rate_diff, features.attack_side_win_rate_diff, features.signed_margin_diff)
+    t = league.tables(spark, str(tmp_path), False)
+    dealt = features._sums_by_match(t, lambda x: {"wins": x("won")})
+    assert dealt.count() == 2 * t.by_match.count() < 2 * t.rows.count() and shuffles(dealt) == 1
+    flat = stored(t.rows)
+
+    def rounded(df):
+        return df.select("match_id", "map_index", F.round(df.columns[-1], 9).alias("x"))
+
+    want = {f: stored(rounded(f(flat, t))) for f in by_match}
+    with monkeypatch.context() as m:
+        m.setattr(asof, "QUERIES_A_TASK", 10**9)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        try:
+            got = {f: stored(rounded(f(t.rows, t))) for f in by_match}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for f in by_match:
+        assert got[f].count() == want[f].count() > 0 and got[f].exceptAll(want[f]).isEmpty()
+    monkeypatch.setattr(features, "POOL_NAMES", 3)
+    few = league.tables(spark, str(tmp_path), False)
+    assert few.pool is None and rounded(by_match[0](few.rows, few)).exceptAll(want[by_match[0]]).isEmpty()
+
+
 def test_orders_are_written_out_a_few_matches_at_a_time(spark):
     names = ["a", "b", "c", "d", "e", "f", "g"]
     rows = [(k, s, m, float((k * 7 + s * 3 + i * i) % 5)) for k in range(20) for s in range(6) for i, m in enumerate(names)]
