@@ -17,7 +17,7 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsloom.functions import series
@@ -150,8 +150,13 @@ def gathered(utilities: DataFrame, key: str = "match_id") -> DataFrame:
     """(key, maps, scores): a match's maps in order of name, and its scores step by step over these maps.
 
     ``utilities`` has (key, step, map_name, score) for each map at each step but
-    the last, once. Anything else fails the job, as do null scores.
+    the last, once. Anything else fails the job, as do null scores. Rows that
+    are gathered already (key, maps, scores), one for each key, are not shuffled.
     """
+    if "scores" in utilities.columns:
+        in_order = F.coalesce((F.size("maps") > 1) & (F.array_distinct(F.array_sort("maps")) == F.col("maps")) & (F.size("scores") == F.size("maps") * (F.size("maps") - 1)), F.lit(False))
+        known = in_order & F.forall("scores", lambda x: x.isNotNull() & ~F.isnan(x))
+        return utilities.select(key, "maps", F.when(known, F.col("scores").cast("array<double>")).otherwise(_unscored(key)).alias("scores"))
     cells = F.array_sort(F.collect_list(F.struct("step", "map_name", F.col("score").cast("double").alias("score"))))
     rows = utilities.groupBy(key).agg(cells.alias("cells"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("map_name")).alias("maps"))
     steps = F.size("maps") - 1
@@ -159,7 +164,11 @@ def gathered(utilities: DataFrame, key: str = "match_id") -> DataFrame:
     have = F.transform("cells", lambda c: F.struct(c["step"].cast("int").alias("step"), c["map_name"].alias("map_name")))
     whole = (steps >= 1) & (F.col("n") == steps * F.size("maps")) & (have == want) & F.forall("cells", lambda c: c["score"].isNotNull() & ~F.isnan(c["score"]))
     scores = F.when(F.coalesce(whole, F.lit(False)), F.transform("cells", lambda c: c["score"]))
-    return rows.select(key, "maps", F.coalesce(scores, F.raise_error(F.concat(F.lit("a veto needs one score of each map at each step: "), F.col(key).cast("string"))).cast("array<double>")).alias("scores"))
+    return rows.select(key, "maps", F.coalesce(scores, _unscored(key)).alias("scores"))
+
+
+def _unscored(key: str) -> Column:
+    return F.raise_error(F.concat(F.lit("a veto needs one score of each map at each step: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("array<double>")
 
 
 def _by_match(rows: DataFrame, schema: str, work: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], most: Callable[[int], int] = lambda m: SLICE) -> DataFrame:
@@ -209,9 +218,10 @@ def step_marginals(utilities: DataFrame, key: str = "match_id") -> DataFrame:
         for step, masks in enumerate(subsets(m)):
             for mask in masks:
                 p[:, step, members(mask, m)] += left[mask][:, None] * (chances[mask] if step < m - 1 else 1.0)
-        maps = piece.column("maps").flatten().to_numpy(zero_copy_only=False).reshape(n, m)
+        # Names are taken by place, as in all orders.
+        maps = piece.column("maps").flatten().take(pa.array(np.repeat(np.arange(n * m).reshape(n, m), m, axis=0).reshape(-1)))
         return pa.RecordBatch.from_arrays(
-            [piece.column(key).take(pa.array(np.repeat(np.arange(n), m * m))), pa.array(np.tile(np.repeat(np.arange(m, dtype=np.int32), m), n)), pa.array(np.repeat(maps, m, axis=0).reshape(-1).tolist(), pa.string()), pa.array(p.reshape(-1))],
+            [piece.column(key).take(pa.array(np.repeat(np.arange(n), m * m))), pa.array(np.tile(np.repeat(np.arange(m, dtype=np.int32), m), n)), maps, pa.array(p.reshape(-1))],
             [key, "step", "map_name", "p"],
         )
 

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from oddsloom.functions import asof
-from oddsloom.operators import features, logit, veto_exact, veto_steps
-from oddsloom.plans import league
+from oddsloom.operators import features, logit, veto, veto_exact, veto_steps
+from oddsloom.plans import league, queries
 from oddsloom.session import stored
 from oddsloom.streaming import streams
 
@@ -178,6 +178,25 @@ def test_team_and_map_sums_take_two_rows_a_match(spark, sf, tmp_path, monkeypatc
     assert few.pool is None and rounded(by_match[0](few.rows, few)).exceptAll(want[by_match[0]]).isEmpty()
 
 
+def test_vetoes_of_single_keys_are_scored_in_their_rows(spark, sf):
+    """A key's scores are made in its row: only keys are dealt; marginals and draws are those of scores gathered from rows, and repeated keys go by these."""
+    rows = spark.read.parquet(f"{sf}/customer.parquet").limit(60)
+    one = queries._utilities(rows, "c_custkey")
+    assert one.columns == ["match_id", "maps", "scores"] and "Aggregate" not in veto_exact.gathered(one)._jdf.queryExecution().executedPlan().toString()
+    cells = one.select("match_id", "maps", F.posexplode("scores").alias("at", "score"))
+    flat = cells.select("match_id", (F.col("at") / 7).cast("int").alias("step"), F.expr("maps[at % 7]").alias("map_name"), "score").repartition(5)
+    for f in (veto_exact.step_marginals, lambda u: veto.sample_vetoes(u, 3, 4)):
+        got, want = stored(f(one)), stored(f(flat))
+        assert got.count() == want.count() > 60 and got.exceptAll(want).isEmpty()
+    twice = queries._utilities(rows.unionByName(rows.limit(1)), "c_custkey")
+    assert "scores" not in twice.columns and twice.count() == 61 * 42
+    with pytest.raises(Exception, match="one score of each map at each step"):
+        veto_exact.step_marginals(twice).collect()
+    for bad in (one.withColumn("scores", F.slice("scores", 1, 41)), one.withColumn("scores", F.transform("scores", lambda x, i: F.when(i != 3, x))), one.withColumn("maps", F.reverse("maps"))):
+        with pytest.raises(Exception, match="one score of each map at each step"):
+            veto_exact.step_marginals(bad).collect()
+
+
 def test_orders_are_written_out_a_few_matches_at_a_time(spark):
     names = ["a", "b", "c", "d", "e", "f", "g"]
     rows = [(k, s, m, float((k * 7 + s * 3 + i * i) % 5)) for k in range(20) for s in range(6) for i, m in enumerate(names)]
