@@ -22,10 +22,21 @@ LABELS = ("A_regulation", "A_OT", "B_OT", "B_regulation")
 
 
 def held_out_maps(t: Tables, labels: DataFrame, split: DataFrame, which: str = "test") -> DataFrame:
-    """Labelled maps of one split with the match's time and teams; a map whose match has no split fails."""
+    """Labelled maps of one split with the match's time and teams; a map whose match has no split fails.
+
+    Labels may carry their ``map_name``; then maps are not joined. Matches meet
+    their split first, so that maps are met by those of the one split alone.
+    """
     own = t.matches.select("match_id", "ts", "team1_id", "team2_id")
-    rows = labels.select(*ROW, "outcome_ordinal").join(t.maps.select(*ROW, "map_name"), ROW).join(own, "match_id")
-    return join_split(rows, split).where(F.col("split") == which).drop("split")
+    rows = labels.select(*ROW, "outcome_ordinal", *[c for c in ("map_name",) if c in labels.columns])
+    if "map_name" not in labels.columns:
+        rows = rows.join(t.maps.select(*ROW, "map_name"), ROW)
+    without = own.join(split, "match_id", "left_anti")
+    if not without.isEmpty():
+        # Matches without maps may do without a split.
+        join_split(rows.join(without, "match_id"), split)
+    asked = own.join(split.where(F.col("split") == which).select("match_id"), "match_id")
+    return rows.join(asked, "match_id").select("match_id", "map_index", "outcome_ordinal", "map_name", "ts", "team1_id", "team2_id")
 
 
 def score_held_out(model: MapModel, held_out: DataFrame, t: Tables) -> DataFrame:

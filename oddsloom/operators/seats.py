@@ -108,12 +108,12 @@ def legality(maps: DataFrame) -> DataFrame:
     return maps.withColumn("illegal", reason)
 
 
-def outcome_labels(maps: DataFrame) -> DataFrame:
-    """(match_id, map_index, outcome_label, outcome_ordinal, round_margin); a tie or a null score fails the job."""
+def outcome_labels(maps: DataFrame, *keep: str) -> DataFrame:
+    """(match_id, map_index, outcome_label, outcome_ordinal, round_margin) and columns to ``keep``; a tie or a null score fails the job."""
     a, b = F.col("team1_score"), F.col("team2_score")
     ot = is_overtime(a, b)
     bad = F.raise_error(F.lit("a map without a winner by score")).cast("int")
     ordinal = F.when((a > b) & ~ot, 0).when((a > b) & ot, 1).when((a < b) & ot, 2).when((a < b) & ~ot, 3).otherwise(bad)
     names = F.array(*[F.lit(x) for x in ("A_regulation", "A_OT", "B_OT", "B_regulation")])
-    out = maps.select("match_id", "map_index", ordinal.cast("bigint").alias("outcome_ordinal"), F.abs(a - b).cast("bigint").alias("round_margin"))
-    return out.select("match_id", "map_index", F.element_at(names, F.col("outcome_ordinal").cast("int") + 1).alias("outcome_label"), "outcome_ordinal", "round_margin")
+    out = maps.select("match_id", "map_index", *keep, ordinal.cast("bigint").alias("outcome_ordinal"), F.abs(a - b).cast("bigint").alias("round_margin"))
+    return out.select("match_id", "map_index", F.element_at(names, F.col("outcome_ordinal").cast("int") + 1).alias("outcome_label"), "outcome_ordinal", "round_margin", *keep)

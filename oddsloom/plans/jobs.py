@@ -150,12 +150,14 @@ def series_forecast(chances: DataFrame, sequences: DataFrame, best_of: int) -> D
 def baseline(rows: DataFrame, t: features.Tables) -> DataFrame:
     """(match_id, map_index, p): the four-way baseline from shrunk win rates and the league's overtime rate."""
     ledger = t.seat_ledger()
-    q = features.sides(rows)
-    read = features.prior_state(q, ledger, ["team_id"], sums={"w": "won", "g": F.lit(1)}, hot=t.hot_teams)
-    read = features.prior_totals(read, ledger.where("seat = 1"), [], sums={"o": "ot", "n": F.lit(1)}, base=q)
+    # A team is asked once a match, and its maps of one time are one event.
+    own = ledger.groupBy("team_id", "ts").agg(F.sum("won").alias("won"), F.count(F.lit(1)).alias("n"))
+    read = features.prior_state(features.sides_by_match(rows, t), own, ["team_id"], sums={"w": "won", "g": "n"}, hot=t.hot_teams)
+    read = features.prior_totals(read, ledger.where("seat = 1"), [], sums={"o": "ot", "n": F.lit(1)}, base=rows)
     rate = (F.col("w") + 5.0) / (F.col("g") + 10.0)
-    both = read.groupBy(*features.ROW).agg(
-        F.max(F.when(F.col("side") == 1, rate)).alias("a"), F.max(F.when(F.col("side") == 2, rate)).alias("b"), F.max(F.coalesce(F.try_divide(F.col("o").cast("double"), F.col("n").cast("double")), F.lit(0.0))).alias("ot")
+    met = read.select("match_id", "indexes", "side", rate.alias("rate"), "o", "n").repartition("match_id").select("match_id", F.explode("indexes").alias("map_index"), "side", "rate", "o", "n")
+    both = met.groupBy(*features.ROW).agg(
+        F.max(F.when(F.col("side") == 1, F.col("rate"))).alias("a"), F.max(F.when(F.col("side") == 2, F.col("rate"))).alias("b"), F.max(F.coalesce(F.try_divide(F.col("o").cast("double"), F.col("n").cast("double")), F.lit(0.0))).alias("ot")
     )
     return both.select(*features.ROW, logit.four_way_baseline(F.col("a"), F.col("b"), F.col("ot")).alias("p"))
 

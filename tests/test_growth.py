@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from oddsloom.functions import asof
-from oddsloom.operators import features, logit, veto, veto_exact, veto_steps
-from oddsloom.plans import league, queries
+from oddsloom.operators import features, harness, logit, seats, splits, veto, veto_exact, veto_steps
+from oddsloom.plans import jobs, league, queries
 from oddsloom.session import stored
 from oddsloom.streaming import streams
 
@@ -197,6 +197,28 @@ def test_vetoes_of_single_keys_are_scored_in_their_rows(spark, sf):
             veto_exact.step_marginals(bad).collect()
 
 
+def test_held_out_maps_and_fold_rows_are_joined_once(spark, sf, monkeypatch):
+    """Held-out maps are met by test matches alone, labels with names without a second join, and what passes read again is stored."""
+    t = league.tables(spark, sf, False)
+    split = stored(splits.chronological_split(t.matches, check=False))
+    named, plain = (harness.held_out_maps(t, seats.outcome_labels(t.maps, *keep), split) for keep in (("map_name",), ()))
+    whole = seats.outcome_labels(t.maps).select(*features.ROW, "outcome_ordinal").join(t.maps.select(*features.ROW, "map_name"), features.ROW).join(t.matches.select("match_id", "ts", "team1_id", "team2_id"), "match_id")
+    want = stored(whole.join(split.where("split = 'test'").select("match_id"), "match_id"))
+    for got in (named, plain):
+        assert got.count() == want.count() > 0 and got.select(want.columns).exceptAll(want).isEmpty()
+    assert named._jdf.queryExecution().optimizedPlan().toString().count("Join") == plain._jdf.queryExecution().optimizedPlan().toString().count("Join") - 1
+    with pytest.raises(Exception, match="no split for"):
+        harness.held_out_maps(t, seats.outcome_labels(t.maps), split.where("cast(match_id as int) % 7 != 0"))
+    # Sides are asked once a match, in any tables and for repeated rows as for single ones.
+    asked = named.drop("outcome_ordinal")
+    got = jobs.baseline(asked, t)
+    assert got.count() == asked.count() and jobs.baseline(asked.unionByName(asked), t).exceptAll(got).isEmpty()
+    plan = {}
+    monkeypatch.setattr(jobs, "calibrate", lambda rows, *a: plan.update(rows=rows) or (1.0, 1.0, 1.0, 1))
+    queries.out_of_fold_temperature(spark, sf)
+    assert "Join" not in plan["rows"]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_orders_are_written_out_a_few_matches_at_a_time(spark):
     names = ["a", "b", "c", "d", "e", "f", "g"]
     rows = [(k, s, m, float((k * 7 + s * 3 + i * i) % 5)) for k in range(20) for s in range(6) for i, m in enumerate(names)]
