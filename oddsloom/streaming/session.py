@@ -10,10 +10,11 @@ nothing else of the history.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.streaming import StreamingQuery
 
 from oddsloom.functions import shrink
@@ -27,6 +28,10 @@ from oddsloom.streaming import streams
 SERIES_QUESTION = "match_id STRING, team1_id STRING, team2_id STRING, best_of INT, seed BIGINT, ts TIMESTAMP_NTZ"
 
 
+#: Tasks that the rows of one part are dealt to at most.
+TASKS_A_PART = 4
+
+
 @dataclass(frozen=True)
 class Snapshot:
     """Running totals of one key set in a folder of Parquet files, ``parts`` of them by key hash."""
@@ -56,55 +61,97 @@ def store_snapshot(events: DataFrame, path: str, keys: Sequence[str], sums: Mapp
     known = F.col(ts).isNotNull()
     for k in keys:
         known = known & F.col(k).isNotNull()
-    at = events.where(known).groupBy(*keys, F.col(ts).alias("ts")).agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    events, out = events.where(known).withColumn("ts", F.col(ts)), Snapshot(path, tuple(keys), tuple(sums), parts)
+    if keys and hot_keys(events, list(keys)[:1]) is None:
+        # Rows are dealt once, by what they are written by; a key's are together.
+        own = ["part", "__task", *keys]
+        dealt = events.withColumns({"part": out.part(), "__task": F.pmod(F.shiftright(F.xxhash64(*keys), 32), F.lit(TASKS_A_PART))}).repartition(parts * TASKS_A_PART, "part", "__task")
+        at = dealt.groupBy(*own, "ts").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+        upto = W.partitionBy(*own).orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
+        rows = at.select("part", *keys, "ts", *[F.coalesce(F.sum(f"__{n}").over(upto), F.lit(0)).alias(n) for n in sums])
+        rows.sortWithinPartitions("part", *keys, "ts").write.mode("overwrite").partitionBy("part").parquet(path)
+        return out
+    at = events.groupBy(*keys, "ts").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
     read = prior_state(at, at, list(keys), sums={n: f"__{n}" for n in sums}, hot=hot_keys(at, list(keys)[:1]))
-    rows = read.select(*keys, "ts", *[(F.col(n) + F.coalesce(f"__{n}", F.lit(0))).alias(n) for n in sums])
-    out = Snapshot(path, tuple(keys), tuple(sums), parts)
-    rows = rows.withColumn("part", out.part())
+    rows = read.select(*keys, "ts", *[(F.col(n) + F.coalesce(f"__{n}", F.lit(0))).alias(n) for n in sums]).withColumn("part", out.part())
     # A part's rows are dealt to a few tasks, so that no task writes all of a hot key.
-    rows.repartition("part", F.pmod(F.xxhash64("ts"), F.lit(4))).sortWithinPartitions(*keys, "ts").write.mode("overwrite").partitionBy("part").parquet(path)
+    rows.repartition("part", F.pmod(F.xxhash64("ts"), F.lit(TASKS_A_PART))).sortWithinPartitions(*keys, "ts").write.mode("overwrite").partitionBy("part").parquet(path)
     return out
 
 
+@dataclass(frozen=True)
+class MapSnapshot:
+    """Totals by team and map of the pool, read from the rows of the team."""
+
+    whole: Snapshot
+    pool: tuple[str, ...]
+
+    def before(self, questions: DataFrame, prefix: str = "") -> DataFrame:
+        """``questions`` (team_id, map_name and ts) with the totals of strictly earlier events, 0 without any and for maps beyond the pool."""
+        at = F.array_position(F.array(*[F.lit(m) for m in self.pool]), F.col("map_name")).cast("int") - 1
+        read = self.whole.before(questions, "__")
+        found = {n: F.get(F.array(*[F.col(f"__{n}_{i}") for i in range(len(self.pool))]), at) for n in ("wins", "games")}
+        return read.select(*questions.columns, *[F.coalesce(c, F.lit(0)).alias(prefix + n) for n, c in found.items()])
+
+
 @dataclass(frozen=True)
 class Session:
-    """Stored totals by team, by team and map, and of the league, and the pool of maps: all that a question needs."""
+    """Stored totals by team and map, in one row for each team and time, and of the league, and the pool of maps: all that a question needs."""
 
-    team: Snapshot
-    team_map: Snapshot
+    totals: Snapshot
     league: Snapshot
     pool: tuple[str, ...]
     k: float = 10.0
     n_samples: int = 20
 
+    @property
+    def team(self) -> Snapshot:
+        """The totals over all maps, from the same files."""
+        return replace(self.totals, sums=("wins", "games"))
+
+    @property
+    def team_map(self) -> MapSnapshot:
+        return MapSnapshot(self.totals, self.pool)
+
     @classmethod
     def store(cls, t: Tables, folder: str, pool: Sequence[str], parts: int = 64, n_samples: int = 20) -> Session:
         """Write the history of a league's finished maps under ``folder``."""
-        ledger, totals = t.seat_ledger(), {"wins": "won", "games": F.lit(1)}
+        ledger, names = t.seat_ledger(), tuple(sorted(pool))
         one = ledger.where("seat = 1").withColumn("league", F.lit("all"))
+        sums: dict[str, str | Column] = {"wins": "won", "games": F.lit(1)}
+        for i, name in enumerate(names):
+            here = F.col("map_name") == name
+            sums |= {f"wins_{i}": F.when(here, F.col("won")), f"games_{i}": F.when(here, 1)}
         return cls(
-            store_snapshot(ledger, f"{folder}/team", ["team_id"], totals, parts),
-            store_snapshot(ledger, f"{folder}/team_map", ["team_id", "map_name"], totals, parts),
+            store_snapshot(ledger, f"{folder}/team", ["team_id"], sums, parts),
             store_snapshot(one, f"{folder}/league", ["league"], {"ots": "ot", "maps": F.lit(1)}, 1),
-            tuple(sorted(pool)), n_samples=n_samples,
+            names, n_samples=n_samples,
         )
 
-    def _read(self, questions: DataFrame) -> DataFrame:
-        """(match_id, map_name, side totals): one row a question and map, from the stored totals."""
+    def _by_match(self, questions: DataFrame) -> DataFrame:
+        """(match_id, cells, a_overall, b_overall): one row a question, with both sides' rates on each map of the pool in ``cells``.
+
+        A side is one row, read and dealt once, and meets the other by match.
+        """
         both = F.array(F.struct(F.lit(1).alias("side"), F.col("team1_id").alias("team_id")), F.struct(F.lit(2).alias("side"), F.col("team2_id").alias("team_id")))
-        sides = questions.select("match_id", "ts", F.inline(both))
-        teams = self.team.before(sides)
-        maps = self.team_map.before(teams.withColumn("map_name", F.explode(F.array(*[F.lit(m) for m in self.pool]))), "map_")
+        read = self.totals.before(questions.select("match_id", "ts", F.inline(both)))
         prior = shrink.rate(F.col("wins"), F.col("games"), 0.5)
-        return maps.select("match_id", "ts", "side", "team_id", "map_name", "games", prior.alias("overall"), shrink.beta_mean(F.col("map_wins"), F.col("map_games"), prior, self.k).alias("rate"))
+        rates = {f"r{i}": shrink.beta_mean(F.col(f"wins_{i}"), F.col(f"games_{i}"), F.col("overall"), self.k) for i in range(len(self.pool))}
+        sides = read.withColumn("overall", prior).select("match_id", "side", "overall", *[c.alias(n) for n, c in rates.items()])
+        own = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}")
+        met = sides.repartition("match_id").groupBy("match_id").agg(*[own(s, c) for c in ("overall", *rates) for s in (1, 2)])
+        cells = F.array(*[F.struct(F.lit(m).alias("map_name"), F.col(f"r{i}_1").alias("a"), F.col(f"r{i}_2").alias("b")) for i, m in enumerate(self.pool)])
+        return met.select("match_id", cells.alias("cells"), F.col("overall_1").alias("a_overall"), F.col("overall_2").alias("b_overall"))
+
+    def win_rates(self, questions: DataFrame) -> DataFrame:
+        """(match_id, map_name, a, b): both sides' shrunk win rates before the question's time."""
+        return self._by_match(questions).select("match_id", F.inline("cells"))
 
     def rates(self, questions: DataFrame) -> DataFrame:
         """(match_id, map_name, a, b, a_overall, b_overall, p): both sides' shrunk win rates before the question's time and four-way chances from them."""
-        read = self._read(questions)
-        own = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
-        grouped = read.groupBy("match_id", "map_name").agg(own(1, "rate").alias("a"), own(2, "rate").alias("b"), own(1, "overall").alias("a_overall"), own(2, "overall").alias("b_overall"))
         league = self.league.before(questions.select("match_id", "ts", F.lit("all").alias("league"))).select("match_id", shrink.rate(F.col("ots"), F.col("maps"), 0.0).alias("ot"))
-        return grouped.join(league, "match_id").select("match_id", "map_name", "a", "b", "a_overall", "b_overall", logit.four_way_baseline(F.col("a"), F.col("b"), F.col("ot")).alias("p"))
+        read = self._by_match(questions).join(league, "match_id").select("match_id", F.inline("cells"), "a_overall", "b_overall", "ot")
+        return read.select("match_id", "map_name", "a", "b", "a_overall", "b_overall", logit.four_way_baseline(F.col("a"), F.col("b"), F.col("ot")).alias("p"))
 
     def answer(self, questions: DataFrame) -> DataFrame:
         """(match_id, seed, best_of, probabilities): scorelines over sampled vetoes, the sides going by their own rates.
