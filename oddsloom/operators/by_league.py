@@ -32,7 +32,7 @@ RATES = ("wins", "games", "a_won", "a_n", "m_s", "m_n", "b_won", "b_n")
 
 def apart(t: Tables) -> bool:
     """Whether every known team is of one league alone, and no league has very many maps; found by two jobs over the stored matches."""
-    m = t.by_match
+    m = t.every_match
     teams = m.select("league", F.explode(F.array("team1_id", "team2_id")).alias("team_id")).where("team_id is not null")
     found = teams.groupBy("team_id").agg(F.min("league").alias("a"), F.max("league").alias("z"), F.bool_or(F.col("league").isNull()).alias("without"))
     if not found.where("without or a <> z").isEmpty():
@@ -105,8 +105,8 @@ def known_before(t: Tables, c: FeatureConfig, n_maps: int, rating: bool = True)
     ``rating`` no ratings are folded. :func:`apart` must hold: the rows of one
     league pass through a task's memory.
     """
-    at = asof.order_number(F.col("ts"), t.by_match.schema["ts"].dataType)
-    dealt = t.by_match.select("league", *MATCH, "status", "indexes", "items").repartition(asof.tasks_for(n_maps, t.by_match), "league")
+    at = asof.order_number(F.col("ts"), t.every_match.schema["ts"].dataType)
+    dealt = t.every_match.select("league", *MATCH, "status", "indexes", "items").repartition(asof.tasks_for(n_maps, t.every_match), "league")
     dealt = dealt.withColumn("__at", at).sortWithinPartitions("league", "__at", "match_id")
     # Days are told apart as floor_days does.
     dealt = dealt.withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))

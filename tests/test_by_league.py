@@ -54,7 +54,7 @@ def test_a_team_of_two_leagues_or_a_large_league_is_read_by_levels(spark, odd, m
     monkeypatch.setattr(features, "LEAST_MAPS", 0)
     t = league.tables(spark, odd)
     assert by_league.apart(t)
-    moved = t.by_match.withColumn("league", F.when(F.col("match_id").cast("long") % 3 == 0, "other").otherwise(F.col("league")))
-    assert not by_league.apart(features.Tables(t.matches, t.maps, by_match=moved))
+    moved = t.every_match.withColumn("league", F.when(F.col("match_id").cast("long") % 3 == 0, "other").otherwise(F.col("league")))
+    assert not by_league.apart(features.Tables(t.matches, t.maps, every_match=moved))
     monkeypatch.setattr(asof, "HOT_ROWS", 10)
     assert not by_league.apart(t)
